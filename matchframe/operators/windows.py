@@ -178,3 +178,49 @@ def suggest_chunk_days(df: DataFrame, keys: Sequence[str], *, day: str = "match_
         return 1
     slices = max(1, -(-busiest["n"] // target_rows))
     return max(1, int(busiest["span"]) // slices)
+
+
+def sliced_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    by: str,
+    *,
+    name: str = "rank",
+    ties: Sequence[str] = (),
+    descending: bool = True,
+    tied: bool = False,
+    slices: int = 64,
+) -> DataFrame:
+    """Rank rows of a possibly huge key by the number ``by`` (nulls last).
+
+    Approximate quantiles cut each key into value slices; ranks within a slice
+    plus the sizes of the better slices give the exact rank.  Equal values share
+    a slice, so the approximation only affects how even the slices are.
+    """
+    keys = list(keys)
+    cuts = [i / slices for i in range(1, slices)]
+    value = F.col(by).cast("double")
+    if keys:
+        bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_cuts"))
+        rows = df.join(bounds, keys)
+    else:
+        # A single row of at most ``slices`` numbers.
+        rows = df.withColumn("_one", F.lit(1)).join(
+            F.broadcast(df.agg(F.percentile_approx(value, cuts, 1000).alias("_cuts")).withColumn("_one", F.lit(1))), "_one"
+        ).drop("_one")
+    above = F.size(F.filter("_cuts", lambda c: c < value))
+    worst = slices + 1
+    position = (slices - above) if descending else above
+    rows = rows.withColumn("_slice", F.when(value.isNull(), worst).otherwise(position)).drop("_cuts")
+    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
+    w = Window.partitionBy(*keys, "_slice").orderBy(first, *ties)
+    inside = F.rank().over(w) if tied else F.row_number().over(w)
+    counts = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        rows.withColumn("_in", inside)
+        .join(sizes, [*keys, "_slice"])
+        .withColumn(name, F.col("_in") + F.col("_before"))
+        .drop("_slice", "_in", "_before")
+    )

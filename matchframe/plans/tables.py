@@ -8,6 +8,7 @@ Spark side runs the same text through ``selectExpr``-style SQL over the files.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,7 +104,7 @@ FROM (SELECT o_orderkey, {", ".join(f"{v} AS {k}" for k, v in _W.items())} FROM
 JOIN @matches AS m ON m.match_id = w.o_orderkey"""
 # The coach in charge of a side, changing in irregular blocks of days.
 CTES["coached"] = """
-SELECT *, concat('M', CAST(team AS VARCHAR(20)), '-', CAST(CAST(floor((datediff_days + team * 37) / 170) AS BIGINT) % 4 AS VARCHAR(20))) AS manager
+SELECT *, concat('M', CAST(team AS STRING), '-', CAST(CAST(floor((datediff_days + team * 37) / 170) AS BIGINT) % 4 AS STRING)) AS manager
 FROM (SELECT t.*, {days} AS datediff_days FROM @t AS t) AS x"""
 # Fourteen raw tactical measures reduced to eight, with gaps.
 CTES["tactics"] = """
@@ -116,6 +117,44 @@ SELECT match_id, team, is_home, season, match_date, points, opponent, xgf, xga,
   8 + (match_id * 17 + team) % 40 * 1.0 AS defensive_activity
 FROM @t"""
 
+# --- text inputs for the cleaning functions and readers ---
+CTES["names"] = """
+SELECT c_custkey AS k, c_mktsegment AS segment, c_acctbal AS balance,
+  CASE c_custkey % 8 WHEN 0 THEN 'Manchester City' WHEN 1 THEN 'Nottingham Forest' WHEN 2 THEN 'Wolverhampton Wanderers'
+    WHEN 3 THEN 'Brighton & Hove Albion' WHEN 4 THEN concat(c_mktsegment, ' FC')
+    WHEN 5 THEN concat('Nott', chr(39), 'ham Forest') WHEN 6 THEN concat(' ', c_name, ' ') ELSE c_name END AS name
+FROM customer"""
+_D2 = "lpad(CAST(day({d}) AS STRING), 2, '0')"
+_M2 = "lpad(CAST(month({d}) AS STRING), 2, '0')"
+
+
+def date_text(d: str, order: str) -> str:
+    """SQL for the ``iso``, ``slash``, ``dash`` or ``short`` spelling of a date."""
+    day, month, year = _D2.format(d=d), _M2.format(d=d), f"CAST(year({d}) AS STRING)"
+    if order == "iso":
+        return f"concat({year}, '-', {month}, '-', {day})"
+    if order == "short":
+        return f"concat(CAST(day({d}) AS STRING), '/', CAST(month({d}) AS STRING), '/', {year})"
+    sep = "/" if order == "slash" else "-"
+    return f"concat({day}, '{sep}', {month}, '{sep}', {year})"
+
+
+CTES["date_texts"] = f"""
+SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CASE CAST(o_orderkey % 6 AS INT)
+  WHEN 0 THEN {date_text("o_orderdate", "iso")} WHEN 1 THEN {date_text("o_orderdate", "slash")}
+  WHEN 2 THEN {date_text("o_orderdate", "dash")} WHEN 3 THEN concat({date_text("o_orderdate", "iso")}, ' 15:30:00')
+  WHEN 4 THEN {date_text("o_orderdate", "short")} ELSE 'to be confirmed' END AS txt FROM orders"""
+# A result file: every column is text, some dates and goals are unreadable.
+CTES["result_text"] = f"""
+SELECT match_id AS rid, pool, CAST(season AS STRING) AS season_text,
+  CASE WHEN match_id % 31 = 0 THEN 'postponed' WHEN match_id % 3 = 0 THEN {date_text("match_date", "iso")}
+    ELSE {date_text("match_date", "slash")} END AS "Date",
+  concat('Team ', CAST(home AS STRING)) AS "HomeTeam", concat('Team ', CAST(away AS STRING)) AS "AwayTeam",
+  CASE WHEN match_id % 29 = 0 THEN 'x' ELSE CAST(hg AS STRING) END AS "FTHG", CAST(ag AS STRING) AS "FTAG",
+  result AS "FTR", CAST(hs AS STRING) AS "HS", CAST(as_ AS STRING) AS "AS", CAST(hst AS STRING) AS "HST",
+  CAST(ast AS STRING) AS "AST", CASE WHEN match_id % 5 = 0 THEN '' ELSE CAST(hxg AS STRING) END AS "HxG",
+  CAST(axg AS STRING) AS "AxG" FROM @matches"""
+
 _DAYS = {
     "spark": "datediff(match_date, DATE '1992-01-01')",
     "duck": "date_diff('day', DATE '1992-01-01', match_date)",
@@ -141,6 +180,7 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         """Run shared SQL: ``@x`` is an entry of ``CTES``, other names are driver tables."""
         text = text.replace(_DAYS["duck"], _DAYS["spark"])
+        text = re.sub(r' AS "(\w+)"', r" AS `\1`", text)
         views: dict[str, DataFrame] = {}
         for name in sorted(CTES, key=len, reverse=True):
             if f"@{name}" in text:

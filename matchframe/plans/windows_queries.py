@@ -170,7 +170,7 @@ def _efficiency_sql() -> str:
 EFF_COLUMNS = [f"{m}_{w}" for w in ("last5", "last10", "season") for m in R.EFFICIENCY]
 
 
-@query("W8_shot_efficiency", "match_id:i " + both_sides(" ".join(c + ":d9" for c in EFF_COLUMNS)), _efficiency_sql())
+@query("W8_shot_efficiency", "match_id:i " + both_sides(" ".join(c + ":d12" for c in EFF_COLUMNS)), _efficiency_sql())
 def efficiency(t: Tables):
     return R.shot_efficiency(t.long)
 
