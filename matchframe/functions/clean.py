@@ -242,8 +242,8 @@ def elo_gap_bucket(diff: Column) -> Column:
 
 
 def tenure_bucket(days: Column) -> Column:
-    """0 for a month or less, then up to three months, half a year, a year, longer."""
-    return F.when(days <= 30, 0).when(days <= 90, 1).when(days <= 180, 2).when(days <= 365, 3).otherwise(4)
+    """0 on the first day, then up to a month, three months, a year, longer."""
+    return F.when(days <= 0, 0).when(days <= 30, 1).when(days <= 90, 2).when(days <= 365, 3).otherwise(4)
 
 
 def meeting_strength(n: Column) -> Column:

@@ -58,17 +58,16 @@ def active_interval_join(
     high = F.unix_date(F.col(end))
     length = high - low + 1
     top = len(INTERVAL_LEVELS)
-    slots = F.lit(None)
-    for level, width in reversed(list(enumerate(INTERVAL_LEVELS))):
-        here = F.transform(
+
+    def touched(level: int, width: int) -> Column:
+        return F.transform(
             F.sequence(F.floor(low / width), F.floor(high / width)),
-            lambda b, lv=level: F.struct(F.lit(lv).alias("_level"), b.alias("_slot")),
+            lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_slot")),
         )
-        if level == top - 1:
-            whole = F.array(F.struct(F.lit(top).alias("_level"), F.lit(0).cast("long").alias("_slot")))
-            slots = F.when(length <= width, here).otherwise(whole)
-        else:
-            slots = F.when(length <= width, here).otherwise(slots)
+
+    slots = F.array(F.struct(F.lit(top).alias("_level"), F.lit(0).cast("long").alias("_slot")))
+    for level, width in reversed(list(enumerate(INTERVAL_LEVELS))):
+        slots = F.when(length <= width, touched(level, width)).otherwise(slots)
     listed = (
         facts.withColumn("_from", begin)
         .where(F.col("_from").isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col("_from"))))

@@ -221,7 +221,7 @@ def c16(t: Tables):
     """WITH v AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) % 900 - 450 AS d, CAST(floor(o_totalprice) AS BIGINT) % 500 AS days,
       o_orderkey % 9 AS n, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100 AS DOUBLE) / 100 AS p FROM orders)
     SELECT k, CASE WHEN abs(d) < 50 THEN 0 ELSE CASE WHEN abs(d) < 100 THEN 1 WHEN abs(d) < 200 THEN 2 ELSE 3 END * CASE WHEN d > 0 THEN 1 ELSE -1 END END AS gap,
-      CASE WHEN days <= 30 THEN 0 WHEN days <= 90 THEN 1 WHEN days <= 180 THEN 2 WHEN days <= 365 THEN 3 ELSE 4 END AS tenure,
+      CASE WHEN days <= 0 THEN 0 WHEN days <= 30 THEN 1 WHEN days <= 90 THEN 2 WHEN days <= 365 THEN 3 ELSE 4 END AS tenure,
       CASE WHEN n <= 0 THEN 0 WHEN n <= 2 THEN 0.25 WHEN n <= 5 THEN 0.6 ELSE 1 END AS meetings,
       CASE WHEN p >= 0.62 THEN 'high_confidence' WHEN p >= 0.48 THEN 'medium_confidence' ELSE 'low_confidence' END AS conf,
       CASE WHEN p >= 0.75 THEN 'High confidence' WHEN p >= 0.5 THEN 'Medium confidence' ELSE 'Low confidence' END AS stable,

@@ -180,6 +180,7 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         """Run shared SQL: ``@x`` is an entry of ``CTES``, other names are driver tables."""
         text = text.replace(_DAYS["duck"], _DAYS["spark"])
+        text = text.replace("{", "{{").replace("}", "}}")
         text = re.sub(r' AS "(\w+)"', r" AS `\1`", text)
         views: dict[str, DataFrame] = {}
         for name in sorted(CTES, key=len, reverse=True):
