@@ -33,6 +33,7 @@ class History:
     ``rows``        longest ROWS look-back needed
     ``rows_where``  only rows meeting this condition enter the copied look-back
     ``days``        longest calendar look-back needed, in days
+    ``ahead``       longest calendar look-ahead needed, in days
     ``day_sums``    name -> per-row value, summed by calendar frames
     ``totals``      name -> per-row value, summed by running frames
     ``totals_by``   further keys of the running frames (for example season)
@@ -48,6 +49,7 @@ class History:
         rows: int = 0,
         rows_where: Column | None = None,
         days: int = 0,
+        ahead: int = 0,
         day_sums: dict[str, Column] | None = None,
         totals: dict[str, Column] | None = None,
         totals_by: Sequence[str] = (),
@@ -57,8 +59,7 @@ class History:
         self.order = [day, *ties]
         self.day = day
         self.width = width or chunk_days(df.sparkSession)
-        if days >= self.width:
-            self.width = days + 1
+        self.width = max(self.width, days + 1, ahead + 1)
         base = df.withColumn("_chunk", self.slice_of(F.col(day)))
         real = base.withColumns(
             {**(day_sums or {}), **(totals or {}), "_ctx": F.lit(REAL), "_front": F.lit(1)}
@@ -67,7 +68,9 @@ class History:
         if rows:
             parts.append(self._recent_rows(base, rows, rows_where))
         if days:
-            parts.append(self._daily_rows(base, days, day_sums or {}))
+            parts.append(self._daily_rows(base, F.unix_date(F.col(day)) >= (F.col("_chunk") + 1) * self.width - days, 1, day_sums or {}))
+        if ahead:
+            parts.append(self._daily_rows(base, F.unix_date(F.col(day)) < F.col("_chunk") * self.width + ahead, -1, day_sums or {}))
         if totals:
             parts.append(self._total_rows(base, totals, list(totals_by)))
         out = parts[0]
@@ -110,14 +113,13 @@ class History:
             .select(*self.keys, "_chunk", "_r.*", F.lit(RECENT).alias("_ctx"), F.lit(1).alias("_front"))
         )
 
-    def _daily_rows(self, base: DataFrame, days: int, sums: dict[str, Column]) -> DataFrame:
-        """Per-day sums of the days that the next slice can still look back to."""
-        start_next = (F.col("_chunk") + 1) * self.width
+    def _daily_rows(self, base: DataFrame, near: Column, step: int, sums: dict[str, Column]) -> DataFrame:
+        """Per-day sums of the days that the slice one ``step`` on can see."""
         return (
-            base.where(F.unix_date(F.col(self.day)) >= start_next - days)
-            .groupBy(*self.keys, self.day, (F.col("_chunk") + 1).alias("_next"))
+            base.where(near)
+            .groupBy(*self.keys, self.day, (F.col("_chunk") + step).alias("_to"))
             .agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-            .withColumnRenamed("_next", "_chunk")
+            .withColumnRenamed("_to", "_chunk")
             .withColumns({"_ctx": F.lit(DAILY), "_front": F.lit(0)})
         )
 
@@ -152,6 +154,10 @@ class History:
         """Rows dated between ``low`` and ``high`` days ago, both counted as positive ages."""
         return self.part().orderBy(F.unix_date(F.col(self.day))).rangeBetween(-high, -low)
 
+    def next_days(self, low: int, high: int) -> WindowSpec:
+        """Rows dated between ``low`` and ``high`` days later."""
+        return self.part().orderBy(F.unix_date(F.col(self.day))).rangeBetween(low, high)
+
     def real(self, df: DataFrame) -> DataFrame:
         """Drop the context rows and the bookkeeping columns."""
         return df.where(F.col("_ctx") == REAL).drop(*_INTERNAL)
