@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Triple = tuple[Column, Column, Column]
@@ -96,30 +97,35 @@ def softmax3(z: Triple) -> Triple:
     return e[0] / total, e[1] / total, e[2] / total
 
 
-def poisson_pmf(lam: Column, top: int) -> Column:
-    """Array of the truncated, renormalised probabilities of 0..top; the mean is at least 0.05."""
-    mean = F.greatest(lam, F.lit(0.05))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(top)), lambda k: F.exp(-mean) * F.pow(mean, k.cast("double")) / F.factorial(k)
+def _poisson_cells(mean: Column, top: int) -> list[Column]:
+    """Unnormalised probabilities of 0..top; the mean is at least 0.05."""
+    lam = F.greatest(mean, F.lit(0.05))
+    return [F.exp(-lam) * F.pow(lam, F.lit(float(k))) / math.factorial(k) for k in range(top + 1)]
+
+
+def with_poisson_1x2(df: DataFrame, home: str, away: str, names: Sequence[str] = P, top: int = 10) -> DataFrame:
+    """Adds win, draw and loss mass of two independent Poisson scores truncated at ``top``.
+
+    Cells, then sums: each step is its own projection, so no cell is computed
+    twice and all of it stays in generated code.
+    """
+    cells = {f"_{s}{k}": c for s, m in (("h", home), ("a", away)) for k, c in enumerate(_poisson_cells(F.col(m), top))}
+    h, a = ([F.col(f"_{s}{k}") for k in range(top + 1)] for s in "ha")
+
+    def total(xs: list[Column]) -> Column:
+        out = xs[0]
+        for x in xs[1:]:
+            out = out + x
+        return out
+
+    def beats(x: list[Column], y: list[Column]) -> Column:
+        return total([x[i] * total(y[:i]) for i in range(1, top + 1)])
+
+    sums = {"_w": beats(h, a), "_d": total([x * y for x, y in zip(h, a, strict=True)]), "_l": beats(a, h)}
+    mass = F.col("_w") + F.col("_d") + F.col("_l")
+    return (
+        df.withColumns(cells)
+        .withColumns(sums)
+        .withColumns({n: F.col(c) / mass for n, c in zip(names, ("_w", "_d", "_l"), strict=True)})
+        .drop(*cells, *sums)
     )
-    total = F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(cells, lambda x: x / total)
-
-
-def poisson_1x2(home: Column, away: Column, top: int = 10) -> Triple:
-    """Win, draw and loss mass of two independent truncated Poisson scores."""
-    hp, ap = poisson_pmf(home, top), poisson_pmf(away, top)
-    zero = F.lit(0.0)
-    draw = F.aggregate(F.zip_with(hp, ap, lambda x, y: x * y), zero, lambda acc, x: acc + x)
-
-    def beats(mine: Column, other: Column) -> Column:
-        # Sum over my score i of p(i) times the chance that the other scores less.
-        below = F.transform(
-            F.sequence(F.lit(0), F.lit(top)),
-            lambda i: F.aggregate(F.slice(other, F.lit(1), i), zero, lambda acc, x: acc + x),
-        )
-        return F.aggregate(F.zip_with(mine, below, lambda x, y: x * y), zero, lambda acc, x: acc + x)
-
-    win, loss = beats(hp, ap), beats(ap, hp)
-    total = win + draw + loss
-    return win / total, draw / total, loss / total

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchframe.functions.clean import elo_gap_bucket
-from matchframe.functions.probs import poisson_1x2
+from matchframe.functions.probs import with_poisson_1x2
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable, out: T.StructType) -> DataFrame:
@@ -373,18 +373,16 @@ def opponent_adjusted_xg(matches: DataFrame, cfg: XgConfig = XgConfig(), keys: S
     rated = fold(rows, keys, ["match_date", "match_id"], start, T.StructType(_typed(rows, ["pool", "match_id"]) + number))
     c = F.col
     hv, av = c("home_xg_attack_rating") * c("away_xg_defense_rating"), c("away_xg_attack_rating") * c("home_xg_defense_rating")
-    p = poisson_1x2(c("expected_home_goals_model"), c("expected_away_goals_model"), cfg.max_goals)
-    return rated.withColumns(
+    rated = rated.withColumns(
         {
             "home_attack_vs_away_defense": hv,
             "away_attack_vs_home_defense": av,
             "attack_defense_matchup_score": hv - av,
             "expected_goal_diff_model": c("expected_home_goals_model") - c("expected_away_goals_model"),
-            "poisson_home_win_prob": p[0],
-            "poisson_draw_prob": p[1],
-            "poisson_away_win_prob": p[2],
         }
     )
+    names = ("poisson_home_win_prob", "poisson_draw_prob", "poisson_away_win_prob")
+    return with_poisson_1x2(rated, "expected_home_goals_model", "expected_away_goals_model", names, cfg.max_goals)
 
 
 def rating_rows(ratings: DataFrame, matches: DataFrame) -> DataFrame:

@@ -230,3 +230,24 @@ def sliced_rank(
         .withColumn(name, F.col("_in") + F.col("_before"))
         .drop("_slice", "_in", "_before")
     )
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float]) -> DataFrame:
+    """Linear-interpolated quantiles per key: (keys..., q, value), from distributed ranks."""
+    keys = list(keys)
+    ranked = sliced_rank(df.where(F.col(column).isNotNull()).select(*keys, column), keys, column, name="_r", descending=False)
+    n = ranked.groupBy(*keys).agg(F.count("*").alias("_n"))
+    asked = n.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+        "_at", F.col("q") * (F.col("_n") - 1) + 1
+    )
+    ends = asked.select(
+        *keys, "q", "_at", F.explode(F.array(F.floor("_at"), F.floor("_at") + 1)).alias("_r")
+    )
+    hit = ends.join(ranked, [*keys, "_r"], "left")
+    low = F.max(F.when(F.col("_r") == F.floor("_at"), F.col(column)))
+    high = F.max(F.when(F.col("_r") != F.floor("_at"), F.col(column)))
+    part = hit.groupBy(*keys, "q", "_at").agg(low.alias("_low"), high.alias("_high"))
+    between = F.col("_at") - F.floor("_at")
+    return part.select(
+        *keys, "q", (F.col("_low") + between * (F.coalesce("_high", "_low") - F.col("_low"))).alias("value")
+    )

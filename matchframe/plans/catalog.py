@@ -1,6 +1,13 @@
 """Imports every query module so that ``REGISTRY`` is complete."""
 
-from matchframe.plans import clean_queries, feature_queries, join_queries, source_queries, windows_queries  # noqa: F401
+from matchframe.plans import (  # noqa: F401
+    clean_queries,
+    feature_queries,
+    join_queries,
+    probability_queries,
+    source_queries,
+    windows_queries,
+)
 from matchframe.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchframe.functions.clean import COMPETITION_WEIGHTS
-from matchframe.functions.probs import poisson_1x2
+from matchframe.functions.probs import with_poisson_1x2
 from matchframe.operators import availability as V
 from matchframe.operators import context as X
 from matchframe.operators import lineups as L
@@ -114,8 +114,7 @@ def w14(t: Tables):
     FROM g GROUP BY match_id""",
 )
 def w15(t: Tables):
-    h, d, a = poisson_1x2(F.col("hxg"), F.col("axg"))
-    return t.matches.select("match_id", h.alias("p_home"), d.alias("p_draw"), a.alias("p_away"))
+    return with_poisson_1x2(t.matches.select("match_id", "hxg", "axg"), "hxg", "axg")
 
 
 # --- context ---------------------------------------------------------------

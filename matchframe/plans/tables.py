@@ -57,7 +57,7 @@ FROM lineitem WHERE l_quantity >= 40"""
 CTES["nonleague"] = """
 SELECT CAST(l_shipdate AS DATE) AS match_date,
   CAST(floor(floor(l_orderkey / 10) / 100) * 20 + CAST(floor(l_orderkey / 10) AS BIGINT) % 20 AS BIGINT) AS team,
-  l_orderkey * 10 + l_linenumber AS row_id, l_partkey AS part_id, l_suppkey AS supp_id,
+  (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS row_id, l_partkey AS part_id, l_suppkey AS supp_id,
   CASE l_linenumber % 5 WHEN 0 THEN 'Friendly' WHEN 1 THEN 'Championship' WHEN 2 THEN 'Champions League'
     WHEN 3 THEN 'Domestic Cup' ELSE 'Regional Shield' END AS competition,
   CAST(CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS DOUBLE) AS points,
