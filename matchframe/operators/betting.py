@@ -68,8 +68,8 @@ def max_drawdown(bets: DataFrame, keys: Sequence[str]) -> DataFrame:
     Each time slice gives its own worst fall, its low and its high; the slices
     then combine through the highest earlier peak.
     """
-    h = History(bets.select(*keys, "match_date", "match_id", "bet_type", "profit"), keys, ties=("match_id", "bet_type"),
-                totals={"_p": F.col("profit")})
+    ties = [c for c in ("match_id", "bet_type") if c not in keys]
+    h = History(bets.select(*keys, "match_date", *ties, "profit"), keys, ties=ties, totals={"_p": F.col("profit")})
     real = F.col("_ctx") == 0
     frame = h.frame.withColumn("cum", F.sum("_p").over(h.running_inclusive()))
     peak = F.max(F.when(real, F.col("cum"))).over(h.running_inclusive())

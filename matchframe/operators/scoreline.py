@@ -81,9 +81,14 @@ def with_cells(
     return out.withColumn("cells", cells).drop(*raw, "_w", "_d", "_l", "_s0", "_s1", "_s2")
 
 
-def scoreline_grid(df: DataFrame, keys: Sequence[str] = ("match_id",)) -> DataFrame:
-    """Long form of ``cells``: (keys..., h, a, p)."""
-    return df.select(*keys, F.inline("cells"))
+def scoreline_grid(df: DataFrame, keys: Sequence[str] = ("match_id",), top: int = MAX_GOALS) -> DataFrame:
+    """Long form of ``cells``: (keys..., h, a, p).
+
+    Expands a literal index: expanding the array itself makes the optimizer push
+    a copy of its whole definition into a filter.
+    """
+    index = F.explode(F.sequence(F.lit(0), F.lit((top + 1) ** 2 - 1))).alias("_k")
+    return df.select(*keys, "cells", index).withColumn("_c", F.get("cells", F.col("_k"))).select(*keys, "_c.h", "_c.a", "_c.p")
 
 
 def bucket_probabilities(grid: DataFrame, keys: Sequence[str] = ("match_id",)) -> DataFrame:
@@ -96,22 +101,27 @@ BUCKETS = ("all", "home", "draw", "away")
 
 
 def ranked_cells(bucket: str = "all") -> Column:
-    """Cells of a bucket, most likely first; equal ones keep (h, a) order."""
+    """Cells of a bucket, most likely first; equal ones (to 12 places) keep (h, a) order."""
     keep = {"all": lambda c: F.lit(True), "home": lambda c: c["h"] > c["a"], "draw": lambda c: c["h"] == c["a"], "away": lambda c: c["h"] < c["a"]}
     some = F.filter("cells", keep[bucket])
-    return F.sort_array(F.transform(some, lambda c: F.struct((-c["p"]).alias("np"), c["h"].alias("h"), c["a"].alias("a"))))
+    return F.sort_array(
+        F.transform(some, lambda c: F.struct((-F.round(c["p"], 12)).alias("o"), c["h"].alias("h"), c["a"].alias("a"), c["p"].alias("p")))
+    )
 
 
 def top_scorelines(df: DataFrame, n: int = 5, per_bucket: int = 3, keys: Sequence[str] = ("match_id",)) -> DataFrame:
     """(keys..., bucket, rank, h, a, p): the top ``n`` overall and the top few per outcome."""
-    lists = F.array(
-        *[
-            F.struct(F.lit(b).alias("bucket"), F.slice(ranked_cells(b), 1, n if b == "all" else per_bucket).alias("best"))
-            for b in BUCKETS
-        ]
-    )
-    rows = df.select(*keys, F.inline(lists)).select(*keys, "bucket", F.posexplode("best").alias("_i", "c"))
-    return rows.select(*keys, "bucket", (F.col("_i") + 1).alias("rank"), "c.h", "c.a", (-F.col("c.np")).alias("p"))
+    slots = [(b, i) for b in BUCKETS for i in range(n if b == "all" else per_bucket)]
+    pick = F.explode(F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(i).alias("i")) for b, i in slots])).alias("_s")
+    rows = df.withColumns({"_" + b: F.slice(ranked_cells(b), 1, n if b == "all" else per_bucket) for b in BUCKETS})
+    rows = rows.select(*keys, *["_" + b for b in BUCKETS], pick)
+    bucket = F.col("_s.bucket")
+    best = F.col("_away")
+    for b in BUCKETS[:-1]:
+        best = F.when(bucket == b, F.col("_" + b)).otherwise(best)
+    return rows.withColumn("_c", F.get(best, F.col("_s.i"))).select(
+        *keys, "_s.bucket", (F.col("_s.i") + 1).alias("rank"), "_c.h", "_c.a", "_c.p"
+    ).where("h IS NOT NULL")
 
 
 def predicted_scoreline(df: DataFrame, probs: Sequence[str] = P) -> DataFrame:
@@ -120,7 +130,7 @@ def predicted_scoreline(df: DataFrame, probs: Sequence[str] = P) -> DataFrame:
         argmax3(triple(probs)) == 1, ranked_cells("draw")[0]
     ).otherwise(ranked_cells("away")[0])
     return df.withColumn("_b", best).withColumns(
-        {"pred_h": F.col("_b.h"), "pred_a": F.col("_b.a"), "pred_p": -F.col("_b.np")}
+        {"pred_h": F.col("_b.h"), "pred_a": F.col("_b.a"), "pred_p": F.col("_b.p")}
     ).drop("_b")
 
 

@@ -19,6 +19,7 @@ from matchframe.functions.probs import (
     log_loss,
     named,
     normalize_probs,
+    pick,
     residual,
     softmax3,
     temperature_scale,
@@ -174,18 +175,13 @@ def tune_draw_overlay(df: DataFrame, least: int = 20) -> DataFrame:
     wide = wide.withColumns(named(draw_overlay(triple(), F.col("_m"), F.col("boost")), ("q_home", "q_draw", "q_away")))
     q = triple(("q_home", "q_draw", "q_away"))
     t = F.col("target")
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("k"), bin_index(x).alias("bin"), x.alias("p"), (t == i).cast("double").alias("y"))
-            for i, x in enumerate(q)
-        ]
-    )
     key = ["strategy", "threshold", "spread_threshold", "boost"]
     first = F.col("k") == 0
     parts = (
-        wide.withColumns({"_l": log_loss(q, t), "_b": brier(q, t), "_c": cells})
-        .select(*key, "is_test", "_m", "_l", "_b", F.inline("_c"))
-        .groupBy(*key, "is_test", "k", "bin")
+        wide.withColumns({"_l": log_loss(q, t), "_b": brier(q, t)})
+        .withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+        .withColumns({"p": pick(F.col("k"), q), "y": (t == F.col("k")).cast("double")})
+        .groupBy(*key, "is_test", "k", bin_index(F.col("p")).alias("bin"))
         .agg(
             F.count("*").alias("n"), F.sum("p").alias("p"), F.sum("y").alias("y"),
             F.sum(F.when(first, F.col("_l"))).alias("l"), F.sum(F.when(first, F.col("_b"))).alias("b"),

@@ -222,8 +222,9 @@ def _overlay_sql() -> str:
     th AS (SELECT quantile_cont(sc, [0.5, 0.6, 0.7, 0.8]) AS q FROM r WHERE is_test = 0),
     w AS (SELECT r.*, g.strategy, q[g.ti + 1] AS threshold, g.sp AS spread_threshold, g.boost, CASE g.strategy WHEN 'none' THEN false WHEN 'draw_score' THEN sc >= q[g.ti + 1]
       WHEN 'low_spread' THEN abs(p_home - p_away) <= g.sp ELSE sc >= q[g.ti + 1] AND abs(p_home - p_away) <= g.sp END AS m FROM r, th, (VALUES {", ".join(vals)}) AS g(strategy, ti, sp, boost)),
-    z AS (SELECT *, CASE WHEN m THEN p_draw + boost * (1 - p_draw) ELSE p_draw END AS nd FROM w),
-    s AS (SELECT strategy, threshold, spread_threshold, boost, is_test, m, target, p_home * (1 - nd) / (p_home + p_away) AS h, nd AS d, p_away * (1 - nd) / (p_home + p_away) AS a FROM z),
+    z0 AS (SELECT *, p_home / (p_home + p_draw + p_away) AS ph, p_draw / (p_home + p_draw + p_away) AS pd, p_away / (p_home + p_draw + p_away) AS pw FROM w),
+    z AS (SELECT *, CASE WHEN m THEN pd + boost * (1.0::DOUBLE - pd) ELSE pd END AS nd FROM z0), z1 AS (SELECT *, (1.0::DOUBLE - nd) / (ph + pw) AS sc2 FROM z),
+    s AS (SELECT strategy, threshold, spread_threshold, boost, is_test, m, target, ph * sc2 / (ph * sc2 + nd + pw * sc2) AS h, nd / (ph * sc2 + nd + pw * sc2) AS d, pw * sc2 / (ph * sc2 + nd + pw * sc2) AS a FROM z1),
     cl AS (SELECT *, unnest([0, 1, 2]) AS kk, unnest([h, d, a]) AS p, unnest([{", ".join(y)}]) AS y FROM s),
     bn AS (SELECT strategy, threshold, spread_threshold, boost, is_test, kk, {bin_sql("p")} AS b, count(*) AS n, abs(sum(y) - sum(p)) AS e FROM cl GROUP BY ALL),
     ec AS (SELECT strategy, threshold, spread_threshold, boost, is_test, sum(e) / sum(n) AS ece FROM bn GROUP BY ALL),
@@ -327,7 +328,7 @@ def p20(t: Tables):
     "P21_top_scorelines",
     "match_id:i bucket:s rank:i h:i a:i p:d8",
     f"""WITH {_EG}, l AS (SELECT match_id, 'all' AS bucket, 5 AS lim, h, a, p FROM al UNION ALL SELECT match_id, CASE WHEN h > a THEN 'home' WHEN h = a THEN 'draw' ELSE 'away' END, 3, h, a, p FROM al),
-    r AS (SELECT *, row_number() OVER (PARTITION BY match_id, bucket ORDER BY p DESC, h, a) AS rank FROM l) SELECT * FROM r WHERE rank <= lim""",
+    r AS (SELECT *, row_number() OVER (PARTITION BY match_id, bucket ORDER BY round(p, 12) DESC, h, a) AS rank FROM l) SELECT * FROM r WHERE rank <= lim""",
 )
 def p21(t: Tables):
     return S.top_scorelines(S.estimate_scorelines(t.goal_rows))
@@ -336,7 +337,7 @@ def p21(t: Tables):
 @query(
     "P21_predicted_scoreline",
     "match_id:i pred_h:i pred_a:i pred_p:d8",
-    f"""WITH {_EG}, b AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, h, a) AS rn FROM (SELECT *, {PICK} AS pk FROM al) AS x
+    f"""WITH {_EG}, b AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 12) DESC, h, a) AS rn FROM (SELECT *, {PICK} AS pk FROM al) AS x
       WHERE pk = CASE WHEN h > a THEN 0 WHEN h = a THEN 1 ELSE 2 END) SELECT match_id, h AS pred_h, a AS pred_a, p AS pred_p FROM b WHERE rn = 1""",
 )
 def p21_pick(t: Tables):
@@ -371,7 +372,7 @@ def a2(t: Tables):
 
 
 def cal_sql(src: str, keys: str) -> str:
-    edges = "[" + ", ".join(repr(e) for e in EDGES) + "]::DOUBLE[]"
+    edges = "([" + ", ".join(repr(e) for e in EDGES) + "]::DOUBLE[])"
     return f"""SELECT {keys}, class, bin, {edges}[bin + 1] AS bin_lower, {edges}[bin + 2] AS bin_upper, count(*) AS "count", avg(p) AS mean_predicted_probability, avg(y) AS observed_frequency
       FROM (SELECT *, {bin_sql("p")} AS bin FROM ({class_rows(src, keys)}) AS c) AS b GROUP BY {keys}, class, bin"""
 
@@ -485,7 +486,7 @@ _SM = "correct_score_accuracy top_3_hit_rate top_5_hit_rate mean_probability_ass
 @query(
     "A10_scoreline_metrics",
     "season:i test_matches:i " + " ".join(c + ":d8" for c in _SM),
-    f"""WITH {_EG}, r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, h, a) AS rn FROM al),
+    f"""WITH {_EG}, r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 12) DESC, h, a) AS rn FROM al),
     m AS (SELECT match_id, max(rn) FILTER (WHERE h = hg AND a = ag) AS place, greatest(coalesce(max(p) FILTER (WHERE h = hg AND a = ag), 1e-15), 1e-15) AS pa FROM r GROUP BY match_id)
     SELECT p.season, count(*) AS test_matches, avg(CASE WHEN place = 1 THEN 1.0 ELSE 0 END) AS correct_score_accuracy, avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0 END) AS top_3_hit_rate,
       avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0 END) AS top_5_hit_rate, avg(pa) AS mean_probability_assigned_to_actual, -avg(ln(pa)) AS scoreline_log_loss, 0 AS mean_1x2_alignment_error, 0 AS max_1x2_alignment_error
@@ -698,14 +699,15 @@ def a21(t: Tables):
 
 # --- B ---------------------------------------------------------------------
 
-_EDGE_SQL = f"""SELECT *, 1 / p_home AS home_fair_odds, odds_h * p_home - 1 AS home_edge, odds_d * p_draw - 1 AS draw_edge, odds_a * p_away - 1 AS away_edge, {PICK} AS model_pick, {MPICK} AS market_pick,
+_EDGE_SQL = f"""SELECT *, 1 / (p_home / (p_home + p_draw + p_away)) AS home_fair_odds, odds_h / (1 / (p_home / (p_home + p_draw + p_away))) - 1 AS home_edge,
+  odds_d / (1 / (p_draw / (p_home + p_draw + p_away))) - 1 AS draw_edge, odds_a / (1 / (p_away / (p_home + p_draw + p_away))) - 1 AS away_edge, {PICK} AS model_pick, {MPICK} AS market_pick,
   greatest(p_home, p_draw, p_away) AS model_confidence FROM @pm"""
 _BETS = f"""e AS ({_EDGE_SQL}), o AS (
   SELECT match_id, match_date, target, model_pick, market_pick, model_confidence, 0 AS k, 'home' AS bet_type, odds_h AS price, home_edge AS edge FROM e
   UNION ALL SELECT match_id, match_date, target, model_pick, market_pick, model_confidence, 1, 'draw', odds_d, draw_edge FROM e
   UNION ALL SELECT match_id, match_date, target, model_pick, market_pick, model_confidence, 2, 'away', odds_a, away_edge FROM e),
   b AS (SELECT *, CASE WHEN k = target THEN 1 ELSE 0 END AS won, CASE WHEN k = target THEN price - 1 ELSE -1 END AS profit FROM o),
-  eb AS (SELECT * FROM b, (VALUES (0.0), (0.03), (0.05), (0.08), (0.10)) AS g(threshold) WHERE edge > threshold)"""
+  eb AS (SELECT * FROM b, (VALUES (0.0::DOUBLE), (0.03::DOUBLE), (0.05::DOUBLE), (0.08::DOUBLE), (0.10::DOUBLE)) AS g(threshold) WHERE edge > threshold)"""
 
 
 @query("B1_edge_table", "match_id:i home_fair_odds:d8 home_edge:d8 draw_edge:d8 away_edge:d8 model_pick:i market_pick:i model_confidence:d8", _EDGE_SQL)
