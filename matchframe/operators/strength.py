@@ -318,7 +318,7 @@ def long_term_strength(
 def normalize_squad_strength(squads: DataFrame, keys: Sequence[str] = ("season",), value: str = "squad_market_value_eur") -> DataFrame:
     """Min-max score of the log value, rank, percentile and bucket; a missing value stays missing."""
     k = list(keys)
-    log = F.log(F.greatest(F.col(value), F.lit(1.0)))
+    log = F.when(F.col(value).isNotNull(), F.log(F.greatest(F.col(value), F.lit(1.0))))
     rows = squads.withColumns({"squad_strength_used": F.col(value).isNotNull().cast("int"), "_log": log})
     span = rows.groupBy(*k).agg(F.min("_log").alias("_lo"), F.max("_log").alias("_hi"), F.sum("squad_strength_used").alias("_n"))
     rows = sliced_rank(rows, k, value, name="_rank", tied=True).join(span, k)
