@@ -18,8 +18,9 @@ def absence_totals(long: DataFrame, absences: DataFrame) -> DataFrame:
     hit = active_interval_join(long.select("match_id", "is_home", "team", "match_date"), absences)
     suspended = (F.col("is_suspended") >= 1) | (F.lower("status_type") == "suspension")
     rows = hit.withColumn("_s", F.coalesce(suspended, F.lit(False))).withColumn("_x", F.col("is_expected_starter") >= 1)
-    # One row per player first, so distinct counts become plain sums.
-    per_player = rows.groupBy("match_id", "is_home", "player").agg(
+    # One row per player first, so distinct counts become plain sums.  Placing the
+    # pairs by match serves both groupings and the join that follows.
+    per_player = rows.repartition("match_id").groupBy("match_id", "is_home", "player").agg(
         F.max((~F.col("_s")).cast("int")).alias("i"),
         F.max(F.col("_s").cast("int")).alias("s"),
         F.max((~F.col("_s") & F.col("_x")).cast("int")).alias("ix"),

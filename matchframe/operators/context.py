@@ -108,11 +108,11 @@ def schedule_context(asks: DataFrame, dates: DataFrame) -> DataFrame:
         "matches_last_14_days": n("d_n", h.within_days(1, 14)),
         "matches_next_7_days": n("d_n", h.next_days(1, 7)),
         "matches_next_14_days": n("d_n", h.next_days(1, 14)),
-        "short_rest_flag": (rest < 5).cast("double"),
         "midweek_fixture_flag": (n("d_mid", h.within_days(1, 7)) > 0).cast("double"),
         "festive_congestion_flag": (((month == 12) & (dom >= 20)) | ((month == 1) & (dom <= 4))).cast("double"),
     }
-    return h.real(h.frame.withColumns(cols)).where("_q = 1").select(*asks.columns, *cols)
+    rows = h.real(h.frame.withColumns(cols)).where("_q = 1")
+    return rows.select(*asks.columns, *cols, (F.col("days_rest") < 5).cast("double").alias("short_rest_flag"))
 
 
 def sides_of(fixtures: DataFrame, keep: Sequence[str] = ("match_id", "match_date")) -> DataFrame:

@@ -56,8 +56,7 @@ def form_columns(h: History) -> dict[str, Column]:
 
 def xg_columns(h: History) -> dict[str, Column]:
     w = h.last(5)
-    xg, xga = (zero(F.avg(real_row(F.col(c))).over(w)) for c in ("xgf", "xga"))
-    return {"xg_avg": xg, "xga_avg": xga, "xg_diff": xg - xga}
+    return {name: zero(F.avg(real_row(F.col(c))).over(w)) for name, c in (("xg_avg", "xgf"), ("xga_avg", "xga"))}
 
 
 def schedule_columns(h: History) -> dict[str, Column]:
@@ -68,10 +67,16 @@ def schedule_columns(h: History) -> dict[str, Column]:
         "days_rest": rest,
         "matches_last_14_days": F.coalesce(F.sum("_played").over(h.within_days(1, 14)), F.lit(0)),
         "had_midweek_match": (F.coalesce(F.sum("_played_mid").over(h.within_days(1, 7)), F.lit(0)) > 0).cast("int"),
-        "days_since_last_match": rest,
     }
 
 
+# Columns that follow from window columns; kept out of the window step so that no window is computed twice.
+_DERIVED = {
+    "xg_diff": (("xg_avg", "xga_avg"), lambda: F.col("xg_avg") - F.col("xga_avg")),
+    "days_since_last_match": (("days_rest",), lambda: F.col("days_rest")),
+}
+
+
 def _day_counts() -> dict[str, Column]:
     return {"_played": F.lit(1), "_played_mid": _midweek(F.col("match_date"))}
 
@@ -81,7 +86,8 @@ def _features(long: DataFrame, rows: int, blocks: list, days: int = 0) -> DataFr
     cols: dict[str, Column] = {}
     for block in blocks:
         cols.update(block(h))
-    return to_wide(h.real(h.frame.withColumns(cols)), list(cols))
+    more = {name: make() for name, (need, make) in _DERIVED.items() if set(need) <= set(cols)}
+    return to_wide(h.real(h.frame.withColumns(cols)).withColumns(more), [*cols, *more])
 
 
 def form_features(long: DataFrame) -> DataFrame:
@@ -134,12 +140,21 @@ def shot_volume_features(long: DataFrame) -> DataFrame:
     n = F.coalesce(F.sum("_n").over(season), F.lit(0))
     for name, src, tot in (("shots", "sf", "_s"), ("shots_on_target", "sotf", "_t")):
         value = F.when(ok, real_row(F.col(src).cast("double")))
-        last5 = zero(F.avg(value).over(by_count.rangeBetween(-5, -1)))
-        last10 = zero(F.avg(value).over(by_count.rangeBetween(-10, -1)))
-        cols[f"{name}_avg_last5"] = last5
-        cols[f"{name}_avg_last10"] = last10
-        cols[f"{name}_avg_season"] = F.when(n >= MIN_SEASON_ROWS, F.sum(tot).over(season) / n).otherwise(last10)
-    return to_wide(h.real(seen.withColumns(cols)), list(cols))
+        cols[f"{name}_avg_last5"] = zero(F.avg(value).over(by_count.rangeBetween(-5, -1)))
+        cols[f"{name}_avg_last10"] = zero(F.avg(value).over(by_count.rangeBetween(-10, -1)))
+        cols["_sum" + tot] = F.sum(tot).over(season)
+    cols["_season_n"] = n
+    rows = h.real(seen.withColumns(cols))
+    full = F.col("_season_n") >= MIN_SEASON_ROWS
+    return to_wide(
+        rows.withColumns(
+            {
+                f"{name}_avg_season": F.when(full, F.col("_sum" + tot) / F.col("_season_n")).otherwise(F.col(f"{name}_avg_last10"))
+                for name, tot in (("shots", "_s"), ("shots_on_target", "_t"))
+            }
+        ),
+        SHOT_VOLUME,
+    )
 
 
 EFFICIENCY = (
@@ -160,21 +175,24 @@ def shot_efficiency(long: DataFrame) -> DataFrame:
         totals={**measures, "_n": F.lit(1)},
         totals_by=["season"],
     )
+    windows = {"last5": h.last(5), "last10": h.last(10), "season": h.running(["season"])}
+    sums: dict[str, Column] = {}
+    for suffix, w in windows.items():
+        for k in measures:
+            value = F.col(k) if suffix == "season" else real_row(F.col(k + "r"))
+            sums[f"{k}_{suffix}"] = F.sum(value).over(w)
+        sums[f"_n_{suffix}"] = F.sum("_n").over(w) if suffix == "season" else F.count(real_row(F.lit(1))).over(w)
+    # Window sums first, ratios in a second projection: each sum is computed once.
+    summed = h.real(h.frame.withColumns(sums)).na.fill(0, list(sums))
     cols: dict[str, Column] = {}
-    for suffix, w, running in (("last5", h.last(5), False), ("last10", h.last(10), False), ("season", h.running(["season"]), True)):
-        if running:
-            total = {k: zero(F.sum(k).over(w)) for k in measures}
-            n = F.coalesce(F.sum("_n").over(w), F.lit(0))
-        else:
-            total = {k: zero(F.sum(real_row(F.col(k + "r"))).over(w)) for k in measures}
-            n = F.count(real_row(F.lit(1))).over(w)
-        g, x, s, t, sa, ta, xa = (total[k] for k in ("_g", "_x", "_s", "_t", "_sa", "_ta", "_xa"))
+    for suffix in windows:
+        g, x, s, t, sa, ta, xa, n = (F.col(f"{k}_{suffix}") for k in ("_g", "_x", "_s", "_t", "_sa", "_ta", "_xa", "_n"))
         values = (
             (s, n), (t, n), (t, s), (g, s), (g, t), (x, s), (g - x, n), (sa, n), (ta, n), (ta, sa), (xa, sa),
         )
         for name, (num, den) in zip(EFFICIENCY, values, strict=True):
             cols[f"{name}_{suffix}"] = safe_divide(num, den)
-    return to_wide(h.real(h.frame.withColumns(cols)), list(cols))
+    return to_wide(summed.withColumns(cols), list(cols))
 
 
 # --- calendar load with extra competitions ---------------------------------
@@ -210,24 +228,26 @@ def calendar_load(long: DataFrame, extra: DataFrame | None = None, include_extra
     in_rest = real if include_extra else real & ~ex
     last_any = F.coalesce(F.max(F.when(in_rest, day)).over(upto_yesterday), F.col("_before_any"))
     last_extra = F.coalesce(F.max(F.when(real & ex, day)).over(upto_yesterday), F.col("_before_extra"))
-    rest = F.coalesce((day - last_any).cast("double"), F.lit(14.0))
 
     def load(name: str, n: int) -> Column:
         return F.coalesce(F.sum(name).over(h.within_days(1, n)), F.lit(0)).cast("double")
 
-    m14, m30 = load("_all", 14), load("_all", 30)
     cols = {
-        "days_rest": rest,
-        "had_midweek_match": (rest <= 4).cast("int"),
-        "matches_last_14_days": m14,
-        "matches_last_30_days": m30,
-        "days_since_last_match": rest,
-        "fixture_congestion_score": fixture_congestion(rest, m14, m30),
+        "days_rest": F.coalesce((day - last_any).cast("double"), F.lit(14.0)),
+        "matches_last_14_days": load("_all", 14),
+        "matches_last_30_days": load("_all", 30),
         "played_europe_midweek": (load("_xmid", 7) > 0).cast("int"),
         "days_since_europe_match": F.coalesce((day - last_extra).cast("double"), F.lit(60.0)),
         "european_fixture_load": load("_extra", 30),
     }
-    return h.real(frame.withColumns(cols)).where("_x = 0").select("match_id", "team", "is_home", *cols)
+    rest = F.col("days_rest")
+    more = {
+        "had_midweek_match": (rest <= 4).cast("int"),
+        "days_since_last_match": rest,
+        "fixture_congestion_score": fixture_congestion(rest, F.col("matches_last_14_days"), F.col("matches_last_30_days")),
+    }
+    rows = h.real(frame.withColumns(cols)).where("_x = 0").withColumns(more)
+    return rows.select("match_id", "team", "is_home", *cols, *more)
 
 
 def _last_days_before_slice(rows: DataFrame, h: History, include_extra: bool) -> DataFrame:
