@@ -294,8 +294,8 @@ def leakage_check(build, source: DataFrame, cutoff: str, key: str = "match_id")
     day = F.lit(cutoff).cast("date")
     early = source.where(F.col("match_date") < day)
     ids = early.select(key).distinct()
-    full = build(source).join(ids, key, "left_semi")
     part = build(early)
+    full = build(source).join(ids, key, "left_semi").select(*part.columns)
     return full.exceptAll(part).withColumn("side", F.lit("full")).unionByName(
         part.exceptAll(full).withColumn("side", F.lit("truncated"))
     )
