@@ -15,6 +15,7 @@ from matchframe.operators.joins import asof_last, lineup_pairs
 from matchframe.operators.longform import to_wide
 from matchframe.operators.rolling import zero
 from matchframe.operators.windows import History, real_row
+from matchframe.plans.stages import staged
 
 GROUPS = {"same_back_four": "defender", "same_midfield": "midfielder", "same_attack": "attacker"}
 SIZE = 11
@@ -43,8 +44,11 @@ _SETS = ["xi", *["xi_" + g for g in GROUPS.values()]]
 
 
 def current_and_previous(asks: DataFrame, appearances: DataFrame) -> DataFrame:
-    """The line-up in sight for each ask (expected for the day, else latest known) and the one before it."""
-    facts = lineup_sets(appearances)
+    """The line-up in sight for each ask (expected for the day, else latest known) and the one before it.
+
+    Runs two jobs: the line-up sets and the chosen line-ups are read several times.
+    """
+    facts = staged(lineup_sets(appearances))
     latest = asof_last(asks, facts, ties=("match_id", "is_home"), value=_SETS, known="collected")
     expected = _expected(appearances).select("team", "match_date", *[F.col(c).alias("e_" + c) for c in _SETS])
     both = latest.join(expected, ["team", "match_date"], "left")
@@ -55,6 +59,7 @@ def current_and_previous(asks: DataFrame, appearances: DataFrame) -> DataFrame:
             **{"c_" + c: F.when(has, F.col("e_" + c)).otherwise(F.col(c)) for c in _SETS},
         }
     ).select(*asks.columns, "lineup_day", *["c_" + c for c in _SETS])
+    chosen = staged(chosen)
     known = chosen.where("lineup_day IS NOT NULL")
     moved = known.select("match_id", "is_home", "team", F.col("lineup_day").alias("match_date"))
     prev = asof_last(moved, facts, ties=("match_id", "is_home"), value=_SETS, known="collected")
@@ -99,7 +104,7 @@ def lineup_continuity(long: DataFrame, appearances: DataFrame) -> DataFrame:
 
 
 def pair_history(appearances: DataFrame) -> DataFrame:
-    """Joint starts and minutes of each pair up to and including each day it becomes known."""
+    """Joint starts and minutes of each pair up to and including each day it becomes known.  Runs a job."""
     s = appearances.where("started >= 1").groupBy("team", "match_date", "player").agg(
         F.max("minutes").alias("minutes"), F.max("source_collected_at").alias("c")
     )
@@ -108,7 +113,7 @@ def pair_history(appearances: DataFrame) -> DataFrame:
         F.greatest("match_date", F.coalesce(F.greatest("c_a", "c_b"), "match_date")).alias("match_date"),
         F.least("minutes_a", "minutes_b").cast("double").alias("m"),
     )
-    daily = pairs.groupBy("team", "a", "b", "match_date").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+    daily = staged(pairs.groupBy("team", "a", "b", "match_date").agg(F.count("*").alias("n"), F.sum("m").alias("m")))
     h = History(daily, ["team", "a", "b"], ties=(), totals={"_n": F.col("n"), "_m": F.col("m")})
     upto = h.running_inclusive()
     return h.real(
@@ -155,15 +160,15 @@ def lineup_familiarity(long: DataFrame, appearances: DataFrame) -> DataFrame:
 
 
 def rotation_facts(appearances: DataFrame) -> DataFrame:
-    """Mean of the last 10 changes between consecutive line-ups, at each line-up."""
-    sets = lineup_sets(appearances).where(F.size("xi") > 0).select("team", "match_date", "collected", "xi")
+    """Mean of the last 10 changes between consecutive line-ups, at each line-up.  Runs two jobs."""
+    sets = staged(lineup_sets(appearances)).where(F.size("xi") > 0).select("team", "match_date", "collected", "xi")
     step = History(sets, ["team"], ties=(), rows=1)
     before = F.lag(real_row(F.col("xi"))).over(step.ordered())
     change = F.greatest(F.lit(0), SIZE - F.size(F.array_intersect("xi", "_b"))).cast("double")
     moved = step.real(step.frame.withColumn("_b", before)).withColumn(
         "change", F.when(F.col("_b").isNotNull(), change)
     ).drop("_b", "xi")
-    h = History(moved, ["team"], ties=(), rows=10)
+    h = History(staged(moved), ["team"], ties=(), rows=10)
     mean = F.avg(real_row(F.col("change"))).over(h.ordered().rowsBetween(-9, 0))
     return h.real(h.frame.withColumn("rotation", mean)).drop("change")
 

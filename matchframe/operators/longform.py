@@ -51,8 +51,11 @@ def side_value(flag: int, value: Column | str) -> Column:
     return F.max(F.when(F.col("is_home") == flag, F.col(value) if isinstance(value, str) else value))
 
 
-def to_wide(long: DataFrame, columns: Sequence[str], key: Sequence[str] = ("match_id",)) -> DataFrame:
-    """Back to one row per match with ``home_``/``away_`` prefixes."""
+def to_wide(
+    long: DataFrame, columns: Sequence[str], key: Sequence[str] = ("match_id",), shared: dict[str, Column] | None = None
+) -> DataFrame:
+    """Back to one row per match with ``home_``/``away_`` prefixes; ``shared`` values are equal on both sides."""
     return long.groupBy(*key).agg(
-        *[side_value(flag, c).alias(f"{side}_{c}") for c in columns for flag, side in ((1, "home"), (0, "away"))]
+        *[side_value(flag, c).alias(f"{side}_{c}") for c in columns for flag, side in ((1, "home"), (0, "away"))],
+        *[F.max(c).alias(name) for name, c in (shared or {}).items()],
     )

@@ -10,6 +10,7 @@ from matchframe.operators.joins import active_interval_join, asof_last
 from matchframe.operators.longform import to_wide
 from matchframe.operators.rolling import zero
 from matchframe.operators.windows import History, real_row
+from matchframe.plans.stages import staged
 
 
 def mark_runs(rows: DataFrame, value: str = "manager") -> DataFrame:
@@ -26,13 +27,9 @@ def mark_runs(rows: DataFrame, value: str = "manager") -> DataFrame:
 
 def manager_spells(rows: DataFrame) -> DataFrame:
     """(team, manager, start_date, end_date): a spell ends the day before the next one starts."""
-    starts = mark_runs(rows).where("is_change = 1")
-    # Only spell starts are left: a handful per team and season.
-    w = Window.partitionBy("team").orderBy("match_date", "match_id")
-    return starts.select(
-        "team", "manager", F.col("match_date").alias("start_date"),
-        F.date_sub(F.lead("match_date").over(w), 1).alias("end_date"),
-    )
+    starts = mark_runs(rows).where("is_change = 1").select("team", "manager", "run", F.col("match_date").alias("start_date"))
+    following = starts.select("team", (F.col("run") - 1).alias("run"), F.date_sub("start_date", 1).alias("end_date"))
+    return starts.join(following, ["team", "run"], "left").select("team", "manager", "start_date", "end_date")
 
 
 def manager_stability(long: DataFrame, spells: DataFrame) -> DataFrame:
@@ -72,10 +69,11 @@ def manager_features(rows: DataFrame) -> DataFrame:
 
     ``rows``: long rows with ``manager`` and ``elo_trend``.  The run is that of
     the team's last match before the day, if its coach is still in charge; the
-    Elo figure sums the trends of the run's matches.
+    Elo figure sums the trends of the run's matches.  Runs two jobs: the marked
+    rows and the state per day are read several times.
     """
     value = {"p": F.col("points").cast("double"), "x": F.col("xgf") - F.col("xga"), "e": zero(F.col("elo_trend"))}
-    marked = mark_runs(rows.withColumns({"_v" + k: c for k, c in value.items()}))
+    marked = staged(mark_runs(rows.withColumns({"_v" + k: c for k, c in value.items()})))
     h = History(marked, ["team", "run"], rows=5, totals={"_n": F.lit(1), **{"_t" + k: F.col("_v" + k) for k in value}})
     upto = h.running_inclusive()
     state = h.real(
@@ -90,6 +88,7 @@ def manager_features(rows: DataFrame) -> DataFrame:
     starts = marked.where("is_change = 1").select("team", "run", F.col("match_date").alias("run_start"))
     keep = ["manager", "run", "n", "p", "x", "e", "form"]
     per_day = state.groupBy("team", "match_date").agg(F.max_by(F.struct(*keep), "match_id").alias("s")).select("team", "match_date", "s.*")
+    per_day = staged(per_day)
     asks = rows.select("match_id", "is_home", "team", "match_date", F.col("manager").alias("_now"))
     facts = per_day.select("team", "match_date", *[F.col(c).alias("_p_" + c) for c in keep])
     seen = asof_last(asks, facts, ties=("match_id", "is_home"), value=["_p_" + c for c in keep])

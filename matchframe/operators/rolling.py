@@ -28,10 +28,9 @@ def zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def _with_label(wide: DataFrame, long: DataFrame) -> DataFrame:
-    """Features plus ``home_advantage`` and the outcome label, without another shuffle of ``long``."""
-    labels = long.where("is_home = 1").select("match_id", outcome_label("result").alias("target"))
-    return wide.join(labels, "match_id").withColumn("home_advantage", F.lit(1))
+def _labels() -> dict[str, Column]:
+    """The outcome label and the constant home advantage, kept through the regrouping."""
+    return {"target": outcome_label("result"), "home_advantage": F.lit(1)}
 
 
 # --- form, xG and schedule -------------------------------------------------
@@ -81,17 +80,18 @@ def _day_counts() -> dict[str, Column]:
     return {"_played": F.lit(1), "_played_mid": _midweek(F.col("match_date"))}
 
 
-def _features(long: DataFrame, rows: int, blocks: list, days: int = 0) -> DataFrame:
+def _features(long: DataFrame, rows: int, blocks: list, days: int = 0, labels: bool = False) -> DataFrame:
     h = History(long, TEAM, rows=rows, days=days, day_sums=_day_counts() if days else None)
     cols: dict[str, Column] = {}
     for block in blocks:
         cols.update(block(h))
     more = {name: make() for name, (need, make) in _DERIVED.items() if set(need) <= set(cols)}
-    return to_wide(h.real(h.frame.withColumns(cols)).withColumns(more), [*cols, *more])
+    rows_out = h.real(h.frame.withColumns(cols)).withColumns(more)
+    return to_wide(rows_out, [*cols, *more], shared=_labels() if labels else None)
 
 
 def form_features(long: DataFrame) -> DataFrame:
-    return _with_label(_features(long, 5, [form_columns]), long)
+    return _features(long, 5, [form_columns], labels=True)
 
 
 def xg_features(long: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def schedule_features(long: DataFrame) -> DataFrame:
 
 def match_features(long: DataFrame) -> DataFrame:
     """Form, xG and schedule in one pass over one partitioning."""
-    return _with_label(_features(long, 5, [form_columns, xg_columns, schedule_columns], days=14), long)
+    return _features(long, 5, [form_columns, xg_columns, schedule_columns], days=14, labels=True)
 
 
 # --- shots -----------------------------------------------------------------

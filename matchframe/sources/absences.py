@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchframe.functions import clean as C
 from matchframe.operators.joins import dedupe_keep, union_by_name
+from matchframe.operators.windows import History, real_row
 from matchframe.schema import ABSENCE_API, ABSENCES, SIDELINED_ITEM
 from matchframe.sources.readers import with_defaults
 
@@ -98,11 +99,11 @@ def from_sidelined_feed(payloads: DataFrame, column: str, collected: Column) ->
 
 def round_dates(matches: DataFrame) -> DataFrame:
     """Date of each team's n-th match of the season: (season_start, team, round, match_date)."""
-    sides = F.posexplode(F.array("home", "away")).alias("_side", "team")
+    sides = F.explode(F.array("home", "away")).alias("team")
     long = matches.select("season_start", "match_date", F.col("home").alias("_h"), F.col("away").alias("_a"), sides)
-    # A team plays a few dozen matches per season.
-    w = Window.partitionBy("season_start", "team").orderBy("match_date", "_h", "_a")
-    return long.select("season_start", "team", F.row_number().over(w).alias("round"), "match_date")
+    h = History(long, ["season_start", "team"], ties=("_h", "_a"), totals={"_n": F.lit(1)})
+    number = F.coalesce(F.sum("_n").over(h.running()), F.lit(0)) + 1
+    return h.real(h.frame.withColumn("round", number)).select("season_start", "team", "round", "match_date")
 
 
 def from_round_status(rows: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -117,16 +118,20 @@ def from_round_status(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     status = F.lower(F.coalesce(F.col("status"), F.lit("")))
     dated = rows.withColumn("status", status).join(schedule, ["season_start", "team", "round"], "left")
     kept = dated.where(F.col("match_date").isNotNull() | F.col("status").isin("starting", "sub_in"))
-    # One player's season: at most a few dozen rounds.
-    w = Window.partitionBy("season_start", "team", "player").orderBy("round")
     start = (F.col("status") == "starting").cast("int")
     minutes = F.when(F.col("status") == "starting", 90.0).when(F.col("status") == "sub_in", 25.0).otherwise(0.0)
-    seen = kept.withColumns(
-        {
-            "_starts5": F.coalesce(F.sum(start).over(w.rowsBetween(-5, -1)), F.lit(0)),
-            "_last": F.coalesce(F.lag(start).over(w), F.lit(0)),
-            "_minutes": F.coalesce(F.sum(minutes).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-        }
+    # Rounds take the place of days.
+    ordered = kept.withColumns({"_round": F.date_from_unix_date("round"), "_start": start})
+    h = History(ordered, ["season_start", "team", "player"], day="_round", ties=("status",), rows=5, totals={"_played": minutes})
+    begun = real_row(F.col("_start"))
+    seen = h.real(
+        h.frame.withColumns(
+            {
+                "_starts5": F.coalesce(F.sum(begun).over(h.last(5)), F.lit(0)),
+                "_last": F.coalesce(F.max(begun).over(h.last(1)), F.lit(0)),
+                "_minutes": F.coalesce(F.sum("_played").over(h.running()), F.lit(0.0)),
+            }
+        )
     ).where("match_date IS NOT NULL AND status IN ('injured', 'suspended')")
     kind = F.when(F.col("status") == "suspended", "suspension").otherwise("injury")
     away_days = F.datediff(C.extract_return_date("detail"), "match_date")

@@ -7,6 +7,7 @@ from matchframe.operators import managers as M
 from matchframe.operators import quality as Q
 from matchframe.operators import ratings as E
 from matchframe.operators import rolling as R
+from matchframe.plans import catalog  # noqa: F401  (registers the derived views)
 from matchframe.plans.tables import Tables
 
 CUT = "1998-07-01"
