@@ -26,8 +26,8 @@ def mark_runs(rows: DataFrame, value: str = "manager") -> DataFrame:
 
 
 def manager_spells(rows: DataFrame) -> DataFrame:
-    """(team, manager, start_date, end_date): a spell ends the day before the next one starts."""
-    starts = mark_runs(rows).where("is_change = 1").select("team", "manager", "run", F.col("match_date").alias("start_date"))
+    """(team, manager, start_date, end_date): a spell ends the day before the next one starts.  Runs a job."""
+    starts = staged(mark_runs(rows).where("is_change = 1").select("team", "manager", "run", F.col("match_date").alias("start_date")))
     following = starts.select("team", (F.col("run") - 1).alias("run"), F.date_sub("start_date", 1).alias("end_date"))
     return starts.join(following, ["team", "run"], "left").select("team", "manager", "start_date", "end_date")
 
