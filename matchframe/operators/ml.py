@@ -84,7 +84,8 @@ def fit_outcome_model(
             gbt = GBTClassifier(
                 featuresCol="_x", labelCol="_y", predictionCol="_pred", weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=RATE, seed=seed
             )
-            gbt = gbt.set(gbt.rawPredictionCol, "_rawp").set(gbt.probabilityCol, "_prob")
+            gbt.set(gbt.rawPredictionCol, "_rawp")
+            gbt.set(gbt.probabilityCol, "_prob")
             one = rows.withColumn("_y", (F.col("target") == i).cast("double"))
             models.append(Pipeline(stages=[*_front(cols, False), gbt]).fit(one))
         return OutcomeModel(cols, kind, tuple(models))

@@ -22,6 +22,12 @@ from matchframe.operators.longform import to_wide
 from matchframe.operators.windows import REAL, History, real_row
 
 TEAM = ["team"]
+BASE = ("match_id", "match_date", "season", "team", "is_home")
+
+
+def narrow(long: DataFrame, *columns: str) -> DataFrame:
+    """Only what a feature needs: copied look-back rows travel whole, so keep them thin."""
+    return long.select(*BASE, *columns)
 
 
 def zero(c: Column) -> Column:
@@ -81,7 +87,8 @@ def _day_counts() -> dict[str, Column]:
 
 
 def _features(long: DataFrame, rows: int, blocks: list, days: int = 0, labels: bool = False) -> DataFrame:
-    h = History(long, TEAM, rows=rows, days=days, day_sums=_day_counts() if days else None)
+    thin = narrow(long, "result", "points", "gf", "xgf", "xga")
+    h = History(thin, TEAM, rows=rows, days=days, day_sums=_day_counts() if days else None)
     cols: dict[str, Column] = {}
     for block in blocks:
         cols.update(block(h))
@@ -121,7 +128,7 @@ def shot_volume_features(long: DataFrame) -> DataFrame:
     ok = F.col("sf").isNotNull() & F.col("sotf").isNotNull()
     flag = F.when(ok, 1)
     h = History(
-        long,
+        narrow(long, "sf", "sotf"),
         TEAM,
         rows=10,
         rows_where=ok,
@@ -169,7 +176,7 @@ def shot_efficiency(long: DataFrame) -> DataFrame:
     src = {"_s": "sf", "_t": "sotf", "_g": "gf", "_x": "xgf", "_sa": "sa", "_ta": "sota", "_xa": "xga"}
     measures = {k: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for k, v in src.items()}
     h = History(
-        long.withColumns({k + "r": v for k, v in measures.items()}),
+        narrow(long, *src.values()).withColumns({k + "r": v for k, v in measures.items()}),
         TEAM,
         rows=10,
         totals={**measures, "_n": F.lit(1)},
@@ -325,7 +332,7 @@ def recency_weighted(long: DataFrame, ratings: DataFrame | None = None, window:
     if ratings is not None:
         measures.update(attack_rating="attack_rating", defense_rating="defense_rating")
         rows = long.join(ratings, ["match_id", "team"], "left")
-    h = History(rows, TEAM, rows=window)
+    h = History(narrow(rows, *measures.values()), TEAM, rows=window)
     frame, cols = recency_columns(h.frame, h, measures, window)
     return to_wide(frame, cols)
 
@@ -335,7 +342,7 @@ def recency_weighted(long: DataFrame, ratings: DataFrame | None = None, window:
 
 def venue_features(long: DataFrame) -> DataFrame:
     """Home side over its last 5 home matches, away side over its last 5 away matches."""
-    h = History(long, ["team", "is_home"], rows=5)
+    h = History(narrow(long, "points", "gf", "ga", "xgf", "xga"), ["team", "is_home"], rows=5)
     w = h.last(5)
     gd = F.col("gf") - F.col("ga")
     cols = {
@@ -381,9 +388,9 @@ def head_to_head(matches: DataFrame) -> DataFrame:
             "_l": F.coalesce((~low_win).cast("int"), F.lit(0)),
             "_d": (F.col("result") == "D").cast("int"),
         }
-    )
+    ).select("match_id", "match_date", "_a", "_b", "_at_low", "_gd", "_xd", "_w", "_l", "_d", "result", gd.alias("_g0"), xd.alias("_x0"))
     h = History(
-        rows,
+        rows.drop("result", "_g0", "_x0"),
         ["_a", "_b"],
         rows=5,
         totals={"n": F.lit(1), "nw": F.col("_w"), "nl": F.col("_l"), "nd": F.col("_d")},
@@ -395,8 +402,8 @@ def head_to_head(matches: DataFrame) -> DataFrame:
         ["_a", "_b", "_at_low"],
         totals={
             "vp": F.when(F.col("result") == "H", 3).when(F.col("result") == "D", 1).otherwise(0),
-            "vg": gd,
-            "vx": xd,
+            "vg": F.col("_g0"),
+            "vx": F.col("_x0"),
         },
     )
     vrun = venue.running()
@@ -458,7 +465,7 @@ def head_to_head(matches: DataFrame) -> DataFrame:
 def draw_propensity(long: DataFrame) -> DataFrame:
     """Draw rates, similarity and low-scoring profiles; a null shot count zeroes its profile."""
     h = History(
-        long,
+        narrow(long, "is_draw", "points", "gf", "xgf", "xga", "sotf"),
         TEAM,
         rows=10,
         totals={"_n": F.lit(1), "_dr": F.col("is_draw")},
