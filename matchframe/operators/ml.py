@@ -82,8 +82,10 @@ def fit_outcome_model(
         models = []
         for i in range(3):
             gbt = GBTClassifier(
-                featuresCol="_x", labelCol="_y", predictionCol="_pred", weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=RATE, seed=seed
+                featuresCol="_x", labelCol="_y", predictionCol="_pred", maxIter=rounds, maxDepth=depth, stepSize=RATE, seed=seed
             )
+            if weight:
+                gbt.setWeightCol(weight)
             gbt.set(gbt.rawPredictionCol, "_rawp")
             gbt.set(gbt.probabilityCol, "_prob")
             one = rows.withColumn("_y", (F.col("target") == i).cast("double"))
