@@ -348,7 +348,12 @@ def stability_table(intervals: DataFrame, row: str = "row_id") -> DataFrame:
         stability_score(F.avg("std")).alias("stability_score"), F.avg("std").alias("mean_probability_std"),
         F.max("std").alias("max_probability_std"), F.max_by("class", F.struct(width, "class")).alias("widest_class"),
     )
-    return out.withColumn("confidence_label", C.stability_label(F.col("stability_score")))
+    label = C.stability_label(F.col("stability_score"))
+    text = F.when(label == "High confidence", "Bootstrap models are stable").when(
+        label == "Medium confidence", "Moderate model disagreement"
+    ).otherwise("High model disagreement")
+    explanation = F.concat(text, F.lit("; widest interval is for "), "widest_class", F.lit("."))
+    return out.withColumns({"confidence_label": label, "explanation": explanation})
 
 
 def hit_rate(forecasts: DataFrame, results: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:

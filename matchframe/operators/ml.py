@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchframe.functions.probs import P, log_loss, named, normalize_probs, triple
+from matchframe.functions.probs import P, blend, log_loss, named, normalize_probs, triple
 from matchframe.operators.joins import union_by_name
 from matchframe.operators.metrics import calibration_table, ece, replicate_intervals, score_probs
 from matchframe.operators.ratings import EloConfig, elo_grid
@@ -117,6 +117,17 @@ def compare_feature_sets(df: DataFrame, sets: dict[str, Sequence[str]], *, frac:
     return metrics_of(union_by_name(*parts))
 
 
+def blended_fit(
+    train: DataFrame, test: DataFrame, first: Sequence[str], second: Sequence[str], *, weight: float = 0.5, **model
+) -> DataFrame:
+    """Test rows scored by the blend of two models on different column sets.  Runs two fits."""
+    scored = fit_outcome_model(train, first, **model).transform(test.na.fill(0.0, list(first)))
+    scored = scored.withColumnsRenamed({c: "_a_" + c for c in P})
+    both = fit_outcome_model(train, second, **model).transform(scored.na.fill(0.0, list(second)))
+    mixed = blend(triple(tuple("_a_" + c for c in P)), triple(), F.lit(weight))
+    return both.withColumns(named(mixed)).drop(*["_a_" + c for c in P])
+
+
 def walk_forward(df: DataFrame, columns: Sequence[str], seasons: Sequence, *, name: str = "model", **model) -> DataFrame:
     """Train on earlier seasons, test on each: scored rows of all seasons.  Runs one fit per season."""
     rows = keep(df)

@@ -11,6 +11,7 @@ from matchframe.operators import context as X
 from matchframe.operators import lineups as L
 from matchframe.operators import managers as M
 from matchframe.operators import ratings as E
+from matchframe.operators import rolling as R
 from matchframe.operators import tactics as K
 from matchframe.operators.longform import to_wide
 from matchframe.plans.clean_queries import case_map
@@ -104,6 +105,15 @@ def w14(t: Tables):
     return E.opponent_adjusted_xg(t.matches)
 
 
+_RATED = [f"{m}_weighted_{w}" for w in R.RECENCY_SCHEMES for m in ("attack_rating", "defense_rating")]
+
+
+@query("W7_recency_weighted_ratings", "match_id:i " + both_sides(" ".join(c + ":d6" for c in _RATED)))
+def w7_ratings(t: Tables):
+    """The recency schemes over the opponent-adjusted ratings."""
+    return R.recency_weighted(t.long, E.rating_rows(E.opponent_adjusted_xg(t.matches), t.matches))
+
+
 @query(
     "W15_poisson_1x2",
     "match_id:i p_home:d8 p_draw:d8 p_away:d8",

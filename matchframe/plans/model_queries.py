@@ -70,6 +70,13 @@ def m4(t: Tables):
     return M.compare_feature_sets(data(t), {"form": FORM, "form_xg": FORM + XG, "all": ALL}, kind="logistic")
 
 
+@query("M4_blended_model", _METRICS)
+def m4_blend(t: Tables):
+    train, test = halves(t)
+    scored = M.blended_fit(train, test, FORM + XG, FORM + REST, kind="logistic")
+    return M.metrics_of(scored.withColumn("model_version", F.lit("blend")))
+
+
 _DELTAS = _METRICS + " log_loss_delta:d6 brier_score_delta:d6 ece_delta:d6"
 
 

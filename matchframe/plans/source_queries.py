@@ -364,6 +364,28 @@ def s17(t: Tables):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query(
+    "S17_lineup_master",
+    "table_name:s source:s n:i",
+    _L_SQL + """, u AS (SELECT match_id, team, l_partkey, rk, 0 AS r FROM b UNION ALL SELECT match_id, team, l_partkey, rk, 1 FROM b WHERE l_linenumber <= 3),
+    l AS (SELECT match_id, team, max(r) AS r FROM u GROUP BY ALL), p AS (SELECT match_id, team, l_partkey, max(r) AS r FROM u GROUP BY ALL)
+    SELECT 'lineups' AS table_name, CASE r WHEN 0 THEN 'first' ELSE 'second' END AS source, count(*) AS n FROM l GROUP BY r
+    UNION ALL SELECT 'formations', CASE r WHEN 0 THEN 'first' ELSE 'second' END, count(*) FROM l GROUP BY r
+    UNION ALL SELECT 'appearances', CASE r WHEN 0 THEN 'first' ELSE 'second' END, count(*) FROM p GROUP BY r
+    UNION ALL SELECT 'substitutions', s, count(*) FROM (SELECT unnest(['first', 'second']) AS s FROM b WHERE l_linenumber = 2) AS x GROUP BY s""",
+)
+def s17_master(t: Tables):
+    raw = t.sql(_LINEUP)
+    tables = L.build_lineup_master(
+        L.normalize_lineups(raw, "first", "rank_id"), L.normalize_lineups(raw.where("rank_id % 10 <= 3"), "second", "rank_id")
+    )
+    out = None
+    for name, df in tables.items():
+        part = df.groupBy("source").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _LM_RAW = f"""SELECT a.match_id * 100 + a.player AS rank_id, CAST(a.match_id AS STRING) AS match_id, concat('Club ', CAST(a.team AS STRING)) AS team,
   concat('P', CAST(a.player AS STRING)) AS player, CASE CAST(a.player % 3 AS INT) WHEN 0 THEN 'GK' WHEN 1 THEN 'DF,MF' ELSE 'zz' END AS pos,
   CASE WHEN a.started = 1 THEN 'true' ELSE 'no' END AS is_starter, CAST(a.minutes AS STRING) AS minutes FROM @appearances AS a"""
@@ -388,12 +410,28 @@ _LM_SCHED = f"""SELECT CAST(match_id AS STRING) AS match_id, {date_text("match_d
       ON e.rn = 1 AND e.match_date = x.match_date AND e.team = x.team AND e.opp = x.opp""",
 )
 def s18(t: Tables):
+    return _matched_lineups(t)["appearances"]
+
+
+def _matched_lineups(t: Tables):
     raw = L.enrich_with_schedule(t.sql(_LM_RAW), t.sql(_LM_SCHED))
     known = t.sql(
         "SELECT season, match_date, concat('Club ', CAST(home AS STRING)) AS home, concat('Club ', CAST(away AS STRING)) AS away "
         "FROM @matches WHERE match_id % 4 <> 0"
     )
-    return L.normalize_lineups_with_matches(raw, known, "rank_id")["appearances"]
+    return L.normalize_lineups_with_matches(raw, known, "rank_id")
+
+
+@query(
+    "S18_lineup_match_counts",
+    "raw_rows:i matched_team_rows:i unmatched_team_rows:i",
+    """WITH e AS (SELECT match_date, home, away FROM @matches WHERE match_id % 4 <> 0), k AS (SELECT match_date, home AS team, away AS opp FROM e UNION SELECT match_date, away, home FROM e),
+    x AS (SELECT a.match_date, a.team, CASE WHEN a.team = m.home THEN m.away ELSE m.home END AS opp FROM @appearances a JOIN @matches m USING (match_id)),
+    c AS (SELECT count(*) AS raw_rows, count(k.team) AS matched FROM x LEFT JOIN k ON k.match_date = x.match_date AND k.team = x.team AND k.opp = x.opp)
+    SELECT raw_rows, matched AS matched_team_rows, raw_rows - matched AS unmatched_team_rows FROM c""",
+)
+def s18_counts(t: Tables):
+    return _matched_lineups(t)["stats"]
 
 
 # --- tactics, pages, refresh, logs ----------------------------------------

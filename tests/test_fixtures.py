@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,3 +273,35 @@ def test_logs_grow_and_latest_is_replaced(spark, tmp_path):
     for fmt in ("parquet", "csv", "json"):
         sinks.write_table(p, str(tmp_path / fmt), fmt)
         assert spark.read.format(fmt).option("header", True).load(str(tmp_path / fmt)).count() == 1
+
+
+def test_calibration_needs_the_same_columns(spark):
+    from matchframe.operators.ml import Calibrator, apply_calibration
+
+    p = spark.createDataFrame([(0.5, 0.3, 0.2)], "p_home double, p_draw double, p_away double")
+    layer = Calibrator(("a", "b"), "sigmoid", ())
+    for given in (layer, None):
+        r = apply_calibration(p, given, ["a", "c"]).first()
+        assert (r.method, r.p_home) == ("raw", 0.5)
+
+
+def test_calibration_and_bootstrap(spark):
+    from matchframe.operators import ml as M
+
+    rows = [(i, float(i % 7), float(i % 3), 0 if i % 7 > 4 else 1 if i % 3 == 0 else 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "match_id long, x double, y double, target int")
+    train, test = df.where("match_id < 300"), df.where("match_id >= 300")
+    model = M.fit_outcome_model(train, ["x", "y"], kind="logistic")
+    scored = model.transform(test)
+    assert all(abs(r.p_home + r.p_draw + r.p_away - 1) < 1e-9 for r in scored.collect())
+    prior = -sum(n / 300 * math.log(n / 300) for n in [train.where(f"target = {k}").count() for k in range(3)])
+    assert M.metrics_of(scored.withColumn("model_version", F.lit("m"))).first().log_loss < prior
+    layer = M.fit_calibrator(scored, ["x", "y"], "isotonic")
+    got = M.apply_calibration(scored, layer, ["x", "y"]).first()
+    assert got.method == "isotonic" and abs(got.p_home + got.p_draw + got.p_away - 1) < 1e-9
+    spread = M.bootstrap_models(train, test, ["x", "y"], n=3, kind="logistic")
+    assert spread.count() == 300 and spread.where("lower_95 > mean + 1e-9 OR upper_95 < mean - 1e-9").count() == 0
+    drops = {r.feature: r.importance for r in M.permutation_importance(model, test, reps=2).collect()}
+    assert drops["x"] > 0
+    shares = M.additive_contributions(model, test).groupBy("feature").agg(F.sum("mean_abs_contribution").alias("s"))
+    assert {r.feature for r in shares.where("s > 0").collect()} == {"x", "y"}
