@@ -25,20 +25,27 @@ from matchframe.functions.probs import with_poisson_1x2
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable, out: T.StructType) -> DataFrame:
-    """Stream each key's rows in order through ``start()``, a fresh ``row -> tuple | None`` per key."""
+    """Stream each key's rows in order through a fresh pair from ``start()``.
+
+    The pair is ``step(row) -> tuple | None``, called per row, and ``finish() ->
+    tuples``, called once after the key's last row (or None).
+    """
     names = df.columns
     n_keys, n_order = len(keys), len(order)
     at = [names.index(c) for c in (*keys, *order)]
     columns = out.names
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last, step = None, None, None
+        key, last, step, finish = None, None, None, None
         for batch in batches:
             rows = []
             for row in batch.itertuples(index=False, name=None):
                 now = tuple(row[i] for i in at)
                 if now[:n_keys] != key:
-                    key, step = now[:n_keys], start()
+                    if finish is not None:
+                        rows.extend(finish())
+                    key = now[:n_keys]
+                    step, finish = start()
                 elif n_order and now[n_keys:] < last:
                     raise ValueError("rows of a key must arrive in order")
                 last = now[n_keys:]
@@ -46,6 +53,8 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callab
                 if got is not None:
                     rows.append(got)
             yield pd.DataFrame(rows, columns=columns)
+        if finish is not None:
+            yield pd.DataFrame(list(finish()), columns=columns)
 
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, out)
@@ -71,8 +80,8 @@ TREND = 5
 class _Elo:
     """Rating and last five post-match ratings per team of one pool."""
 
-    def __init__(self, cfg: EloConfig, emit: bool) -> None:
-        self.cfg, self.emit = cfg, emit
+    def __init__(self, cfg: EloConfig) -> None:
+        self.cfg = cfg
         self.rating: dict = {}
         self.past: dict = {}
         self.season = None
@@ -144,7 +153,7 @@ def elo_features(
     i = {c: rows.columns.index(c) for c in rows.columns}
 
     def start():
-        elo = _Elo(cfg, True)
+        elo = _Elo(cfg)
 
         def step(row):
             if row[i["_kind"]] == 0:
@@ -153,7 +162,7 @@ def elo_features(
             seen = elo.play(row[i["season"]], row[i["home"]], row[i["away"]], row[i["gd"]])
             return (row[i["pool"]], row[i["match_id"]], *seen)
 
-        return step
+        return step, None
 
     schema = T.StructType(_typed(rows, ["pool", "match_id"]) + _RATED.fields)
     return _elo_columns(fold(rows, keys, ["match_date", "_kind", "match_id"], start, schema))
@@ -186,11 +195,11 @@ def elo_grid(matches: DataFrame, configs: Sequence[EloConfig]) -> DataFrame:
 
         def step(row):
             if not elo:
-                elo.append(_Elo(table[row[i["config"]]], True))
+                elo.append(_Elo(table[row[i["config"]]]))
             seen = elo[0].play(row[i["season"]], row[i["home"]], row[i["away"]], row[i["gd"]])
             return (row[i["config"]], row[i["pool"]], row[i["match_id"]], *seen)
 
-        return step
+        return step, None
 
     schema = T.StructType(_typed(rows, ["config", "pool", "match_id"]) + _RATED.fields)
     rated = fold(rows, ["pool", "config"], ["match_date", "match_id"], start, schema)
@@ -199,74 +208,33 @@ def elo_grid(matches: DataFrame, configs: Sequence[EloConfig]) -> DataFrame:
 
 
 def elo_state(matches: DataFrame, cfg: EloConfig = EloConfig(), state: DataFrame | None = None) -> DataFrame:
-    """Final rating and last five post-match ratings per team: (pool, team, season, rating, past).
-
-    A team's state is written after each of its matches and the last one kept,
-    which the engine does with a partial aggregate.
-    """
+    """Final rating and last five post-match ratings per team: (pool, team, season, rating, past)."""
     rows = _elo_input(matches, state)
     i = {c: rows.columns.index(c) for c in rows.columns}
 
     def start():
-        elo = _Elo(cfg, False)
-        n = [0]
+        elo = _Elo(cfg)
+        pool = []
 
         def step(row):
-            n[0] += 1
-            home, away = row[i["home"]], row[i["away"]]
+            pool[:] = [row[i["pool"]]]
             if row[i["_kind"]] == 0:
-                elo.load(home, row[i["rating"]], row[i["past"]], row[i["season"]])
+                elo.load(row[i["home"]], row[i["rating"]], row[i["past"]], row[i["season"]])
             else:
-                elo.play(row[i["season"]], home, away, row[i["gd"]])
-            teams = (home, away) if home != away else (home,)
-            return (
-                row[i["pool"]], row[i["season"]], n[0],
-                [{"team": t, "rating": elo.rating[t], "past": list(elo.past[t])} for t in teams],
-            )
-
-        return step
-
-    one = T.StructType(
-        [T.StructField("team", rows.schema["home"].dataType), T.StructField("rating", T.DoubleType()),
-         T.StructField("past", T.ArrayType(T.DoubleType()))]
-    )
+                elo.play(row[i["season"]], row[i["home"]], row[i["away"]], row[i["gd"]])
+
+        def finish():
+            return [(pool[0], t, elo.season, r, list(elo.past[t])) for t, r in elo.rating.items()]
+
+        return step, finish
+
     schema = T.StructType(
-        _typed(rows, ["pool", "season"]) + [T.StructField("n", T.LongType()), T.StructField("sides", T.ArrayType(one))]
-    )
-    after = fold(rows, ["pool"], ["match_date", "_kind", "match_id"], start, schema).select(
-        "pool", "season", "n", F.inline("sides")
-    )
-    last_season = after.groupBy("pool").agg(F.max_by("season", "n").alias("season"))
-    last = after.groupBy("pool", "team").agg(F.max_by(F.struct("season", "rating", "past"), "n").alias("s"))
-    out = last.select("pool", "team", F.col("s.season").alias("_was"), F.col("s.rating").alias("rating"), F.col("s.past").alias("past")).join(
-        last_season, "pool"
-    )
-    if cfg.carryover < 1.0:
-        out = _carry_idle(out, matches, cfg, state)
-    return out.select("pool", "team", "season", "rating", "past")
-
-
-def _carry_idle(out: DataFrame, matches: DataFrame, cfg: EloConfig, state: DataFrame | None) -> DataFrame:
-    """Teams without a match in later seasons still regress at each season start."""
-    seasons = matches.select("pool", "season").distinct()
-    missed = (
-        out.join(seasons.withColumnRenamed("season", "_s"), "pool")
-        .where(F.col("_s") > F.col("_was"))
-        .groupBy("pool", "team")
-        .agg(F.count("*").alias("_k"))
-    )
-    c, base = cfg.carryover, cfg.initial
-    out = out.join(missed, ["pool", "team"], "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
-    steps = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("_k"), F.lit(1))),
-        lambda j: base + F.pow(F.lit(c), j.cast("double")) * (F.col("rating") - base),
-    )
-    grown = F.concat(F.col("past"), steps)
-    tail = F.slice(grown, F.greatest(F.size(grown) - TREND + 1, F.lit(1)), TREND)
-    idle = F.col("_k") > 0
-    return out.withColumn("past", F.when(idle, tail).otherwise(F.col("past"))).withColumn(
-        "rating", F.when(idle, base + F.pow(F.lit(c), F.col("_k").cast("double")) * (F.col("rating") - base)).otherwise(F.col("rating"))
+        [
+            *_typed(rows, ["pool"]), T.StructField("team", rows.schema["home"].dataType), *_typed(rows, ["season"]),
+            T.StructField("rating", T.DoubleType()), T.StructField("past", T.ArrayType(T.DoubleType())),
+        ]
     )
+    return fold(rows, ["pool"], ["match_date", "_kind", "match_id"], start, schema)
 
 
 def elo_prediction_rows(fixtures: DataFrame, state: DataFrame, initial: float = 1500.0) -> DataFrame:
@@ -367,7 +335,7 @@ def opponent_adjusted_xg(matches: DataFrame, cfg: XgConfig = XgConfig(), keys: S
             clip = lambda x: min(max(x, cfg.low), cfg.high)
             return (row[i["pool"]], row[i["match_id"]], *out, clip(eh), clip(ea))
 
-        return step
+        return step, None
 
     number = [T.StructField(c, T.DoubleType()) for c in (*XG_RATING_COLUMNS, "expected_home_goals_model", "expected_away_goals_model")]
     rated = fold(rows, keys, ["match_date", "match_id"], start, T.StructType(_typed(rows, ["pool", "match_id"]) + number))
