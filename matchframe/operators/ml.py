@@ -76,7 +76,7 @@ def fit_outcome_model(
         stages = [*_front(cols, False), RandomForestClassifier(numTrees=rounds, maxDepth=depth, seed=seed, **out)]
         return OutcomeModel(cols, kind, (Pipeline(stages=stages).fit(rows),))
     if kind == "logistic":
-        lr = LogisticRegression(family="multinomial", regParam=reg, maxIter=50, tol=1e-5, standardization=False, **out)
+        lr = LogisticRegression(family="multinomial", regParam=reg, maxIter=25, tol=1e-4, standardization=False, **out)
         return OutcomeModel(cols, kind, (Pipeline(stages=[*_front(cols, True), lr]).fit(rows),))
     if kind == "boosted":
         models = []

@@ -93,7 +93,7 @@ def m5_remove(t: Tables):
 @query("M6_parameter_search", _METRICS)
 def m6(t: Tables):
     matches = t.matches.withColumn("target", F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).otherwise(2))
-    configs = [E.EloConfig(k=k, home_advantage=h) for k in (20.0, 30.0) for h in (50.0, 75.0)]
+    configs = [E.EloConfig(k=20.0, home_advantage=50.0), E.EloConfig(k=30.0, home_advantage=75.0)]
     return M.parameter_search(matches, configs, kind="logistic")
 
 
