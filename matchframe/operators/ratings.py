@@ -11,22 +11,18 @@ what a lost executor repeats.
 from __future__ import annotations
 
 import math
-import sys
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchframe.functions.clean import elo_gap_bucket
 from matchframe.functions.probs import with_poisson_1x2
-
-# The folds travel to the workers with their code, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from matchframe.shipping import ship
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable, out: T.StructType) -> DataFrame:
@@ -61,6 +57,7 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callab
         if finish is not None:
             yield pd.DataFrame(list(finish()), columns=columns)
 
+    ship(df.sparkSession)
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return placed.mapInPandas(run, out)
 

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 DIR_KEY = "spark.checkpoint.dir"
 
 
-def checkpoint_dir(spark) -> str:
-    """The shared folder that the session names; a local session without one gets a temporary folder."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names.
+
+    A local session without the setting uses a folder inside its warehouse; on a
+    cluster the setting is required.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get(DIR_KEY, None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError(f"set {DIR_KEY} to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="matchframe-")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
