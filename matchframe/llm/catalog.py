@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchframe.llm import chat
 from matchframe.llm.exact_dedup import exact_dedup
 from matchframe.llm.line_dedup import line_dedup
+from matchframe.llm.substring_dedup import substring_dedup
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -103,3 +104,25 @@ FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id""",
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register(
+    "op6_substring_dedup",
+    r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13),
+g AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 12], ' ')) AS gram FROM s),
+f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN f USING (gram) WHERE doc_id > first),
+gone AS (SELECT doc_id, list(i) AS i FROM hit GROUP BY doc_id),
+k AS (SELECT w.doc_id, words, coalesce(gone.i, []) AS gone FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text FROM p LEFT JOIN hit USING (doc_id, i)
+  WHERE hit.doc_id IS NULL GROUP BY p.doc_id)
+SELECT k.doc_id, len(words) AS n_words, len(gone) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM k LEFT JOIN kept ON kept.doc_id = k.doc_id""",
+)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
