@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from matchframe.llm import chat
 from matchframe.llm.exact_dedup import exact_dedup
 from matchframe.llm.jaccard_join import jaccard_components
+from matchframe.llm.language_id import identify
 from matchframe.llm.line_dedup import line_dedup
 from matchframe.llm.substring_dedup import substring_dedup
+from matchframe.llm.url_filter import url_filter
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Run, str | None]] = {}
@@ -151,3 +153,16 @@ JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c ON c.do
 )
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register("op3_url_filter")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text", "lang"), fold != 2)
+    return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "phrase_rate")
