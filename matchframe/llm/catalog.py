@@ -13,6 +13,7 @@ from matchframe.llm.jaccard_join import jaccard_components
 from matchframe.llm.language_id import identify
 from matchframe.llm.line_dedup import line_dedup
 from matchframe.llm.substring_dedup import substring_dedup
+from matchframe.llm.token_counts import token_counts
 from matchframe.llm.url_filter import url_filter
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +167,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs.select("doc_id", "text", "lang"), fold != 2)
     return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score", "phrase_rate")
+
+
+@register("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
