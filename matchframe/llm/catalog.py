@@ -12,6 +12,7 @@ from matchframe.llm.exact_dedup import exact_dedup
 from matchframe.llm.jaccard_join import jaccard_components
 from matchframe.llm.language_id import identify
 from matchframe.llm.line_dedup import line_dedup
+from matchframe.llm.sentencepiece_sampling import sample_segmentations
 from matchframe.llm.substring_dedup import substring_dedup
 from matchframe.llm.token_counts import token_counts
 from matchframe.llm.url_filter import url_filter
@@ -172,3 +173,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@register("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    part = lambda f: F.transform("segmentations", f)
+    return out.select(
+        "doc_id",
+        F.size("segmentations").cast("long").alias("n_samples"),
+        part(lambda s: s["n_pieces"]).alias("n_pieces"),
+        part(lambda s: F.sha2(s["ids"], 256)).alias("ids_sha256"),
+        part(lambda s: s["log_prob"]).alias("log_prob"),
+        part(lambda s: s["inclusion"]).alias("inclusion"),
+        "round_trip",
+    )
