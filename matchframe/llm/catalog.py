@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchframe.llm import chat
+from matchframe.llm.decontamination import contamination
 from matchframe.llm.exact_dedup import exact_dedup
 from matchframe.llm.jaccard_join import jaccard_components
 from matchframe.llm.language_id import identify
@@ -188,3 +189,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(lambda s: s["inclusion"]).alias("inclusion"),
         "round_trip",
     )
+
+
+@register("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "lcs")
