@@ -188,18 +188,24 @@ class Block:
     scale: np.ndarray  # strides of the windows each passage is searched with
 
 
-def lcs(pattern: list[int], text: list[int]) -> int:
-    """Length of the longest common subsequence, with the pattern's places as bits of one number."""
+def word_places(pattern: list[int]) -> dict[int, int]:
+    """Each word's places in the pattern as bits of one number."""
     places: dict[int, int] = {}
     for i, w in enumerate(pattern):
         places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(pattern)) - 1
-    row = full
-    for w in text:
-        hit = row & places.get(w, 0)
-        if hit:
-            row = ((row + hit) | (row - hit)) & full
-    return len(pattern) - row.bit_count()
+    return places
+
+
+def lcs(places: dict[int, int], length: int, text: list[int], least: int = 0) -> int:
+    """Length of the longest common subsequence of a pattern and a text; 0 if too few words are shared for ``least``."""
+    shared = [places[w] for w in text if w in places]
+    if len(shared) < least:
+        return 0
+    row = full = (1 << length) - 1
+    for bits in shared:
+        hit = row & bits
+        row = ((row + hit) | (row - hit)) & full
+    return length - row.bit_count()
 
 
 def _stands(pattern: np.ndarray, text: np.ndarray) -> bool:
@@ -251,12 +257,12 @@ def candidates(words: Words, block: Block, cosine: float) -> Iterator[tuple[int,
 def _scan(text_at: int, block, cosine: float, share: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Block = block.value
-        patterns = [w.tolist() for w in known.words]
+        patterns = [word_places(w.tolist()) for w in known.words]
         for batch in batches:
             for lo, hi, words in clean_words(batch.column(text_at)):
                 found: list[dict[int, float]] = [{} for _ in range(hi - lo)]
                 for row, item, start, end in candidates(words, known, cosine):
-                    m = len(patterns[item])
+                    m = len(known.words[item])
                     a, b = max(int(words.first[row]), start - m // 2), min(int(words.first[row + 1]), end + m // 2)
                     region = words.hash[a:b]
                     answer = known.answers[item]
@@ -265,7 +271,7 @@ def _scan(text_at: int, block, cosine: float, share: float):
                     if m < SHORT:
                         ratio = 1.0 if _stands(known.words[item], region) else 0.0
                     else:
-                        ratio = lcs(patterns[item], region.tolist()) / m
+                        ratio = lcs(patterns[item], m, region.tolist(), int(share * m)) / m
                     if ratio >= share:
                         found[row][item] = max(ratio, found[row].get(item, 0.0))
                 hits = [[{"item": known.ids[i], "lcs": r} for i, r in sorted(f.items())] for f in found]

@@ -43,3 +43,9 @@ def spread_back(rows: DataFrame, verdict: DataFrame, key: str, salt_by: Column,
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     leaves = salted.select("__salt", key).distinct().join(verdict, key)
     return salted.join(leaves, ["__salt", key], "left").drop("__salt")
+
+
+def bounded(small: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``small`` staged and counted: marked for broadcast up to ``rows`` rows, joined by a shuffle beyond.  Runs a job."""
+    small = staged(small)
+    return F.broadcast(small) if small.count() <= rows else small
