@@ -162,10 +162,12 @@ def phrases(symbols: np.ndarray, offsets: np.ndarray, languages: Languages) -> n
         to = languages.table[state[:, :live] + symbol]
         miss = to < 0
         fresh = languages.table[start + symbol]
-        to = np.where(miss, np.where(fresh < 0, start, fresh), to)
+        # A miss ends a phrase; a symbol that the language lacks is one by itself.
+        lacks = fresh < 0
         counts[:, :live] += miss
-        state[:, :live] = to
-    counts += 1
+        counts[:, :live] += lacks & (state[:, :live] != start)
+        state[:, :live] = np.where(miss, np.where(lacks, start, fresh), to)
+    counts += state != start
     out = np.zeros((len(length), n))
     for i in range(n):
         out[:, i] = np.bincount(row, counts[i], len(length))

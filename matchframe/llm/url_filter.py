@@ -84,12 +84,11 @@ def string_cells(chars: Iterable[str]) -> tuple[list[np.ndarray], list[np.ndarra
     begin = np.repeat(np.cumsum(length) - length, length)
     counted = np.flatnonzero(np.arange(len(data)) - begin >= ORDER)
     strings, contexts = [], []
-    sums, factor = np.zeros(len(data), np.uint64), np.uint64(1)
+    sums = np.zeros(len(data), np.uint64)
     for k in range(ORDER + 1):
         contexts.append((mix(sums[counted - 1] + np.uint64(k)) & np.uint64(CELLS - 1)).astype(np.int64))
         shifted = np.concatenate([np.zeros(k, np.uint64), data[: len(data) - k]])
-        sums = sums + shifted * factor
-        factor = factor * np.uint64(0x9E3779B97F4A7C15)
+        sums = sums + shifted * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
         strings.append((mix(sums[counted] + np.uint64(k + 1)) & np.uint64(CELLS - 1)).astype(np.int64))
     return strings, contexts, np.repeat(np.arange(len(rows)), length)[counted]
 
