@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,32 @@ TEAM_ALIASES = {
     "Wolverhampton Wanderers": "Wolves",
 }
 
-# Position codes by line.
+# The line of each position code.
 POSITION_CODES = {
-    "goalkeeper": ("GK", "G"),
-    "defender": ("CB", "LB", "RB", "WB", "LWB", "RWB", "DF"),
-    "midfielder": ("CM", "DM", "AM", "LM", "RM", "MF"),
-    "attacker": ("LW", "RW", "ST", "CF", "FW"),
+    "GK": "goalkeeper",
+    "G": "goalkeeper",
+    "D": "defender",
+    "DF": "defender",
+    "DEF": "defender",
+    "CB": "defender",
+    "LB": "defender",
+    "RB": "defender",
+    "WB": "defender",
+    "LWB": "defender",
+    "RWB": "defender",
+    "M": "midfielder",
+    "MF": "midfielder",
+    "MID": "midfielder",
+    "CM": "midfielder",
+    "DM": "midfielder",
+    "AM": "midfielder",
+    "W": "attacker",
+    "LW": "attacker",
+    "RW": "attacker",
+    "F": "attacker",
+    "FW": "attacker",
+    "ST": "attacker",
+    "CF": "attacker",
 }
 
 # How much a result outside the league counts.
@@ -158,9 +180,8 @@ def slug_match_id(season: Column, day: Column, home: Column, away: Column) -> Co
 
 def position_group(c: Column | str) -> Column:
     """Line of the first token that is a known code, else ``unknown``."""
-    codes = {code: group for group, members in POSITION_CODES.items() for code in members}
     tokens = F.split(F.upper(F.coalesce(_col(c), F.lit(""))), r"[,/\s]+")
-    hits = F.filter(F.transform(tokens, lambda t: lookup(t, codes)), lambda g: g.isNotNull())
+    hits = F.filter(F.transform(tokens, lambda t: lookup(t, POSITION_CODES)), lambda g: g.isNotNull())
     return F.coalesce(F.get(hits, F.lit(0)), F.lit("unknown"))
 
 
@@ -321,50 +342,173 @@ def classify_price_column(name: Column | str) -> dict[str, Column]:
     }
 
 
-# Ordered name tokens -> group, per feature taxonomy; the last entry is the default.
+def has(*tokens: str) -> Callable[[Column], Column]:
+    """The name contains one of the tokens."""
+    return lambda c: reduce(or_, [c.contains(t) for t in tokens])
+
+
+def named(*names: str) -> Callable[[Column], Column]:
+    """The name is one of ``names``."""
+    return lambda c: c.isin(*names)
+
+
+def both(*tests: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda c: reduce(and_, [t(c) for t in tests])
+
+
+# Names of the opponent-adjusted columns.
+ADJUSTED_RATINGS = (
+    "home_xg_attack_rating",
+    "away_xg_attack_rating",
+    "home_xg_defense_rating",
+    "away_xg_defense_rating",
+    "home_attack_vs_away_defense",
+    "away_attack_vs_home_defense",
+    "attack_defense_matchup_score",
+    "home_xg_attack_rating_last5",
+    "away_xg_attack_rating_last5",
+    "home_xg_defense_rating_last5",
+    "away_xg_defense_rating_last5",
+    "home_xg_attack_rating_last10",
+    "away_xg_attack_rating_last10",
+    "home_xg_defense_rating_last10",
+    "away_xg_defense_rating_last10",
+    "home_xg_attack_rating_season",
+    "away_xg_attack_rating_season",
+    "home_xg_defense_rating_season",
+    "away_xg_defense_rating_season",
+)
+_FATIGUE = has("days", "midweek", "matches_last")
+_OPPONENT_XG = (
+    (named("poisson_home_win_prob", "poisson_draw_prob", "poisson_away_win_prob"), "poisson"),
+    (named("expected_home_goals_model", "expected_away_goals_model", "expected_goal_diff_model"), "expected_goals"),
+    (named(*ADJUSTED_RATINGS), "opponent_adjusted_xg"),
+    (has("xg"), "raw_xg"),
+    (has("elo"), "elo"),
+    (has("shot"), "shot_volume"),
+    (_FATIGUE, "fatigue"),
+    (None, "form_home_advantage"),
+)
+_MANAGER = has("manager_", "caretaker")
+
+# Per feature taxonomy, tests in order -> group; the last entry is the default.
 FEATURE_GROUPS = {
     "projection": (
-        (("elo",), "Elo"),
-        (("shots",), "Shot volume"),
-        (("xg",), "xG/xGA"),
-        (("days", "matches_last", "midweek"), "Schedule/fatigue"),
-        (("points", "goals"), "Recent form"),
-        (("home_advantage",), "Home advantage"),
-        ((), "Other"),
+        (has("elo"), "Elo"),
+        (has("shots"), "Shot volume"),
+        (has("xg"), "xG/xGA"),
+        (_FATIGUE, "Schedule/fatigue"),
+        (has("points", "goals"), "Recent form"),
+        (named("home_advantage"), "Home advantage"),
+        (None, "Other"),
     ),
     "experiment": (
-        (("europe",), "europe"),
-        (("xg",), "xG"),
-        (("days_rest", "midweek", "matches_last", "congestion"), "fatigue"),
-        (("injured", "missing"), "injury"),
-        (("availability", "lineup_strength", "severity"), "availability"),
-        ((), "form"),
+        (has("europe"), "europe"),
+        (has("xg"), "xG"),
+        (has("days_rest", "midweek", "matches_last", "congestion"), "fatigue"),
+        (has("injured", "missing"), "injury"),
+        (has("availability", "lineup_strength", "severity"), "availability"),
+        (None, "form"),
     ),
     "recency": (
-        (("_linear",), "weighted_linear"),
-        (("_exponential",), "weighted_exponential"),
-        (("_halflife3",), "weighted_halflife3"),
-        (("_halflife5",), "weighted_halflife5"),
-        (("elo",), "elo"),
-        (("days", "midweek", "matches_last"), "fatigue"),
-        ((), "other_production"),
+        (has("_linear"), "weighted_linear"),
+        (has("_exponential"), "weighted_exponential"),
+        (has("_halflife3"), "weighted_halflife3"),
+        (has("_halflife5"), "weighted_halflife5"),
+        (
+            named(
+                *[f"{side}_{c}" for c in ("team_points_last_5", "goals_scored_avg", "xg_avg", "xga_avg", "xg_diff") for side in ("home", "away")],
+                *[f"{side}_{c}_avg_{w}" for c in ("shots", "shots_on_target") for w in ("last5", "last10", "season") for side in ("home", "away")],
+            ),
+            "raw_rolling",
+        ),
+        (has("elo"), "elo"),
+        (_FATIGUE, "fatigue"),
+        (None, "other_production"),
+    ),
+    "opponent_xg": _OPPONENT_XG,
+    "xg_replacement": (
+        (named("home_xg_avg", "away_xg_avg"), "raw_xg"),
+        (named("home_xga_avg", "away_xga_avg"), "raw_xga"),
+        (named("home_xg_diff", "away_xg_diff"), "xg_differential"),
+        (both(named(*ADJUSTED_RATINGS), has("attack")), "attack_ratings"),
+        (both(named(*ADJUSTED_RATINGS), has("defense")), "defense_ratings"),
+        *_OPPONENT_XG,
+    ),
+    "shot_efficiency": (
+        (has("shots_allowed", "opponent_shot", "xga_per_shot"), "defensive_shot_prevention"),
+        (has("shot_accuracy", "goals_per_shot", "xg_per_shot", "goals_minus_xg"), "shot_efficiency"),
+        (has("shots_avg", "shots_on_target_avg"), "shot_volume"),
+        (None, "production"),
+    ),
+    "tactical": (
+        (has("style_cluster", "style_history", "embedding"), "style_embedding"),
+        (has("press_vs", "possession_vs", "high_line_vs", "crossing_vs", "style_distance"), "matchup"),
+        (
+            has(
+                "possession", "progressive_passes", "PPDA", "press", "crosses", "through_balls", "counter_attacks", "blocks",
+                "interceptions", "tackles", "directness", "verticality", "low_block", "high_line",
+            ),
+            "tactical_profile",
+        ),
+        (has("xg"), "xG"),
+        (has("lineup", "shared_", "manager_"), "lineup_stability"),
+        (has("days_rest", "congestion", "midweek"), "fatigue"),
+        (None, "baseline"),
+    ),
+    "lineup": (
+        (has("shared_", "familiarity"), "familiarity"),
+        (has("manager_", "rotation", "squad_consistency"), "stability"),
+        (has("last_win"), "last_win"),
+        (has("lineup", "starting_xi", "same_"), "continuity"),
+        (has("xg"), "xG"),
+        (has("days_rest", "midweek", "matches_last", "congestion"), "fatigue"),
+        (has("injured", "missing", "availability"), "availability"),
+        (None, "baseline"),
+    ),
+    "lineup_engine": (
+        (has("shared_", "familiarity"), "familiarity"),
+        (has("manager_", "rotation", "squad_consistency"), "stability"),
+        (has("lineup", "starting_xi", "same_"), "continuity"),
+        (None, "production"),
+    ),
+    "head_to_head": (
+        (
+            named(
+                "h2h_matches_count", "h2h_home_wins", "h2h_draws", "h2h_away_wins", "h2h_points_home_team", "h2h_points_away_team",
+                "h2h_data_strength_score",
+            ),
+            "h2h_core",
+        ),
+        (
+            named(
+                "h2h_last_3_points_home", "h2h_last_5_points_home_team", "h2h_last_3_goal_diff", "h2h_last_5_goal_diff",
+                "h2h_last_3_xg_diff", "h2h_last_5_xg_diff",
+            ),
+            "h2h_recent",
+        ),
+        (named("h2h_home_venue_points", "h2h_home_venue_goal_diff", "h2h_home_venue_xg_diff"), "h2h_venue"),
+        (has("attacking_pressure"), "tactical_pressure"),
+        (has("xg"), "xG"),
+        (has("days_rest", "matches_last", "midweek"), "fatigue"),
+        (None, "baseline"),
+    ),
+    "manager": (
+        (has("production"), "production"),
+        (both(_MANAGER, has("ppg", "xg_diff", "elo_change", "form_since")), "manager_performance"),
+        (both(_MANAGER, has("tenure", "matches_in_charge", "experience", "continuity")), "manager_continuity"),
+        (_MANAGER, "manager_change"),
+        (None, "production"),
     ),
 }
 
 
-def feature_group(name: Column | str, rules: Sequence[tuple[Sequence[str], str]] = FEATURE_GROUPS["projection"]) -> Column:
-    """Label of the first rule one of whose tokens occurs in the feature name."""
+def feature_group(name: Column | str, rules: Sequence[tuple[Callable | None, str]] = FEATURE_GROUPS["projection"]) -> Column:
+    """Label of the first rule whose test the feature name meets; the last rule has none."""
     c = _col(name)
-    out: Column | None = None
-    for tokens, label in reversed(rules):
-        here = F.lit(label)
-        if not tokens:
-            out = here
-            continue
-        hit = c.contains(tokens[0])
-        for t in tokens[1:]:
-            hit = hit | c.contains(t)
-        out = F.when(hit, here) if out is None else F.when(hit, here).otherwise(out)
+    out = F.lit(rules[-1][1])
+    for test, label in reversed(rules[:-1]):
+        out = F.when(test(c), F.lit(label)).otherwise(out)
     return out
 
 

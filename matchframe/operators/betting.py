@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from matchframe.functions.probs import P, argmax3, fair_odds, triple
 from matchframe.operators.joins import cross_grid
-from matchframe.operators.windows import History
 
 OUTCOMES = ("home", "draw", "away")
 ODDS = ("odds_h", "odds_d", "odds_a")
@@ -65,22 +64,22 @@ def pick_bets(edges: DataFrame, picker: str = "model") -> DataFrame:
 def max_drawdown(bets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Largest fall of cumulative profit below its running peak (at least 0), per key.
 
-    Each time slice gives its own worst fall, its low and its high; the slices
-    then combine through the highest earlier peak.
+    Each day of a key gives its sum, its worst fall, its low and its high; the days,
+    one row each, then combine through the sums and the highest peak before them.
     """
-    ties = [c for c in ("match_id", "bet_type") if c not in keys]
-    h = History(bets.select(*keys, "match_date", *ties, "profit"), keys, ties=ties, totals={"_p": F.col("profit")})
-    real = F.col("_ctx") == 0
-    frame = h.frame.withColumn("cum", F.sum("_p").over(h.running_inclusive()))
-    peak = F.max(F.when(real, F.col("cum"))).over(h.running_inclusive())
-    local = frame.withColumn("peak", peak).where(real)
-    per = local.groupBy(*keys, "_chunk").agg(
-        F.max(F.col("peak") - F.col("cum")).alias("fall"), F.min("cum").alias("low"), F.max("cum").alias("high")
+    k = list(keys)
+    ties = [c for c in ("match_id", "bet_type") if c not in k]
+    order = Window.partitionBy(*k, "match_date").orderBy(*ties).rowsBetween(Window.unboundedPreceding, 0)
+    inside = bets.select(*k, "match_date", *ties, F.sum("profit").over(order).alias("cum"), "profit")
+    peaks = inside.withColumn("peak", F.max("cum").over(order))
+    days = peaks.groupBy(*k, "match_date").agg(
+        F.sum("profit").alias("sum"), F.max(F.col("peak") - F.col("cum")).alias("fall"), F.min("cum").alias("low"), F.max("cum").alias("high")
     )
-    prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.greatest(F.coalesce(F.max("high").over(prior), F.lit(0.0)), F.lit(0.0))
-    worst = per.withColumn("_start", start).withColumn("_w", F.greatest("fall", F.col("_start") - F.col("low")))
-    return worst.groupBy(*keys).agg(F.max("_w").alias("maximum_drawdown"))
+    prior = Window.partitionBy(*k).orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("before", F.coalesce(F.sum("sum").over(prior), F.lit(0.0)))
+    start = F.greatest(F.coalesce(F.max(F.col("before") + F.col("high")).over(prior), F.lit(0.0)), F.lit(0.0))
+    worst = F.greatest("fall", start - F.col("before") - F.col("low"))
+    return days.withColumn("worst", worst).groupBy(*k).agg(F.max("worst").alias("maximum_drawdown"))
 
 
 def bet_summary(bets: DataFrame, keys: Sequence[str]) -> DataFrame:

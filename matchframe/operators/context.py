@@ -79,18 +79,18 @@ CONTEXT = (
 )
 
 
-def schedule_context(asks: DataFrame, dates: DataFrame) -> DataFrame:
-    """Calendar context of ``asks(team, match_date, ...)`` among ``dates(team, match_date)``.
+def schedule_context(asks: DataFrame, dates: DataFrame, keys: Sequence[str] = ("team",)) -> DataFrame:
+    """Calendar context of ``asks(keys..., match_date, ...)`` among ``dates(keys..., match_date)``.
 
     Rest is 14 without an earlier date; look-ahead counts come from known fixtures.
     """
     rows = asks.withColumn("_q", F.lit(1)).unionByName(
-        dates.groupBy("team", "match_date").agg(F.count("*").alias("_n")).withColumn("_q", F.lit(0)), allowMissingColumns=True
+        dates.groupBy(*keys, "match_date").agg(F.count("*").alias("_n")).withColumn("_q", F.lit(0)), allowMissingColumns=True
     )
     mid = F.weekday("match_date").isin(1, 2, 3)
     is_date = F.col("_q") == 0
     h = History(
-        rows, ["team"], ties=("_q",), rows=1, rows_where=is_date, days=14, ahead=14,
+        rows, list(keys), ties=("_q",), rows=1, rows_where=is_date, days=14, ahead=14,
         day_sums={"d_n": F.when(is_date, F.col("_n")), "d_mid": F.when(is_date & mid, F.col("_n"))},
     )
     day = F.unix_date("match_date")
@@ -156,36 +156,37 @@ def add_supplemental_fixtures(fixtures: DataFrame, *extra: DataFrame) -> DataFra
 SNAPSHOT_MEANS = {"goals_scored_avg": "gf", "xg_avg": "xgf", "xga_avg": "xga"}
 
 
-def team_snapshot(long: DataFrame) -> DataFrame:
-    """Latest state per team: form of the last 5, shots of the last 5/10 complete rows and the latest season.
+def team_snapshot(long: DataFrame, keys: Sequence[str] = ("pool", "team")) -> DataFrame:
+    """Latest state per team of a pool: form of the last 5, shots of the last 5/10 complete rows and the latest season.
 
     Only the newest ten rows per team survive the pre-shuffle limit; seasons are
     partial aggregates.
     """
-    newest = Window.partitionBy("team").orderBy(F.col("match_date").desc(), F.col("match_id").desc())
+    k = list(keys)
+    newest = Window.partitionBy(*k).orderBy(F.col("match_date").desc(), F.col("match_id").desc())
 
     def top(df: DataFrame, n: int) -> DataFrame:
         return df.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= n)
 
-    form = top(long, 5).groupBy("team").agg(
+    form = top(long, 5).groupBy(*k).agg(
         F.sum("points").alias("points_last_5"),
         *[zero(F.avg(src)).alias(name) for name, src in SNAPSHOT_MEANS.items()],
     )
     valid = long.where("sf IS NOT NULL AND sotf IS NOT NULL")
     in5 = F.col("_rn") <= 5
-    shots = top(valid, 10).groupBy("team").agg(
+    shots = top(valid, 10).groupBy(*k).agg(
         *[
             F.avg(c if cond is None else F.when(cond, F.col(c))).alias(f"{name}_avg_{w}")
             for name, c in (("shots", "sf"), ("shots_on_target", "sotf"))
             for w, cond in (("last5", in5), ("last10", None))
         ]
     )
-    seasons = valid.groupBy("team", "season").agg(
+    seasons = valid.groupBy(*k, "season").agg(
         F.max("match_date").alias("_d"), F.count("*").alias("_n"), F.avg("sf").alias("_s"), F.avg("sotf").alias("_t")
     )
-    latest = seasons.groupBy("team").agg(F.max_by(F.struct("_n", "_s", "_t"), F.struct("_d", "season")).alias("l"))
-    counts = long.groupBy("team").agg(F.count("*").alias("match_count"), F.max("match_date").alias("latest_match"))
-    out = counts.join(form, "team").join(shots, "team", "left").join(latest, "team", "left")
+    latest = seasons.groupBy(*k).agg(F.max_by(F.struct("_n", "_s", "_t"), F.struct("_d", "season")).alias("l"))
+    counts = long.groupBy(*k).agg(F.count("*").alias("match_count"), F.max("match_date").alias("latest_match"))
+    out = counts.join(form, k).join(shots, k, "left").join(latest, k, "left")
     for name, f in (("shots", "_s"), ("shots_on_target", "_t")):
         season = F.when(F.col("l._n") >= 5, F.col(f"l.{f}")).otherwise(F.col(f"{name}_avg_last10"))
         out = out.withColumn(f"{name}_avg_season", zero(season))
@@ -193,7 +194,9 @@ def team_snapshot(long: DataFrame) -> DataFrame:
     return out.na.fill(0.0, [c for c in out.columns if c.startswith("shots")])
 
 
-def prediction_features(fixtures: DataFrame, long: DataFrame, *, horizon_days: int = 7) -> DataFrame:
+def prediction_features(
+    fixtures: DataFrame, long: DataFrame, *, horizon_days: int = 7, keys: Sequence[str] = ("pool", "team")
+) -> DataFrame:
     """Features of unplayed fixtures from the teams' latest state.
 
     Schedule columns are taken at min(fixture day, latest known match + 7 days).
@@ -203,13 +206,13 @@ def prediction_features(fixtures: DataFrame, long: DataFrame, *, horizon_days: i
     dated = fixtures.withColumn("_1", F.lit(1)).join(F.broadcast(latest), "_1").drop("_1")
     limit = F.date_add("_latest", horizon_days)
     dated = dated.withColumn("match_date", F.least("match_date", F.coalesce(limit, F.col("match_date"))))
-    asks = sides_of(dated)
-    load = schedule_context(asks, long.select("team", "match_date")).select(
-        "match_id", "is_home", "team", "days_rest", "matches_last_14_days", F.col("midweek_fixture_flag").alias("had_midweek_match")
+    asks = sides_of(dated, ("match_id", "match_date", *[k for k in keys if k != "team"]))
+    load = schedule_context(asks, long.select(*keys, "match_date"), keys).select(
+        "match_id", "is_home", *keys, "days_rest", "matches_last_14_days", F.col("midweek_fixture_flag").alias("had_midweek_match")
     )
-    snap = team_snapshot(long)
-    state = [c for c in snap.columns if c not in ("team", "latest_match", "match_count")]
-    rows = load.join(snap, "team", "left").na.fill(0, state)
+    snap = team_snapshot(long, keys)
+    state = [c for c in snap.columns if c not in (*keys, "latest_match", "match_count")]
+    rows = load.join(snap, list(keys), "left").na.fill(0, state)
     return to_wide(rows, [*state, "days_rest", "matches_last_14_days", "had_midweek_match"]).withColumn("home_advantage", F.lit(1))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchframe.operators.windows import History, sliced_rank
+from matchframe.operators.windows import History, tied_rank
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -188,7 +188,7 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Co
 
 def rank_min(df: DataFrame, keys: Sequence[str], by: str, name: str = "rank") -> DataFrame:
     """Competition ranking per key, best (highest) value first, nulls last."""
-    return sliced_rank(df, keys, by, name=name, tied=True)
+    return tied_rank(df, keys, by, name=name)
 
 
 def recent_meetings(matches: DataFrame, n: int = 5) -> DataFrame:

@@ -241,10 +241,11 @@ def disagreement_table(df: DataFrame, model: Sequence[str] = P, market: Sequence
 
 
 def disagreement_summary(table: DataFrame) -> DataFrame:
-    """All matches, disagreements and the top quartile of edges."""
+    """All matches, disagreements and the top quartile of edges.  Stages the cut point."""
     from matchframe.operators.windows import exact_quantiles
+    from matchframe.plans.stages import staged
 
-    cut = exact_quantiles(table, [], "max_abs_edge", [0.75]).select(F.col("value").alias("_cut"), F.lit(1).alias("_1"))
+    cut = staged(exact_quantiles(table, [], "max_abs_edge", [0.75])).select(F.col("value").alias("_cut"), F.lit(1).alias("_1"))
     rows = table.withColumn("_1", F.lit(1)).join(F.broadcast(cut), "_1")
     names = F.filter(
         F.array(

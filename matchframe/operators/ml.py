@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -22,18 +21,14 @@ from matchframe.functions.probs import P, blend, log_loss, named, normalize_prob
 from matchframe.operators.joins import union_by_name
 from matchframe.operators.metrics import calibration_table, ece, replicate_intervals, score_probs
 from matchframe.operators.ratings import EloConfig, elo_grid
-from matchframe.operators.season import hash_uniform
+from matchframe.functions.probs import hash_uniform
 from matchframe.operators.tuning import MARKET, meta_features, time_split
-from matchframe.operators.windows import sliced_rank
+from matchframe.operators.windows import uniform_rank
+from matchframe.plans.stages import staged
 
 SEED = 42
 # Size of the boosted model.
-ROUNDS, DEPTH, RATE = 150, 3, 0.05
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cache for repeated passes; lost blocks are recomputed from their lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+ROUNDS, DEPTH, RATE, STEPS = 150, 3, 0.05, 1000
 
 
 @dataclass(frozen=True)
@@ -76,7 +71,7 @@ def fit_outcome_model(
         stages = [*_front(cols, False), RandomForestClassifier(numTrees=rounds, maxDepth=depth, seed=seed, **out)]
         return OutcomeModel(cols, kind, (Pipeline(stages=stages).fit(rows),))
     if kind == "logistic":
-        lr = LogisticRegression(family="multinomial", regParam=reg, maxIter=25, tol=1e-4, standardization=False, **out)
+        lr = LogisticRegression(family="multinomial", regParam=reg, maxIter=STEPS, tol=1e-6, standardization=False, **out)
         return OutcomeModel(cols, kind, (Pipeline(stages=[*_front(cols, True), lr]).fit(rows),))
     if kind == "boosted":
         models = []
@@ -108,7 +103,7 @@ def metrics_of(scored: DataFrame, keys: Sequence[str] = ("model_version",)) -> D
 
 def compare_feature_sets(df: DataFrame, sets: dict[str, Sequence[str]], *, frac: float = 0.8, **model) -> DataFrame:
     """Fit and score every column set on one split: one row of metrics per set.  Runs jobs."""
-    split = keep(time_split(df, frac))
+    split = staged(time_split(df, frac))
     train, test = split.where("is_test = 0"), split.where("is_test = 1")
     parts = []
     for name, cols in sets.items():
@@ -128,10 +123,14 @@ def blended_fit(
     return both.withColumns(named(mixed)).drop(*["_a_" + c for c in P])
 
 
-def walk_forward(df: DataFrame, columns: Sequence[str], seasons: Sequence, *, name: str = "model", **model) -> DataFrame:
-    """Train on earlier seasons, test on each: scored rows of all seasons.  Runs one fit per season."""
-    rows = keep(df)
+def walk_forward(
+    df: DataFrame, columns: Sequence[str], seasons: Sequence | None = None, *, name: str = "model", **model
+) -> DataFrame:
+    """Train on earlier seasons, test on each season that has one: scored rows of all.  Runs one fit per season."""
+    rows = staged(df)
     parts = []
+    if seasons is None:
+        seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())[1:]
     for s in seasons:
         fitted = fit_outcome_model(rows.where(F.col("season") < s), columns, **model)
         parts.append(_scored(fitted, rows.where(F.col("season") == s), name))
@@ -159,16 +158,17 @@ def _with_deltas(results: DataFrame, base: str) -> DataFrame:
 
 
 ELO_COLUMNS = ("home_elo", "away_elo", "elo_difference", "elo_ratio", "elo_gap_bucket", "home_elo_trend", "away_elo_trend")
-# The rating search.
+# The rating searches.
 ELO_GRID = tuple(
     EloConfig(k=k, home_advantage=h, margin=m) for k in (10.0, 20.0, 30.0, 40.0) for h in (25.0, 50.0, 75.0, 100.0) for m in (False, True)
 )
-CARRYOVERS = (1.0, 0.95, 0.9, 0.85, 0.8, 0.75)
+CARRYOVERS = (1.0, 0.9, 0.85, 0.75, 0.65, 0.5)
+CARRYOVER_GRID = tuple(EloConfig(k=30.0, home_advantage=75.0, carryover=c) for c in CARRYOVERS)
 
 
-def parameter_search(matches: DataFrame, configs: Sequence[EloConfig] = ELO_GRID, **model) -> DataFrame:
+def parameter_search(matches: DataFrame, configs: Sequence[EloConfig] = ELO_GRID + CARRYOVER_GRID[1:], **model) -> DataFrame:
     """Held-out scores of a rating-only model per configuration.  One rating job, one fit per configuration."""
-    rated = keep(elo_grid(matches, configs).join(matches.select("match_id", "match_date", "target"), "match_id"))
+    rated = staged(elo_grid(matches, configs).join(matches.select("match_id", "match_date", "target"), "match_id"))
     parts = []
     for n, cfg in enumerate(configs):
         split = time_split(rated.where(F.col("config") == n))
@@ -200,17 +200,16 @@ class Calibrator:
 
 def fit_calibrator(held_out: DataFrame, columns: Sequence[str], kind: str = "sigmoid") -> Calibrator:
     """Fit ``sigmoid`` or ``isotonic`` maps on scored held-out rows.  Runs three small fits."""
-    rows = keep(held_out.select(*P, "target"))
+    rows = staged(held_out.select(*P, "target"))
     models = []
     for i, c in enumerate(P):
         y = rows.withColumn("_y", (F.col("target") == i).cast("double"))
         front = VectorAssembler(inputCols=[c], outputCol="_f")
         if kind == "sigmoid":
-            last = LogisticRegression(featuresCol="_f", labelCol="_y", rawPredictionCol="_rawp", probabilityCol="_prob", predictionCol="_pred", maxIter=50)
+            last = LogisticRegression(featuresCol="_f", labelCol="_y", rawPredictionCol="_rawp", probabilityCol="_prob", predictionCol="_pred", maxIter=STEPS)
         else:
             last = IsotonicRegression(featuresCol="_f", labelCol="_y", predictionCol="_pred")
         models.append(Pipeline(stages=[front, last]).fit(y))
-    rows.unpersist()
     return Calibrator(tuple(columns), kind, tuple(models))
 
 
@@ -234,7 +233,7 @@ def compare_calibrations(held_out: DataFrame, test: DataFrame, columns: Sequence
 def logistic_stack(train: DataFrame, test: DataFrame, *, c: float = 0.2, market: Sequence[str] = MARKET) -> DataFrame:
     """Multinomial model on the meta features of model and market, penalised like 1/C.  Runs jobs."""
     cols = list(meta_features(train, market))
-    rows = keep(train.withColumns(meta_features(train, market)))
+    rows = staged(train.withColumns(meta_features(train, market)))
     model = fit_outcome_model(rows, cols, kind="logistic", reg=1.0 / (c * max(rows.count(), 1)))
     scored = test.withColumns(meta_features(test, market)).drop(*P)
     return model.transform(scored)
@@ -243,8 +242,11 @@ def logistic_stack(train: DataFrame, test: DataFrame, *, c: float = 0.2, market:
 # --- uncertainty -----------------------------------------------------------
 
 
-def poisson_weight(u: Column, top: int = 8) -> Column:
-    """Poisson(1) draw from a uniform number: bootstrap weights without copying rows."""
+def poisson_weight(u: Column, top: int = 20) -> Column:
+    """Poisson(1) draw from a uniform number: bootstrap weights without copying rows.
+
+    The mass beyond ``top`` is below 1e-19, less than a step of a uniform double.
+    """
     mass, total, out = 0.36787944117144233, 0.0, F.lit(float(top))
     steps = []
     for k in range(top):
@@ -257,7 +259,7 @@ def poisson_weight(u: Column, top: int = 8) -> Column:
 
 
 def _replicates(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int, weight, **model) -> DataFrame:
-    rows, parts = keep(train), []
+    rows, parts = staged(train), []
     for r in range(n):
         fitted = fit_outcome_model(rows.withColumn("_w", weight(r)).where("_w > 0"), columns, weight="_w", **model)
         scored = fitted.transform(test.na.fill(0.0, list(columns))).select("match_id", *P)
@@ -282,36 +284,35 @@ def subset_ensemble(train: DataFrame, test: DataFrame, columns: Sequence[str], n
 
 
 def gain_importance(model: OutcomeModel, df: DataFrame) -> DataFrame:
-    """(feature, importance) of a tree model; ``df`` only lends its session."""
-    scores = model.stages[0].stages[-1].featureImportances.toArray()
-    rows = [(f, float(s)) for f, s in zip(model.columns, scores, strict=True)]
+    """(feature, importance) of a tree model, the mean over its classes' boosters; ``df`` only lends its session."""
+    each = [stage.stages[-1].featureImportances.toArray() for stage in model.stages]
+    rows = [(f, float(s)) for f, s in zip(model.columns, sum(each) / len(each), strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
 def permutation_importance(model: OutcomeModel, df: DataFrame, reps: int = 5, seed: int = SEED, features: Sequence[str] | None = None) -> DataFrame:
     """Rise of the log loss when one column is shuffled over all rows, mean and deviation over repetitions.
 
-    Every (feature, repetition) pairs rows by two random orders; the ranks are
-    computed in value slices, so no order passes through one task.
+    Every (feature, repetition) pairs rows by two random orders; only (row, value)
+    is moved, and each feature is scored on the staged rows.  The ranks are
+    computed in slices, so no order passes through one task.
     """
     names = list(features or model.columns)
-    base = df.na.fill(0.0, list(model.columns)).select("match_id", "target", *model.columns)
-    cases = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep")) for f in names for r in range(reps)]))
-    long = base.select("match_id", *names, cases.alias("_k")).select("match_id", "_k.feature", "_k.rep", *names)
-    value = F.lit(None).cast("double")
-    for f in names:
-        value = F.when(F.col("feature") == f, F.col(f).cast("double")).otherwise(value)
+    base = staged(df.na.fill(0.0, list(model.columns)).select("match_id", "target", *model.columns))
+    cells = [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), F.col(f).cast("double").alias("_v")) for f in names for r in range(reps)]
+    long = base.select("match_id", F.inline(F.array(*cells)))
     draw = lambda tag: hash_uniform(F.lit(seed), F.lit(tag), F.col("feature"), F.col("rep"), F.col("match_id"))
-    long = long.select("match_id", "feature", "rep", value.alias("_v"), draw("a").alias("_ua"), draw("b").alias("_ub"))
     keys = ["feature", "rep"]
-    giving = sliced_rank(long.select(*keys, "match_id", "_v", "_ua"), keys, "_ua", name="_r", ties=["match_id"]).select(*keys, "_r", "_v")
-    taking = sliced_rank(long.select(*keys, "match_id", "_ub"), keys, "_ub", name="_r", ties=["match_id"]).select(*keys, "_r", "match_id")
-    moved = taking.join(giving, [*keys, "_r"]).join(base, "match_id")
-    moved = moved.withColumns({f: F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)) for f in names})
+    giving = uniform_rank(long.withColumn("_u", draw("a")), keys, "_u", name="_r", ties=["match_id"]).select(*keys, "_r", "_v")
+    taking = uniform_rank(long.withColumn("_u", draw("b")), keys, "_u", name="_r", ties=["match_id"]).select(*keys, "_r", "match_id")
+    moved = staged(taking.join(giving, [*keys, "_r"]).select(*keys, "match_id", "_v"))
     loss = F.avg(log_loss(triple(), F.col("target")))
-    after = model.transform(moved).groupBy(*keys).agg(loss.alias("l"))
+    parts = []
+    for f in names:
+        one = moved.where(F.col("feature") == f).join(base.drop(f), "match_id").withColumnRenamed("_v", f)
+        parts.append(model.transform(one).groupBy(*keys).agg(loss.alias("l")))
     before = model.transform(base).agg(loss.alias("_b")).withColumn("_1", F.lit(1))
-    rise = after.withColumn("_1", F.lit(1)).join(F.broadcast(before), "_1").withColumn("d", F.col("l") - F.col("_b"))
+    rise = union_by_name(*parts).withColumn("_1", F.lit(1)).join(F.broadcast(before), "_1").withColumn("d", F.col("l") - F.col("_b"))
     return rise.groupBy("feature").agg(F.avg("d").alias("importance"), F.stddev_pop("d").alias("std"))
 
 

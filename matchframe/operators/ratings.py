@@ -240,14 +240,14 @@ def elo_state(matches: DataFrame, cfg: EloConfig = EloConfig(), state: DataFrame
 
 
 def elo_prediction_rows(fixtures: DataFrame, state: DataFrame, initial: float = 1500.0) -> DataFrame:
-    """Rating features of unplayed fixtures; an unknown team starts at ``initial``."""
+    """Rating features of unplayed fixtures ``(pool, home, away)``; an unknown team starts at ``initial``."""
     s = state.select(
-        "team", "rating", F.when(F.size("past") == TREND, F.col("rating") - F.col("past")[0]).otherwise(0.0).alias("trend")
+        "pool", "team", "rating", F.when(F.size("past") == TREND, F.col("rating") - F.col("past")[0]).otherwise(0.0).alias("trend")
     )
     out = fixtures
     for side in ("home", "away"):
-        one = s.select(F.col("team").alias(side), F.col("rating").alias(f"{side}_elo"), F.col("trend").alias(f"{side}_elo_trend"))
-        out = out.join(one, side, "left").na.fill({f"{side}_elo": initial, f"{side}_elo_trend": 0.0})
+        one = s.select("pool", F.col("team").alias(side), F.col("rating").alias(f"{side}_elo"), F.col("trend").alias(f"{side}_elo_trend"))
+        out = out.join(one, ["pool", side], "left").na.fill({f"{side}_elo": initial, f"{side}_elo_trend": 0.0})
     return _elo_columns(out)
 
 

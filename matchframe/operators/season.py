@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchframe.functions.probs import normalize_probs, triple
+from matchframe.functions.probs import hash_uniform, normalize_probs, triple
 from matchframe.operators.joins import anti_join_played
 from matchframe.operators.metrics import average_rank
 from matchframe.operators.strength import season_table
@@ -35,12 +35,6 @@ def expected_points(probs: DataFrame, start: DataFrame | None = None, keys: Sequ
     return rows.groupBy(*keys, "team").agg(F.sum("x").alias("expected_points_deterministic"))
 
 
-def hash_uniform(*parts: Column) -> Column:
-    """Reproducible uniform number in [0, 1) from the first 32 bits of an MD5."""
-    text = F.concat_ws("-", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
 def sample_seasons(
     probs: DataFrame, n: int, seed: int = 42, start: DataFrame | None = None, keys: Sequence[str] = KEYS
 ) -> DataFrame:
@@ -129,14 +123,17 @@ def through_matchweek(done: DataFrame, fixtures: DataFrame, reference: DataFrame
     return rows.where(F.col("matchweek") <= F.col("_ref")).select(*done.columns)
 
 
-def position_movement(current: DataFrame, preseason: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """Places gained (positive) since the season start and since the previous round."""
+def position_movement(
+    current: DataFrame, preseason: DataFrame, previous: DataFrame | None = None, keys: Sequence[str] = ("pool",)
+) -> DataFrame:
+    """Places gained (positive) since the season start and since the previous round, per key and team."""
+    k = [*keys, "team"]
     here = F.col("projected_position")
-    out = current.join(preseason.select("team", F.col("projected_position").alias("preseason_projected_position")), "team", "left")
+    out = current.join(preseason.select(*k, F.col("projected_position").alias("preseason_projected_position")), k, "left")
     out = out.withColumn("position_change_since_season_start", F.col("preseason_projected_position") - here)
     if previous is not None:
-        prev = previous.select("team", F.col("projected_position").alias("previous_round_projected_position"))
-        out = out.join(prev, "team", "left").withColumn(
+        prev = previous.select(*k, F.col("projected_position").alias("previous_round_projected_position"))
+        out = out.join(prev, k, "left").withColumn(
             "position_change_since_previous_round", F.col("previous_round_projected_position") - here
         )
     return out

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.operators.longform import to_long
 from matchframe.operators.rolling import zero
-from matchframe.operators.windows import sliced_rank
+from matchframe.operators.windows import tied_rank
 
 LEAGUE = ("pool", "season")
 
@@ -44,10 +45,15 @@ def season_index(matches: DataFrame, keys: Sequence[str] = ("pool",)) -> DataFra
 
 def promoted_teams(matches: DataFrame, keys: Sequence[str] = ("pool",)) -> DataFrame:
     """(keys..., season, team) of teams absent from the previous season; none in the first one."""
+    teams = matches.select(*keys, "season", F.explode(F.array("home", "away")).alias("team")).distinct()
+    return promoted_in(teams, keys)
+
+
+def promoted_in(teams: DataFrame, keys: Sequence[str] = ("pool",)) -> DataFrame:
+    """As ``promoted_teams``, from the rows (keys..., season, team) of a season table."""
     k = list(keys)
-    teams = matches.select(*k, "season", F.explode(F.array("home", "away")).alias("team")).distinct()
-    later = season_index(matches, keys).where("prev IS NOT NULL")
-    now = teams.join(later, [*k, "season"])
+    later = season_index(teams, keys).where("prev IS NOT NULL")
+    now = teams.select(*k, "season", "team").join(later, [*k, "season"])
     before = teams.select(*k, F.col("season").alias("prev"), "team")
     return now.join(before, [*k, "prev", "team"], "left_anti").select(*k, "season", "team")
 
@@ -60,11 +66,14 @@ NO_DATA = {
 SEASON_MATCHES = 38.0
 
 
-def promoted_baseline(matches: DataFrame, keys: Sequence[str] = ("pool",)) -> DataFrame:
-    """Typical season of promoted sides per key; the 12 lowest-scoring seasons where there are none."""
+def promoted_baseline(matches: DataFrame, keys: Sequence[str] = ("pool",), table: DataFrame | None = None) -> DataFrame:
+    """Typical season of promoted sides per key; the 12 lowest-scoring seasons where there are none.
+
+    ``table`` is the season table of the matches, if it is at hand.
+    """
     k = list(keys)
-    table = season_table(matches, [*k, "season"])
-    new = promoted_teams(matches, keys).withColumn("_new", F.lit(1))
+    table = season_table(matches, [*k, "season"]) if table is None else table
+    new = promoted_in(table, keys).withColumn("_new", F.lit(1))
     rows = table.join(new, [*k, "season", "team"], "left")
     some = rows.groupBy(*k).agg(F.max("_new").alias("_any"))
     lowest = Window.partitionBy(*k).orderBy("points", "season", "team")
@@ -88,14 +97,14 @@ def current_records(matches: DataFrame, season, keys: Sequence[str] = ("pool",))
     )
 
 
-def tier_summary(matches: DataFrame) -> DataFrame:
-    """Second-tier form per team: last 5, last 10 and all matches; xG and shots where present."""
-    long = to_long(matches)
-    newest = Window.partitionBy("team").orderBy(F.col("match_date").desc(), F.col("match_id").desc())
+def tier_summary(matches: DataFrame, keys: Sequence[str] = ("pool",)) -> DataFrame:
+    """Second-tier form per team of a key: last 5, last 10 and all matches; xG and shots where present."""
+    long, k = to_long(matches), [*keys, "team"]
+    newest = Window.partitionBy(*k).orderBy(F.col("match_date").desc(), F.col("match_id").desc())
     ten = long.withColumn("_rn", F.row_number().over(newest)).where("_rn <= 10")
     five = F.col("_rn") <= 5
     mean5 = lambda c: F.avg(F.when(five, F.col(c)))
-    recent = ten.groupBy("team").agg(
+    recent = ten.groupBy(*k).agg(
         F.sum(F.when(five, F.col("points"))).alias("points_last5"),
         mean5("gf").alias("goals_for_avg_last5"), mean5("ga").alias("goals_against_avg_last5"),
         zero(mean5("sf")).alias("shots_avg_last5"), zero(mean5("sotf")).alias("shots_on_target_avg_last5"),
@@ -103,13 +112,13 @@ def tier_summary(matches: DataFrame) -> DataFrame:
         zero(mean5("sa")).alias("shots_allowed_avg_last5"), zero(mean5("sota")).alias("shots_on_target_allowed_avg_last5"),
         mean5("xgf").alias("xg_avg_last5"), mean5("xga").alias("xga_avg_last5"),
     )
-    whole = long.groupBy("team").agg(
+    whole = long.groupBy(*k).agg(
         F.count("*").alias("source_matches"), F.max("match_date").alias("latest_match"),
         zero(F.avg("sf")).alias("shots_avg_season"), zero(F.avg("sotf")).alias("shots_on_target_avg_season"),
         F.max(F.col("xgf").isNotNull().cast("int")).alias("xg_available"),
         F.max(F.col("sf").isNotNull().cast("int")).alias("shot_volume_available"),
     )
-    return whole.join(recent, "team")
+    return whole.join(recent, k)
 
 
 # snapshot column -> column of the tier summary and its factor to top-flight level.
@@ -149,16 +158,16 @@ def adjusted_features(
     """Season-start features per team: own history, converted second-tier form or a cautious baseline.
 
     A promoted side blends in its own form by n/5 until it has five matches.
-    Input ``teams(keys..., team)``; every other table joins by team or key.
+    Input ``teams(keys..., team)``; every other table joins by key and team, or by key.
     """
-    k = list(keys)
-    raw = snapshot.select("team", "match_count", "latest_match", *ADJUSTED)
+    k, kt = list(keys), [*keys, "team"]
+    raw = snapshot.select(*kt, "match_count", "latest_match", *ADJUSTED)
     rows = (
-        teams.join(raw, "team", "left")
-        .join(tier.select("team", "source_matches", F.col("latest_match").alias("tier_latest"), "xg_available",
-                          *[F.col(c).alias("t_" + c) for c in dict.fromkeys(s for s, _ in ADJUSTED.values())]), "team", "left")
-        .join(records.select("team", F.col("matches").alias("season_matches"), F.col("points").alias("season_points")), "team", "left")
-        .join(promoted.select("team").distinct().withColumn("is_promoted", F.lit(1)), "team", "left")
+        teams.join(raw, kt, "left")
+        .join(tier.select(*kt, "source_matches", F.col("latest_match").alias("tier_latest"), "xg_available",
+                          *[F.col(c).alias("t_" + c) for c in dict.fromkeys(s for s, _ in ADJUSTED.values())]), kt, "left")
+        .join(records.select(*kt, F.col("matches").alias("season_matches"), F.col("points").alias("season_points")), kt, "left")
+        .join(promoted.select(*kt).distinct().withColumn("is_promoted", F.lit(1)), kt, "left")
         .join(medians, k, "left")
         .join(baseline, k, "left")
         .na.fill(0, ["match_count", "season_matches", "season_points", "is_promoted", *ADJUSTED])
@@ -197,12 +206,29 @@ def adjusted_features(
     )
 
 
-def season_start_audit(adjusted: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """Reason text and the list of data gaps per team; ``state(team, rating)`` marks unrated teams."""
+@dataclass(frozen=True)
+class Reasons:
+    """Why a team's features are adjusted, in words; ``blend`` takes the share of its own season."""
+
+    # The texts that audits show.
+    baseline: str = "No local Premier League history; Championship data is not treated as Premier League-equivalent."
+    converted: str = "Championship recent form, xG/xGA and shot volume converted to Premier League-equivalent values."
+    partly: str = (
+        "Championship recent form and shot volume converted to Premier League-equivalent values. "
+        "Championship xG unavailable, so xG/xGA use conservative promoted-team baseline."
+    )
+    blend: str = " Current-season Premier League form is blended in at %.0f%% until five PL matches are available."
+
+
+def season_start_audit(
+    adjusted: DataFrame, state: DataFrame | None = None, reasons: Reasons = Reasons(), keys: Sequence[str] = ("pool",)
+) -> DataFrame:
+    """Reason text and the list of data gaps per team; ``state(keys..., team, rating)`` marks unrated teams."""
     rows = adjusted
     rated = F.lit(True)
     if state is not None:
-        rows = rows.join(state.select("team", F.col("rating").alias("elo_rating")), "team", "left")
+        kt = [*keys, "team"]
+        rows = rows.join(state.select(*kt, F.col("rating").alias("elo_rating")), kt, "left")
         rated = F.col("elo_rating").isNotNull()
         rows = rows.withColumn("elo_fallback", (~rated).cast("int")).na.fill({"elo_rating": 1500.0})
         rated = F.col("elo_fallback") == 0
@@ -216,30 +242,13 @@ def season_start_audit(adjusted: DataFrame, state: DataFrame | None = None) -> D
     }
     text = F.concat_ws(", ", *[F.when(c, F.lit(n)) for n, c in flags.items()])
     w = F.col("current_season_blend_weight")
-    blend = F.when(
-        (w > 0) & (F.col("source_league") != PL),
-        F.concat(
-            F.lit(" Current-season Premier League form is blended in at "), F.format_string("%.0f%%", w * 100),
-            F.lit(" until five PL matches are available."),
-        ),
-    ).otherwise("")
-    reason = (
-        F.when(F.col("source_league") == PL, "none")
-        .when(
-            F.col("source_league") == BASE,
-            F.concat(F.lit("No local Premier League history; Championship data is not treated as Premier League-equivalent."), blend),
-        )
-        .when(
-            F.col("xg_available") == 1,
-            F.concat(F.lit("Championship recent form, xG/xGA and shot volume converted to Premier League-equivalent values."), blend),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("Championship recent form and shot volume converted to Premier League-equivalent values. "
-                      "Championship xG unavailable, so xG/xGA use conservative promoted-team baseline."), blend,
-            )
-        )
-    )
+    blend = F.when((w > 0) & (F.col("source_league") != PL), F.format_string(reasons.blend, w * 100)).otherwise("")
+    text_of = {BASE: reasons.baseline, TIER: reasons.converted}
+    partly = (F.col("source_league") == TIER) & (F.coalesce("xg_available", F.lit(0)) != 1)
+    said = F.when(partly, reasons.partly)
+    for league, words in text_of.items():
+        said = said.when(F.col("source_league") == league, words)
+    reason = F.when(F.col("source_league") == PL, "none").otherwise(F.concat(said, blend))
     return rows.withColumns(
         {
             "fallback_flags": F.when(text == "", "none").otherwise(text),
@@ -253,18 +262,18 @@ OVERRIDES = (*ADJUSTED, "xg_diff")
 
 
 def feature_overrides(audit: DataFrame) -> DataFrame:
-    """(team, o_*) for adjusted teams only."""
+    """(pool, team, o_*) for adjusted teams only."""
     some = audit.where("fallback_used = 1 OR promotion_adjustment_applied = 1")
-    return some.select("team", *[F.col("adj_" + c).alias("o_" + c) for c in OVERRIDES])
+    return some.select("pool", "team", *[F.col("adj_" + c).alias("o_" + c) for c in OVERRIDES])
 
 
 def apply_overrides(features: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Replace both sides' columns of overridden teams; ``features`` has home, away and home_/away_ columns."""
+    """Replace both sides' columns of overridden teams; ``features`` has pool, home, away and home_/away_ columns."""
     out = features
     for side in ("home", "away"):
-        o = overrides.select(F.col("team").alias(side), *[F.col("o_" + c).alias("_" + c) for c in OVERRIDES])
+        o = overrides.select("pool", F.col("team").alias(side), *[F.col("o_" + c).alias("_" + c) for c in OVERRIDES])
         have = [c for c in OVERRIDES if f"{side}_{c}" in features.columns]
-        out = out.join(o, side, "left")
+        out = out.join(o, ["pool", side], "left")
         out = out.withColumns({f"{side}_{c}": F.coalesce("_" + c, f"{side}_{c}") for c in have}).drop(*["_" + c for c in OVERRIDES])
     return out
 
@@ -309,7 +318,7 @@ def long_term_strength(
     rows = rows.join(mid, k).withColumns(
         {"ppg": F.coalesce("ppg", "_p", F.lit(1.0)), "gd_per_match": F.coalesce("gdm", "_g", F.lit(0.0))}
     ).drop("gdm", "_p", "_g")
-    rows = rows.join(state.select("team", F.col("rating").alias("elo")), "team", "left").na.fill({"elo": 1500.0})
+    rows = rows.join(state.select(*k, "team", F.col("rating").alias("elo")), [*k, "team"], "left").na.fill({"elo": 1500.0})
     for c in ("ppg", "gd_per_match", "elo"):
         rows = zscore(rows, k, c, "z_" + c)
     return rows.withColumn("strength", 0.55 * F.col("z_ppg") + 0.30 * F.col("z_gd_per_match") + 0.15 * F.col("z_elo"))
@@ -321,7 +330,7 @@ def normalize_squad_strength(squads: DataFrame, keys: Sequence[str] = ("season",
     log = F.when(F.col(value).isNotNull(), F.log(F.greatest(F.col(value), F.lit(1.0))))
     rows = squads.withColumns({"squad_strength_used": F.col(value).isNotNull().cast("int"), "_log": log})
     span = rows.groupBy(*k).agg(F.min("_log").alias("_lo"), F.max("_log").alias("_hi"), F.sum("squad_strength_used").alias("_n"))
-    rows = sliced_rank(rows, k, value, name="_rank", tied=True).join(span, k)
+    rows = tied_rank(rows, k, value, name="_rank").join(span, k)
     used = F.col("squad_strength_used") == 1
     rank = F.when(used, F.col("_rank"))
     score = F.when(used, (F.col("_log") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9)))

@@ -1,13 +1,15 @@
 """Time splits, temperature, blend weights, overlays and selection rules.
 
-Every search is one job: rows are expanded over a fixed grid in place, losses
-are partial aggregates, and the best setting is the least (loss, setting).
+A search over a grid is one pass: each row becomes the vector of its losses, the
+vectors are averaged by partial aggregates, and the least (loss, setting) wins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ from matchframe.functions.probs import (
     temperature_scale,
     triple,
 )
-from matchframe.operators.joins import cross_grid
 from matchframe.operators.metrics import bin_index
 from matchframe.operators.windows import History, exact_quantiles
+from matchframe.plans.stages import staged
 
 MARKET = ("m_home", "m_draw", "m_away")
 
@@ -69,24 +71,28 @@ COARSE_WEIGHTS = [i / 40 for i in range(41)]
 RESIDUAL_WEIGHTS = [round(-0.5 + 0.01 * i, 2) for i in range(101)]
 
 
-def _best(df: DataFrame, name: str, grid: Sequence[float], loss: Column, keys: Sequence[str]) -> DataFrame:
-    losses = cross_grid(df, **{name: grid}).groupBy(*keys, name).agg(F.avg(loss).alias("loss"))
-    best = losses.groupBy(*keys).agg(F.min(F.struct("loss", name)).alias("b"))
-    return best.select(*keys, F.col(f"b.{name}").alias(name), F.col("b.loss").alias("loss"))
+def _best(df: DataFrame, name: str, grid: Sequence[float], loss: Callable[[Column], Column], keys: Sequence[str]) -> DataFrame:
+    """The grid value with the least mean loss, by one pass: a row becomes the vector of its losses, and vectors are averaged."""
+    values = F.array(*[F.lit(float(g)) for g in grid])
+    losses = df.select(*keys, array_to_vector(F.transform(values, loss)).alias("_l"))
+    means = losses.groupBy(*keys).agg(Summarizer.mean(F.col("_l")).alias("_l"))
+    pairs = F.transform(F.arrays_zip(vector_to_array("_l").alias("loss"), values.alias("v")), lambda x: F.struct(x["loss"].alias("loss"), x["v"].alias("v")))
+    best = means.select(*keys, F.array_min(pairs).alias("b"))
+    return best.select(*keys, F.col("b.v").alias(name), F.col("b.loss").alias("loss"))
 
 
 def choose_temperature(df: DataFrame, keys: Sequence[str] = (), probs: Sequence[str] = P) -> DataFrame:
-    loss = log_loss(temperature_scale(triple(probs), F.col("temperature")), F.col("target"))
+    loss = lambda g: log_loss(temperature_scale(triple(probs), g), F.col("target"))
     return _best(df.select(*keys, *probs, "target"), "temperature", TEMPERATURES, loss, keys)
 
 
 def tune_blend(df: DataFrame, grid: Sequence[float] = BLEND_WEIGHTS, keys: Sequence[str] = (), market: Sequence[str] = MARKET) -> DataFrame:
-    loss = log_loss(blend(triple(), triple(market), F.col("weight")), F.col("target"))
+    loss = lambda g: log_loss(blend(triple(), triple(market), g), F.col("target"))
     return _best(df.select(*keys, *P, *market, "target"), "weight", grid, loss, keys)
 
 
 def tune_residual(df: DataFrame, keys: Sequence[str] = (), market: Sequence[str] = MARKET) -> DataFrame:
-    loss = log_loss(residual(triple(), triple(market), F.col("weight")), F.col("target"))
+    loss = lambda g: log_loss(residual(triple(), triple(market), g), F.col("target"))
     return _best(df.select(*keys, *P, *market, "target"), "weight", RESIDUAL_WEIGHTS, loss, keys)
 
 
@@ -97,11 +103,15 @@ def _attach(df: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def tempered_blend(df: DataFrame, keys: Sequence[str] = (), frac: float = 0.8, least: int = 30) -> DataFrame:
-    """Temperature, then blend weight, both tuned on the latest days; the whole set if they hold under ``least`` rows."""
+    """Temperature, then blend weight, both tuned on the latest days; the whole set if they hold under ``least`` rows.
+
+    Stages the tuning rows and the temperatures.
+    """
     split = time_split(df, frac, keys)
     late = split.groupBy(*keys).agg(F.sum("is_test").alias("_late"))
-    tune = _attach(split, late, keys).where((F.col("is_test") == 1) | (F.col("_late") < least)).drop("_late", "is_test")
-    temp = choose_temperature(tune, keys).drop("loss")
+    tune = _attach(split, late, keys).where((F.col("is_test") == 1) | (F.col("_late") < least))
+    tune = staged(tune.select(*keys, *P, *MARKET, "target"))
+    temp = staged(choose_temperature(tune, keys).drop("loss"))
     scaled = _attach(tune, temp, keys)
     scaled = scaled.withColumns(named(temperature_scale(triple(), F.col("temperature"))))
     weight = tune_blend(scaled, COARSE_WEIGHTS, keys)
@@ -150,10 +160,11 @@ def tune_draw_overlay(df: DataFrame, least: int = 20) -> DataFrame:
 
     Needs p_*, target, draw_score, is_test.  Candidates that lower the log loss
     without hurting the Brier score by 0.001 or the calibration error by 0.01 on
-    the calibration rows come first; the least (log loss, Brier) wins.
+    the calibration rows come first; the least (log loss, Brier) wins.  Stages the
+    cut points and the table of settings.
     """
     cal = df.where("is_test = 0")
-    cuts = exact_quantiles(cal, [], "draw_score", SCORE_QUANTILES).agg(F.sort_array(F.collect_list("value")).alias("cuts"))
+    cuts = staged(exact_quantiles(cal, [], "draw_score", SCORE_QUANTILES).agg(F.sort_array(F.collect_list("value")).alias("cuts")))
     rows = _attach(df.select(*P, "target", "draw_score", "is_test"), cuts, ())
     settings = [(None, 0, 0, 0.0)]
     for s in STRATEGIES:
@@ -198,6 +209,8 @@ def tune_draw_overlay(df: DataFrame, least: int = 20) -> DataFrame:
     table = scores.groupBy(*key).agg(
         *[side(f, c).alias(f"{n}_{c}") for f, n in ((0, "calibration"), (1, "test")) for c in ("log_loss", "brier", "ece", "adjusted")]
     ).where((F.col("strategy") == "none") | (F.col("calibration_adjusted") >= least))
+    # One row per setting, read three times below.
+    table = staged(table)
     base = table.where("strategy = 'none'").select(*[F.col(f"calibration_{c}").alias("_" + c) for c in ("log_loss", "brier", "ece")])
     table = _attach(table, base, ())
     d = lambda c: F.col(f"calibration_{c}") - F.col("_" + c)
@@ -271,37 +284,72 @@ def long_term_prior(probs: DataFrame, strength: DataFrame, weight: float = LONG_
 
 # --- prices ----------------------------------------------------------------
 
-# Price sources in order of preference; closing prices carry a C.
-_CLOSING = ("Avg", "Max", "B365", "BW", "IW", "PS", "WH", "VC", "BF", "BFE", "1XB")
-_LISTED = ("B365", "BW", "IW", "PS", "WH", "VC", "BF", "1XB")
-_PRECLOSING = ("Avg", "Max", *_LISTED[:7], "BFE", "1XB", "BFD", "BMGM", "BV", "CL", "LB")
-
-
-def price_priority(mode: str) -> list[tuple[str, str, str]]:
-    """Column triples to try, in order, for a market mode."""
-    closing = [tuple(f"{b}C{o}" for o in "HDA") for b in _CLOSING]
-    listed = [tuple(f"{b}{o}" for o in "HDA") for b in _LISTED]
-    average = [tuple(f"{b}{o}" for o in "HDA") for b in ("Avg", "Max")]
-    table = {
-        "none": [], "opening": [], "safe-prematch": [],
-        "preclosing": [tuple(f"{b}{o}" for o in "HDA") for b in _PRECLOSING],
-        "benchmark": closing + average,
-        "research": listed + closing + average,
-    }
-    if mode not in table:
-        raise ValueError(f"unknown market mode: {mode}")
-    return table[mode]
+# Price sources in order of preference, by column prefix, with their labels.
+CLOSING_PRICES = (
+    ("AvgC", "average closing odds"),
+    ("MaxC", "maximum closing odds"),
+    ("B365C", "Bet365 closing odds"),
+    ("BWC", "Bwin closing odds"),
+    ("IWC", "Interwetten closing odds"),
+    ("PSC", "Pinnacle closing odds"),
+    ("WHC", "William Hill closing odds"),
+    ("VCC", "VC Bet closing odds"),
+    ("BFC", "Betfair closing odds"),
+    ("BFEC", "Betfair Exchange closing odds"),
+    ("1XBC", "1xBet closing odds"),
+    ("Avg", "average listed odds"),
+    ("Max", "maximum listed odds"),
+)
+# Fixed values.
+PRECLOSING_PRICES = (
+    ("Avg", "average pre-closing odds"),
+    ("Max", "maximum pre-closing odds"),
+    ("B365", "Bet365 pre-closing odds"),
+    ("BW", "Bwin pre-closing odds"),
+    ("IW", "Interwetten pre-closing odds"),
+    ("PS", "Pinnacle pre-closing odds"),
+    ("WH", "William Hill pre-closing odds"),
+    ("VC", "VC Bet pre-closing odds"),
+    ("BF", "Betfair pre-closing odds"),
+    ("BFE", "Betfair Exchange pre-closing odds"),
+    ("1XB", "1xBet pre-closing odds"),
+    ("BFD", "Betfred pre-closing odds"),
+    ("BMGM", "BetMGM pre-closing odds"),
+    ("BV", "BetVictor pre-closing odds"),
+    ("CL", "Coral pre-closing odds"),
+    ("LB", "Ladbrokes pre-closing odds"),
+)
+# Fixed values.
+LISTED_PRICES = (
+    ("B365", "Bet365 listed odds"),
+    ("BW", "Bwin listed odds"),
+    ("IW", "Interwetten listed odds"),
+    ("PS", "Pinnacle listed odds"),
+    ("WH", "William Hill listed odds"),
+    ("VC", "VC Bet listed odds"),
+    ("BF", "Betfair listed odds"),
+    ("1XB", "1xBet listed odds"),
+)
+PRICE_MODES = {
+    "none": (), "opening": (), "safe-prematch": (),
+    "preclosing": PRECLOSING_PRICES,
+    "benchmark": CLOSING_PRICES,
+    "research": LISTED_PRICES + CLOSING_PRICES,
+}
 
 
 def select_odds(df: DataFrame, mode: str) -> DataFrame:
-    """First source whose three prices all exceed 1: adds home_odds, draw_odds, away_odds, odds_source."""
+    """First source whose three prices all exceed 1: adds home_odds, draw_odds, away_odds, odds_source (its label)."""
+    if mode not in PRICE_MODES:
+        raise ValueError(f"unknown market mode: {mode}")
     options = []
-    for cols in price_priority(mode):
+    for prefix, label in PRICE_MODES[mode]:
+        cols = [prefix + outcome for outcome in "HDA"]
         if not set(cols) <= set(df.columns):
             continue
         h, d, a = (F.col(f"`{c}`").try_cast("double") for c in cols)
         ok = (h > 1) & (d > 1) & (a > 1)
-        options.append(F.when(ok, F.struct(h.alias("h"), d.alias("d"), a.alias("a"), F.lit(cols[0][:-1]).alias("s"))))
+        options.append(F.when(ok, F.struct(h.alias("h"), d.alias("d"), a.alias("a"), F.lit(label).alias("s"))))
     best = F.coalesce(*options) if options else F.lit(None).cast("struct<h:double,d:double,a:double,s:string>")
     return df.withColumn("_o", best).withColumns(
         {"home_odds": F.col("_o.h"), "draw_odds": F.col("_o.d"), "away_odds": F.col("_o.a"), "odds_source": F.col("_o.s")}

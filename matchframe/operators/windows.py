@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from matchframe.plans.stages import staged
 from matchframe.settings import chunk_days
 
 REAL, RECENT, DAILY, TOTAL = 0, 1, 2, 3
@@ -186,67 +187,91 @@ def suggest_chunk_days(df: DataFrame, keys: Sequence[str], *, day: str = "match_
     return max(1, int(busiest["span"]) // slices)
 
 
-def sliced_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    by: str,
-    *,
-    name: str = "rank",
-    ties: Sequence[str] = (),
-    descending: bool = True,
-    tied: bool = False,
-    slices: int = 64,
-) -> DataFrame:
-    """Rank rows of a possibly huge key by the number ``by`` (nulls last).
-
-    Approximate quantiles cut each key into value slices; ranks within a slice
-    plus the sizes of the better slices give the exact rank.  Equal values share
-    a slice, so the approximation only affects how even the slices are.
+SLICE_ROWS = 1_000_000
+
+
+def _value_slices(df: DataFrame, keys: list[str], value: Column, rows: int) -> DataFrame:
+    """Adds ``_slice``: ascending value ranges of about ``SLICE_ROWS`` of ``rows`` rows, by approximate quantiles.
+
+    Equal values share a slice, so the approximation only affects how even the slices are.
     """
-    keys = list(keys)
+    slices = -(-rows // SLICE_ROWS)
+    if slices <= 1:
+        return df.withColumn("_slice", F.lit(0))
     cuts = [i / slices for i in range(1, slices)]
-    value = F.col(by).cast("double")
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 10 * slices).alias("_cuts"))
     if keys:
-        bounds = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_cuts"))
-        rows = df.join(bounds, keys)
+        rows_with = df.join(bounds, keys)
     else:
         # A single row of at most ``slices`` numbers.
-        rows = df.withColumn("_one", F.lit(1)).join(
-            F.broadcast(df.agg(F.percentile_approx(value, cuts, 1000).alias("_cuts")).withColumn("_one", F.lit(1))), "_one"
-        ).drop("_one")
-    above = F.size(F.filter("_cuts", lambda c: c < value))
-    worst = slices + 1
-    position = (slices - above) if descending else above
-    rows = rows.withColumn("_slice", F.when(value.isNull(), worst).otherwise(position)).drop("_cuts")
-    first = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    w = Window.partitionBy(*keys, "_slice").orderBy(first, *ties)
-    inside = F.rank().over(w) if tied else F.row_number().over(w)
-    counts = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (
-        rows.withColumn("_in", inside)
-        .join(sizes, [*keys, "_slice"])
-        .withColumn(name, F.col("_in") + F.col("_before"))
-        .drop("_slice", "_in", "_before")
+        rows_with = df.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return rows_with.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
+
+
+def value_positions(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """(keys..., by, _n, _below): rows with each value, and with a smaller one.  Stages the value counts.
+
+    Rows are counted per value before anything is sorted, so a frequent value is
+    one row; distinct values are summed up in value slices.
+    """
+    keys = list(keys)
+    counts = staged(df.where(F.col(by).isNotNull()).groupBy(*keys, by).agg(F.count("*").alias("_n")))
+    cut = _value_slices(counts, keys, F.col(by).cast("double"), counts.count())
+    inside = Window.partitionBy(*keys, "_slice").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    below = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return cut.withColumn("_in", below).join(before, [*keys, "_slice"]).select(
+        *keys, by, "_n", (F.col("_in") + F.col("_before")).alias("_below")
     )
 
 
+def tied_rank(df: DataFrame, keys: Sequence[str], by: str, *, name: str = "rank", descending: bool = True) -> DataFrame:
+    """Competition rank of a possibly huge key by ``by``, nulls last.  Stages the value counts."""
+    keys = list(keys)
+    places = value_positions(df, keys, by)
+    whole = places.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    if keys:
+        ranked = df.join(places, [*keys, by], "left").join(whole, keys, "left")
+    else:
+        one = F.broadcast(whole.withColumn("_one", F.lit(1)))
+        ranked = df.join(places, by, "left").withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+    better = F.col("_all") - F.col("_below") - F.col("_n") if descending else F.col("_below")
+    rank = F.coalesce(better, F.col("_all"), F.lit(0)) + 1
+    return ranked.withColumn(name, rank).drop("_n", "_below", "_all")
+
+
+def uniform_rank(df: DataFrame, keys: Sequence[str], by: str, *, name: str, ties: Sequence[str]) -> DataFrame:
+    """Row number by ``by``, a number drawn evenly from [0, 1).  Runs a count."""
+    keys = list(keys)
+    slices = max(1, -(-df.count() // SLICE_ROWS))
+    rows = df.withColumn("_slice", F.floor(F.col(by) * slices).cast("int"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(by, *ties))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    before = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    out = rows.withColumn("_in", inside).join(before, [*keys, "_slice"])
+    return out.withColumn(name, F.col("_in") + F.col("_before")).drop("_slice", "_in", "_before")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles per key: (keys..., q, value), from distributed ranks."""
+    """Linear-interpolated quantiles per key: (keys..., q, value).  Stages the value counts."""
     keys = list(keys)
-    ranked = sliced_rank(df.where(F.col(column).isNotNull()).select(*keys, column), keys, column, name="_r", descending=False)
-    n = ranked.groupBy(*keys).agg(F.count("*").alias("_n"))
-    asked = n.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
-        "_at", F.col("q") * (F.col("_n") - 1) + 1
-    )
-    ends = asked.select(
-        *keys, "q", "_at", F.explode(F.array(F.floor("_at"), F.floor("_at") + 1)).alias("_r")
+    places = staged(value_positions(df.select(*keys, column), keys, column))
+    whole = places.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    asked = whole.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+        "_at", F.col("q") * (F.col("_all") - 1) + 1
     )
-    hit = ends.join(ranked, [*keys, "_r"], "left")
-    low = F.max(F.when(F.col("_r") == F.floor("_at"), F.col(column)))
-    high = F.max(F.when(F.col("_r") != F.floor("_at"), F.col(column)))
-    part = hit.groupBy(*keys, "q", "_at").agg(low.alias("_low"), high.alias("_high"))
+    if keys:
+        met = places.join(asked, keys)
+    else:
+        met = places.withColumn("_one", F.lit(1)).join(F.broadcast(asked.withColumn("_one", F.lit(1))), "_one")
+    upto = F.col("_below") + F.col("_n")
+    # The value at a place is the least one that enough rows reach.
+    low = F.min(F.when(upto >= F.floor("_at"), F.col(column)))
+    high = F.min(F.when(upto >= F.floor("_at") + 1, F.col(column)))
+    part = met.groupBy(*keys, "q", "_at").agg(low.alias("_low"), high.alias("_high"))
     between = F.col("_at") - F.floor("_at")
     return part.select(
         *keys, "q", (F.col("_low") + between * (F.coalesce("_high", "_low") - F.col("_low"))).alias("value")

@@ -112,15 +112,17 @@ def c7(t: Tables):
     )
 
 
-_POS = """SELECT l_orderkey * 10 + l_linenumber AS k, CASE l_linenumber % 7 WHEN 0 THEN 'GK' WHEN 1 THEN 'xx/cb'
-  WHEN 2 THEN 'AM,LW' WHEN 3 THEN 'st' WHEN 4 THEN 'coach' WHEN 5 THEN 'DM LB' ELSE NULL END AS pos FROM lineitem"""
+_POS = """SELECT l_orderkey * 10 + l_linenumber AS k, CASE CAST((l_linenumber + l_partkey) % 14 AS INT) WHEN 0 THEN 'GK' WHEN 1 THEN 'xx/cb'
+  WHEN 2 THEN 'AM,LW' WHEN 3 THEN 'st' WHEN 4 THEN 'coach' WHEN 5 THEN 'DM LB' WHEN 7 THEN 'D' WHEN 8 THEN 'def' WHEN 9 THEN 'M'
+  WHEN 10 THEN 'Mid' WHEN 11 THEN 'w' WHEN 12 THEN 'F' WHEN 13 THEN 'DD' ELSE NULL END AS pos FROM lineitem"""
 
 
 @query(
     "C8_position_group",
     "k:i line:s",
-    """SELECT l_orderkey * 10 + l_linenumber AS k, CASE l_linenumber % 7 WHEN 0 THEN 'goalkeeper' WHEN 1 THEN 'defender'
-      WHEN 2 THEN 'midfielder' WHEN 3 THEN 'attacker' WHEN 5 THEN 'midfielder' ELSE 'unknown' END AS line FROM lineitem""",
+    """SELECT l_orderkey * 10 + l_linenumber AS k, CASE CAST((l_linenumber + l_partkey) % 14 AS INT) WHEN 0 THEN 'goalkeeper' WHEN 1 THEN 'defender'
+      WHEN 2 THEN 'midfielder' WHEN 3 THEN 'attacker' WHEN 5 THEN 'midfielder' WHEN 7 THEN 'defender' WHEN 8 THEN 'defender'
+      WHEN 9 THEN 'midfielder' WHEN 10 THEN 'midfielder' WHEN 11 THEN 'attacker' WHEN 12 THEN 'attacker' ELSE 'unknown' END AS line FROM lineitem""",
 )
 def c8(t: Tables):
     return t.sql(_POS).select("k", C.position_group("pos").alias("line"))
@@ -314,32 +316,106 @@ def c22(t: Tables):
     return zscore(t.matches.select("match_id", "pool", "season", "hxg"), ["pool", "season"], "hxg", "z")
 
 
+# Feature names: plain ones, and the same behind a part name.
+_SUFFIXES = """
+elo_trend shots_avg xg_avg days_rest points_last_5 home_advantage europe_load missing_minutes points_weighted_linear
+xg_weighted_halflife3 availability_score other home_xg_avg away_xga_avg home_xg_diff home_xg_attack_rating_last5
+away_xg_defense_rating attack_defense_matchup_score poisson_draw_prob expected_goal_diff_model opponent_shot_rate shot_accuracy
+xga_per_shot style_cluster_2 press_vs_build PPDA through_balls shared_starts manager_tenure manager_change_flag caretaker_ppg
+production_manager_ppg same_xi last_win_lineup h2h_draws h2h_last_3_goal_diff h2h_home_venue_xg_diff attacking_pressure_gap
+home_team_points_last_5 congestion_index squad_consistency x_exponential halflife5_halflife5
+""".split()
+_NAMES = f"""SELECT CASE WHEN p_size % 2 = 0 THEN s ELSE concat(lower(p_name), '_', s) END AS name FROM (
+  SELECT p_name, p_size, CASE CAST(p_partkey % {len(_SUFFIXES)} AS INT) {" ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_SUFFIXES))} END AS s
+  FROM part) AS x"""
+
+
+def _any(*tokens: str) -> str:
+    return "(" + " OR ".join(f"contains(name, '{t}')" for t in tokens) + ")"
+
+
+def _whole(*names: str) -> str:
+    return "name IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _cases(*pairs: str) -> str:
+    whens = " ".join(f"WHEN {t} THEN '{g}'" for t, g in zip(pairs[:-1:2], pairs[1:-1:2], strict=True))
+    return f"CASE {whens} ELSE '{pairs[-1]}' END"
+
+
+_TIRED = _any("days", "midweek", "matches_last")
+_RESTED = _any("days_rest", "midweek", "matches_last", "congestion")
+_RATINGS = "regexp_full_match(name, '(home|away)_xg_(attack|defense)_rating(_last5|_last10|_season)?') OR " + _whole(
+    "home_attack_vs_away_defense", "away_attack_vs_home_defense", "attack_defense_matchup_score"
+)
+_RAW = "regexp_full_match(name, '(home|away)_(team_points_last_5|goals_scored_avg|xg_avg|xga_avg|xg_diff|shots(_on_target)?_avg_(last5|last10|season))')"
+_COACH = _any("manager_", "caretaker")
+_ADJUSTED_XG = (
+    _whole("poisson_home_win_prob", "poisson_draw_prob", "poisson_away_win_prob"), "poisson",
+    _whole("expected_home_goals_model", "expected_away_goals_model", "expected_goal_diff_model"), "expected_goals",
+    _RATINGS, "opponent_adjusted_xg", _any("xg"), "raw_xg", _any("elo"), "elo", _any("shot"), "shot_volume", _TIRED, "fatigue", "form_home_advantage",
+)
+_TAXONOMIES = {
+    "projection": _cases(
+        _any("elo"), "Elo", _any("shots"), "Shot volume", _any("xg"), "xG/xGA", _TIRED, "Schedule/fatigue", _any("points", "goals"), "Recent form",
+        "name = 'home_advantage'", "Home advantage", "Other",
+    ),
+    "experiment": _cases(
+        _any("europe"), "europe", _any("xg"), "xG", _RESTED, "fatigue", _any("injured", "missing"), "injury",
+        _any("availability", "lineup_strength", "severity"), "availability", "form",
+    ),
+    "recency": _cases(
+        _any("_linear"), "weighted_linear", _any("_exponential"), "weighted_exponential", _any("_halflife3"), "weighted_halflife3",
+        _any("_halflife5"), "weighted_halflife5", _RAW, "raw_rolling", _any("elo"), "elo", _TIRED, "fatigue", "other_production",
+    ),
+    "opponent_xg": _cases(*_ADJUSTED_XG),
+    "xg_replacement": _cases(
+        "regexp_full_match(name, '(home|away)_xg_avg')", "raw_xg", "regexp_full_match(name, '(home|away)_xga_avg')", "raw_xga",
+        "regexp_full_match(name, '(home|away)_xg_diff')", "xg_differential", f"({_RATINGS}) AND contains(name, 'attack')", "attack_ratings",
+        _RATINGS, "defense_ratings", *_ADJUSTED_XG,
+    ),
+    "shot_efficiency": _cases(
+        _any("shots_allowed", "opponent_shot", "xga_per_shot"), "defensive_shot_prevention",
+        _any("shot_accuracy", "goals_per_shot", "xg_per_shot", "goals_minus_xg"), "shot_efficiency",
+        _any("shots_avg", "shots_on_target_avg"), "shot_volume", "production",
+    ),
+    "tactical": _cases(
+        _any("style_cluster", "style_history", "embedding"), "style_embedding",
+        _any("press_vs", "possession_vs", "high_line_vs", "crossing_vs", "style_distance"), "matchup",
+        "regexp_matches(name, 'possession|progressive_passes|PPDA|press|crosses|through_balls|counter_attacks|blocks|interceptions|tackles|directness|verticality|high_line')",
+        "tactical_profile", _any("xg"), "xG", _any("lineup", "shared_", "manager_"), "lineup_stability",
+        _any("days_rest", "congestion", "midweek"), "fatigue", "baseline",
+    ),
+    "lineup": _cases(
+        _any("shared_", "familiarity"), "familiarity", _any("manager_", "rotation", "squad_consistency"), "stability", _any("last_win"), "last_win",
+        _any("lineup", "starting_xi", "same_"), "continuity", _any("xg"), "xG", _RESTED, "fatigue",
+        _any("injured", "missing", "availability"), "availability", "baseline",
+    ),
+    "lineup_engine": _cases(
+        _any("shared_", "familiarity"), "familiarity", _any("manager_", "rotation", "squad_consistency"), "stability",
+        _any("lineup", "starting_xi", "same_"), "continuity", "production",
+    ),
+    "head_to_head": _cases(
+        "regexp_full_match(name, 'h2h_(matches_count|home_wins|draws|away_wins|points_(home|away)_team|data_strength_score)')", "h2h_core",
+        "regexp_full_match(name, 'h2h_(last_3_points_home|last_5_points_home_team|last_[35]_(goal|xg)_diff)')", "h2h_recent",
+        "regexp_full_match(name, 'h2h_home_venue_(points|goal_diff|xg_diff)')", "h2h_venue", _any("attacking_pressure"), "tactical_pressure",
+        _any("xg"), "xG", _any("days_rest", "matches_last", "midweek"), "fatigue", "baseline",
+    ),
+    "manager": _cases(
+        _any("production"), "production", f"{_COACH} AND {_any('ppg', 'xg_diff', 'elo_change', 'form_since')}", "manager_performance",
+        f"{_COACH} AND {_any('tenure', 'matches_in_charge', 'experience', 'continuity')}", "manager_continuity", _COACH, "manager_change", "production",
+    ),
+}
+
+
 @query(
     "C23_feature_group",
-    "name:s projection:s experiment:s recency:s n:i",
-    """WITH f AS (SELECT lower(concat(p_name, '_', CASE CAST(p_size % 12 AS INT) WHEN 0 THEN 'elo_trend' WHEN 1 THEN 'shots_avg' WHEN 2 THEN 'xg_avg'
-        WHEN 3 THEN 'days_rest' WHEN 4 THEN 'points_last_5' WHEN 5 THEN 'home_advantage' WHEN 6 THEN 'europe_load' WHEN 7 THEN 'missing_minutes'
-        WHEN 8 THEN 'points_weighted_linear' WHEN 9 THEN 'xg_weighted_halflife3' WHEN 10 THEN 'availability_score' ELSE 'other' END)) AS name FROM part)
-    SELECT name, CASE WHEN name LIKE '%elo%' THEN 'Elo' WHEN name LIKE '%shots%' THEN 'Shot volume' WHEN name LIKE '%xg%' THEN 'xG/xGA'
-      WHEN name LIKE '%days%' OR name LIKE '%matches\\_last%' ESCAPE '\\' OR name LIKE '%midweek%' THEN 'Schedule/fatigue'
-      WHEN name LIKE '%points%' OR name LIKE '%goals%' THEN 'Recent form' WHEN contains(name, 'home_advantage') THEN 'Home advantage' ELSE 'Other' END AS projection,
-    CASE WHEN name LIKE '%europe%' THEN 'europe' WHEN name LIKE '%xg%' THEN 'xG' WHEN contains(name, 'days_rest') OR name LIKE '%midweek%'
-      OR contains(name, 'matches_last') OR name LIKE '%congestion%' THEN 'fatigue' WHEN name LIKE '%injured%' OR name LIKE '%missing%' THEN 'injury'
-      WHEN name LIKE '%availability%' OR contains(name, 'lineup_strength') OR name LIKE '%severity%' THEN 'availability' ELSE 'form' END AS experiment,
-    CASE WHEN contains(name, '_linear') THEN 'weighted_linear' WHEN contains(name, '_exponential') THEN 'weighted_exponential'
-      WHEN contains(name, '_halflife3') THEN 'weighted_halflife3' WHEN contains(name, '_halflife5') THEN 'weighted_halflife5'
-      WHEN name LIKE '%elo%' THEN 'elo' WHEN name LIKE '%days%' OR name LIKE '%midweek%' OR contains(name, 'matches_last') THEN 'fatigue'
-      ELSE 'other_production' END AS recency, count(*) AS n FROM f GROUP BY ALL""",
+    "name:s " + " ".join(f"{k}:s" for k in _TAXONOMIES) + " n:i",
+    f"SELECT name, {', '.join(f'{v} AS {k}' for k, v in _TAXONOMIES.items())}, count(*) AS n FROM ({_NAMES}) AS f GROUP BY ALL",
 )
 def c23(t: Tables):
-    f = t.sql(
-        "SELECT lower(concat(p_name, '_', CASE CAST(p_size % 12 AS INT) WHEN 0 THEN 'elo_trend' WHEN 1 THEN 'shots_avg' WHEN 2 THEN 'xg_avg' "
-        "WHEN 3 THEN 'days_rest' WHEN 4 THEN 'points_last_5' WHEN 5 THEN 'home_advantage' WHEN 6 THEN 'europe_load' WHEN 7 THEN 'missing_minutes' "
-        "WHEN 8 THEN 'points_weighted_linear' WHEN 9 THEN 'xg_weighted_halflife3' WHEN 10 THEN 'availability_score' ELSE 'other' END)) AS name FROM part"
-    )
-    return f.groupBy(
-        "name", *[C.feature_group("name", rules).alias(k) for k, rules in C.FEATURE_GROUPS.items()]
-    ).agg(F.count("*").alias("n"))
+    groups = [C.feature_group("name", rules).alias(k) for k, rules in C.FEATURE_GROUPS.items()]
+    return t.sql(_NAMES).groupBy("name", *groups).agg(F.count("*").alias("n"))
 
 
 @query(

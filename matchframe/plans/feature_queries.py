@@ -16,7 +16,7 @@ from matchframe.operators import tactics as K
 from matchframe.operators.longform import to_wide
 from matchframe.plans.clean_queries import case_map
 from matchframe.plans.registry import both_sides, query, wide_sql
-from matchframe.plans.tables import CTES, Tables
+from matchframe.plans.tables import CTES, LATEST, Tables
 from matchframe.plans.windows_queries import MIDWEEK, days
 
 # --- ratings ---------------------------------------------------------------
@@ -89,8 +89,8 @@ def w13(t: Tables):
 @query("W13_elo_prediction_rows", "match_id:i " + " ".join(c + ":d6" for c in ELO_COLUMNS))
 def w13_rows(t: Tables):
     """The last season's fixtures rated from the state of the seasons before it."""
-    state = E.elo_state(t.matches.where("season < 2001"), PRODUCTION)
-    return E.elo_prediction_rows(t.matches.where("season = 2001").select("match_id", "home", "away"), state)
+    state = E.elo_state(t.matches.where(F.col("season") < t.latest), PRODUCTION)
+    return E.elo_prediction_rows(t.matches.where(F.col("season") == t.latest).select("match_id", "pool", "home", "away"), state)
 
 
 XG_COLUMNS = [
@@ -475,15 +475,15 @@ _PRED_COLS = [*_SNAP_COLS, "days_rest", "matches_last_14_days", "had_midweek_mat
 @query(
     "W33_prediction_features",
     "match_id:i home_advantage:i " + both_sides(" ".join(c + ":d6" for c in _PRED_COLS)),
-    f"""WITH hist AS (SELECT * FROM @t WHERE season < 2001), {_SNAP_SQL},
-    fx AS (SELECT match_id, is_home, team, least(match_date, (SELECT max(match_date) FROM hist) + 7) AS match_date FROM @t WHERE season = 2001),
+    f"""WITH hist AS (SELECT * FROM @t WHERE season < {LATEST}), {_SNAP_SQL},
+    fx AS (SELECT match_id, is_home, team, least(match_date, (SELECT max(match_date) FROM hist) + 7) AS match_date FROM @t WHERE season = {LATEST}),
     u AS (SELECT match_id, is_home, team, match_date, 0 AS n FROM fx UNION ALL SELECT NULL, NULL, team, match_date, 1 FROM hist),
     c AS ({_CONTEXT_SQL} FROM u),
     g AS (SELECT c.match_id, c.is_home, c.days_rest, c.matches_last_14_days, c.midweek_fixture_flag AS had_midweek_match, {", ".join(f"coalesce(snap.{x}, 0) AS {x}" for x in _SNAP_COLS)}
       FROM c LEFT JOIN snap USING (team) WHERE c.match_id IS NOT NULL), w AS ({wide_sql("g", " ".join(_PRED_COLS))}) SELECT *, 1 AS home_advantage FROM w""",
 )
 def w33_rows(t: Tables):
-    return X.prediction_features(t.matches.where("season = 2001"), t.long.where("season < 2001"))
+    return X.prediction_features(t.matches.where(F.col("season") == t.latest), t.long.where(F.col("season") < t.latest))
 
 
 @query(

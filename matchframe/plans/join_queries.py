@@ -9,7 +9,7 @@ from matchframe.operators import quality as Q
 from matchframe.operators import rolling as R
 from matchframe.operators.longform import to_long, to_wide
 from matchframe.plans.registry import query, wide_sql
-from matchframe.plans.tables import CTES, Tables
+from matchframe.plans.tables import CTES, LATEST, Tables
 
 
 @query("J1_join_one_to_one", "match_id:i hs:d1", "SELECT m.match_id, s.hs FROM @matches m LEFT JOIN (SELECT match_id, hs FROM @matches WHERE match_id % 2 = 0) s USING (match_id)")
@@ -82,10 +82,10 @@ def j5(t: Tables):
 @query(
     "J6_anti_join_played",
     "match_id:i",
-    "SELECT match_id FROM @matches WHERE season = 2001 AND (home, away) NOT IN (SELECT (home, away) FROM @matches WHERE season = 2000)",
+    f"SELECT match_id FROM @matches WHERE season = {LATEST} AND (home, away) NOT IN (SELECT (home, away) FROM @matches WHERE season = {LATEST} - 1)",
 )
 def j6(t: Tables):
-    return J.anti_join_played(t.matches.where("season = 2001"), t.matches.where("season = 2000")).select("match_id")
+    return J.anti_join_played(t.matches.where(F.col("season") == t.latest), t.matches.where(F.col("season") == t.latest - 1)).select("match_id")
 
 
 @query(

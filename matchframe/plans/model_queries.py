@@ -11,6 +11,7 @@ from matchframe.operators import rolling as R
 from matchframe.operators import tuning as T
 from matchframe.plans.probability_queries import _ERR, _SCORE, cal_sql
 from matchframe.plans.registry import query
+from matchframe.plans.stages import staged
 from matchframe.plans.tables import Tables
 
 FORM = ["home_points_last_5", "away_points_last_5", "home_goals_scored_avg", "away_goals_scored_avg"]
@@ -21,9 +22,21 @@ ALL = FORM + XG + REST
 TRIPLE = "match_id:i p_home:d6 p_draw:d6 p_away:d6"
 
 
+# The feature set of the production model.
+PRODUCTION = [
+    *[f"{side}_{c}" for c in ("points_last_5", "goals_scored_avg") for side in ("home", "away")],
+    "home_advantage",
+    *[f"{side}_{c}" for c in ("xg_avg", "xga_avg", "xg_diff") for side in ("home", "away")],
+    *[f"{side}_{c}" for c in ("days_rest", "matches_last_14_days", "had_midweek_match", "days_since_last_match") for side in ("home", "away")],
+    *M.ELO_COLUMNS, "elo_recent_change", "rolling_elo_form",
+    *[f"{side}_{c}_avg_{w}" for w in ("last5", "last10", "season") for c in ("shots", "shots_on_target") for side in ("home", "away")],
+]
+
+
 def data(t: Tables):
+    """Features of all matches, staged: every fit reads them several times."""
     ids = t.matches.select("match_id", "match_date", "season", "pool")
-    return M.keep(R.match_features(t.long).join(ids, "match_id"))
+    return staged(R.match_features(t.long).join(ids, "match_id"))
 
 
 def halves(t: Tables):
@@ -31,6 +44,15 @@ def halves(t: Tables):
     return split.where("is_test = 0"), split.where("is_test = 1")
 
 
+def production(t: Tables):
+    """Train and test rows with form, xG, rest, ratings and shots."""
+    ids = t.matches.select("match_id", "match_date")
+    rows = R.match_features(t.long).join(ids, "match_id").join(R.shot_volume_features(t.long), "match_id")
+    rated = E.elo_features(t.matches, E.EloConfig(k=30.0, home_advantage=75.0)).drop("pool")
+    split = T.time_split(staged(rows.join(rated, "match_id")))
+    return split.where("is_test = 0"), split.where("is_test = 1")
+
+
 @query(
     "M1_time_split",
     "pool:i cutoff:s train:i test:i",
@@ -47,19 +69,19 @@ def m1(t: Tables):
 
 @query("M2_fit_outcome_model", TRIPLE)
 def m2(t: Tables):
-    train, test = halves(t)
-    return M.fit_outcome_model(train, ALL, rounds=20).transform(test)
+    train, test = production(t)
+    return M.fit_outcome_model(train, PRODUCTION).transform(test.na.fill(0.0, PRODUCTION))
 
 
 @query("M2_fit_boosted_model", TRIPLE)
 def m2_boosted(t: Tables):
-    train, test = halves(t)
-    return M.fit_outcome_model(train, FORM, kind="boosted", rounds=3).transform(test)
+    train, test = production(t)
+    return M.fit_outcome_model(train, PRODUCTION, kind="boosted").transform(test.na.fill(0.0, PRODUCTION))
 
 
 @query("M3_walk_forward", "season:i matches:i accuracy:d6 log_loss:d6 brier_score:d6")
 def m3(t: Tables):
-    return A.score_probs(M.walk_forward(data(t), ALL, [1999, 2000, 2001], kind="logistic"), ["season"])
+    return A.score_probs(M.walk_forward(data(t), ALL, kind="logistic"), ["season"])
 
 
 _METRICS = "model_version:s matches:i accuracy:d6 log_loss:d6 brier_score:d6 ece:d6"
@@ -93,33 +115,32 @@ def m5_remove(t: Tables):
 @query("M6_parameter_search", _METRICS)
 def m6(t: Tables):
     matches = t.matches.withColumn("target", F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).otherwise(2))
-    configs = [E.EloConfig(k=20.0, home_advantage=50.0), E.EloConfig(k=30.0, home_advantage=75.0)]
-    return M.parameter_search(matches, configs, kind="logistic")
+    return M.parameter_search(matches, kind="logistic")
 
 
 @query("M7_bootstrap_models", "row_id:i class:s mean:d6 std:d6 lower_95:d6 upper_95:d6")
 def m7(t: Tables):
     train, test = halves(t)
-    return M.bootstrap_models(train, test, FORM, n=4, kind="logistic")
+    return M.bootstrap_models(train, test, ALL, kind="logistic")
 
 
 @query("M8_subset_ensemble", "row_id:i class:s mean:d6 std:d6")
 def m8(t: Tables):
     train, test = halves(t)
-    return M.subset_ensemble(train, test, FORM, n=4, kind="logistic")
+    return M.subset_ensemble(train, test, ALL, kind="logistic")
 
 
 @query("M9_gain_importance", "feature:s importance:d6")
 def m9(t: Tables):
-    train, _ = halves(t)
-    return M.gain_importance(M.fit_outcome_model(train, ALL, rounds=20), train)
+    train, _ = production(t)
+    return M.gain_importance(M.fit_outcome_model(train, PRODUCTION), train)
 
 
 @query("M10_permutation_importance", "feature:s importance:d6 std:d6")
 def m10(t: Tables):
     train, test = halves(t)
     model = M.fit_outcome_model(train, ALL, kind="logistic")
-    return M.permutation_importance(model, test, reps=2, features=FORM)
+    return M.permutation_importance(model, test)
 
 
 @query("M11_additive_contributions", "feature:s class:s mean_abs_contribution:d6")

@@ -54,9 +54,9 @@ _BOOK_PRICES = """SELECT match_id, CASE WHEN match_id % 3 = 0 THEN odds_h END AS
     "P2_select_odds",
     "match_id:i mode:s home_odds:d4 odds_source:s",
     f"""WITH b AS ({_BOOK_PRICES})
-    SELECT match_id, 'benchmark' AS mode, coalesce(AvgCH, AvgH) AS home_odds, CASE WHEN AvgCH IS NOT NULL THEN 'AvgC' ELSE 'Avg' END AS odds_source FROM b
-    UNION ALL SELECT match_id, 'research', CASE WHEN B365H > 1 THEN B365H ELSE coalesce(AvgCH, AvgH) END, CASE WHEN B365H > 1 THEN 'B365' WHEN AvgCH IS NOT NULL THEN 'AvgC' ELSE 'Avg' END FROM b
-    UNION ALL SELECT match_id, 'preclosing', AvgH, 'Avg' FROM b UNION ALL SELECT match_id, 'none', NULL, NULL FROM b""",
+    SELECT match_id, 'benchmark' AS mode, coalesce(AvgCH, AvgH) AS home_odds, CASE WHEN AvgCH IS NOT NULL THEN 'average closing odds' ELSE 'average listed odds' END AS odds_source FROM b
+    UNION ALL SELECT match_id, 'research', CASE WHEN B365H > 1 THEN B365H ELSE coalesce(AvgCH, AvgH) END, CASE WHEN B365H > 1 THEN 'Bet365 listed odds' WHEN AvgCH IS NOT NULL THEN 'average closing odds' ELSE 'average listed odds' END FROM b
+    UNION ALL SELECT match_id, 'preclosing', AvgH, 'average pre-closing odds' FROM b UNION ALL SELECT match_id, 'none', NULL, NULL FROM b""",
 )
 def p2(t: Tables):
     raw = t.sql(_BOOK_PRICES)

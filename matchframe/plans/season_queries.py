@@ -11,12 +11,13 @@ from matchframe.operators import strength as N
 from matchframe.operators import tuning as T
 from matchframe.plans.feature_queries import _SNAP_SQL
 from matchframe.plans.registry import query
-from matchframe.plans.tables import CTES, Tables
+from matchframe.plans.stages import staged
+from matchframe.plans.tables import CTES, LATEST, Tables
 
 # Of each league's twenty teams, sixteen play in the top tier in a given season.
 _TOP = "(home * 7 + season * 3) % 5 <> 0 AND (away * 7 + season * 3) % 5 <> 0"
 CTES["league"] = f"SELECT * FROM @matches WHERE {_TOP}"
-CTES["tier"] = f"SELECT * FROM @matches WHERE NOT ({_TOP}) AND season < 2001"
+CTES["tier"] = f"SELECT * FROM @matches WHERE NOT ({_TOP}) AND season < {LATEST}"
 
 
 def long_sql(src: str) -> str:
@@ -56,9 +57,9 @@ def n3(t: Tables):
     return N.promoted_baseline(t.league)
 
 
-@query("N4_current_records", "pool:i team:i matches:i points:i", f"WITH {_TABLE} SELECT pool, team, played AS matches, points FROM tb WHERE season = 2001")
+@query("N4_current_records", "pool:i team:i matches:i points:i", f"WITH {_TABLE} SELECT pool, team, played AS matches, points FROM tb WHERE season = {LATEST}")
 def n4(t: Tables):
-    return N.current_records(t.league, 2001)
+    return N.current_records(t.league, t.latest)
 
 
 _TIER_COLS = "points_last5 goals_for_avg_last5 goals_against_avg_last5 shots_avg_last5 shots_on_target_avg_last5 shots_avg_last10 shots_on_target_avg_last10 xg_avg_last5 xga_avg_last5 shots_avg_season shots_on_target_avg_season".split()
@@ -77,8 +78,7 @@ def n5(t: Tables):
 def _snapshot(t: Tables):
     from matchframe.operators.longform import to_long
 
-    snap = X.team_snapshot(to_long(t.league))
-    return snap.withColumn("pool", F.floor(F.col("team") / 20).cast("long"))
+    return X.team_snapshot(to_long(t.league))
 
 
 _MEDIANS = ", ".join(f"median({c}) AS med_{c}" for c in N.ADJUSTED)
@@ -91,11 +91,16 @@ def n6(t: Tables):
 
 
 def _adjusted(t: Tables):
-    teams = t.matches.where("season = 2001").select("pool", F.explode(F.array("home", "away")).alias("team")).distinct()
-    return N.adjusted_features(
-        teams, _snapshot(t), N.feature_medians(_snapshot(t)), N.promoted_baseline(t.league), N.tier_summary(t.tier),
-        N.current_records(t.league, 2001), N.promoted_teams(t.league).where("season = 2001"),
+    """Season table, snapshot and second-tier summary are made once and staged."""
+    now = F.col("season") == t.latest
+    teams = t.matches.where(now).select("pool", F.explode(F.array("home", "away")).alias("team")).distinct()
+    table, snap = staged(N.season_table(t.league)), staged(_snapshot(t))
+    records = table.where(now).select("pool", "team", F.col("played").alias("matches"), "points")
+    rows = N.adjusted_features(
+        teams, snap, N.feature_medians(snap), N.promoted_baseline(t.league, table=table), N.tier_summary(t.tier),
+        records, N.promoted_in(table).where(now),
     )
+    return staged(rows)
 
 
 def _adjusted_sql() -> str:
@@ -112,8 +117,8 @@ def _adjusted_sql() -> str:
     )
     tier = ", ".join(f"tr.{s} AS t_{s}" for s in dict.fromkeys(s for s, _ in src.values()))
     return f"""{_TABLE}, {_PROMOTED}, {_BASE}, {_TIER}, {_HIST},
-    tm AS (SELECT DISTINCT pool, team FROM @t WHERE season = 2001),
-    rc AS (SELECT team, played, points FROM tb WHERE season = 2001), pt AS (SELECT DISTINCT team FROM pr WHERE season = 2001),
+    tm AS (SELECT DISTINCT pool, team FROM @t WHERE season = {LATEST}),
+    rc AS (SELECT team, played, points FROM tb WHERE season = {LATEST}), pt AS (SELECT DISTINCT team FROM pr WHERE season = {LATEST}),
     jn AS (SELECT tm.pool, tm.team, coalesce(snap.match_count, 0) AS match_count, {raw}, {tier}, tr.team IS NOT NULL AS has_tier, coalesce(rc.played, 0) AS season_matches, coalesce(rc.points, 0) AS season_points,
       CASE WHEN pt.team IS NOT NULL THEN 1 ELSE 0 END AS is_promoted, {med}, coalesce(bl.median_points, 34.0) AS median_points, coalesce(bl.goals_for_per_match, 1.05) AS gfm, coalesce(bl.goals_against_per_match, 1.7) AS gam
       FROM tm LEFT JOIN snap ON snap.team = tm.team LEFT JOIN tr ON tr.team = tm.team LEFT JOIN rc ON rc.team = tm.team LEFT JOIN pt ON pt.team = tm.team LEFT JOIN md ON md.pool = tm.pool LEFT JOIN bl ON bl.pool = tm.pool),
@@ -157,11 +162,11 @@ def n8(t: Tables):
     "match_id:i home_points_last_5:d6 away_points_last_5:d6 home_xg_avg:d6 away_xg_avg:d6",
     f"""WITH {_adjusted_sql()}, ov AS (SELECT team, adj_points_last_5 AS p, adj_xg_avg AS x FROM ad WHERE fallback_used = 1 OR promotion_adjustment_applied = 1)
     SELECT m.match_id, coalesce(h.p, 1) AS home_points_last_5, coalesce(a.p, 2) AS away_points_last_5, coalesce(h.x, hxg) AS home_xg_avg, coalesce(a.x, axg) AS away_xg_avg
-    FROM @matches m LEFT JOIN ov h ON h.team = m.home LEFT JOIN ov a ON a.team = m.away WHERE season = 2001""",
+    FROM @matches m LEFT JOIN ov h ON h.team = m.home LEFT JOIN ov a ON a.team = m.away WHERE season = {LATEST}""",
 )
 def n9(t: Tables):
-    f = t.matches.where("season = 2001").select(
-        "match_id", "home", "away", F.lit(1.0).alias("home_points_last_5"), F.lit(2.0).alias("away_points_last_5"),
+    f = t.matches.where(F.col("season") == t.latest).select(
+        "match_id", "pool", "home", "away", F.lit(1.0).alias("home_points_last_5"), F.lit(2.0).alias("away_points_last_5"),
         F.col("hxg").alias("home_xg_avg"), F.col("axg").alias("away_xg_avg"),
     )
     return N.apply_overrides(f, N.feature_overrides(N.season_start_audit(_adjusted(t))))
@@ -191,7 +196,7 @@ def n10(t: Tables):
 )
 def n11(t: Tables):
     teams = t.long.select("pool", "team").distinct()
-    state = teams.select("team", ((F.col("team") % 31) * 10 + 1350.0).alias("rating"))
+    state = teams.select("pool", "team", ((F.col("team") % 31) * 10 + 1350.0).alias("rating"))
     return N.long_term_strength(t.league, teams, state, least=80)
 
 
@@ -231,8 +236,8 @@ def n13(t: Tables):
 # --- Q ---------------------------------------------------------------------
 
 # The 2001 season: one fixture per pairing, the early ones already played.
-CTES["fixture_list"] = """SELECT pool, season, home, away, min(match_id) AS match_id, min(match_id) % 12 + 1 AS matchweek, min(match_date) AS match_date
-FROM @matches WHERE season = 2001 GROUP BY pool, season, home, away"""
+CTES["fixture_list"] = f"""SELECT pool, season, home, away, min(match_id) AS match_id, min(match_id) % 12 + 1 AS matchweek, min(match_date) AS match_date
+FROM @matches WHERE season = {LATEST} GROUP BY pool, season, home, away"""
 CTES["fixture_probs"] = "SELECT p.* FROM @probs AS p JOIN @fixture_list AS f ON f.match_id = p.match_id"
 CTES["played"] = "SELECT m.* FROM @matches AS m JOIN @fixture_list AS f ON f.match_id = m.match_id WHERE f.matchweek <= 4 OR (f.matchweek = 5 AND m.match_id % 2 = 0)"
 SIMS = 40
@@ -310,13 +315,13 @@ def q5_rows(t: Tables):
 @query(
     "Q6_position_movement",
     "team:i projected_position:i position_change_since_season_start:d0 position_change_since_previous_round:d0",
-    f"""WITH {_TABLE}, c AS (SELECT team, position AS projected_position FROM tb WHERE season = 2000), b AS (SELECT team, position AS bp FROM tb WHERE season = 1999), v AS (SELECT team, position AS vp FROM tb WHERE season = 1998)
+    f"""WITH {_TABLE}, c AS (SELECT team, position AS projected_position FROM tb WHERE season = {LATEST} - 1), b AS (SELECT team, position AS bp FROM tb WHERE season = {LATEST} - 2), v AS (SELECT team, position AS vp FROM tb WHERE season = {LATEST} - 3)
     SELECT c.team, c.projected_position, bp - c.projected_position AS position_change_since_season_start, vp - c.projected_position AS position_change_since_previous_round FROM c LEFT JOIN b USING (team) LEFT JOIN v USING (team)""",
 )
 def q6(t: Tables):
     table = N.season_table(t.league).withColumnRenamed("position", "projected_position")
-    of = lambda y: table.where(F.col("season") == y).select("team", "projected_position")
-    return Q.position_movement(of(2000), of(1999), of(1998))
+    of = lambda y: table.where(F.col("season") == y).select("pool", "team", "projected_position")
+    return Q.position_movement(of(t.latest - 1), of(t.latest - 2), of(t.latest - 3))
 
 
 # A forecast per season: the table of the season before, jittered by the team number, in two variants.
@@ -369,12 +374,18 @@ def q9(t: Tables):
     return Q.misranked(_errors(t), ["model_variant"])
 
 
+# Two forecasts of the latest season: expected points from the prices with and without a shift by team.
+_TWO_FORECASTS = """SELECT pool, team, sum(x) AS before, sum(x + CAST(team % 7 AS DOUBLE) / 10) AS after FROM (
+  SELECT pool, home AS team, 3 * p_home + p_draw AS x FROM @fixture_probs UNION ALL SELECT pool, away, 3 * p_away + p_draw FROM @fixture_probs) AS u
+GROUP BY pool, team"""
+
+
 @query(
     "Q10_projection_delta",
     "pool:i team:i expected_points_delta:d6 relegation_probability_delta:d6",
-    f"""WITH {_SIM_PLAIN}, b AS (SELECT pool, team, avg(points) AS ep, avg(CASE WHEN pos >= n - 2 THEN 1.0 ELSE 0 END) AS rp FROM rk WHERE sim < 20 GROUP BY ALL)
-    SELECT ps.pool, ps.team, expected_points - ep AS expected_points_delta, relegation_probability - rp AS relegation_probability_delta FROM ps JOIN b USING (pool, team)""",
+    f"SELECT pool, team, after - before AS expected_points_delta, 1 / (1 + after) - 1 / (1 + before) AS relegation_probability_delta FROM ({_TWO_FORECASTS}) AS f",
 )
 def q10(t: Tables):
-    after = Q.position_probabilities(Q.sample_seasons(t.fixture_probs, SIMS))
-    return Q.projection_delta(after, Q.position_probabilities(Q.sample_seasons(t.fixture_probs, 20)))
+    both = t.sql(_TWO_FORECASTS)
+    one = lambda c: both.select("pool", "team", F.col(c).alias("expected_points"), (1 / (1 + F.col(c))).alias("relegation_probability"))
+    return Q.projection_delta(one("after"), one("before"))

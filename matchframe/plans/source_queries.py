@@ -479,8 +479,10 @@ def s20_links(t: Tables):
     return R.extract_all(t.pages.select("page_id", "html"), "html", _ANCHOR)
 
 
-_INFO = """SELECT match_id, concat('<script>var match_info = JSON.parse(', chr(39), '{{{x}}x22h_shot{{x}}x22:{{x}}x22', CAST(coalesce(hs, 0) AS STRING), '{{x}}x22,{{x}}x22a_shot{{x}}x22:{{x}}x22',
-  CAST(coalesce(as_, 0) AS STRING), '{{x}}x22}', chr(39), ');</script>') AS html FROM @matches"""
+# The payload with its quotes escaped in three ways and some underscores escaped; # stands for a backslash.
+_INFO = """SELECT match_id, concat('<script>var match_info = JSON.parse(', chr(39), replace(replace(concat('{"h_shot":"', CAST(coalesce(hs, 0) AS STRING),
+  '","a_shot":"', CAST(coalesce(as_, 0) AS STRING), '"}'), '"', CASE CAST(match_id % 3 AS INT) WHEN 0 THEN '#x22' WHEN 1 THEN '#"' ELSE '#u0022' END),
+  '_', CASE WHEN match_id % 2 = 0 THEN '#x5F' ELSE '_' END), chr(39), ');</script>') AS html FROM @matches"""
 
 
 @query(
@@ -489,7 +491,7 @@ _INFO = """SELECT match_id, concat('<script>var match_info = JSON.parse(', chr(3
     "SELECT match_id, coalesce(hs, 0) AS hs, coalesce(as_, 0) AS as_, NULL AS hst FROM @matches",
 )
 def s20_info(t: Tables):
-    pages = t.sql(_INFO.replace("{{x}}", "#"))
+    pages = t.sql(_INFO)
     return R.extract_match_info(pages.withColumn("html", F.replace("html", F.lit("#"), F.lit("\\"))))
 
 

@@ -12,6 +12,7 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matchframe.operators.longform import to_long
 
@@ -48,21 +49,21 @@ UNION ALL
 SELECT match_id, pool, season, match_date, result, 0, away, home, ag, hg, axg, hxg, as_, hs, ast, hst,
   CASE WHEN ag > hg THEN 3 WHEN hg = ag THEN 1 ELSE 0 END,
   CASE WHEN hg = ag THEN 1 ELSE 0 END FROM @matches"""
-# Cup ties of the same teams, read from line items: one per item of quantity 40 or more.
+# Cup ties of the same teams, one per line item.
 CTES["extra"] = """
 SELECT CAST(l_shipdate AS DATE) AS match_date,
   CAST(floor(floor(l_orderkey / 10) / 100) * 20 + CAST(floor(l_orderkey / 10) AS BIGINT) % 20 AS BIGINT) AS team
-FROM lineitem WHERE l_quantity >= 40"""
+FROM lineitem"""
 # Results outside the league, with a competition name.
 CTES["nonleague"] = """
 SELECT CAST(l_shipdate AS DATE) AS match_date,
   CAST(floor(floor(l_orderkey / 10) / 100) * 20 + CAST(floor(l_orderkey / 10) AS BIGINT) % 20 AS BIGINT) AS team,
   (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS row_id, l_partkey AS part_id, l_suppkey AS supp_id,
-  CASE l_linenumber % 5 WHEN 0 THEN 'Friendly' WHEN 1 THEN 'Championship' WHEN 2 THEN 'Champions League'
-    WHEN 3 THEN 'Domestic Cup' ELSE 'Regional Shield' END AS competition,
+  CASE WHEN l_quantity < 25 THEN 'Reserve League' ELSE CASE l_linenumber % 5 WHEN 0 THEN 'Friendly' WHEN 1 THEN 'Championship' WHEN 2 THEN 'Champions League'
+    WHEN 3 THEN 'Domestic Cup' ELSE 'Regional Shield' END END AS competition,
   CAST(CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS DOUBLE) AS points,
   CAST(l_suppkey % 4 AS DOUBLE) AS goals_for, l_quantity AS shots_for
-FROM lineitem WHERE l_quantity >= 25"""
+FROM lineitem"""
 # Absences: one per line item.
 CTES["absences"] = """
 SELECT l_orderkey * 10 + l_linenumber AS row_id,
@@ -88,6 +89,8 @@ FROM (
     max(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) AS started, max(floor(l_quantity * 1.8)) AS minutes
   FROM lineitem GROUP BY l_orderkey, CAST(l_linenumber % 2 AS INT), CAST(l_partkey % 15 AS BIGINT)
 ) AS a JOIN @matches AS m ON m.match_id = a.l_orderkey"""
+# SQL for the last season that has started.
+LATEST = "(SELECT max(season) FROM @matches)"
 # A probability triple, and decimal odds around a second triple.
 _W = {
     "wh": f"(5 + {_TP} % 41)", "wd": "(5 + CAST(floor(o_totalprice / 29) AS BIGINT) % 23)",
@@ -206,6 +209,11 @@ class Tables:
             return self.table(name)
         raise AttributeError(name)
 
+    @cached_property
+    def latest(self) -> int:
+        """The last season that has started; runs a job of one row."""
+        return self.matches.agg(F.max("season")).first()[0]
+
     @cached_property
     def long(self) -> DataFrame:
         return self.view("t")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -307,10 +309,31 @@ def team_stats_to_tactics(matches: DataFrame) -> DataFrame:
 # --- page text -------------------------------------------------------------
 
 
+# A character reference by number or name, other text, or a lone ampersand.
+_REFERENCE = r"(&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"
+
+
+def _from_code(code: Column) -> Column:
+    """The character with this number, from its eight hexadecimal digits."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def unescape_html(c: Column) -> Column:
+    """Character references as characters; unknown names stay as they are."""
+    names = {k: v for k, v in html5.items() if k.endswith(";")}
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+    def one(token: Column) -> Column:
+        digits = F.regexp_replace(token, "[&#xX;]", "")
+        number = F.when(token.rlike("^&#[0-9]"), digits.cast("long")).when(token.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("long"))
+        named = F.when(token.rlike("^&[A-Za-z].*;$"), F.coalesce(F.try_element_at(table, F.substr(token, F.lit(2))), token))
+        return F.when((number > 0) & (number < 0x110000), _from_code(number)).otherwise(F.coalesce(named, token))
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), 1), one), "")).otherwise(c)
+
+
 def strip_tags(c: Column) -> Column:
-    text = F.regexp_replace(c, "<[^>]+>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = unescape_html(F.regexp_replace(c, "<[^>]+>", ""))
     return F.trim(F.replace(text, F.lit(" "), F.lit(" ")))
 
 
@@ -330,6 +353,7 @@ def extract_all(pages: DataFrame, column: str, pattern: str, *, within: str | No
     ).withColumn("value", strip_tags(F.col("_v"))).drop("_v")
 
 
+# The format of the pages.
 MANAGER_PATTERN = r"(?s)<strong>Manager</strong>:\s*(.*?)</div>"
 SCOREBOX = r'(?s)<div class="scorebox">(.*?)<div class="scorebox_meta">'
 MATCH_INFO = r"var match_info\s*=\s*JSON.parse\('([^']+)'\)"
@@ -339,12 +363,30 @@ def extract_managers(pages: DataFrame, column: str = "html") -> DataFrame:
     return extract_all(pages, column, MANAGER_PATTERN, within=SCOREBOX, limit=2)
 
 
+_ESCAPE = r"(?s)((?:\\x[0-9a-fA-F]{2})+|(?:\\u[0-9a-fA-F]{4})+|\\.|[^\\]+|\\)"
+_CONTROL = {"\\n": "\n", "\\t": "\t", "\\r": "\r", "\\b": "\b", "\\f": "\f"}
+
+
+def unescape_string(c: Column) -> Column:
+    """``\\xNN``, ``\\uNNNN`` (also as pairs) and backslash escapes as characters."""
+
+    def one(token: Column) -> Column:
+        pairs = F.decode(F.unhex(F.replace(token, F.lit("\\x"), F.lit("00"))), "UTF-16BE")
+        units = F.decode(F.unhex(F.replace(token, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        plain = F.coalesce(*[F.when(token == k, F.lit(v)) for k, v in _CONTROL.items()], F.substr(token, F.lit(2)))
+        return (
+            F.when(token.rlike(r"^\\x[0-9a-fA-F]{2}"), pairs)
+            .when(token.rlike(r"^\\u[0-9a-fA-F]{4}"), units)
+            .when((F.length(token) == 2) & token.startswith("\\"), plain)
+            .otherwise(token)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_ESCAPE), 1), one), "")
+
+
 def extract_match_info(pages: DataFrame, column: str = "html") -> DataFrame:
-    """Shot counts from the JSON text embedded in a match page; ``\\xNN`` escapes are decoded."""
-    text = F.regexp_extract(column, MATCH_INFO, 1)
-    for code, char in (("\\x22", '"'), ("\\x7B", "{"), ("\\x7D", "}"), ("\\x3A", ":"), ("\\x2C", ","), ("\\x20", " "),
-                       ("\\x5B", "["), ("\\x5D", "]"), ("\\x27", "'"), ("\\x2D", "-")):
-        text = F.replace(text, F.lit(code), F.lit(char))
+    """Shot counts from the JSON text embedded in a match page, a string with backslash escapes."""
+    text = unescape_string(F.regexp_extract(column, MATCH_INFO, 1))
     info = F.from_json(text, "h_shot string, a_shot string, h_shotOnTarget string, a_shotOnTarget string")
     return pages.withColumn("_i", info).select(
         *[c for c in pages.columns if c != column],

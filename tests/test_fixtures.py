@@ -166,7 +166,7 @@ def promoted_case(spark, current, points):
     hist = matches(spark, [(D0(2025, 9, 1 + i), "X", "Y", 1, 0, 10, 8, 4, 3) for i in range(6)])
     own = [(D0(2026, 8, 20 + i), "Coventry", "X", *((2, 0) if i * 3 < points - points % 3 else (1, 1) if i < points // 3 + points % 3 else (0, 1)), 9, 9, 3, 3) for i in range(current)]
     league = hist if not own else hist.unionByName(matches(spark, own).withColumn("match_id", F.col("match_id") + 100))
-    snap = K.team_snapshot(to_long(league)).withColumn("pool", F.lit("p"))
+    snap = K.team_snapshot(to_long(league))
     return N.adjusted_features(
         teams, snap, N.feature_medians(snap), N.promoted_baseline(league), N.tier_summary(tier), N.current_records(league, "2026"),
         N.promoted_teams(league).where("season = '2026'"),
@@ -209,8 +209,11 @@ def test_matchweek_progress(spark):
 
 
 def test_position_movement(spark):
-    of = lambda a, b: spark.createDataFrame([("A", a), ("B", b)], "team string, projected_position int")
-    got = {r.team: r for r in Q.position_movement(of(2, 1), of(1, 2), of(3, 1)).collect()}
+    rows = lambda a, b: [("p", "A", a), ("p", "B", b), ("q", "A", 7)]
+    of = lambda a, b: spark.createDataFrame(rows(a, b), "pool string, team string, projected_position int")
+    moved = Q.position_movement(of(2, 1), of(1, 2), of(3, 1))
+    assert moved.count() == 3
+    got = {r.team: r for r in moved.where("pool = 'p'").collect()}
     assert (got["A"].position_change_since_season_start, got["A"].position_change_since_previous_round) == (-1, 1)
     assert (got["B"].position_change_since_season_start, got["B"].position_change_since_previous_round) == (1, 0)
 
@@ -220,7 +223,7 @@ def test_short_season_is_ignored_for_long_term_strength(spark):
     rows += [(D0(2026, 8, 1) + dt.timedelta(days=i), "B", "A", 3, 0, 1, 1, 1, 1) for i in range(20)]
     m = matches(spark, rows)
     teams = spark.createDataFrame([("p", "A"), ("p", "B")], "pool string, team string")
-    state = spark.createDataFrame([("A", 1500.0)], "team string, rating double")
+    state = spark.createDataFrame([("p", "A", 1500.0), ("q", "A", 900.0)], "pool string, team string, rating double")
     got = {r.team: r.strength for r in N.long_term_strength(m, teams, state).collect()}
     assert got["A"] > 0 > got["B"]
 
@@ -305,3 +308,53 @@ def test_calibration_and_bootstrap(spark):
     assert drops["x"] > 0
     shares = M.additive_contributions(model, test).groupBy("feature").agg(F.sum("mean_abs_contribution").alias("s"))
     assert {r.feature for r in shares.where("s > 0").collect()} == {"x", "y"}
+
+
+def test_same_name_in_two_pools(spark):
+    """Snapshots, tier summaries and overrides keep the pools apart."""
+    rows = [(D0(2026, 4, 1 + i), "A", "B", 1 + i % 2, 0, 9, 8, 4, 3) for i in range(6)]
+    one = matches(spark, rows)
+    other = matches(spark, [(d, h, a, hg + 3, 1, *r) for d, h, a, hg, _, *r in rows]).withColumns(
+        {"pool": F.lit("q"), "match_id": F.col("match_id") + 100}
+    )
+    both = one.unionByName(other)
+    snap = {(r.pool, r.team): r for r in K.team_snapshot(to_long(both)).collect()}
+    assert len(snap) == 4 and snap["p", "A"].match_count == 6
+    assert snap["q", "A"].goals_scored_avg == pytest.approx(snap["p", "A"].goals_scored_avg + 3)
+    tier = {(r.pool, r.team): r.goals_for_avg_last5 for r in N.tier_summary(both).collect()}
+    assert len(tier) == 4 and tier["q", "A"] == pytest.approx(tier["p", "A"] + 3)
+    audit = spark.createDataFrame([("p", "A", 1, 1), ("q", "A", 1, 1)], "pool string, team string, fallback_used int, promotion_adjustment_applied int")
+    audit = audit.withColumns({"adj_" + c: F.when(F.col("pool") == "p", 1.0).otherwise(2.0) for c in N.OVERRIDES})
+    fixtures = spark.createDataFrame([(1, "p", "A", "B", 9.0), (2, "q", "A", "B", 9.0)], "match_id long, pool string, home string, away string, home_xg_avg double")
+    got = {r.match_id: r.home_xg_avg for r in N.apply_overrides(fixtures, N.feature_overrides(audit)).collect()}
+    assert got == {1: 1.0, 2: 2.0}
+
+
+def test_page_text_is_decoded(spark):
+    payload = '{"h_shot":"16","a_shot":"13","h_shotOnTarget":"9","a_shotOnTarget":"5"}'
+    spelled = [
+        payload.replace('"', '\\"'), payload.replace('"', "\\x22").replace("_", "\\x5F"), payload.replace('"', "\\u0022"), payload,
+        "\\x7B" + payload[1:-1].replace(":", "\\x3A") + "\\x7D",
+    ]
+    rows = [(i, f"var match_info = JSON.parse('{p}')") for i, p in enumerate(spelled)] + [(9, "none"), (10, None)]
+    got = {r.k: (r.hs, r.as_, r.hst, r.ast) for r in RD.extract_match_info(spark.createDataFrame(rows, "k int, html string")).collect()}
+    assert all(got[i] == (16, 13, 9, 5) for i in range(5)) and got[9] == got[10] == (None,) * 4
+    texts = ["<b>a&amp;b</b>", "&#39;x&#x27; &eacute;&Eacute; &nope; & &#128512;", "&lt;i&gt;", "plain", "\\uD83D\\uDE00 \\\\ \\n|"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.s for r in df.select(RD.strip_tags(F.col("t")).alias("s")).collect()]
+    assert got[:4] == ["a&b", "'x' \u00e9\u00c9 &nope; & \U0001f600", "<i>", "plain"]
+    assert df.select(RD.unescape_string(F.col("t")).alias("s")).collect()[4].s == "\U0001f600 \\ \n|"
+
+
+def test_drawdown_by_days(spark):
+    rows = [(1, D0(2020, 1, 1 + i // 3), "home", float(p)) for i, p in enumerate([2, -1, -1, -1, 3, -1, -1, -1, -1, 5, -1])]
+    rows = [("k", i, d, t, p) for i, (_, d, t, p) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "k string, match_id int, match_date date, bet_type string, profit double")
+    from matchframe.operators.betting import max_drawdown
+
+    total = peak = worst = 0.0
+    for r in rows:
+        total += r[4]
+        peak = max(peak, total)
+        worst = max(worst, peak - total)
+    assert max_drawdown(df, ["k"]).first().maximum_drawdown == worst

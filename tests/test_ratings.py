@@ -98,6 +98,9 @@ def test_opponent_adjusted_xg(table, rows):
 
 
 def test_unknown_teams_start_at_the_default(spark, table):
-    f = spark.createDataFrame([(1, 0, 999)], "match_id long, home long, away long")
-    r = E.elo_prediction_rows(f, E.elo_state(table.where("pool = 0"))).first()
+    f = spark.createDataFrame([(1, 0, 0, 999)], "match_id long, pool long, home long, away long")
+    # Teams of the same names in another pool do not answer.
+    state = E.elo_state(table.where("pool = 0"))
+    twice = state.unionByName(state.withColumns({"pool": F.col("pool") + 7, "rating": F.col("rating") + 99}))
+    (r,) = E.elo_prediction_rows(f, twice).collect()
     assert r.away_elo == 1500.0 and r.away_elo_trend == 0.0

@@ -84,15 +84,21 @@ def test_suggested_width_follows_the_busiest_key(skewed):
     assert W.suggest_chunk_days(skewed, ["team"], target_rows=busiest // 10) <= 70
 
 
-@pytest.mark.parametrize("slices", [4, 64])
-def test_sliced_rank(skewed, slices):
-    plain = Window.partitionBy("season").orderBy(F.col("points").desc())
+@pytest.mark.parametrize("rows", [10, 500, 1_000_000])
+def test_ranks_in_slices(skewed, monkeypatch, rows):
+    monkeypatch.setattr(W, "SLICE_ROWS", rows)
+    plain = Window.partitionBy("season").orderBy(F.col("points").desc_nulls_last())
     want = skewed.select("match_id", F.rank().over(plain).alias("r"))
-    got = W.sliced_rank(skewed, ["season"], "points", name="r", tied=True, slices=slices)
+    got = W.tied_rank(skewed, ["season"], "points", name="r")
     assert result(got.select("match_id", "r")) == result(want)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("x").asc_nulls_last(), "match_id")
-    want = skewed.select("match_id", F.row_number().over(order).alias("r"))
-    got = W.sliced_rank(skewed, [], "x", name="r", ties=["match_id"], descending=False, slices=slices)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("x").asc_nulls_last())
+    want = skewed.select("match_id", F.rank().over(order).alias("r"))
+    got = W.tied_rank(skewed, [], "x", name="r", descending=False)
+    assert result(got.select("match_id", "r")) == result(want)
+    drawn = skewed.withColumn("u", F.abs(F.xxhash64("match_id") % 1000) / 1000)
+    order = Window.partitionBy("season").orderBy("u", "match_id")
+    want = drawn.select("match_id", F.row_number().over(order).alias("r"))
+    got = W.uniform_rank(drawn, ["season"], "u", name="r", ties=["match_id"])
     assert result(got.select("match_id", "r")) == result(want)
 
 
