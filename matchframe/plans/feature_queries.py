@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from matchframe.functions.clean import COMPETITION_WEIGHTS
@@ -17,7 +19,7 @@ from matchframe.operators.longform import to_wide
 from matchframe.plans.clean_queries import case_map
 from matchframe.plans.registry import both_sides, query, wide_sql
 from matchframe.plans.tables import CTES, LATEST, Tables
-from matchframe.plans.windows_queries import MIDWEEK, days
+from matchframe.plans.windows_queries import MIDWEEK, days, recency_sql
 
 # --- ratings ---------------------------------------------------------------
 
@@ -28,7 +30,7 @@ ELO_COLUMNS = (
 ).split()
 
 
-def elo_sql(cfg: E.EloConfig) -> str:
+def elo_sql(cfg: E.EloConfig, source: str = "@matches") -> str:
     """Recursive twin: one step plays the n-th match of every pool."""
     carry = f"1500.0 + {cfg.carryover} * (x - 1500.0)"
     mult = "CASE WHEN abs(gd) > 1 THEN ln(abs(gd) + 1) * (2.2 / (abs(he + {ha} - ae) * 0.001 + 2.2)) ELSE 1.0 END" if cfg.margin else "1.0"
@@ -36,7 +38,7 @@ def elo_sql(cfg: E.EloConfig) -> str:
     trend = "CASE WHEN len(g[{i}]) >= 5 THEN q[{i}] - g[{i}][len(g[{i}]) - 4] ELSE 0.0 END"
     return f"""WITH RECURSIVE m AS (
       SELECT *, row_number() OVER (PARTITION BY pool ORDER BY match_date, match_id) AS rn, home - pool * 20 + 1 AS hi, away - pool * 20 + 1 AS ai, hg - ag AS gd,
-        season <> lag(season, 1, season) OVER (PARTITION BY pool ORDER BY match_date, match_id) AS fresh FROM @matches),
+        season <> lag(season, 1, season) OVER (PARTITION BY pool ORDER BY match_date, match_id) AS fresh FROM {source}),
     s AS (
       SELECT pool, 0::BIGINT AS rn, list_transform(range(20), lambda x: 1500.0::DOUBLE) AS r, list_transform(range(20), lambda x: []::DOUBLE[]) AS h,
         NULL::BIGINT AS match_id, 0.0::DOUBLE AS he, 0.0::DOUBLE AS ae, 0.0::DOUBLE AS ht, 0.0::DOUBLE AS at_ FROM (SELECT DISTINCT pool FROM m)
@@ -68,28 +70,40 @@ def w12_margin(t: Tables):
     return E.elo_features(t.matches, MARGIN)
 
 
-@query(
-    "W13_elo_state",
-    "pool:i team:i rating:d6 trend:d6",
-    f"""WITH e AS ({elo_sql(PRODUCTION).replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}),
-    x AS (SELECT m.pool, m.match_date, m.match_id, home AS team, home_elo + 30.0 * (CASE result WHEN 'H' THEN 1.0 WHEN 'A' THEN 0.0 ELSE 0.5 END
-        - 1 / (1 + pow(10, -(elo_difference + 75) / 400)))::DOUBLE AS r FROM e JOIN @matches m USING (match_id)
-      UNION ALL SELECT m.pool, m.match_date, m.match_id, away, away_elo - 30.0 * (CASE result WHEN 'H' THEN 1.0 WHEN 'A' THEN 0.0 ELSE 0.5 END
-        - 1 / (1 + pow(10, -(elo_difference + 75) / 400)))::DOUBLE FROM e JOIN @matches m USING (match_id)),
+CTES["past"] = f"SELECT * FROM @matches WHERE season < {LATEST}"
+
+
+def state_sql(source: str) -> str:
+    """Twin of the state: each team's last rating and its change over five matches."""
+    won = "(CASE result WHEN 'H' THEN 1.0 WHEN 'A' THEN 0.0 ELSE 0.5 END - 1 / (1 + pow(10, -(elo_difference + 75) / 400)))::DOUBLE"
+    return f"""WITH e AS ({elo_sql(PRODUCTION, source)}),
+    x AS (SELECT m.pool, m.match_date, m.match_id, home AS team, home_elo + 30.0 * {won} AS r FROM e JOIN {source} m USING (match_id)
+      UNION ALL SELECT m.pool, m.match_date, m.match_id, away, away_elo - 30.0 * {won} FROM e JOIN {source} m USING (match_id)),
     k AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rn FROM x)
     SELECT pool, team, max(r) FILTER (WHERE rn = 1) AS rating,
-      CASE WHEN count(*) >= 5 THEN max(r) FILTER (WHERE rn = 1) - max(r) FILTER (WHERE rn = 5) ELSE 0 END AS trend FROM k GROUP BY pool, team""",
-)
+      CASE WHEN count(*) >= 5 THEN max(r) FILTER (WHERE rn = 1) - max(r) FILTER (WHERE rn = 5) ELSE 0 END AS trend FROM k GROUP BY pool, team"""
+
+
+@query("W13_elo_state", "pool:i team:i rating:d6 trend:d6", state_sql("@matches"))
 def w13(t: Tables):
     s = E.elo_state(t.matches, PRODUCTION)
     trend = F.when(F.size("past") == E.TREND, F.col("rating") - F.col("past")[0]).otherwise(0.0)
     return s.select("pool", "team", "rating", trend.alias("trend"))
 
 
-@query("W13_elo_prediction_rows", "match_id:i " + " ".join(c + ":d6" for c in ELO_COLUMNS))
+@query(
+    "W13_elo_prediction_rows",
+    _ELO_SPEC,
+    f"""WITH st AS ({state_sql("@past")}),
+    f AS (SELECT match_id, coalesce(h.rating, 1500) AS he, coalesce(a.rating, 1500) AS ae, coalesce(h.trend, 0) AS ht, coalesce(a.trend, 0) AS at_
+      FROM @matches m LEFT JOIN st h ON h.pool = m.pool AND h.team = m.home LEFT JOIN st a ON a.pool = m.pool AND a.team = m.away WHERE season = {LATEST})
+    SELECT match_id, he AS home_elo, ae AS away_elo, he - ae AS elo_difference, he / ae AS elo_ratio,
+      CASE WHEN abs(he - ae) < 50 THEN 0 ELSE CASE WHEN abs(he - ae) < 100 THEN 1 WHEN abs(he - ae) < 200 THEN 2 ELSE 3 END * sign(he - ae) END AS elo_gap_bucket,
+      ht - at_ AS elo_recent_change, ht AS home_elo_trend, at_ AS away_elo_trend, ht - at_ AS rolling_elo_form FROM f""",
+)
 def w13_rows(t: Tables):
-    """The last season's fixtures rated from the state of the seasons before it."""
-    state = E.elo_state(t.matches.where(F.col("season") < t.latest), PRODUCTION)
+    """The latest season's fixtures rated from the state of the seasons before it."""
+    state = E.elo_state(t.past, PRODUCTION)
     return E.elo_prediction_rows(t.matches.where(F.col("season") == t.latest).select("match_id", "pool", "home", "away"), state)
 
 
@@ -100,15 +114,74 @@ XG_COLUMNS = [
 ]
 
 
-@query("W14_opponent_adjusted_xg", "match_id:i " + " ".join(c + ":d6" for c in XG_COLUMNS))
+def _xg_sql() -> str:
+    """Recursive twin of the opponent-adjusted ratings: one step plays the n-th match of every pool.
+
+    A team's past is its list of (season, attack, defence); the weighted mean is kept beside it.
+    """
+    c = E.XgConfig()
+    mean = lambda xs: f"coalesce(list_avg({xs}), lg)"
+    part = lambda i, f: f"list_transform(h[{i}], lambda x: x.{f})"
+    blocks = []
+    for side, i in (("home", "hi"), ("away", "ai")):
+        for name, f in (("attack", "a"), ("defense", "d")):
+            now = f"list_transform(list_filter(h[{i}], lambda x: x.s = season), lambda x: x.{f})"
+            blocks += [
+                f"coalesce(w[{i}].{f}, lg) / lg AS {side}_xg_{name}_rating",
+                f"{mean(f'list_slice({part(i, f)}, -5, -1)')} / lg AS {side}_xg_{name}_rating_last5",
+                f"{mean(f'list_slice({part(i, f)}, -10, -1)')} / lg AS {side}_xg_{name}_rating_last10",
+                f"CASE WHEN h[{i}][-1].s = season THEN list_avg({now}) ELSE lg END / lg AS {side}_xg_{name}_rating_season",
+            ]
+    names = [x.rsplit(" AS ", 1)[1] for x in blocks]
+    keep = ", ".join(names)
+    kind = "STRUCT(s BIGINT, a DOUBLE, d DOUBLE)"
+    ewm = lambda f, v: f"CASE WHEN x IS NULL THEN {v} ELSE {c.alpha} * {v} + {1 - c.alpha} * x.{f} END"
+    new_w = lambda p: f"{{'s': 0::BIGINT, 'a': ({ewm('a', p + 'a_')})::DOUBLE, 'd': ({ewm('d', p + 'd_')})::DOUBLE}}"
+    new_h = lambda p: f"list_append(x, {{'s': season, 'a': {p}a_, 'd': {p}d_}})"
+    clip = lambda x: f"least(greatest({x}, {c.low}), {c.high})"
+    top = c.max_goals
+    cell = lambda lam, k: f"exp(-{lam}) * pow({lam}, {k}) / {float(math.factorial(k))}"
+    grid = {k: " + ".join(f"({cell('eh', i)}) * ({cell('ea', j)})" for i in range(top + 1) for j in range(top + 1) if k(i, j)) for k in (lambda i, j: i > j, lambda i, j: i == j, lambda i, j: i < j)}
+    win, draw, loss = grid.values()
+    return f"""WITH RECURSIVE m AS (
+      SELECT *, row_number() OVER (PARTITION BY pool ORDER BY match_date, match_id) AS rn, home - pool * 20 + 1 AS hi, away - pool * 20 + 1 AS ai FROM @matches),
+    s AS (
+      SELECT pool, 0::BIGINT AS rn, list_transform(range(20), lambda x: NULL::{kind}) AS w, list_transform(range(20), lambda x: []::{kind}[]) AS h,
+        0.0::DOUBLE AS sh, 0.0::DOUBLE AS sa, NULL::BIGINT AS match_id, {", ".join(f"0.0::DOUBLE AS {n}" for n in names)}, 0.0::DOUBLE AS lh, 0.0::DOUBLE AS la
+      FROM (SELECT DISTINCT pool FROM m)
+      UNION ALL
+      SELECT pool, rn, list_transform(w, lambda x, i: CASE WHEN i = hi THEN {new_w("h")} WHEN i = ai THEN {new_w("a")} ELSE x END),
+        list_transform(h, lambda x, i: CASE WHEN i = hi THEN {new_h("h")} WHEN i = ai THEN {new_h("a")} ELSE x END), sh + hxg, sa + axg, match_id, {keep}, lh, la
+      FROM (SELECT *, hxg / greatest(away_xg_defense_rating, {c.floor}) AS ha_, axg / greatest(away_xg_attack_rating, {c.floor}) AS hd_,
+          axg / greatest(home_xg_defense_rating, {c.floor}) AS aa_, hxg / greatest(home_xg_attack_rating, {c.floor}) AS ad_
+        FROM (SELECT *, {", ".join(blocks)}
+          FROM (SELECT m.pool, m.rn, m.match_id, m.season, m.hi, m.ai, m.hxg, m.axg, s.w, s.h, s.sh, s.sa,
+              CASE WHEN s.rn > 0 THEN (s.sh + s.sa) / (2 * s.rn) ELSE {c.league[0]} END AS lg, CASE WHEN s.rn > 0 THEN s.sh / s.rn ELSE {c.league[1]} END AS lh,
+              CASE WHEN s.rn > 0 THEN s.sa / s.rn ELSE {c.league[2]} END AS la
+            FROM s JOIN m ON m.pool = s.pool AND m.rn = s.rn + 1) AS p) AS o) AS n),
+    g AS (SELECT *, home_xg_attack_rating * away_xg_defense_rating AS hv, away_xg_attack_rating * home_xg_defense_rating AS av FROM s WHERE rn > 0),
+    r AS (SELECT *, {clip(f"lh * hv * {c.home_factor}")} AS eh, {clip(f"la * av * {c.away_factor}")} AS ea FROM g),
+    q AS (SELECT *, {win} AS pw, {draw} AS pd, {loss} AS pl FROM r)
+    SELECT pool, match_id, {keep}, hv AS home_attack_vs_away_defense, av AS away_attack_vs_home_defense, hv - av AS attack_defense_matchup_score,
+      eh AS expected_home_goals_model, ea AS expected_away_goals_model, eh - ea AS expected_goal_diff_model, pw / (pw + pd + pl) AS poisson_home_win_prob,
+      pd / (pw + pd + pl) AS poisson_draw_prob, pl / (pw + pd + pl) AS poisson_away_win_prob FROM q"""
+
+
+@query("W14_opponent_adjusted_xg", "match_id:i " + " ".join(c + ":d6" for c in XG_COLUMNS), _xg_sql())
 def w14(t: Tables):
     return E.opponent_adjusted_xg(t.matches)
 
 
 _RATED = [f"{m}_weighted_{w}" for w in R.RECENCY_SCHEMES for m in ("attack_rating", "defense_rating")]
+_RATED_SOURCE = f"""SELECT t.match_id, t.is_home, t.team, t.match_date, CASE WHEN is_home = 1 THEN home_xg_attack_rating ELSE away_xg_attack_rating END AS attack_rating,
+  CASE WHEN is_home = 1 THEN home_xg_defense_rating ELSE away_xg_defense_rating END AS defense_rating FROM @t t JOIN ({_xg_sql()}) AS x USING (match_id)"""
 
 
-@query("W7_recency_weighted_ratings", "match_id:i " + both_sides(" ".join(c + ":d6" for c in _RATED)))
+@query(
+    "W7_recency_weighted_ratings",
+    "match_id:i " + both_sides(" ".join(c + ":d6" for c in _RATED)),
+    recency_sql(f"({_RATED_SOURCE}) AS rated", {"attack_rating": "attack_rating", "defense_rating": "defense_rating"}, _RATED),
+)
 def w7_ratings(t: Tables):
     """The recency schemes over the opponent-adjusted ratings."""
     return R.recency_weighted(t.long, E.rating_rows(E.opponent_adjusted_xg(t.matches), t.matches))

@@ -120,7 +120,7 @@ def europe(t: Tables):
     return R.europe_features(t.long, t.extra)
 
 
-def _recency_sql() -> str:
+def recency_sql(source: str, measures: dict[str, str], columns: list[str]) -> str:
     o = "OVER (PARTITION BY team ORDER BY match_date, match_id)"
     weights = {
         "linear": lambda a: f"(n - {a})",
@@ -129,25 +129,25 @@ def _recency_sql() -> str:
         "halflife5": lambda a: f"pow(0.5, {a} / 5.0)",
     }
     lags = ", ".join(
-        f"lag({src}, {a + 1}) {o} AS {name}_{a}" for name, src in R.RECENCY_MEASURES.items() for a in range(5)
+        f"lag({src}, {a + 1}) {o} AS {name}_{a}" for name, src in measures.items() for a in range(5)
     )
     out = []
     for s, wt in weights.items():
         den = " + ".join(f"CASE WHEN n > {a} THEN {wt(a)} ELSE 0 END" for a in range(5))
-        for name in R.RECENCY_MEASURES:
+        for name in measures:
             num = " + ".join(f"CASE WHEN n > {a} THEN {wt(a)} * {name}_{a} ELSE 0 END" for a in range(5))
             out.append(f"coalesce(CASE WHEN n > 0 THEN ({num})::DOUBLE / ({den}) END, 0) AS {name}_weighted_{s}")
     first = ", ".join(out)
-    diffs = ", ".join(f"xg_weighted_{s} - xga_weighted_{s} AS xg_diff_weighted_{s}" for s in weights)
-    return f"""WITH a AS (SELECT match_id, is_home, least(row_number() {o} - 1, 5) AS n, {lags} FROM @t),
-    b AS (SELECT match_id, is_home, {first} FROM a), f AS (SELECT *, {diffs} FROM b)
-    {wide_sql("f", " ".join(RECENCY_COLUMNS))}"""
+    diffs = ", ".join(["*", *[f"xg_weighted_{s} - xga_weighted_{s} AS xg_diff_weighted_{s}" for s in weights if "xg" in measures]])
+    return f"""WITH a AS (SELECT match_id, is_home, least(row_number() {o} - 1, 5) AS n, {lags} FROM {source}),
+    b AS (SELECT match_id, is_home, {first} FROM a), f AS (SELECT {diffs} FROM b)
+    {wide_sql("f", " ".join(columns))}"""
 
 
 RECENCY_COLUMNS = [f"{m}_weighted_{s}" for s in R.RECENCY_SCHEMES for m in [*R.RECENCY_MEASURES, "xg_diff"]]
 
 
-@query("W7_recency_weighted", "match_id:i " + both_sides(" ".join(c + ":d6" for c in RECENCY_COLUMNS)), _recency_sql())
+@query("W7_recency_weighted", "match_id:i " + both_sides(" ".join(c + ":d6" for c in RECENCY_COLUMNS)), recency_sql("@t", R.RECENCY_MEASURES, RECENCY_COLUMNS))
 def recency(t: Tables):
     return R.recency_weighted(t.long)
 
