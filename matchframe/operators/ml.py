@@ -17,11 +17,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchframe.functions.probs import P, blend, log_loss, named, normalize_probs, triple
+from matchframe.functions.probs import P, blend, hash_uniform, log_loss, named, normalize_probs, softmax3, triple
 from matchframe.operators.joins import union_by_name
 from matchframe.operators.metrics import calibration_table, ece, replicate_intervals, score_probs
 from matchframe.operators.ratings import EloConfig, elo_grid
-from matchframe.functions.probs import hash_uniform
 from matchframe.operators.tuning import MARKET, meta_features, time_split
 from matchframe.operators.windows import uniform_rank
 from matchframe.plans.stages import staged
@@ -89,6 +88,13 @@ def fit_outcome_model(
     raise ValueError(f"unknown model kind: {kind}")
 
 
+def apply_logistic(df: DataFrame, columns: Sequence[str], coefficients: Sequence[Sequence[float]], intercepts: Sequence[float]) -> DataFrame:
+    """p_home, p_draw, p_away of a multinomial model with these coefficients; a missing value counts as 0."""
+    cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    scores = [sum((x * float(w) for x, w in zip(cells, row, strict=True)), F.lit(float(b))) for row, b in zip(coefficients, intercepts, strict=True)]
+    return df.withColumns(named(softmax3(tuple(scores))))
+
+
 # --- validation ------------------------------------------------------------
 
 
@@ -140,17 +146,18 @@ def walk_forward(
 def add_one_group(df: DataFrame, base: Sequence[str], groups: dict[str, Sequence[str]], **model) -> DataFrame:
     """Metrics of base + each group and their change to the base.  Runs jobs."""
     sets = {"base": list(base), **{f"+{g}": [*base, *cols] for g, cols in groups.items()}}
-    return _with_deltas(compare_feature_sets(df, sets, **model), "base")
+    return with_deltas(compare_feature_sets(df, sets, **model), "base")
 
 
 def remove_one_group(df: DataFrame, groups: dict[str, Sequence[str]], **model) -> DataFrame:
     """Metrics of all groups but one and their change to the full set.  Runs jobs."""
     every = [c for cols in groups.values() for c in cols]
     sets = {"full": every, **{f"-{g}": [c for c in every if c not in cols] for g, cols in groups.items() if len(groups) > 1}}
-    return _with_deltas(compare_feature_sets(df, sets, **model), "full")
+    return with_deltas(compare_feature_sets(df, sets, **model), "full")
 
 
-def _with_deltas(results: DataFrame, base: str) -> DataFrame:
+def with_deltas(results: DataFrame, base: str) -> DataFrame:
+    """The change of each model's metrics to those of ``base``."""
     cols = ("log_loss", "brier_score", "ece")
     b = results.where(F.col("model_version") == base).select(F.lit(1).alias("_1"), *[F.col(c).alias("_" + c) for c in cols])
     out = results.withColumn("_1", F.lit(1)).join(F.broadcast(b), "_1")
@@ -168,12 +175,14 @@ CARRYOVER_GRID = tuple(EloConfig(k=30.0, home_advantage=75.0, carryover=c) for c
 
 def parameter_search(matches: DataFrame, configs: Sequence[EloConfig] = ELO_GRID + CARRYOVER_GRID[1:], **model) -> DataFrame:
     """Held-out scores of a rating-only model per configuration.  One rating job, one fit per configuration."""
-    rated = staged(elo_grid(matches, configs).join(matches.select("match_id", "match_date", "target"), "match_id"))
+    # Every configuration rates the same matches, so one cutoff serves all.
+    split = time_split(matches.select("match_id", "match_date", "target")).drop("match_date")
+    rated = staged(elo_grid(matches, configs).join(split, "match_id"))
     parts = []
     for n, cfg in enumerate(configs):
-        split = time_split(rated.where(F.col("config") == n))
-        fitted = fit_outcome_model(split.where("is_test = 0"), ELO_COLUMNS, **model)
-        parts.append(_scored(fitted, split.where("is_test = 1"), cfg.name).select("model_version", "target", *P))
+        one = rated.where(F.col("config") == n)
+        fitted = fit_outcome_model(one.where("is_test = 0"), ELO_COLUMNS, **model)
+        parts.append(_scored(fitted, one.where("is_test = 1"), cfg.name).select("model_version", "target", *P))
     return metrics_of(union_by_name(*parts))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchframe.functions.probs import P, log_loss, triple
 from matchframe.operators import metrics as A
 from matchframe.operators import ml as M
 from matchframe.operators import ratings as E
@@ -79,6 +80,67 @@ def m2_boosted(t: Tables):
     return M.fit_outcome_model(train, PRODUCTION, kind="boosted").transform(test.na.fill(0.0, PRODUCTION))
 
 
+# Coefficients to apply: outcome by column of ``ALL``.
+_COEFFICIENTS = [[round(0.05 * ((i * 7 + j * 3) % 11 - 5), 2) for j in range(len(ALL))] for i in range(3)]
+_INTERCEPTS = [0.2, -0.1, -0.3]
+
+
+@query(
+    "M2_apply_coefficients",
+    TRIPLE,
+    f"""WITH f AS (SELECT match_id, hg + 1.0 AS x0, ag * 2.0 AS x1, hxg AS x2, axg AS x3, coalesce(hs, 0) / 10.0 AS x4, coalesce(as_, 0) / 10.0 AS x5, coalesce(hst, 0) * 1.0 AS x6,
+      coalesce(ast, 0) * 1.0 AS x7, hxg - axg AS x8, match_id % 5 * 1.0 AS x9 FROM @matches),
+    z AS (SELECT match_id, {", ".join(f"{b} + " + " + ".join(f"({w}) * x{j}" for j, w in enumerate(row)) + f" AS z{i}" for i, (row, b) in enumerate(zip(_COEFFICIENTS, _INTERCEPTS)))} FROM f)
+    SELECT match_id, exp(z0) / (exp(z0) + exp(z1) + exp(z2)) AS p_home, exp(z1) / (exp(z0) + exp(z1) + exp(z2)) AS p_draw, exp(z2) / (exp(z0) + exp(z1) + exp(z2)) AS p_away FROM z""",
+)
+def m2_apply(t: Tables):
+    """The applying half of a logistic model, on coefficients that both sides know."""
+    c = F.col
+    cells = [
+        c("hg") + 1.0, c("ag") * 2.0, c("hxg"), c("axg"), c("hs") / 10.0, c("as_") / 10.0, c("hst") * 1.0, c("ast") * 1.0, c("hxg") - c("axg"),
+        c("match_id") % 5 * 1.0,
+    ]
+    rows = t.matches.select("match_id", *[x.alias(f"x{j}") for j, x in enumerate(cells)])
+    return M.apply_logistic(rows, [f"x{j}" for j in range(10)], _COEFFICIENTS, _INTERCEPTS)
+
+
+_CUT_SQL = """d AS (SELECT match_date, count(*) AS n FROM @matches GROUP BY ALL), c AS (SELECT *, sum(n) OVER (ORDER BY match_date) AS c, sum(n) OVER () AS tot FROM d),
+    k AS (SELECT min(match_date) AS cutoff FROM c WHERE c > floor(tot * 0.8 + 1e-9))"""
+
+
+@query(
+    "M2_fit_facts",
+    "kind:s rows:i mass:d6 valid:i better_than_prior:i",
+    f"WITH {_CUT_SQL}, n AS (SELECT count(*) AS n FROM @matches, k WHERE match_date >= cutoff) SELECT kind, n AS rows, n AS mass, n AS valid, 1 AS better_than_prior FROM n, (VALUES ('forest'), ('logistic')) AS v(kind)",
+)
+def m2_facts(t: Tables):
+    """What holds for any sound fit: it scores every test row, with chances that sum to 1, and beats the class shares on its training rows."""
+    train, test = halves(t)
+    out = None
+    share = train.groupBy("target").agg(F.count("*").alias("n"))
+    whole = share.agg(F.sum("n").alias("t"))
+    prior = share.join(F.broadcast(whole)).agg(F.sum(-F.col("n") / F.col("t") * F.log(F.col("n") / F.col("t"))).alias("prior"))
+    for kind in ("forest", "logistic"):
+        model = M.fit_outcome_model(train, ALL, kind=kind)
+        total = sum((F.col(p) for p in P), F.lit(0.0))
+        inside = F.least(*P) >= 0
+        facts = model.transform(test).agg(F.count("*").alias("rows"), F.sum(total).alias("mass"), F.sum(inside.cast("int")).alias("valid"))
+        loss = model.transform(train).agg(F.avg(log_loss(triple(), F.col("target"))).alias("loss"))
+        one = facts.join(F.broadcast(loss)).join(F.broadcast(prior)).withColumn("better_than_prior", (F.col("loss") < F.col("prior")).cast("int"))
+        one = one.withColumn("kind", F.lit(kind)).select("kind", "rows", "mass", "valid", "better_than_prior")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "M3_walk_forward_seasons",
+    "season:i matches:i",
+    "SELECT season, count(*) AS matches FROM @matches WHERE season > (SELECT min(season) FROM @matches) GROUP BY season",
+)
+def m3_seasons(t: Tables):
+    return M.walk_forward(data(t), ALL, kind="logistic").groupBy("season").agg(F.count("*").alias("matches"))
+
+
 @query("M3_walk_forward", "season:i matches:i accuracy:d6 log_loss:d6 brier_score:d6")
 def m3(t: Tables):
     return A.score_probs(M.walk_forward(data(t), ALL, kind="logistic"), ["season"])
@@ -112,6 +174,18 @@ def m5_remove(t: Tables):
     return M.remove_one_group(data(t), GROUPS, kind="logistic")
 
 
+@query(
+    "M5_deltas_to_base",
+    _DELTAS,
+    f"""WITH c AS ({cal_sql("@versions", "model_version")}), e AS (SELECT model_version, sum(abs({_ERR}) * "count") / sum("count") AS ece FROM c GROUP BY ALL),
+    s AS (SELECT model_version, {_SCORE} FROM @versions GROUP BY model_version), j AS (SELECT * FROM s JOIN e USING (model_version)), b AS (SELECT * FROM j WHERE model_version = 'production')
+    SELECT j.*, j.log_loss - b.log_loss AS log_loss_delta, j.brier_score - b.brier_score AS brier_score_delta, j.ece - b.ece AS ece_delta FROM j, b""",
+)
+def m5_deltas(t: Tables):
+    """The comparing half of the group searches, on given predictions."""
+    return M.with_deltas(M.metrics_of(t.versions), "production")
+
+
 @query("M6_parameter_search", _METRICS)
 def m6(t: Tables):
     matches = t.matches.withColumn("target", F.when(F.col("result") == "H", 0).when(F.col("result") == "D", 1).otherwise(2))
