@@ -12,9 +12,9 @@
    passage is searched with the windows that are at least as long as it plus a
    stride, so one of them holds any copy.  A window whose cosine with the passage in
    the latent space is ``cosine`` or more is a candidate.
-4. Of each run of neighbouring candidate windows the best is checked: the longest
-   common subsequence of the passage and the window, widened by half the passage on
-   either side, must hold ``share`` of the passage's words, which bears edits and
+4. Of the candidate windows in each half window's length the best is checked: the
+   longest common subsequence of the passage and the window, widened on either side by
+   half the passage and a quarter window so that it covers the others, must hold ``share`` of the passage's words, which bears edits and
    small changes of order; and the passage's answer, where the benchmark has one,
    must stand there word for word.  Passages of fewer than ``SHORT`` words must stand
    there word for word themselves.
@@ -214,19 +214,32 @@ def _stands(pattern: np.ndarray, text: np.ndarray) -> bool:
     return any((text[s : s + n] == pattern).all() for s in starts)
 
 
+def _sum_vectors(vectors: np.ndarray, term: np.ndarray, stride: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the terms' vectors per stride; ``stride`` ascends.  The j-th terms of all strides are added at once."""
+    out = np.zeros((n, vectors.shape[1]), np.float32)
+    if not len(term):
+        return out
+    begin = np.flatnonzero(np.concatenate([[True], stride[1:] != stride[:-1]]))
+    count = np.diff(np.append(begin, len(stride)))
+    order = np.argsort(-count, kind="stable")
+    begin, count = begin[order], count[order]
+    sums = np.zeros((len(begin), vectors.shape[1]), np.float32)
+    for j in range(int(count[0])):
+        m = int(np.searchsorted(-count, -j, "left"))
+        sums[:m] += vectors[term[begin[:m] + j]]
+    out[stride[begin]] = sums
+    return out
+
+
 def candidates(words: Words, block: Block, cosine: float) -> Iterator[tuple[int, int, int, int]]:
-    """(row, passage, first word, end word) of the best window of each run of windows that reach ``cosine``."""
+    """(row, passage, first word, end word): of the windows that reach ``cosine`` the best in each half window's length, widened."""
     stride, first = _strides(words)
     n = int(first[-1])
     if not n:
         return
     row = np.repeat(np.arange(len(words.counts)), np.diff(first))
     at, term = block.terms.find(words.hash)
-    sums = np.zeros((n, block.vectors.shape[1]), np.float32)
-    if len(at):
-        mine = stride[at]
-        cut = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-        sums[mine[cut]] = np.add.reduceat(block.vectors[term], cut, axis=0)
+    sums = _sum_vectors(block.vectors, term, stride[at], n)
     reach = 1
     for scale in range(1, int(block.scale.max()).bit_length()):
         # Windows twice as long: each with the one that follows it in the same row.
@@ -244,14 +257,17 @@ def candidates(words: Words, block: Block, cosine: float) -> Iterator[tuple[int,
         if not len(which):
             continue
         value = (sums[window] * block.latent[wanted[which]]).sum(1) / norm[window]
-        run = np.concatenate([[True], (which[1:] != which[:-1]) | (window[1:] > window[:-1] + 1) | (row[window[1:]] != row[window[:-1]])])
+        part = window // max(1, reach // 2)
+        run = np.concatenate([[True], (which[1:] != which[:-1]) | (part[1:] != part[:-1]) | (row[window[1:]] != row[window[:-1]])])
         number = np.cumsum(run) - 1
         order = np.lexsort((-value, number))
         best = order[np.concatenate([[True], number[order][1:] != number[order][:-1]])]
         for w, item in zip(window[best].tolist(), wanted[which[best]].tolist(), strict=True):
             r = int(row[w])
             start = int(words.first[r]) + (w - int(first[r])) * STRIDE
-            yield r, item, start, min(int(words.first[r + 1]), start + reach * STRIDE)
+            wider = len(block.words[item]) // 2 + reach * STRIDE // 4
+            end = start + reach * STRIDE + wider
+            yield r, item, max(int(words.first[r]), start - wider), min(int(words.first[r + 1]), end)
 
 
 def _scan(text_at: int, block, cosine: float, share: float):
@@ -263,8 +279,7 @@ def _scan(text_at: int, block, cosine: float, share: float):
                 found: list[dict[int, float]] = [{} for _ in range(hi - lo)]
                 for row, item, start, end in candidates(words, known, cosine):
                     m = len(known.words[item])
-                    a, b = max(int(words.first[row]), start - m // 2), min(int(words.first[row + 1]), end + m // 2)
-                    region = words.hash[a:b]
+                    region = words.hash[start:end]
                     answer = known.answers[item]
                     if answer is not None and not _stands(answer, region):
                         continue
