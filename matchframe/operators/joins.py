@@ -32,8 +32,31 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(right, list(keys), "left")
 
 
-# Widths in days of the interval index; longer or open intervals share one last level.
-INTERVAL_LEVELS = (32, 128, 512, 2048)
+# The interval index: a tree of day blocks, eight to a parent, over 262,144 days around 1970.
+FAN, LEVELS = 8, 6
+FIRST_DAY = -(FAN**LEVELS) // 2
+
+
+def _between(first: Column, last: Column, level: int) -> Column:
+    blocks = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_slot")))
+
+
+def covering_blocks(low: Column, stop: Column) -> Column:
+    """The fewest blocks of the tree that make up the days ``low`` to ``stop`` (exclusive), as (_level, _slot)."""
+    parts = []
+    for level in range(LEVELS):
+        width = FAN**level
+        first, last = F.ceil(low / width), F.floor(stop / width) - 1
+        if level == LEVELS - 1:
+            parts.append(_between(first, last, level))
+            continue
+        # What the level above covers is left out here.
+        up, down = F.ceil(low / (width * FAN)) * FAN, F.floor(stop / (width * FAN)) * FAN
+        whole = up < down
+        parts.append(_between(first, F.when(whole, up - 1).otherwise(last), level))
+        parts.append(_between(F.when(whole, down).otherwise(last + 1), last, level))
+    return F.concat(*parts)
 
 
 def active_interval_join(
@@ -48,43 +71,24 @@ def active_interval_join(
 ) -> DataFrame:
     """Pairs (event, fact) with the fact known, begun and not ended on the event's day.
 
-    Every interval sits on the level whose slots are at least as wide as it is
-    long, so it touches one or two slots; every event looks into its slot of
-    each level.  The equi key is (keys, level, slot), which keeps a busy key's
-    candidates close to its true pairs.
+    An interval, open ones included, is the union of at most a few dozen blocks of a
+    tree of days; an event's day lies in one block of each level, and in exactly one
+    block of every interval that holds it.  So the equi join on (keys, level, block)
+    gives the true pairs and nothing else.  Their number is that of the result: many
+    events of a key times many open facts of it are that many pairs.
     """
     begin = F.greatest(F.col(known), F.col(start)) if known != start else F.col(start)
-    low = F.unix_date(begin)
-    high = F.unix_date(F.col(end))
-    length = high - low + 1
-    top = len(INTERVAL_LEVELS)
-
-    def touched(level: int, width: int) -> Column:
-        return F.transform(
-            F.sequence(F.floor(low / width), F.floor(high / width)),
-            lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_slot")),
-        )
-
-    slots = F.array(F.struct(F.lit(top).alias("_level"), F.lit(0).cast("long").alias("_slot")))
-    for level, width in reversed(list(enumerate(INTERVAL_LEVELS))):
-        slots = F.when(length <= width, touched(level, width)).otherwise(slots)
+    low = F.unix_date("_from") - FIRST_DAY
+    stop = F.when(F.col(end).isNull(), FAN**LEVELS).otherwise(F.unix_date(end) - FIRST_DAY + 1)
     listed = (
         facts.withColumn("_from", begin)
         .where(F.col("_from").isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col("_from"))))
-        .select("*", F.inline(slots))
-    )
-    at = F.unix_date(F.col(day))
-    looks = F.array(
-        *[
-            F.struct(F.lit(lv).alias("_level"), F.floor(at / w).alias("_slot"))
-            for lv, w in enumerate(INTERVAL_LEVELS)
-        ],
-        F.struct(F.lit(top).alias("_level"), F.lit(0).cast("long").alias("_slot")),
+        .select("*", F.inline(covering_blocks(low, stop)))
+        .drop("_from")
     )
-    hit = events.select("*", F.inline(looks)).join(listed, [*keys, "_level", "_slot"])
-    return hit.where(
-        (F.col("_from") <= F.col(day)) & (F.col(end).isNull() | (F.col(end) >= F.col(day)))
-    ).drop("_level", "_slot", "_from")
+    at = F.unix_date(day) - FIRST_DAY
+    looks = F.array(*[F.struct(F.lit(v).alias("_level"), F.floor(at / FAN**v).alias("_slot")) for v in range(LEVELS)])
+    return events.select("*", F.inline(looks)).join(listed, [*keys, "_level", "_slot"]).drop("_level", "_slot")
 
 
 def asof_last(

@@ -132,3 +132,23 @@ def test_asof_and_intervals_against_brute_force(spark, skewed):
         for m, t, d in ev:
             seen = [(a, x) for x, ft, a, k in kept if ft == t and a < d and (known is None or k is None or k < d)]
             assert got[m] == (max(seen)[1] if seen else None)
+
+
+def test_open_intervals_give_their_true_pairs_only(spark):
+    """A key with many open facts: the equi join itself yields the true pairs, no candidates beside them."""
+    from matchframe.operators.joins import covering_blocks
+
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    facts = spark.createDataFrame([(i, 0, day(i), None) for i in range(1000)], "fact long, team long, s date, e date")
+    events = spark.createDataFrame([(i, 0, day(i * 10)) for i in range(100)], "match_id long, team long, match_date date")
+    hit = active_interval_join(events, facts, known="s", start="s", end="e")
+    assert hit.count() == sum(min(1000, i * 10 + 1) for i in range(100))
+    spans = [(a, b) for a in (0, 1, 7, 8, 63, 511) for b in (a + 1, a + 8, a + 65, a + 5000, 8**6)]
+    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", F.inline(covering_blocks(F.col("a"), F.col("b"))))
+    days = {}
+    for r in df.collect():
+        days.setdefault((r.a, r.b), []).append((r._slot * 8**r._level, (r._slot + 1) * 8**r._level))
+    for (a, b), blocks in days.items():
+        blocks.sort()
+        assert blocks[0][0] == a and blocks[-1][1] == b and len(blocks) < 90
+        assert all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))
