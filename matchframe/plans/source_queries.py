@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from matchframe import schema as S
 from matchframe.functions.clean import COMPETITION_WEIGHTS
 from matchframe.plans.clean_queries import case_map
 from matchframe.plans.registry import query
+from matchframe.plans.stages import checkpoint_dir
 from matchframe.plans.tables import CTES, Tables, date_text
 from matchframe.sources import absences as A
 from matchframe.sources import lineups as L
@@ -192,6 +195,11 @@ def s10(t: Tables):
     return a.unionByName(R.non_league_rows(teams, "teams.csv", "Non-league"))
 
 
+def _scratch(t: Tables, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query(
     "S11_union_tagged_exports",
     "source_file:s k:i name:s extra:s",
@@ -199,9 +207,12 @@ def s10(t: Tables):
     UNION ALL SELECT 'b.csv', k, name, segment FROM @names WHERE k % 2 = 1""",
 )
 def s11(t: Tables):
-    even = t.names.where("k % 2 = 0").select(F.lit("a.csv").alias("source_file"), "k", "name")
-    odd = t.names.where("k % 2 = 1").select(F.lit("b.csv").alias("source_file"), "k", "name", F.col("segment").alias("extra"))
-    return even.unionByName(odd, allowMissingColumns=True)
+    """Two exports with different columns, written as CSV to the shared folder and read as one directory."""
+    folder = _scratch(t, "exports")
+    quoted = F.concat(F.lit("<"), F.col("name"), F.lit(">")).alias("name")
+    sinks.write_table(t.names.where("k % 2 = 0").select("k", quoted), f"{folder}/a.csv", "csv")
+    sinks.write_table(t.names.where("k % 2 = 1").select("k", quoted, F.col("segment").alias("extra")), f"{folder}/b.csv", "csv")
+    return R.read_csv_dir(t.spark, folder).withColumn("name", F.regexp_replace("name", "^<|>$", ""))
 
 
 # --- absences --------------------------------------------------------------
@@ -557,5 +568,8 @@ def s24(t: Tables):
     "SELECT season, pool, count(*) AS matches, sum(hg + ag) AS goals FROM @matches GROUP BY season, pool",
 )
 def s25(t: Tables):
-    """The partitioned summary that ``write_table`` stores; the write itself is covered by the tests."""
-    return t.matches.groupBy("season", "pool").agg(F.count("*").alias("matches"), F.sum(F.col("hg") + F.col("ag")).alias("goals"))
+    """A summary written as a partitioned table to the shared folder, and read back."""
+    folder = _scratch(t, "summary")
+    summary = t.matches.groupBy("season", "pool").agg(F.count("*").alias("matches"), F.sum(F.col("hg") + F.col("ag")).alias("goals"))
+    sinks.write_table(summary, folder, partition_by=("season",))
+    return t.spark.read.parquet(folder)

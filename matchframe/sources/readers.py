@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from matchframe.functions import clean as C
 from matchframe.functions.probs import odds_to_probs
-from matchframe.operators.joins import dedupe_keep, join_one_to_one
+from matchframe.operators.joins import dedupe_keep, join_one_to_one, union_by_name
 from matchframe.schema import FIXTURE_API, XG_FILE
 
 RESULT_COLUMNS = {"Date": "match_date", "HomeTeam": "home", "AwayTeam": "away", "FTHG": "hg", "FTAG": "ag", "FTR": "result"}
@@ -250,10 +250,17 @@ def read_non_league(spark: SparkSession, files: Mapping[str, tuple[str, str]]) -
 
 
 def read_csv_dir(spark: SparkSession, path: str) -> DataFrame:
-    """Every CSV of a directory with equal headers, tagged with its file name."""
-    return spark.read.csv(f"{path}/*.csv", header=True).withColumn(
-        "source_file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    )
+    """Every CSV of a directory as text, tagged with its name; columns that one file lacks are null there.
+
+    An entry is a file or a folder of part files whose name ends in ``.csv``.  Lists the directory.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    inside = F.regexp_extract("path", r"/([^/]+[.]csv)(/[^/]*)?$", 1)
+    names = sorted(r[0] for r in listed.select(inside.alias("n")).where("n <> ''").distinct().collect())
+    if not names:
+        raise ValueError(f"no CSV files in {path}")
+    parts = [spark.read.csv(f"{path}/{n}", header=True).withColumn("source_file", F.lit(n)) for n in names]
+    return union_by_name(*parts)
 
 
 # --- tactics ---------------------------------------------------------------
