@@ -14,7 +14,42 @@ from matchframe.operators.rolling import zero
 from matchframe.operators.windows import History, real_row
 
 
-def tactical_profiles(asks: DataFrame, tactics: DataFrame, metrics: Sequence[str]) -> DataFrame:
+# The tactical measures of a team's match.
+TACTICAL_MEASURES = (
+    "average_possession",
+    "possession_score",
+    "progressive_passes",
+    "passes_per_sequence",
+    "build_up_speed",
+    "long_pass_ratio",
+    "progression_score",
+    "directness_score",
+    "PPDA",
+    "high_press_events",
+    "press_success_rate",
+    "turnovers_forced",
+    "counterpress_actions",
+    "press_intensity_score",
+    "crosses_per_match",
+    "crossing_score",
+    "through_balls",
+    "counter_attacks",
+    "fast_break_frequency",
+    "attacking_pressure_score",
+    "attacking_width_score",
+    "attacking_verticality_score",
+    "defensive_line_height_proxy",
+    "blocks",
+    "interceptions",
+    "tackles",
+    "low_block_score",
+    "high_line_score",
+    "defensive_activity_score",
+    "defensive_aggression_score",
+)
+
+
+def tactical_profiles(asks: DataFrame, tactics: DataFrame, metrics: Sequence[str] = TACTICAL_MEASURES) -> DataFrame:
     """Means of the last 5 and 10 earlier tactical rows and of the season so far; nulls are skipped.
 
     ``asks(match_id, is_home, team, season, match_date)``; ``tactics`` has one row

@@ -409,7 +409,7 @@ def w25(t: Tables):
 
 # --- tactics ---------------------------------------------------------------
 
-METRICS = ["possession", "ppda", "progression", "directness", "crosses", "defensive_activity"]
+METRICS = list(K.TACTICAL_MEASURES)
 _PROFILE_COLS = [f"{m}_{w}" for m in METRICS for w in ("last5", "last10", "season")]
 # A day's own matches are not visible: look back from the first row of the day.
 _PROFILE_SQL = f"""o AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date, match_id) AS rn FROM @tactics),
@@ -424,11 +424,7 @@ def w26(t: Tables):
     return K.tactical_profiles(t.long, t.tactics, METRICS)
 
 
-_PAIRS = {
-    "press_vs_build": ("home", "ppda", "away", "directness"), "press_vs_build_away": ("away", "ppda", "home", "directness"),
-    "possession_vs_counter": ("home", "possession", "away", "progression"), "line_vs_transition": ("home", "defensive_activity", "away", "crosses"),
-    "crossing_vs_block": ("home", "crosses", "away", "defensive_activity"),
-}
+_PAIRS = K.MATCHUPS
 _LAST10 = " ".join(f"{m}_last10" for m in METRICS)
 
 
@@ -443,7 +439,7 @@ def w27(t: Tables):
     return K.tactical_matchups(wide, METRICS, _PAIRS)
 
 
-_STYLE = ("possession", "ppda", "directness", "progression", "crosses")
+_STYLE = K.STYLE_MEASURES
 
 
 def _style_sql(prefix: str = "") -> str:

@@ -255,7 +255,7 @@ def j19(t: Tables):
 
 # --- data quality ----------------------------------------------------------
 
-_MISS = ("possession", "ppda", "progression")
+_MISS = ("average_possession", "PPDA", "build_up_speed")
 
 
 @query(

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchframe.operators.longform import to_long
+from matchframe.operators.tactics import TACTICAL_MEASURES
 
 _TP = "CAST(floor(o_totalprice) AS BIGINT)"
 
@@ -109,16 +110,12 @@ JOIN @matches AS m ON m.match_id = w.o_orderkey"""
 CTES["coached"] = """
 SELECT *, concat('M', CAST(team AS STRING), '-', CAST(CAST(floor((datediff_days + team * 37) / 170) AS BIGINT) % 4 AS STRING)) AS manager
 FROM (SELECT t.*, {days} AS datediff_days FROM @t AS t) AS x"""
-# Fourteen raw tactical measures reduced to eight, with gaps.
-CTES["tactics"] = """
-SELECT match_id, team, is_home, season, match_date, points, opponent, xgf, xga,
-  CASE WHEN match_id % 7 = 0 THEN NULL ELSE 40 + (match_id * 31 + team * 17) % 35 END * 1.0 AS possession,
-  CASE WHEN match_id % 11 = 0 THEN NULL ELSE 5 + (match_id * 13 + team * 7) % 15 END * 1.0 AS ppda,
-  10 + (match_id * 7 + team * 11) % 50 * 1.0 AS progression,
-  5 + (match_id * 3 + team * 5) % 25 * 1.0 AS directness,
-  3 + (match_id * 5 + team * 3) % 20 * 1.0 AS crosses,
-  8 + (match_id * 17 + team) % 40 * 1.0 AS defensive_activity
-FROM @t"""
+# Every tactical measure of a team's match, from its numbers, with gaps in some of them.
+CTES["tactics"] = "SELECT match_id, team, is_home, season, match_date, points, opponent, xgf, xga, " + ", ".join(
+    (f"CASE WHEN match_id % {7 + i} = 0 THEN NULL ELSE " if i % 4 == 0 else "CASE WHEN false THEN NULL ELSE ")
+    + f"{3 + 2 * i} + (match_id * {31 + 6 * i} + team * {17 + 4 * i}) % {15 + 3 * i} END * 1.0 AS {m}"
+    for i, m in enumerate(TACTICAL_MEASURES)
+) + " FROM @t"
 
 # --- text inputs for the cleaning functions and readers ---
 CTES["names"] = """
