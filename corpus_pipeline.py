@@ -34,8 +34,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal word 3-grams only the one with the smallest id stays."""
-    groups = jaccard_components(docs)
+    """Of documents whose word 5-grams agree by 80 % or more, and those linked through them, the smallest id stays."""
+    groups = jaccard_components(docs, n=5, percent=80)
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(bounded(dropped), "doc_id", "left_anti").select(*docs.columns)
 
