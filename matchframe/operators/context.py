@@ -22,13 +22,16 @@ NON_LEAGUE = (
 )
 
 
-def non_league_context(long: DataFrame, rows: DataFrame, *, source_empty: bool = False) -> DataFrame:
+def non_league_context(long: DataFrame, rows: DataFrame, *, source_empty: bool | None = None) -> DataFrame:
     """What each side did outside the league before the match day.
 
     ``rows(team, match_date, row_id, competition, points, goals_for, shots_for,
-    weight)``.  A team without rows has 14 days since any match; with
-    ``source_empty`` (no rows at all were loaded) every column is 0 instead.
+    weight)``.  A team without rows has 14 days since any match; if there are no
+    rows at all every column is 0 instead.  Unless ``source_empty`` says which it
+    is, a job looks for a first row.
     """
+    if source_empty is None:
+        source_empty = rows.isEmpty()
     asks = long.select("match_id", "is_home", "team", "match_date", F.lit(0).alias("_q"), F.lit(0).cast("long").alias("row_id"))
     facts = rows.select(
         "team", "match_date", F.lit(1).alias("_q"), F.col("row_id").cast("long").alias("row_id"),

@@ -85,7 +85,7 @@ def test_non_league_context(spark):
     got = one(K.non_league_context(to_long(late), nonleague(spark, [("A", D0(2026, 8, 12), "UEFA Super Cup", 3, 2, 8)])))
     assert (got["home_competitive_non_pl_matches_last_30_days"], got["home_preseason_matches_last_60_days"]) == (1, 0)
     assert got["home_non_pl_points_equiv_last5"] == pytest.approx(2.10)
-    empty = one(K.non_league_context(to_long(late), rows.limit(0), source_empty=True))
+    empty = one(K.non_league_context(to_long(late), rows.limit(0)))
     assert empty["home_days_since_any_match"] == 0
 
 
