@@ -23,7 +23,8 @@ values lie lower get all subtrees drawn.
 
 All draws are hashes of (seed, row key, walk, unit, place), so a row's samples do
 not depend on its partition, its neighbours or a retry.  All rows of a block walk
-side by side in NumPy; the lattices of its distinct units are built once.
+side by side in NumPy; a task keeps the lattices of its distinct units, up to
+``REMEMBER`` nodes.
 
 Scores: a unigram model's own (``scores="model"``), or, as the given vocabulary
 holds merge ranks, -log(rank + 10) (``scores="rank"``).  The model file is read where
@@ -50,7 +51,7 @@ from matchframe.llm.words import _hashes, mix, row_blocks
 from matchframe.shipping import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, BLOCK, SLACK, DEPTH = "▁", 1 << 22, 37.0, 45.0
+MARK, BLOCK, SLACK, DEPTH, REMEMBER, SLOTS = "▁", 1 << 21, 37.0, 45.0, 2_000_000, 1 << 20
 KEY = "__sample_key"
 SEGMENTATIONS = "array<struct<ids:binary,n_pieces:bigint,log_prob:double,inclusion:double>>"
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -60,7 +61,7 @@ _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 class Vocabulary:
     """A trie over piece bytes (the mark is a space), pieces by id, and scores."""
 
-    edges: np.ndarray
+    slots: np.ndarray  # node * 256 + byte of each edge in an open hash table, -1 where empty
     targets: np.ndarray
     piece: np.ndarray
     score: np.ndarray
@@ -69,9 +70,37 @@ class Vocabulary:
     byte_score: float
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child of each node, or -1."""
         key = node * 256 + byte
-        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
-        return np.where(self.edges[at] == key, self.targets[at], -1)
+        at = _slot(key)
+        found = self.slots[at]
+        out = np.where(found == key, self.targets[at], -1)
+        missed = np.flatnonzero((found != key) & (found >= 0))
+        while len(missed):
+            at[missed] = (at[missed] + 1) % SLOTS
+            found = self.slots[at[missed]]
+            hit = found == key[missed]
+            out[missed[hit]] = self.targets[at[missed[hit]]]
+            missed = missed[~hit & (found >= 0)]
+        return out
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * _A) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _hash_table(edges: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = (np.fromiter(x, np.int64, len(edges)) for x in (edges.keys(), edges.values()))
+    slots, targets = np.full(SLOTS, -1, np.int64), np.full(SLOTS, -1, np.int32)
+    at = _slot(keys)
+    while len(keys):
+        # The first edge that wants an empty slot gets it; the others move on.
+        first = np.zeros(len(keys), bool)
+        first[np.unique(at, return_index=True)[1]] = True
+        placed = first & (slots[at] < 0)
+        slots[at[placed]], targets[at[placed]] = keys[placed], values[placed]
+        keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) % SLOTS
+    return slots, targets
 
 
 def read_model(path: str = MODEL, scores: str = "rank") -> Vocabulary:
@@ -105,21 +134,20 @@ def read_model(path: str = MODEL, scores: str = "rank") -> Vocabulary:
         piece[node] = i
     byte_score = float(score[normal].min()) - 1
     score[byte_piece] = byte_score
-    keys = np.fromiter(edges.keys(), np.int64, len(edges))
-    order = np.argsort(keys)
-    targets = np.fromiter(edges.values(), np.int64, len(edges))[order]
-    return Vocabulary(keys[order], targets, np.array(piece), score, surface, byte_piece, byte_score)
+    if 4 * len(edges) > SLOTS:
+        raise ValueError("the vocabulary is too large for the edge table")
+    return Vocabulary(*_hash_table(edges), np.array(piece), score, surface, byte_piece, byte_score)
 
 
 @dataclass
 class Lattices:
-    """Edges of all distinct units by source node, the likeliest first, with log-probabilities of the next piece."""
+    """Edges of all distinct units by source node, the shortest first, with log-probabilities of the next piece."""
 
     source: np.ndarray
     target: np.ndarray
     piece: np.ndarray
     log_p: np.ndarray
-    reach: np.ndarray  # source + probability up to and including the edge
+    share: np.ndarray  # probability of the node's edges up to and including this one
     first: np.ndarray  # first edge of each node
     root: np.ndarray  # first node of each unit
     end: np.ndarray  # last node of each unit
@@ -167,36 +195,69 @@ def build_lattices(data: np.ndarray, start: np.ndarray, end: np.ndarray, v: Voca
     target = np.concatenate([target, loose + 1])
     piece = np.concatenate([piece, v.byte_piece[text[loose]]])
 
-    # Backward sums, from the units' ends: nodes at distance 1, 2, ... together.
-    far = stop[source] - source
-    order = np.argsort((far << 32) + source)
-    s, t, w, far = source[order], target[order], v.score[piece[order]], far[order]
+    order = np.argsort(source, kind="stable")
+    source, target, piece = source[order].astype(np.int32), target[order].astype(np.int32), piece[order].astype(np.int32)
+    first = np.searchsorted(source, np.arange(n + 1))
+    # Backward sums, from the units' ends: nodes at distance 1, 2, ... together, the long units first.
     back = np.full(n, -np.inf)
     back[final] = 0.0
-    cuts = np.searchsorted(far, np.arange(1, int(far[-1]) + 2))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if a < b:
-            begins = np.flatnonzero(np.concatenate([[True], s[a + 1 : b] != s[a : b - 1]]))
-            back[s[a:b][begins]] = np.logaddexp.reduceat(w[a:b] + back[t[a:b]], begins)
-    good = np.isfinite(back[target])
-    source, target, piece = source[good], target[good], piece[good]
-    log_p = v.score[piece] + back[target] - back[source]
-    # The likeliest edge of a node first; equal ones stay apart by their length.
-    order = np.argsort(source + 0.5 - 0.5 * np.exp(log_p) + 1e-7 * (target - source))
-    source, target, piece, log_p = source[order], target[order], piece[order], log_p[order]
-    first = np.searchsorted(source, np.arange(n + 1))
-    total = np.concatenate([[0.0], np.cumsum(np.exp(log_p))])
-    share = (total[1:] - total[first[source]]) / (total[first[source + 1]] - total[first[source]])
-    reach = source + share
-    lasts = first[1:][first[1:] > first[:-1]] - 1
-    reach[lasts] = source[lasts] + 1
-    return Lattices(source, target, piece.astype(np.int32), log_p, reach, first, root, final)
+    score = v.score[piece]
+    longest = np.argsort(-size, kind="stable")
+    last, far = final[longest], -size[longest]
+    for distance in range(1, int(size.max()) + 1):
+        nodes = last[: np.searchsorted(far, -distance, "right")] - distance
+        count = first[nodes + 1] - first[nodes]
+        nodes, count = nodes[count > 0], count[count > 0]
+        if len(nodes):
+            at = _ranges(first[nodes], count)
+            back[nodes] = np.logaddexp.reduceat(score[at] + back[target[at]], np.cumsum(count) - count)
+    with np.errstate(invalid="ignore"):
+        log_p = score + back[target] - back[source]
+    log_p[~np.isfinite(log_p)] = -np.inf
+    # Shares are sums of whole numbers, so that they do not depend on what else is in the block.
+    total = np.concatenate([[0], np.cumsum(np.rint(np.exp(log_p) * 2.0**34).astype(np.int64))])
+    base = total[first[source]]
+    share = (total[1:] - base) / np.maximum(1, total[first[source + 1]] - base)
+    return Lattices(source, target, piece, log_p, share, first, root, final)
+
+
+class Known:
+    """The lattices of the units seen in this task; begun anew beyond ``REMEMBER`` nodes."""
+
+    def __init__(self) -> None:
+        self.hashes, self.number, self.lattices = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, v: Vocabulary) -> tuple[Lattices, np.ndarray]:
+        """Lattices, and the number of each given unit in them."""
+        hashes, sample, back = np.unique(_hashes(data, start, end), return_index=True, return_inverse=True)
+        if self.lattices is not None and len(self.lattices.first) > REMEMBER:
+            self.__init__()
+        at = np.searchsorted(self.hashes, hashes)
+        inside = np.minimum(at, max(0, len(self.hashes) - 1))
+        new = self.hashes[inside] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        if new.any():
+            made = build_lattices(data, start[sample[new]], end[sample[new]], v)
+            units = 0 if self.lattices is None else len(self.lattices.root)
+            self.lattices = made if self.lattices is None else _join(self.lattices, made)
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            self.number = np.insert(self.number, at[new], units + np.arange(int(new.sum())))
+        return self.lattices, self.number[np.searchsorted(self.hashes, hashes)][back]
+
+
+def _join(a: Lattices, b: Lattices) -> Lattices:
+    nodes, edges = len(a.first) - 1, len(a.source)
+    both = lambda x, y: np.concatenate([x, y])
+    shift = np.int32(nodes)
+    return Lattices(
+        both(a.source, b.source + shift), both(a.target, b.target + shift), both(a.piece, b.piece), both(a.log_p, b.log_p),
+        both(a.share, b.share), both(a.first[:-1], b.first + edges), both(a.root, b.root + nodes), both(a.end, b.end + nodes),
+    )
 
 
 def _uniform(key: np.ndarray, walk: int, unit: np.ndarray, place: np.ndarray, use: int) -> np.ndarray:
     salt = np.uint64((int(_A) * (walk + 1) + int(_D) * use) % (1 << 64))
     x = key + salt + _B * unit.astype(np.uint64) + _C * place.astype(np.uint64)
-    return ((mix(mix(x)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 @dataclass
@@ -218,11 +279,10 @@ def _descend(lat: Lattices, node: np.ndarray, end: np.ndarray, key: np.ndarray,
         at = node[live]
         u = _uniform(key[live], walk, unit[live], at - root[live], 0)
         edge = lat.first[at]
-        mark = at + u
-        beyond = np.flatnonzero(lat.reach[edge] <= mark)
+        beyond = np.flatnonzero(lat.share[edge] <= u)
         while len(beyond):
             edge[beyond] += 1
-            beyond = beyond[lat.reach[edge[beyond]] <= mark[beyond]]
+            beyond = beyond[lat.share[edge[beyond]] <= u[beyond]]
         steps.append((live, edge))
         count[live] += 1
         node[live] = lat.target[edge]
@@ -297,10 +357,10 @@ def sample_block(
             keep[pick] = False
             opened = [x[keep] for x in opened]
         walks.append(Walk(edge, unit, first))
-        steps = np.concatenate([[0.0], np.cumsum(lat.log_p[edge])])
-        log_probs[walk, alive] = (steps[first[1:]] - steps[first[:-1]])[alive]
+        steps = np.concatenate([[0], np.cumsum(np.rint(lat.log_p[edge] * 2.0**32).astype(np.int64))])
+        log_probs[walk, alive] = ((steps[first[1:]] - steps[first[:-1]]) * 2.0**-32)[alive]
         row_of = np.repeat(np.arange(rows), np.diff(first))
-        prefix = steps[:-1] - steps[first[row_of]]
+        prefix = (steps[:-1] - steps[first[row_of]]) * 2.0**-32
         below = np.arange(len(edge)) >= fork[row_of]
         shallow = below & (prefix > -DEPTH)
         new = _siblings(lat, edge, unit, row_of, prefix, np.flatnonzero(shallow), value, keys, number, root, walk)
@@ -363,7 +423,7 @@ def _siblings(lat, edge, unit, row_of, prefix, at, value, keys, number, root, wa
     count = lat.first[source + 1] - lat.first[source]
     other = _ranges(lat.first[source], count)
     place = np.repeat(at, count)
-    left = other != edge[place]
+    left = (other != edge[place]) & (lat.log_p[other] > -np.inf)
     other, place = other[left], place[left]
     row = row_of[place]
     phi = prefix[place] + lat.log_p[other]
@@ -401,7 +461,7 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.repeat(np.arange(len(per_row)), per_row)
 
 
-def encode_block(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, samples: int, v: Vocabulary):
+def encode_block(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, samples: int, v: Vocabulary, known: Known):
     """(ids, offsets) of each walk, log-probabilities and inclusion scores by walk and row."""
     rows = len(offsets) - 1
     start, end, unit_row = _units(data, offsets)
@@ -410,8 +470,7 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, sample
         coded = [(np.zeros(0, np.int32), np.zeros(rows + 1, np.int64))]
         log_probs, kappa = np.zeros((1, rows)), np.full(rows, -np.inf)
     else:
-        _, sample, which = np.unique(_hashes(data, start, end), return_index=True, return_inverse=True)
-        lat = build_lattices(data, start[sample], end[sample], v)
+        lat, which = known.of(data, start, end, v)
         walks, log_probs, kappa = sample_block(lat, which, unit_row, rows, keys, samples)
         coded = [(lat.piece[w.edge], w.first) for w in walks]
         log_probs[0, empty] = 0.0
@@ -423,12 +482,13 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, sample
 def _sample(text_at: int, key_at: int, samples: int, seed: int, vocabulary, verify: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
+        known = Known()
         for batch in batches:
             column = batch.column(text_at)
             missing = column.is_null().to_numpy(zero_copy_only=False)
             key = mix(batch.column(key_at).to_numpy().view(np.uint64) + np.uint64((int(_A) * (seed + 1)) % (1 << 64)))
             for lo, hi, data, offsets in row_blocks(column, BLOCK):
-                coded, log_probs, inclusion = encode_block(data, offsets, key[lo:hi], samples, v)
+                coded, log_probs, inclusion = encode_block(data, offsets, key[lo:hi], samples, v, known)
                 has = ~np.isnan(log_probs) & ~missing[lo:hi]
                 # Row by row, walk by walk: the ids as little-endian 32-bit numbers.
                 row, walk = np.nonzero(has.T)
