@@ -14,7 +14,9 @@ import math
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,29 +186,82 @@ def _elo_columns(df: DataFrame) -> DataFrame:
     )
 
 
+class _EloGrid:
+    """``_Elo`` for many configurations at once: a team's rating is a vector with a number for each."""
+
+    def __init__(self, configs: Sequence[EloConfig]) -> None:
+        column = lambda name: np.array([float(getattr(c, name)) for c in configs])
+        self.k, self.home, self.margin = column("k"), column("home_advantage"), column("margin") > 0
+        self.initial, self.carry = column("initial"), column("carryover")
+        self.rating: dict = {}
+        self.past: dict = {}
+        self.season = None
+
+    def trend(self, team) -> np.ndarray:
+        past = self.past[team]
+        return self.rating[team] - past[0] if len(past) == TREND else np.zeros_like(self.k)
+
+    def play(self, season, home, away, goal_diff: float) -> tuple:
+        if self.season is not None and season != self.season:
+            fades = self.carry < 1.0
+            for team, r in self.rating.items():
+                self.rating[team] = np.where(fades, self.initial + self.carry * (r - self.initial), r)
+                if self.past[team] and fades.any():
+                    self.past[team].append(self.rating[team])
+        self.season = season
+        for team in (home, away):
+            if team not in self.rating:
+                self.rating[team], self.past[team] = self.initial, deque(maxlen=TREND)
+        rh, ra = self.rating[home], self.rating[away]
+        seen = (rh, ra, self.trend(home), self.trend(away))
+        lead = rh + self.home - ra
+        expected = 1.0 / (1.0 + 10.0 ** (-lead / 400.0))
+        actual = 1.0 if goal_diff > 0 else 0.0 if goal_diff < 0 else 0.5
+        size = abs(goal_diff)
+        weight = np.where(self.margin & (size > 1), math.log(size + 1.0) * (2.2 / (np.abs(lead) * 0.001 + 2.2)), 1.0)
+        change = self.k * weight * (actual - expected)
+        self.rating[home], self.rating[away] = rh + change, ra - change
+        self.past[home].append(self.rating[home])
+        self.past[away].append(self.rating[away])
+        return seen
+
+
 def elo_grid(matches: DataFrame, configs: Sequence[EloConfig]) -> DataFrame:
-    """Ratings under every configuration in one job; the unit of work is (pool, configuration)."""
-    table = list(configs)
-    rows = _elo_input(matches, None).withColumn(
-        "config", F.explode(F.array(*[F.lit(n) for n in range(len(table))]))
-    )
+    """Ratings under every configuration: one fold per pool over vectors, then a row per match and configuration.
+
+    Configurations that carry ratings over seasons unchanged and ones that do not are folded apart, as
+    only the latter put a season's start into the trend.
+    """
+    parts = []
+    table = list(enumerate(configs))
+    for fades in (False, True):
+        some = [(n, c) for n, c in table if (c.carryover < 1.0) == fades]
+        if some:
+            parts.append(_grid_fold(matches, some))
+    rated = reduce(DataFrame.unionByName, parts)
+    names = F.array(*[F.lit(c.name) for _, c in table])
+    return _elo_columns(rated).withColumn("config_name", F.get(names, F.col("config")))
+
+
+def _grid_fold(matches: DataFrame, numbered: list[tuple[int, EloConfig]]) -> DataFrame:
+    rows = _elo_input(matches, None)
     i = {c: rows.columns.index(c) for c in rows.columns}
+    configs = [c for _, c in numbered]
 
     def start():
-        elo: list[_Elo] = []
+        grid = _EloGrid(configs)
 
         def step(row):
-            if not elo:
-                elo.append(_Elo(table[row[i["config"]]]))
-            seen = elo[0].play(row[i["season"]], row[i["home"]], row[i["away"]], row[i["gd"]])
-            return (row[i["config"]], row[i["pool"]], row[i["match_id"]], *seen)
+            seen = grid.play(row[i["season"]], row[i["home"]], row[i["away"]], row[i["gd"]])
+            return (row[i["pool"]], row[i["match_id"]], *[x.tolist() for x in seen])
 
         return step, None
 
-    schema = T.StructType(_typed(rows, ["config", "pool", "match_id"]) + _RATED.fields)
-    rated = fold(rows, ["pool", "config"], ["match_date", "match_id"], start, schema)
-    names = F.array(*[F.lit(c.name) for c in table])
-    return _elo_columns(rated).withColumn("config_name", F.get(names, F.col("config")))
+    names = [f.name for f in _RATED.fields]
+    lists = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]
+    folded = fold(rows, ["pool"], ["match_date", "match_id"], start, T.StructType(_typed(rows, ["pool", "match_id"]) + lists))
+    number = F.array(*[F.lit(n) for n, _ in numbered]).alias("config")
+    return folded.select("pool", "match_id", F.inline(F.arrays_zip(number, *names)))
 
 
 def elo_state(matches: DataFrame, cfg: EloConfig = EloConfig(), state: DataFrame | None = None) -> DataFrame:

@@ -104,3 +104,18 @@ def test_unknown_teams_start_at_the_default(spark, table):
     twice = state.unionByName(state.withColumns({"pool": F.col("pool") + 7, "rating": F.col("rating") + 99}))
     (r,) = E.elo_prediction_rows(f, twice).collect()
     assert r.away_elo == 1500.0 and r.away_elo_trend == 0.0
+
+
+def test_grid_equals_single_configurations(table):
+    configs = [
+        E.EloConfig(), E.EloConfig(k=30.0, home_advantage=75.0), E.EloConfig(margin=True),
+        E.EloConfig(margin=True, carryover=0.75), E.EloConfig(k=40.0, carryover=0.5),
+    ]
+    got = {(r.config, r.match_id): r for r in E.elo_grid(table, configs).collect()}
+    assert len(got) == len(configs) * table.count()
+    for n, cfg in enumerate(configs):
+        for r in E.elo_features(table, cfg).collect():
+            one = got[n, r.match_id]
+            assert one.config_name == cfg.name
+            for c in ("home_elo", "away_elo", "home_elo_trend", "away_elo_trend"):
+                assert one[c] == pytest.approx(r[c])
