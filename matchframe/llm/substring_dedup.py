@@ -16,8 +16,9 @@ by ``window - 1`` words, so windows across the border of two factors are looked
 up like all others.  Every word under a factor is a duplicate; factors are at
 least ``window`` words long.
 
-Only pieces move (about one for ten of each document's two words and a few
-bytes per window), and once.  A block streams through its rows in (seed,
+Only pieces move, about one for every six words with five bytes per window, and
+once; a window that a document holds twice moves once, and its factor covers all
+its places.  A block streams through its rows in (seed,
 document) order and holds the distinct windows of one seed, so a passage in a
 third of all documents costs that many short rows, spread over its seeds.
 
@@ -36,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchframe.llm.words import Words, binary_column, word_blocks
+from matchframe.llm.words import Words, binary_column, mix, word_blocks
 from matchframe.shipping import ship
 
-SEED, PRINT = 4, 5
+SEED, PRINT = 3, 5
 PIECES = "seed long, doc long, place long, prints binary"
 FACTORS = "doc long, version int, lo long, hi long, source long"
 VERSION_SHIFT = 44
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def versions(words: Words) -> np.ndarray:
@@ -61,13 +63,17 @@ def _pieces(window: int):
                 if not len(at):
                     continue
                 seeds, prints = words.grams(SEED), words.grams(window)[at]
+                # A window that stands twice in a document travels once.
+                row = np.searchsorted(words.first, at, "right") - 1
+                once = np.sort(np.unique(mix(prints + row.astype(np.uint64) * ODD), return_index=True)[1])
+                at, prints = at[once], prints[once]
                 best, where = seeds[at], at.copy()
                 for j in range(1, window - SEED + 1):
                     other = seeds[at + j]
                     less = other < best
                     best = np.where(less, other, best)
                     where = np.where(less, at + j, where)
-                cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+                cut = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (at[1:] > at[:-1] + 1)]))
                 row = np.searchsorted(words.first, at[cut], "right") - 1
                 place = at[cut] - words.first[row] + (versions(words)[row] << VERSION_SHIFT)
                 marks = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8)[:, :PRINT]
@@ -142,7 +148,8 @@ def _factors(window: int):
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """The factors: words ``lo`` to ``hi`` (exclusive) of ``doc`` also stand in ``source``, a smaller id.
 
-    Ids must be integers.  Factors of neighbouring pieces overlap.
+    Ids must be integers.  Factors of neighbouring pieces overlap; a window that stands in ``doc``
+    several times is reported at its first place.
     """
     ship(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -151,13 +158,28 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return blocks.mapInArrow(_factors(window), FACTORS)
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _covered(spans: list, version: int, prints: np.ndarray, n: int, window: int) -> np.ndarray:
+    """The words of one text under its factors, and under equal windows elsewhere in it."""
+    starts = np.zeros(max(0, n - window + 1), bool)
+    for s in spans:
+        if s["version"] == version:
+            starts[s["lo"] : s["hi"] - window + 1] = True
+    if starts.any():
+        starts = np.isin(prints, prints[starts])
+    steps = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(starts)
+    steps[at] += 1
+    steps[at + window] -= 1
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _cut(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = batch.column("spans").to_pylist()
         for lo, hi, words in word_blocks(batch.column("text")):
             kept, total, removed = [], words.counts, np.zeros(hi - lo, np.int64)
             data = words.data.tobytes()
-            mine = versions(words)
+            mine, prints = versions(words), words.grams(window)
             for i in range(hi - lo):
                 a, b = words.first[i], words.first[i + 1]
                 if a == b:
@@ -165,10 +187,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 whole = data[words.start[a] : words.end[b - 1]].split()
                 if spans[lo + i]:
-                    drop = np.zeros(b - a, bool)
-                    for s in spans[lo + i]:
-                        if s["version"] == mine[i]:
-                            drop[s["lo"] : s["hi"]] = True
+                    drop = _covered(spans[lo + i], mine[i], prints[a : max(a, b - window + 1)], b - a, window)
                     removed[i] = drop.sum()
                     whole = [w for w, d in zip(whole, drop.tolist(), strict=True) if not d]
                 kept.append(b" ".join(whole))
@@ -188,5 +207,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = factors(docs, id_col, text_col, window)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("version", "lo", "hi")).alias("spans"))
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    out = given.join(spans, "doc", "left").mapInArrow(_cut, "doc long, text string, n_words long, n_removed long")
+    out = given.join(spans, "doc", "left").mapInArrow(
+        lambda batches: _cut(batches, window), "doc long, text string, n_words long, n_removed long"
+    )
     return out.withColumnRenamed("doc", id_col)
