@@ -11,15 +11,15 @@ are opened, and they are computed block by block:
    order.  The order is by frequency class, then by hash: n-grams that a count
    sketch over the whole corpus finds common come last.  Only these first columns
    are multiplied to open pairs.
-3. A column block holds the sets of one such n-gram.  A pair stays open if the
-   sizes agree and the parity bitmaps of the sets differ in no more bits than
-   the sets may differ in elements: an exact bound, as each differing element
-   flips one bit.  Of a block, a spanning forest of the open pairs leaves.  A
-   column whose estimated count passes ``BLOCK_ROWS`` is cut into row blocks.
-4. The forests' components hold every linked pair.  Each is cut into row blocks of
+3. A column block holds the sets of one such n-gram; columns of a single set go.  A
+   pair stays open if the sizes agree and the parity bitmaps of the sets differ in no
+   more bits than the sets may differ in elements: an exact bound, as each differing
+   element flips one bit.  Of a block, the components of the open pairs leave, as stars.
+   A column whose estimated count passes ``BLOCK_ROWS`` is cut into row blocks.
+4. The components of all stars hold every linked pair.  Each is cut into row blocks of
    bounded size, and each pair of row blocks is multiplied: overlap counts are
-   accumulated over chunks of columns, entries below the bound are discarded, and a
-   spanning forest of the true links leaves.  No pair list is ever emitted.
+   accumulated over chunks of columns, entries below the bound are discarded, and the
+   components of the true links leave as stars.  No pair list is ever emitted.
 5. The components of the true links give the answer; the smallest id of each
    node comes first into its component.
 
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchframe.llm.groups import components, spread_back
+from matchframe.llm.groups import bounded, components, spread_back
 from matchframe.llm.words import Words, mix, word_blocks
 from matchframe.plans.stages import staged
 from matchframe.shipping import ship
@@ -74,26 +74,27 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _profile(n: int):
-    """(doc, node, size) per row, and this task's sketch in slices (node null, slice number in doc)."""
+def _profile(n: int, percent: int):
+    """(doc, node, size, bits) per row, and this task's sketch in slices (node null, slice number in doc, counts in bits)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for lo, hi, words in word_blocks(batch.column("text"), lower=True):
-                nodes, sizes, every = [], [], []
+                nodes, sizes, bits, every = [], [], [], []
                 for grams in gram_sets(words, n):
                     nodes.append(node_of(grams))
                     sizes.append(len(grams))
+                    bits.append(_bitmap(grams, percent))
                     every.append(grams)
                 bins = (np.concatenate(every) & np.uint64(SKETCH - 1)).astype(np.int64)
                 sketch += np.bincount(bins, minlength=SKETCH)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
-                        pa.nulls(hi - lo, pa.binary()),
+                        pa.array(bits, pa.binary()),
                     ],
-                    ["doc", "node", "size", "counts"],
+                    ["doc", "node", "size", "bits"],
                 )
         if sketch.any():
             slices = [sketch[i : i + SLICE].tobytes() for i in range(0, SKETCH, SLICE)]
@@ -102,7 +103,7 @@ def _profile(n: int):
                     pa.array(range(len(slices)), pa.int64()), pa.nulls(len(slices), pa.int64()),
                     pa.nulls(len(slices), pa.int64()), pa.array(slices, pa.binary()),
                 ],
-                ["doc", "node", "size", "counts"],
+                ["doc", "node", "size", "bits"],
             )
 
     return run
@@ -110,37 +111,36 @@ def _profile(n: int):
 
 def _add_slices(part: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SLICE, np.int64)
-    for counts in part["counts"]:
+    for counts in part["bits"]:
         total += np.frombuffer(counts, np.int64)
-    return pd.DataFrame({"doc": part["doc"].iloc[:1], "counts": [total.tobytes()]})
+    return pd.DataFrame({"doc": part["doc"].iloc[:1], "bits": [total.tobytes()]})
 
 
 def _sum_sketch(profile: DataFrame) -> np.ndarray:
-    """The whole corpus's counters: SKETCH numbers, added slice by slice in tree rounds of 16 tasks' slices."""
-    slices = profile.where("counts IS NOT NULL").select("doc", "counts", F.spark_partition_id().alias("task"))
+    """The whole corpus's counters: SKETCH numbers, added slice by slice in tree rounds of 64 tasks' slices."""
+    slices = profile.where("node IS NULL").select("doc", "bits", F.spark_partition_id().alias("task"))
     tasks = slices.agg(F.max("task")).first()[0]
     while tasks:
-        tasks //= 16
-        slices = slices.withColumn("task", F.floor(F.col("task") / 16).cast("int"))
-        added = slices.groupBy("task", "doc").applyInPandas(
-            lambda key, part: _add_slices(part).assign(task=key[0]), "doc long, counts binary, task int"
+        tasks //= 64
+        slices = slices.withColumn("task", F.floor(F.col("task") / 64).cast("int")).groupBy("task", "doc").applyInPandas(
+            lambda key, part: _add_slices(part).assign(task=key[0]), "doc long, bits binary, task int"
         )
-        slices = added
     total = np.zeros(SKETCH, np.int64)
-    for row in slices.select("doc", "counts").collect():
-        total[row["doc"] * SLICE : (row["doc"] + 1) * SLICE] += np.frombuffer(row["counts"], np.int64)
+    for row in slices.select("doc", "bits").collect():
+        total[row["doc"] * SLICE : (row["doc"] + 1) * SLICE] += np.frombuffer(row["bits"], np.int64)
     return total
 
 
-def _bitmap(grams: np.ndarray) -> bytes:
-    """Parity of the elements in each of at least size / 2 bits."""
-    bits = max(64, 1 << (max(1, len(grams) // 2) - 1).bit_length())
+def _bitmap(grams: np.ndarray, percent: int) -> bytes:
+    """Parity of the elements in each bit, with twice the bits that linked sets may differ in, or up to four times."""
+    wanted = 4 * len(grams) * 2 * (100 - percent) // (100 + percent)
+    bits = max(64, 1 << (max(1, 9 * wanted // 10) - 1).bit_length())
     places = ((grams >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _openers(n: int, percent: int, sketch):
-    """(gram, block, side, node, size, bits) for the first columns of each set; one row per block of a split column."""
+    """(gram, block, node, size) for the first columns of each set; one row per block of a split column."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -148,7 +148,7 @@ def _openers(n: int, percent: int, sketch):
         done: set[int] = set()
         for batch in batches:
             for _, _, words in word_blocks(batch.column("text"), lower=True):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], []]
                 for grams in gram_sets(words, n):
                     size = len(grams)
                     node = node_of(grams)
@@ -159,7 +159,6 @@ def _openers(n: int, percent: int, sketch):
                     seen = counts[(grams & np.uint64(SKETCH - 1)).astype(np.int64)]
                     level = np.maximum(0, np.log2(np.maximum(1.0, seen / noise)).astype(np.int64) - 1)
                     picked = np.argsort(level, kind="stable")[:first]
-                    bits = _bitmap(grams)
                     blocks = (np.maximum(0.0, seen[picked] - 2 * noise) // BLOCK_ROWS).astype(np.int64) + 1
                     for gram, parts in zip(grams[picked].view(np.int64).tolist(), blocks.tolist(), strict=True):
                         mine = node % parts
@@ -168,18 +167,32 @@ def _openers(n: int, percent: int, sketch):
                     copies = int(blocks.sum())
                     out[2] += [node] * copies
                     out[3] += [size] * copies
-                    out[4] += [bits] * copies
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                     pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
-                    ["gram", "block", "node", "size", "bits"],
-                )
+                    [pa.array(x, pa.int64()) for x in out], ["gram", "block", "node", "size"]
+                )
 
     return run
 
 
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of column blocks with two different sets, each set once; rows come in block and set order."""
+    names = ["gram", "block", "node", "size"]
+    held, follows = np.zeros((4, 0), np.int64), False
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in names])], axis=1)
+        if not rows.shape[1]:
+            continue
+        rows = rows[:, np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(0)])]
+        same = (rows[:2, 1:] == rows[:2, :-1]).all(0)
+        out = rows[:, :-1][:, np.concatenate([[follows], same])[:-1] | same]
+        held, follows = rows[:, -1:], bool(same[-1]) if len(same) else follows
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+    if follows:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
+
+
 class Forest:
-    """Union-find over 0..n-1."""
+    """Union-find over 0..n-1; the smallest number is the root."""
 
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -190,10 +203,15 @@ class Forest:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         a, b = self.root(i), self.root(j)
         self.up[max(a, b)] = min(a, b)
-        return a != b
+
+    def stars(self, nodes: list[int]) -> Iterator[tuple[int, int]]:
+        """(node, root's node) of every node that is not a root."""
+        for i in range(len(nodes)):
+            if self.up[i] != i:
+                yield nodes[i], nodes[self.root(i)]
 
 
 def _fold(bits: int, width: int, target: int) -> int:
@@ -212,7 +230,7 @@ def _may_link(x: int, y: int, percent: int) -> int:
 
 
 def open_pairs(nodes: list[int], sizes: list[int], bits: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs that the bounds leave open; the lists are in size order."""
+    """The components of the pairs that the bounds leave open, as stars; the lists are in size order."""
     forest = Forest(len(nodes))
     if len(nodes) <= 32:
         maps = [(int.from_bytes(b, "big"), 8 * len(b)) for b in bits]
@@ -223,8 +241,9 @@ def open_pairs(nodes: list[int], sizes: list[int], bits: list[bytes], percent: i
                     break
                 width = min(maps[i][1], maps[j][1])
                 differ = _fold(*maps[i], width) ^ _fold(*maps[j], width)
-                if differ.bit_count() <= apart and forest.join(i, j):
-                    yield nodes[i], nodes[j]
+                if differ.bit_count() <= apart:
+                    forest.join(i, j)
+        yield from forest.stars(nodes)
         return
     size = np.array(sizes)
     width = np.array([len(b) for b in bits])
@@ -247,8 +266,8 @@ def open_pairs(nodes: list[int], sizes: list[int], bits: list[bytes], percent: i
         total = size[rows[lo:hi]] + size[i]
         apart = total - 2 * -(-percent * total // (100 + percent))
         for j in rows[lo:hi][differ <= apart].tolist():
-            if forest.join(i, j):
-                yield nodes[i], nodes[j]
+            forest.join(i, j)
+    yield from forest.stars(nodes)
 
 
 def _open(percent: int):
@@ -266,10 +285,9 @@ def _open(percent: int):
                 if key != now:
                     found += closed()
                     now, nodes, sizes, bits = key, [], [], []
-                if not nodes or nodes[-1] != node:
-                    nodes.append(node)
-                    sizes.append(size)
-                    bits.append(bit)
+                nodes.append(node)
+                sizes.append(size)
+                bits.append(bit)
             yield _pairs(found)
         yield _pairs(closed())
 
@@ -335,12 +353,14 @@ def _links(percent: int):
             total = np.array([len(g) for g in left])[:, None] + np.array([len(g) for g in right])[None, :]
             linked = 100 * shared >= percent * (total - shared)
             nodes = [side["node"].to_numpy() for side in sides]
-            place = {n: i for i, n in enumerate(part["node"].tolist())}
-            forest = Forest(len(place))
-            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-                x, y = int(nodes[0][i]), int(nodes[1][j])
-                if forest.join(place[x], place[y]):
-                    found.append((x, y))
+            # In node order, so that a component's root is its smallest node.
+            every = np.unique(part["node"].to_numpy())
+            place = [np.searchsorted(every, x) for x in nodes]
+            forest = Forest(len(every))
+            i, j = np.nonzero(linked)
+            for x, y in zip(place[0][i].tolist(), place[1][j].tolist(), strict=True):
+                forest.join(x, y)
+            found = list(forest.stars(every.tolist()))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -353,22 +373,26 @@ def jaccard_components(
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    profile = staged(given.mapInArrow(_profile(n), "doc long, node long, size long, counts binary"))
+    profile = staged(given.mapInArrow(_profile(n, percent), "doc long, node long, size long, bits binary"))
     sketch = spark.sparkContext.broadcast(_sum_sketch(profile))
-    rows = profile.where("counts IS NULL").select("doc", "node", "size")
-    nodes = rows.where("size > 0 AND doc IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.max("size").alias("size"))
+    rows = profile.where("node IS NOT NULL").select("doc", "node", "size")
+    filled = profile.where("size > 0 AND doc IS NOT NULL")
+    nodes = filled.groupBy("node").agg(F.min("doc").alias("doc"), F.max("size").alias("size"))
 
     openers = given.where("doc IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        _openers(n, percent, sketch), "gram long, block long, node long, size long, bits binary"
+        _openers(n, percent, sketch), "gram long, block long, node long, size long"
     )
-    lists = openers.repartition("gram", "block").sortWithinPartitions("gram", "block", "size", "node")
+    place = ["gram", "block", "size", "node"]
+    met = openers.repartition("gram", "block").sortWithinPartitions(*place).mapInArrow(_met, openers.schema)
+    bits = filled.groupBy("node").agg(F.any_value("bits").alias("bits"))
+    lists = met.join(bits, "node").repartition("gram", "block").sortWithinPartitions(*place)
     clusters = components(lists.mapInArrow(_open(percent), "a long, b long"))
 
     sized = clusters.join(nodes, "node").select("node", "doc", "size", F.col("label").alias("cluster"))
     blocks = sized.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_CELLS)).cast("long").alias("blocks")
     )
-    active = staged(sized.join(blocks, "cluster"))
+    active = bounded(sized.join(blocks, "cluster"))
     sets = given.join(active, "doc").mapInArrow(_sets(n), "node long, cluster long, blocks long, grams binary")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -381,8 +405,8 @@ def jaccard_components(
 
     same_id = rows.where("doc IS NOT NULL AND size > 0").select("doc", "node").distinct()
     first = same_id.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc", "a")
-    versions = first.join(same_id, "doc").select("a", F.col("node").alias("b"))
-    labels = components(links.union(versions))
+    versions = staged(first.join(same_id, "doc").select("a", F.col("node").alias("b")))
+    labels = components(links if versions.isEmpty() else links.union(versions))
     least = labels.join(nodes, "node").groupBy("label").agg(F.min("doc").alias("least"))
     verdict = nodes.join(labels, "node", "left").join(least, "label", "left")
     verdict = verdict.select("node", F.coalesce("least", "doc").alias("least"))
