@@ -59,35 +59,36 @@ def lower_letters() -> np.ndarray:
 
 def build_automaton(symbols: list[int], width: int) -> np.ndarray:
     """Transitions of the suffix automaton: a row per state, -1 for none; state 0 is the start."""
-    follow: list[dict[int, int]] = [{}]
+    # One dictionary of state * width + symbol, so that a state costs no object of its own.
+    follow: dict[int, int] = {}
     link, length, last = [-1], [0], 0
     for c in symbols:
-        state = len(follow)
-        follow.append({})
+        state = len(link)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and c not in follow[p]:
-            follow[p][c] = state
+        while p != -1 and p * width + c not in follow:
+            follow[p * width + c] = state
             p = link[p]
         if p != -1:
-            q = follow[p][c]
+            q = follow[p * width + c]
             if length[p] + 1 == length[q]:
                 link[state] = q
             else:
-                copy = len(follow)
-                follow.append(dict(follow[q]))
+                copy = len(link)
+                for x in range(width):
+                    if q * width + x in follow:
+                        follow[copy * width + x] = follow[q * width + x]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and follow[p].get(c) == q:
-                    follow[p][c] = copy
+                while p != -1 and follow.get(p * width + c) == q:
+                    follow[p * width + c] = copy
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
-    table = np.full((len(follow), width), -1, np.int32)
-    for state, edges in enumerate(follow):
-        for c, target in edges.items():
-            table[state, c] = target
+    table = np.full(len(link) * width, -1, np.int32)
+    table[np.fromiter(follow.keys(), np.int64, len(follow))] = np.fromiter(follow.values(), np.int32, len(follow))
+    table = table.reshape(-1, width)
     return table
 
 
@@ -215,7 +216,7 @@ def _predict(text_at: int, languages):
 
 def identify(
     docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-    sample_docs: int = 64, sample_chars: int = 20_000, sample_symbols: int = 40_000,
+    sample_docs: int = 64, sample_chars: int = 20_000, sample_symbols: int = 30_000,
 ) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``phrase_rate`` (phrases per symbol of the winner).
 
