@@ -180,8 +180,8 @@ def _predict(text_at: int, languages):
         known: Languages = languages.value
         table = known.symbol_table()
         for batch in batches:
-            names, scores, rates = [], [], []
-            for _, _, data, offsets in row_blocks(batch.column(text_at)):
+            for lo, hi, data, offsets in row_blocks(batch.column(text_at)):
+                names, scores, rates = [], [], []
                 # Code points per row from the byte offsets: every byte but a continuation begins one.
                 heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
                 symbols = table[np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
@@ -206,10 +206,11 @@ def _predict(text_at: int, languages):
                     names.append(known.names[best])
                     scores.append(float(1 - need[i, best] / others.min()) if len(others) else 1.0)
                     rates.append(float(need[i, best] / known.bits[best] / max(1, places[i + 1] - places[i])))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                [*batch.schema.names, *RESULTS],
-            )
+                columns = [c.slice(lo, hi - lo) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
+                    [*batch.schema.names, *RESULTS],
+                )
 
     return run
 

@@ -51,7 +51,7 @@ from matchframe.llm.words import _hashes, mix, row_blocks
 from matchframe.shipping import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, BLOCK, SLACK, DEPTH, REMEMBER, SLOTS = "▁", 1 << 21, 37.0, 45.0, 2_000_000, 1 << 20
+MARK, BLOCK, SLACK, DEPTH, REMEMBER, SLOTS = "▁", 1 << 20, 37.0, 45.0, 1_000_000, 1 << 20
 KEY = "__sample_key"
 SEGMENTATIONS = "array<struct<ids:binary,n_pieces:bigint,log_prob:double,inclusion:double>>"
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
