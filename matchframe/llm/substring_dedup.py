@@ -7,16 +7,16 @@ window's seed; equal windows have equal seeds at equal places.  All windows with
 one seed meet in one block, so parsing a document's piece against that block
 finds what parsing it against every block would.
 
-A block indexes, for each seed, the windows that start in it by a 104-bit
-fingerprint (64 bits of the seed, 40 of the window) with the smallest document
-that holds them.  A piece, the run of consecutive windows with one seed, is
+A block indexes, for each seed, the windows that start in it by their 64-bit
+hash with the smallest document that holds them; the 32 bits of the seed only
+bring equal windows together.  A piece, the run of consecutive windows with one seed, is
 factored against this index: from its first window that a smaller document
 holds, a factor runs on as long as the next window is held too.  Pieces overlap
 by ``window - 1`` words, so windows across the border of two factors are looked
 up like all others.  Every word under a factor is a duplicate; factors are at
 least ``window`` words long.
 
-Only pieces move, about one for every six words with five bytes per window, and
+Only pieces move, about one for every six words with eight bytes per window, and
 once; a window that a document holds twice moves once, and its factor covers all
 its places.  A block streams through its rows in (seed,
 document) order and holds the distinct windows of one seed, so a passage in a
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from matchframe.llm.words import Words, binary_column, mix, word_blocks
 from matchframe.shipping import ship
 
-SEED, PRINT = 3, 5
-PIECES = "seed long, doc long, place long, prints binary"
+SEED, PRINT = 3, 8
+PIECES = "seed int, doc long, place long, prints binary"
 FACTORS = "doc long, version int, lo long, hi long, source long"
 VERSION_SHIFT = 44
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -76,13 +76,13 @@ def _pieces(window: int):
                 cut = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (at[1:] > at[:-1] + 1)]))
                 row = np.searchsorted(words.first, at[cut], "right") - 1
                 place = at[cut] - words.first[row] + (versions(words)[row] << VERSION_SHIFT)
-                marks = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8)[:, :PRINT]
+                marks = np.ascontiguousarray(prints).view(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(best[cut].view(np.int64)),
+                        pa.array((best[cut] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         pa.array(ids[lo:hi][row]),
                         pa.array(place),
-                        binary_column(marks.reshape(-1), np.append(cut, len(at)) * PRINT),
+                        binary_column(marks, np.append(cut, len(at)) * PRINT),
                     ],
                     ["seed", "doc", "place", "prints"],
                 )
@@ -93,7 +93,7 @@ def _pieces(window: int):
 def _factors(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The windows of the seed that the last batch ended in, with their smallest documents.
-        open_seed, open_prints, open_docs = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        open_seed, open_prints, open_docs = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -107,21 +107,21 @@ def _factors(window: int):
             column = batch.column("prints").filter(pa.array(used))
             seed, doc, place, rank = seed[used], doc[used], place[used], rank[used]
             offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-            raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, PRINT)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :PRINT] = raw
+            prints = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64)
             count = np.diff(offsets) // PRINT
             row = np.repeat(np.arange(len(count)), count)
             step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             known = len(open_prints) if continues else 0
-            key = np.concatenate([open_prints[:known] + (1 << 40), wide.view(np.int64).ravel() + (rank[row] << 40)])
+            key = np.concatenate([open_prints[:known], prints])
+            group = np.concatenate([np.ones(known, np.int64), rank[row]])
             owner = np.concatenate([open_docs[:known], doc[row]])
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            order = np.lexsort((key, group))
+            key, group = key[order], group[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
             smallest = np.empty(len(key), np.int64)
             smallest[order] = owner[order][new][np.cumsum(new) - 1]
-            last = order[new][key[order][new] >> 40 == rank[-1]]
-            open_seed, open_prints, open_docs = seed[-1], key[last] & ((1 << 40) - 1), owner[last]
+            last = np.flatnonzero(new & (group == rank[-1]))
+            open_seed, open_prints, open_docs = seed[-1], key[last], owner[order[last]]
             source = smallest[known:]
             held = np.flatnonzero(owner[known:] > source)
             if not len(held):

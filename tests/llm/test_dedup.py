@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from matchframe.llm import jaccard_join, substring_dedup
 from matchframe.llm.exact_dedup import exact_dedup
 from matchframe.llm.groups import components, spread_back
 from matchframe.llm.line_dedup import line_dedup
+from matchframe.llm.words import Words
 
 from .common import awkward, awkward_rows, empty, prose, words
 
@@ -92,6 +95,16 @@ def test_seeds_survive_batch_borders(spark):
     assert got == sorted(brute_substrings(rows, 13), key=str)
 
 
+def test_windows_that_agree_in_40_bits_are_told_apart(monkeypatch):
+    plain = Words.grams
+    alike = lambda self, k: plain(self, k) if k < 13 else np.arange(len(self.hash) - k + 1, dtype=np.uint64) << np.uint64(40)
+    monkeypatch.setattr(Words, "grams", alike)
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([prose(12) + " x", prose(12) + " y"])], ["doc", "text"])
+    pieces = list(substring_dedup._pieces(13)([docs]))
+    assert len(set(pieces[0].column("seed").to_pylist())) == 1
+    assert sum(b.num_rows for b in substring_dedup._factors(13)(pieces)) == 0
+
+
 def brute_lines(rows, ratio, least):
     pages, seen = Counter(), Counter()
     for t, host in rows:
