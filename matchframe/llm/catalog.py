@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchframe.llm import chat
+from matchframe.llm.centroid_clustering import centroid_clusters
 from matchframe.llm.decontamination import contamination
 from matchframe.llm.exact_dedup import exact_dedup
+from matchframe.llm.importance_resampling import importance_resample
 from matchframe.llm.jaccard_join import jaccard_components
 from matchframe.llm.language_id import identify
 from matchframe.llm.line_dedup import line_dedup
+from matchframe.llm.quality_classifier import quality_scores
 from matchframe.llm.sentencepiece_sampling import sample_segmentations
 from matchframe.llm.substring_dedup import substring_dedup
 from matchframe.llm.token_counts import token_counts
@@ -196,3 +199,78 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = contamination(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "lcs")
+
+
+@register(
+    "op11_importance_resampling",
+    r"""
+WITH b AS (SELECT range AS b FROM range(256)), t1 AS (SELECT b, CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END AS c FROM b),
+t2 AS (SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t1),
+t3 AS (SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t2),
+t4 AS (SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t3),
+t5 AS (SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t4),
+t6 AS (SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t5),
+t7 AS (SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t6),
+t8 AS (SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t7),
+crc AS (SELECT list(c ORDER BY b) AS t FROM t8),
+w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+v AS (SELECT DISTINCT word, hex(encode(word)) AS x FROM (SELECT word FROM w UNION ALL SELECT word FROM q)),
+y AS (SELECT word, [4294967295] || list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT)) AS y FROM v),
+h AS (SELECT word, xor(list_reduce(y, lambda c, d: xor(c // 256, t[xor(c, d) % 256 + 1])), 4294967295) % 10000 AS bucket FROM y, crc),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN h USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM q JOIN h USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+  / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+d AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+  FROM w JOIN h USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) AS u FROM documents LEFT JOIN d USING (doc_id)),
+f AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((u + 0.5) / 4294967296))) AS BIGINT) AS score FROM e),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f WHERE n_features >= 20)
+SELECT f.*, r.rank FROM f LEFT JOIN r ON r.doc_id = f.doc_id AND r.rank <= (SELECT 10 * count(*) // 100 FROM r)""",
+)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3, seed: int = 1) -> str:
+    """The rounds one after another: every vector beside every centroid, the least (distance, number), floored means."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - u[i]) * (v[i] - u[i])))"
+    steps = [
+        f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, v AS u FROM v
+  ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS (SELECT vec_id, any_value(v) AS v, min_by(c, [d, c]) AS c, min(d) AS d
+  FROM (SELECT vec_id, v, c, CAST({distance} AS BIGINT) AS d FROM v, c{n}) GROUP BY vec_id)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""m{n} AS (SELECT c, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS u FROM (
+  SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c),
+c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.u, c{n}.u) AS u FROM c{n} LEFT JOIN m{n} ON m{n}.c = c{n}.c)"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(u, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
+@register("op12_centroid_clustering", _clustering_sql())
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_scores(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")

@@ -29,8 +29,8 @@ def test_covers_its_table(spark, name):
     assert got.count() == want.count() and got.select(key).exceptAll(want.select(key)).count() == 0
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
