@@ -1,28 +1,29 @@
 """Time splits, temperature, blend weights, overlays and selection rules.
 
-A search over a grid is one pass: each row becomes the vector of its losses, the
-vectors are averaged by partial aggregates, and the least (loss, setting) wins.
+A search over a grid is one pass: a batch of rows becomes the vector of its summed losses,
+the vectors of a key are added up, and the least (loss, setting) wins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.functions.probs import (
+    FLOOR,
     P,
-    blend,
     brier,
     draw_overlay,
     log_loss,
     named,
     normalize_probs,
     pick,
-    residual,
     softmax3,
     temperature_scale,
     triple,
@@ -30,6 +31,7 @@ from matchframe.functions.probs import (
 from matchframe.operators.metrics import bin_index
 from matchframe.operators.windows import History, exact_quantiles
 from matchframe.plans.stages import staged
+from matchframe.shipping import ship
 
 MARKET = ("m_home", "m_draw", "m_away")
 
@@ -71,29 +73,91 @@ COARSE_WEIGHTS = [i / 40 for i in range(41)]
 RESIDUAL_WEIGHTS = [round(-0.5 + 0.01 * i, 2) for i in range(101)]
 
 
-def _best(df: DataFrame, name: str, grid: Sequence[float], loss: Callable[[Column], Column], keys: Sequence[str]) -> DataFrame:
-    """The grid value with the least mean loss, by one pass: a row becomes the vector of its losses, and vectors are averaged."""
+#: Rows of a batch that are expanded over the grid at once.
+GRID_ROWS = 2_048
+
+# One row a match, one column a grid value, one layer an outcome.
+Layers = np.ndarray
+
+
+def _clipped(x: Layers) -> Layers:
+    """``normalize_probs`` of layers."""
+    x = np.clip(x, FLOOR, 1.0)
+    return x / x.sum(0)
+
+
+def _tempered(p: Layers, _: Layers, grid: np.ndarray) -> Layers:
+    q = _clipped(p) ** (1.0 / grid)
+    return q / q.sum(0)
+
+
+def _blended(p: Layers, m: Layers, grid: np.ndarray) -> Layers:
+    return _clipped(grid * p + (1.0 - grid) * m)
+
+
+def _shifted(p: Layers, m: Layers, grid: np.ndarray) -> Layers:
+    return _clipped(m + grid * (p - m))
+
+
+def _grid_sums(keys: list[str], grid: np.ndarray, mix: Callable[[Layers, Layers, np.ndarray], Layers], n_probs: int) -> Callable:
+    """Per batch and key: the number of rows and the sum of their losses for each grid value."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, np.int64)
+            if keys:
+                code = batch.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            columns = [batch.column(c).to_numpy(zero_copy_only=False)[order] for c in (*[f"_x{i}" for i in range(n_probs)], "_t")]
+            probs, target = np.stack(columns[:-1])[:, :, None].astype(float), columns[-1].astype(int)
+            names, first = np.unique(code[order], return_index=True)
+            sums = np.zeros((len(names), len(grid)))
+            for lo in range(0, len(order), GRID_ROWS):
+                part = slice(lo, lo + GRID_ROWS)
+                q = _clipped(mix(probs[:3, part], probs[3:, part], grid))
+                kept = q[target[part], np.arange(q.shape[1])]
+                here, starts = np.unique(code[order][part], return_index=True)
+                sums[np.searchsorted(names, here)] -= np.add.reduceat(np.log(kept), starts, axis=0)
+            sample = batch.take(pa.array(order[first]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * len(grid)), pa.array(sums.ravel()))
+            counts = pa.array(np.diff(np.append(first, len(order))))
+            yield pa.RecordBatch.from_arrays([*(sample.column(k) for k in keys), counts, lists], [*keys, "_n", "_l"])
+
+    return run
+
+
+def _best(df: DataFrame, name: str, grid: Sequence[float], mix: Callable, keys: Sequence[str], probs: Sequence[str]) -> DataFrame:
+    """The grid value with the least mean log loss; the smaller value of equal ones.
+
+    One pass: batches add up the losses of their rows for the whole grid, Spark adds the vectors of each
+    key.  Rows without a target or with a missing probability are left out.
+    """
+    ship(df.sparkSession)
+    keys = list(keys)
+    whole = df.dropna(subset=[*probs, "target"])
+    rows = whole.select(*keys, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(probs)], F.col("target").cast("int").alias("_t"))
+    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    work = _grid_sums(keys, np.array(grid, float), mix, len(probs))
+    parts = rows.mapInArrow(work, types + "_n long, _l array<double>")
+    sums = parts.groupBy(*keys).agg(F.sum("_n").alias("_n"), Summarizer.sum(array_to_vector("_l")).alias("_l")).where("_n > 0")
     values = F.array(*[F.lit(float(g)) for g in grid])
-    losses = df.select(*keys, array_to_vector(F.transform(values, loss)).alias("_l"))
-    means = losses.groupBy(*keys).agg(Summarizer.mean(F.col("_l")).alias("_l"))
-    pairs = F.transform(F.arrays_zip(vector_to_array("_l").alias("loss"), values.alias("v")), lambda x: F.struct(x["loss"].alias("loss"), x["v"].alias("v")))
-    best = means.select(*keys, F.array_min(pairs).alias("b"))
+    pairs = F.zip_with(vector_to_array("_l"), values, lambda x, v: F.struct((x / F.col("_n")).alias("loss"), v.alias("v")))
+    best = sums.select(*keys, F.array_min(pairs).alias("b"))
     return best.select(*keys, F.col("b.v").alias(name), F.col("b.loss").alias("loss"))
 
 
 def choose_temperature(df: DataFrame, keys: Sequence[str] = (), probs: Sequence[str] = P) -> DataFrame:
-    loss = lambda g: log_loss(temperature_scale(triple(probs), g), F.col("target"))
-    return _best(df.select(*keys, *probs, "target"), "temperature", TEMPERATURES, loss, keys)
+    return _best(df, "temperature", TEMPERATURES, _tempered, keys, probs)
 
 
 def tune_blend(df: DataFrame, grid: Sequence[float] = BLEND_WEIGHTS, keys: Sequence[str] = (), market: Sequence[str] = MARKET) -> DataFrame:
-    loss = lambda g: log_loss(blend(triple(), triple(market), g), F.col("target"))
-    return _best(df.select(*keys, *P, *market, "target"), "weight", grid, loss, keys)
+    return _best(df, "weight", grid, _blended, keys, (*P, *market))
 
 
 def tune_residual(df: DataFrame, keys: Sequence[str] = (), market: Sequence[str] = MARKET) -> DataFrame:
-    loss = lambda g: log_loss(residual(triple(), triple(market), g), F.col("target"))
-    return _best(df.select(*keys, *P, *market, "target"), "weight", RESIDUAL_WEIGHTS, loss, keys)
+    return _best(df, "weight", RESIDUAL_WEIGHTS, _shifted, keys, (*P, *market))
 
 
 def _attach(df: DataFrame, best: DataFrame, keys: Sequence[str]) -> DataFrame:
