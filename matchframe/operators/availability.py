@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.functions.probs import P, normalize_probs, triple
-from matchframe.operators.joins import active_interval_join
+from matchframe.operators.joins import active_interval_join, spell_totals
 from matchframe.operators.longform import side_value, to_wide
 
 # What is summed over absent players.
@@ -15,30 +15,23 @@ ABSENT_SUMS = ("minutes", "goals", "xg", "xa", "market_value", "defensive")
 
 def absence_totals(long: DataFrame, absences: DataFrame) -> DataFrame:
     """Per team-match: distinct absent players and sums, split into injured and suspended."""
-    hit = active_interval_join(long.select("match_id", "is_home", "team", "match_date"), absences)
-    suspended = (F.col("is_suspended") >= 1) | (F.lower("status_type") == "suspension")
-    rows = hit.withColumn("_s", F.coalesce(suspended, F.lit(False))).withColumn("_x", F.col("is_expected_starter") >= 1)
-    # One row per player first, so distinct counts become plain sums.  Placing the
-    # pairs by match serves both groupings and the join that follows.
-    per_player = rows.repartition("match_id").groupBy("match_id", "is_home", "player").agg(
-        F.max((~F.col("_s")).cast("int")).alias("i"),
-        F.max(F.col("_s").cast("int")).alias("s"),
-        F.max((~F.col("_s") & F.col("_x")).cast("int")).alias("ix"),
-        F.max((F.col("_s") & F.col("_x")).cast("int")).alias("sx"),
-        F.max(F.col("_x").cast("int")).alias("x"),
-        *[F.sum(F.when(~F.col("_s"), F.col(c)).otherwise(0.0)).alias("i_" + c) for c in ABSENT_SUMS],
-        *[F.sum(F.when(F.col("_s"), F.col(c)).otherwise(0.0)).alias("s_" + c) for c in ABSENT_SUMS],
+    suspended = F.coalesce((F.col("is_suspended") >= 1) | (F.lower("status_type") == "suspension"), F.lit(False))
+    starter = F.col("is_expected_starter") >= 1
+    kinds = {"injured": ~suspended, "suspended": suspended}
+    totals = spell_totals(
+        long.select("match_id", "is_home", "team", "match_date"),
+        absences,
+        who="player",
+        present={
+            "injured_players_count": ~suspended,
+            "injured_starters_count": ~suspended & starter,
+            "suspended_players_count": suspended,
+            "suspended_expected_starters": suspended & starter,
+            "number_of_injured_starters": starter,
+        },
+        sums={f"{kind}_missing_{c}": F.when(held, F.col(c)) for kind, held in kinds.items() for c in ABSENT_SUMS},
     )
-    totals = per_player.groupBy("match_id", "is_home").agg(
-        F.sum("i").alias("injured_players_count"),
-        F.sum("ix").alias("injured_starters_count"),
-        F.sum("s").alias("suspended_players_count"),
-        F.sum("sx").alias("suspended_expected_starters"),
-        F.sum("x").alias("number_of_injured_starters"),
-        *[F.sum("i_" + c).alias("injured_missing_" + c) for c in ABSENT_SUMS],
-        *[F.sum("s_" + c).alias("suspended_missing_" + c) for c in ABSENT_SUMS],
-    )
-    return totals.withColumns(
+    return totals.drop("team", "match_date").withColumns(
         {"missing_" + c: F.col("injured_missing_" + c) + F.col("suspended_missing_" + c) for c in ABSENT_SUMS}
     ).withColumn("injured_expected_starters", F.col("injured_starters_count"))
 
@@ -97,9 +90,11 @@ def suspension_impact(starter: Column, importance: Column, remaining: Column) ->
 
 def suspension_adjust(probs: DataFrame, long: DataFrame, suspensions: DataFrame) -> DataFrame:
     """Move mass away from sides with suspended players, home side first."""
-    active = active_suspensions(long.select("match_id", "is_home", "team", "match_date"), suspensions)
     impact = suspension_impact(F.col("expected_starter"), F.col("importance_score"), F.col("matches_remaining"))
-    per_side = active.groupBy("match_id", "is_home").agg(F.least(F.sum(impact), F.lit(MAX_TEAM_IMPACT)).alias("impact"))
+    per_side = spell_totals(
+        long.select("match_id", "is_home", "team", "match_date"), suspensions.where("matches_remaining > 0"),
+        sums={"impact": impact}, known="suspended_from", start="suspended_from", end="suspended_until",
+    ).withColumn("impact", F.least("impact", F.lit(MAX_TEAM_IMPACT)))
     per_match = per_side.groupBy("match_id").agg(
         side_value(1, "impact").alias("home_impact"), side_value(0, "impact").alias("away_impact")
     )

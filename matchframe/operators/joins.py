@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +34,11 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(right, list(keys), "left")
 
 
-# The interval index: a tree of day blocks, eight to a parent, over 262,144 days around 1970.
-FAN, LEVELS = 8, 6
+# The interval index: a tree of day blocks, eight to a parent, over 262,144 days around 1970.  Days themselves
+# (level 0) are not listed: the smallest blocks hold a week or so, and dates are compared after the join.
+FAN, LEVELS, LEAST_LEVEL = 8, 6, 1
 FIRST_DAY = -(FAN**LEVELS) // 2
+_BLOCK = "array<struct<_level:int,_slot:bigint>>"
 
 
 def _between(first: Column, last: Column, level: int) -> Column:
@@ -42,10 +46,13 @@ def _between(first: Column, last: Column, level: int) -> Column:
     return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("_level"), b.alias("_slot")))
 
 
-def covering_blocks(low: Column, stop: Column) -> Column:
-    """The fewest blocks of the tree that make up the days ``low`` to ``stop`` (exclusive), as (_level, _slot)."""
+def covering_blocks(low: Column, stop: Column, least: int = 0) -> Column:
+    """The fewest blocks of the tree that make up the days ``low`` to ``stop`` (exclusive), as (_level, _slot).
+
+    Both must be borders of blocks of the level ``least``, the smallest that is used.
+    """
     parts = []
-    for level in range(LEVELS):
+    for level in range(least, LEVELS):
         width = FAN**level
         first, last = F.ceil(low / width), F.floor(stop / width) - 1
         if level == LEVELS - 1:
@@ -59,6 +66,28 @@ def covering_blocks(low: Column, stop: Column) -> Column:
     return F.concat(*parts)
 
 
+def _slot(day: Column, level: Column | int) -> Column:
+    """The number of the day's block: days are counted from zero, and eight blocks make a block of the next level."""
+    return F.call_function("shiftright", day.cast("bigint"), F.lit(3) * level)
+
+
+def two_blocks(low: Column, stop: Column) -> Column:
+    """The one or two blocks, of the smallest ones that are as wide as the interval, that hold all of its days."""
+    level = F.lit(LEVELS - 1)
+    for least in reversed(range(LEAST_LEVEL, LEVELS - 1)):
+        level = F.when(stop - low <= FAN**least, least).otherwise(level)
+    first, last = (F.struct(level.alias("_level"), _slot(day, level).alias("_slot")) for day in (low, stop - 1))
+    return F.when(first["_slot"] == last["_slot"], F.array(first)).otherwise(F.array(first, last)).cast(_BLOCK)
+
+
+def interval_blocks(low: Column, stop: Column) -> Column:
+    """``two_blocks``, or for an interval without an end (a null ``stop``) the block of its first day and a cover of all later days."""
+    width = FAN**LEAST_LEVEL
+    start = F.array(F.struct(F.lit(LEAST_LEVEL).alias("_level"), _slot(low, LEAST_LEVEL).alias("_slot"))).cast(_BLOCK)
+    later = covering_blocks((_slot(low, LEAST_LEVEL) + 1) * width, F.lit(FAN**LEVELS), LEAST_LEVEL).cast(_BLOCK)
+    return F.when(stop.isNull() | (stop - low > FAN ** (LEVELS - 1)), F.concat(start, later)).otherwise(two_blocks(low, stop))
+
+
 def active_interval_join(
     events: DataFrame,
     facts: DataFrame,
@@ -71,24 +100,87 @@ def active_interval_join(
 ) -> DataFrame:
     """Pairs (event, fact) with the fact known, begun and not ended on the event's day.
 
-    An interval, open ones included, is the union of at most a few dozen blocks of a
-    tree of days; an event's day lies in one block of each level, and in exactly one
-    block of every interval that holds it.  So the equi join on (keys, level, block)
-    gives the true pairs and nothing else.  Their number is that of the result: many
-    events of a key times many open facts of it are that many pairs.
+    A closed fact is listed under the one or two blocks, about as wide as itself, that hold it; an open one
+    under the block of its first day and a cover of all later days, some twenty blocks.  An event looks once
+    on every level of the tree, so it meets a fact at most once, through an equi join on (keys, level, block)
+    that also compares the dates.  The pairs are the result itself: many events of a key times many open
+    facts of it are that many; ``spell_totals`` gives sums without them.
     """
     begin = F.greatest(F.col(known), F.col(start)) if known != start else F.col(start)
-    low = F.unix_date("_from") - FIRST_DAY
-    stop = F.when(F.col(end).isNull(), FAN**LEVELS).otherwise(F.unix_date(end) - FIRST_DAY + 1)
+    low, stop = F.unix_date("_from") - FIRST_DAY, F.unix_date(end) - FIRST_DAY + 1
     listed = (
         facts.withColumn("_from", begin)
         .where(F.col("_from").isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col("_from"))))
-        .select("*", F.inline(covering_blocks(low, stop)))
-        .drop("_from")
+        .withColumns({"_until": F.col(end), "_blocks": interval_blocks(low, stop)})
+        .select("*", F.inline("_blocks"))
+        .drop("_blocks")
     )
     at = F.unix_date(day) - FIRST_DAY
-    looks = F.array(*[F.struct(F.lit(v).alias("_level"), F.floor(at / FAN**v).alias("_slot")) for v in range(LEVELS)])
-    return events.select("*", F.inline(looks)).join(listed, [*keys, "_level", "_slot"]).drop("_level", "_slot")
+    looks = F.array(
+        *[F.struct(F.lit(v).alias("_level"), _slot(at, v).alias("_slot")) for v in range(LEAST_LEVEL, LEVELS)]
+    )
+    seen = events.withColumn("_day", F.col(day)).select("*", F.inline(looks)).alias("e")
+    same = [F.col(f"e.{c}") == F.col(f"f.{c}") for c in (*keys, "_level", "_slot")]
+    inside = (F.col("_from") <= F.col("_day")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("_day")))
+    # The engine takes the sides for as small as they are before the looks and blocks are listed.
+    hit = seen.join(listed.alias("f").hint("merge"), reduce(and_, same, inside))
+    given = [F.col(f"e.{c}") for c in events.columns]
+    return hit.select(*given, *[F.col(f"f.{c}") for c in facts.columns if c not in keys])
+
+
+def spell_totals(
+    asks: DataFrame,
+    facts: DataFrame,
+    *,
+    sums: dict[str, Column],
+    present: dict[str, Column] | None = None,
+    who: str | None = None,
+    keys: Sequence[str] = ("team",),
+    day: str = "match_date",
+    known: str = "report_date",
+    start: str = "unavailable_from",
+    end: str = "expected_return_date",
+    ties: Sequence[str] = ("match_id", "is_home"),
+) -> DataFrame:
+    """``asks`` with totals over the facts in force on their day, without listing the pairs.
+
+    ``sums`` adds an amount of every fact in force; ``present`` counts the distinct ``who`` with such a fact
+    that meets a condition.  Null amounts count as 0, null conditions as false, a null ``who`` as one more.
+
+    A sweep over days: a fact adds its amounts on its first day and takes them back on the day after its
+    last.  For ``present``, running counts of one ``who`` tell on which days it comes and goes, so overlapping
+    facts count once.  Changes are summed up per key and day, and an ask reads their running sum over time
+    slices.  Rows are linear in facts and asks.  Fractions are rounded to nine digits, which takes away
+    what adding and taking back leaves.
+    """
+    present = present or {}
+    begin = F.greatest(F.col(known), F.col(start)) if known != start else F.col(start)
+    whole = facts.withColumns({"_from": begin, "_until": F.col(end)}).where(
+        F.col("_from").isNotNull() & (F.col("_until").isNull() | (F.col("_until") >= F.col("_from")))
+    )
+    amount = {f"_s{i}": F.coalesce(c.cast("double"), F.lit(0.0)) for i, c in enumerate(sums.values())}
+    there = {f"_p{i}": F.coalesce(c, F.lit(False)).cast("long") for i, c in enumerate(present.values())}
+    changes = [*amount, *there]
+    edges = F.array(
+        F.struct(F.col("_from").alias("_at"), F.lit(1).alias("_sign")),
+        F.struct(F.date_add("_until", 1).alias("_at"), F.lit(-1).alias("_sign")),
+    )
+    by = [*keys, "_who"] if present else list(keys)
+    person = [F.col(who).alias("_who")] if present else []
+    moves = whole.select(*keys, *person, F.inline(edges), *[c.alias(n) for n, c in (amount | there).items()]).where("_at IS NOT NULL")
+    daily = moves.groupBy(*by, "_at").agg(*[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in changes])
+    if present:
+        upto = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        counted = daily.withColumns({f"_n{c}": F.sum(c).over(upto) for c in there})
+        came = {c: (F.col(f"_n{c}") > 0).cast("long") - (F.col(f"_n{c}") - F.col(c) > 0).cast("long") for c in there}
+        daily = counted.withColumns(came).groupBy(*keys, "_at").agg(*[F.sum(c).alias(c) for c in changes])
+    rows = asks.withColumns({"_at": F.col(day), "_q": F.lit(1)}).unionByName(daily.withColumn("_q", F.lit(0)), allowMissingColumns=True)
+    h = History(rows, keys, day="_at", ties=("_q", *ties), totals={c: F.col(c) for c in changes})
+    total = {c: F.sum(c).over(h.running()) for c in changes}
+    out = h.real(h.frame.withColumns(total)).where("_q = 1")
+    read = [F.round(F.coalesce(F.col(c), F.lit(0.0)), 9).alias(n) for c, n in zip(amount, sums, strict=True)]
+    read += [F.coalesce(F.col(c), F.lit(0)).alias(n) for c, n in zip(there, present, strict=True)]
+    return out.select(*asks.columns, *read)
 
 
 def asof_last(
