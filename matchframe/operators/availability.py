@@ -44,10 +44,9 @@ ABSENCE_FEATURES = (
 
 
 def absence_features(long: DataFrame, absences: DataFrame) -> DataFrame:
-    """One row per match, zeros for sides without absences."""
+    """One row per match with a home side, zeros for sides without absences."""
     wide = to_wide(absence_totals(long, absences), ABSENCE_FEATURES)
-    ids = long.where("is_home = 1").select("match_id")
-    return ids.join(wide, "match_id", "left").na.fill(0)
+    return wide.where(F.col(f"home_{ABSENCE_FEATURES[0]}").isNotNull()).na.fill(0)
 
 
 def availability_scores(features: DataFrame) -> DataFrame:
