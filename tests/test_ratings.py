@@ -119,3 +119,56 @@ def test_grid_equals_single_configurations(table):
             assert one.config_name == cfg.name
             for c in ("home_elo", "away_elo", "home_elo_trend", "away_elo_trend"):
                 assert one[c] == pytest.approx(r[c])
+
+
+def spread_rows():
+    """One pool of three separate leagues and a late cup that links two of them."""
+    rng = random.Random(4)
+    out = []
+    for i in range(300):
+        block = rng.randrange(3)
+        teams = [block * 6 + k for k in range(6)] if i < 240 else [0, 1, 6, 7]
+        h, a = rng.sample(teams, 2)
+        day = f"{2000 + i // 100}-{1 + (i % 100) // 10:02d}-{10 + i % 10}"
+        out.append((i, 0, 2000 + i // 100, day, h, a, rng.randrange(4), rng.randrange(4), 0.2 + rng.random(), 0.2 + rng.random()))
+    return out
+
+
+@pytest.mark.parametrize(("step_rows", "cfg"), [(150, E.EloConfig()), (60, E.EloConfig(k=30, home_advantage=75, margin=True, carryover=0.75))])
+def test_steps_equal_the_whole_fold(spark, table, step_rows, cfg):
+    wide = spark.createDataFrame(spread_rows(), "match_id long, pool long, season int, d string, home long, away long, hg int, ag int, hxg double, axg double")
+    wide = wide.withColumn("match_date", F.col("d").cast("date")).drop("d")
+    for df in (wide, table):
+        whole = {r.match_id: tuple(r)[2:6] for r in E.elo_features(df, cfg).collect()}
+        got = {r.match_id: tuple(r)[2:6] for r in E.elo_features(df, cfg, step_rows=step_rows if df is wide else 110).collect()}
+        assert got.keys() == whole.keys()
+        for k in whole:
+            assert got[k] == pytest.approx(whole[k], abs=1e-9)
+    states = [{(r.pool, r.team): (r.rating, r.season, *r.past) for r in E.elo_state(wide, cfg, step_rows=n).collect()} for n in (10**6, step_rows)]
+    assert states[0].keys() == states[1].keys()
+    for k, v in states[0].items():
+        assert states[1][k] == pytest.approx(v, abs=1e-9)
+    first, rest = wide.where("season < 2002"), wide.where("season = 2002")
+    saved = E.elo_state(first, cfg, step_rows=step_rows)
+    whole = {r.match_id: r.home_elo for r in E.elo_features(wide, cfg).where("match_id >= 200").collect()}
+    assert {r.match_id: r.home_elo for r in E.elo_features(rest, cfg, state=saved, step_rows=step_rows).collect()} == pytest.approx(whole)
+
+
+def test_xg_steps_equal_the_whole_fold(spark, table):
+    whole = {r.match_id: tuple(r)[2:20] for r in E.opponent_adjusted_xg(table).collect()}
+    got = {r.match_id: tuple(r)[2:20] for r in E.opponent_adjusted_xg(table, step_rows=70).collect()}
+    assert got.keys() == whole.keys()
+    for k in whole:
+        assert got[k] == pytest.approx(whole[k], abs=1e-9)
+
+
+def test_linked_groups(spark):
+    from matchframe.operators.waves import linked_groups, with_step
+
+    chain = [(0, k, k + 1) for k in range(20, 60)] + [(0, 5, 3), (0, 3, 9), (1, 3, 20)]
+    df = spark.createDataFrame(chain, "pool long, home long, away long")
+    got = {(r.pool, r.team): r._group for r in linked_groups(df).collect()}
+    assert got == {(0, k): 20 for k in range(20, 61)} | {(0, k): 3 for k in (3, 5, 9)} | {(1, 3): 3, (1, 20): 3}
+    days = spark.range(100).selectExpr("0L AS pool", "date_add(date'2020-01-01', cast(id / 4 AS int)) AS match_date", "id")
+    sizes = [r["count"] for r in with_step(days, 20).groupBy("_step").count().collect()]
+    assert sizes == [20] * 5
