@@ -106,20 +106,18 @@ def format_chat(
     points, 0-based, of the content of ``loss_roles``; ``attachments`` lists
     (turn, kind, ref, number, tokens) in order; ``expanded_tokens`` sums them.
     """
-    body = turns.select(
-        F.col(id_col).alias("id"),
-        F.col(turn_col).alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-        flatten(F.col(parts_col)).alias("body"),
-        attachments(F.col(parts_col)).alias("files"),
-    )
+    given = turns.select(
+        F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+        F.col(parts_col).alias("parts"),
+    )
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
-    whole = Window.partitionBy("id").orderBy("turn", "role", "body").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        body.withColumn("line", F.concat(head, F.col("body"), F.lit(CLOSE)))
-        .withColumn("place", F.row_number().over(whole))
-        .withColumn("end", F.sum(F.char_length("line")).over(whole))
+    line = F.concat(head, flatten(F.col("parts")), F.lit(CLOSE))
+    # Rows of one turn and role go by their parts as they were given, texts unescaped.
+    whole = Window.partitionBy("id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = given.withColumn("chars", F.char_length(line)).withColumns(
+        {"place": F.row_number().over(whole), "end": F.sum("chars").over(whole)}
     )
+    placed = placed.withColumns({"body": flatten(F.col("parts")), "line": line, "files": attachments(F.col("parts"))})
     length = F.char_length("body").cast("long")
     span = F.struct((F.col("end") - len(CLOSE) - length).alias("start"), length.alias("length"))
     item = F.struct(

@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.llm.groups import bounded, components, spread_back
+from matchframe.llm.shared import share
 from matchframe.llm.words import Words, mix, word_blocks
 from matchframe.plans.stages import staged
 from matchframe.shipping import ship
@@ -384,7 +385,7 @@ def jaccard_components(
     ship(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     profile = staged(given.mapInArrow(_profile(n, percent), "doc long, node long, size long, bits binary"))
-    sketch = spark.sparkContext.broadcast(_sum_sketch(profile))
+    sketch = share(spark, _sum_sketch(profile))
     rows = profile.where("node IS NOT NULL").select("doc", "node", "size")
     filled = profile.where("size > 0 AND doc IS NOT NULL")
     nodes = filled.groupBy("node").agg(F.min("doc").alias("doc"), F.max("size").alias("size"))

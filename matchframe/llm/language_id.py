@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchframe.llm.shared import share
 from matchframe.llm.words import row_blocks
 from matchframe.shipping import ship
 
@@ -236,7 +237,7 @@ def identify(
     texts: dict[str, list[str]] = {}
     for r in rows:
         texts.setdefault(r["lang"], []).append(r["text"])
-    languages = spark.sparkContext.broadcast(fit(texts, sample_symbols))
+    languages = share(spark, fit(texts, sample_symbols))
     given = docs.drop(*RESULTS)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
     return given.mapInArrow(

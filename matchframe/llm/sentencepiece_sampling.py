@@ -47,11 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchframe.llm.shared import share
 from matchframe.llm.words import _hashes, mix, row_blocks
 from matchframe.shipping import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MARK, BLOCK, SLACK, DEPTH, REMEMBER, SLOTS = "▁", 1 << 20, 37.0, 45.0, 1_000_000, 1 << 20
+MARK, BLOCK, SLACK, DEPTH, REMEMBER, SLOTS = "▁", 1 << 18, 37.0, 45.0, 400_000, 1 << 20
 KEY = "__sample_key"
 SEGMENTATIONS = "array<struct<ids:binary,n_pieces:bigint,log_prob:double,inclusion:double>>"
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -533,7 +534,7 @@ def sample_segmentations(
     ``ids`` holds the piece ids as little-endian 32-bit numbers.  Reads the model where the plan is made.
     """
     ship(docs.sparkSession)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_model(path, scores))
+    vocabulary = share(docs.sparkSession, read_model(path, scores))
     given = docs.drop("segmentations", "round_trip")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
     run = _sample(given.columns.index(text_col), len(given.columns), samples, seed, vocabulary, verify)
@@ -559,7 +560,7 @@ def _decode(ids_at: int, vocabulary):
 def decode_ids(coded: DataFrame, ids_col: str = "ids", path: str = MODEL) -> DataFrame:
     """``coded`` with ``decoded``, the text of a binary column of ids; null stays null."""
     ship(coded.sparkSession)
-    vocabulary = coded.sparkSession.sparkContext.broadcast(read_model(path))
+    vocabulary = share(coded.sparkSession, read_model(path))
     given = coded.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
     return given.mapInArrow(_decode(given.columns.index(ids_col), vocabulary), f"{schema}, decoded string")

@@ -22,12 +22,12 @@ def sha(text) -> str:
     return hashlib.sha256((text or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize(("keep", "runs", "fan_in"), [("max", 16, 4), ("min", 5, 2), ("max", 1, 2)])
+@pytest.mark.parametrize(("keep", "runs", "fan_in"), [("max", 16, 4), ("min", 5, 2), ("max", 1, 2), ("min", 30, 8)])
 def test_exact_dedup(spark, keep, runs, fan_in):
     groups = defaultdict(list)
     for i, t, *_ in awkward_rows():
         groups[t or ""].append(i)
-    got = sorted((tuple(r) for r in exact_dedup(awkward(spark), keep=keep, runs=runs, fan_in=fan_in).collect()), key=str)
+    got = sorted((tuple(r) for r in exact_dedup(awkward(spark).repartition(runs), keep=keep, fan_in=fan_in).collect()), key=str)
     want = []
     for i, t, *_ in awkward_rows():
         ids = [x for x in groups[t or ""] if x is not None]
@@ -36,6 +36,20 @@ def test_exact_dedup(spark, keep, runs, fan_in):
     assert got == sorted(want, key=str)
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    """Every round sorts the runs that it takes together and keeps the first entry of a digest; only the first step hashes."""
+    from matchframe.llm.exact_dedup import merged_runs
+
+    rows = [(run, bytes([d]), 1, 100 * run + d, 2) for run in range(16) for d in range(20) if (run + d) % 3]
+    runs = spark.createDataFrame(rows, "run int, digest binary, size long, best long, rows long")
+    out = merged_runs(runs, 16, F.col("best").asc_nulls_last(), 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Sort [") == 2 and "Aggregate" not in plan
+    got = sorted((bytes(r.digest)[0], r.best, r.rows) for r in out.collect())
+    held = {d: [r for r in rows if r[1][0] == d] for d in range(20)}
+    assert got == [(d, min(r[3] for r in x), 2 * len(x)) for d, x in sorted(held.items())]
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(empty(spark)).count() == 0
 

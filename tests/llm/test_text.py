@@ -241,6 +241,13 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(turns.limit(0).withColumn("parts", chat.text_parts(F.col("text")))).count() == 0
 
 
+def test_chat_ties_go_by_the_text_as_given(spark):
+    rows = [(1, 0, "user", "<a"), (1, 0, "user", "Za"), (1, 0, "user", None), (1, 0, "user", "[b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chat(turns.withColumn("parts", chat.text_parts(F.col("text")))).select(chat.read_chat(F.col("formatted")).alias("t"))
+    assert [t.text for t in out.first().t] == ["", "<a", "Za", "[b"]
+
+
 def test_chat_parts(spark):
     part = lambda kind, **m: (kind, m.get("text"), m.get("ref"), m.get("width"), m.get("height"), m.get("seconds"), m.get("pages"))
     content = [
