@@ -1,4 +1,7 @@
-"""From raw documents to sampled token ids: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to sampled token ids: five stages, each written as Parquet and read again by the next.
+
+When a stage begins, the result of the one before it is written, so executors drop what that one broadcast.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,7 @@ from matchframe.llm.jaccard_join import jaccard_components
 from matchframe.llm.language_id import UNKNOWN, identify
 from matchframe.llm.line_dedup import line_dedup
 from matchframe.llm.sentencepiece_sampling import sample_segmentations
+from matchframe.llm.shared import forget
 from matchframe.plans.stages import checkpoint_dir
 
 #: A document that needs more phrases per letter than this reads like none of the learned languages.
@@ -22,6 +26,7 @@ STRANGE = 0.6
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and documents unlike every labelled language."""
+    forget(spark)
     seen = identify(docs, F.lit(True))
     fits = (F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= STRANGE)
     return seen.where(fits).select(*docs.columns)
@@ -29,12 +34,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop each source's boilerplate lines from its documents; ``n_chars`` follows the text."""
+    forget(spark)
     out = line_dedup(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose word 5-grams agree by 80 % or more, and those linked through them, the smallest id stays."""
+    forget(spark)
     groups = jaccard_components(docs, n=5, percent=80)
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(bounded(dropped), "doc_id", "left_anti").select(*docs.columns)
@@ -42,12 +49,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage, also a paraphrased one."""
+    forget(spark)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("item_ids") == 0).select(*docs.columns)
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document, in place of its text."""
+    forget(spark)
     return sample_segmentations(docs).drop("text")
 
 
