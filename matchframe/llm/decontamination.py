@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchframe.llm.shared import share
+from matchframe.llm.shared import share as send
 from matchframe.llm.words import LOWER, Words, row_blocks, split_words
 from matchframe.shipping import ship
 
@@ -110,7 +110,7 @@ def _count_terms(terms):
 
 def inverse_frequency(docs: DataFrame, text_col: str, terms: Terms) -> np.ndarray:
     """log((1 + strides) / (1 + strides with the term)) + 0.01 of each term, over all documents.  Runs a job."""
-    shared = share(docs.sparkSession, terms)
+    shared = send(docs.sparkSession, terms)
     counted = docs.select(text_col).mapInArrow(_count_terms(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     seen, strides = np.zeros(len(terms.hashes)), 0
     for r in counted.toLocalIterator():
@@ -160,7 +160,7 @@ def _add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
 
 def _product(items: DataFrame, model, basis: np.ndarray) -> np.ndarray:
     """A^T A basis; tasks' parts are added in rounds of eight."""
-    shared = share(items.sparkSession, basis)
+    shared = send(items.sparkSession, basis)
     parts = items.mapInPandas(_multiply(model, shared), "task long, part binary").withColumn("task", F.spark_partition_id().cast("long"))
     left = items.rdd.getNumPartitions()
     while left > 1:
@@ -364,7 +364,7 @@ def _prepare(docs: DataFrame, text_col: str, items: DataFrame, rank: int) -> tup
         mine = list(members)
         terms = Terms.of(np.unique(np.concatenate([words[i] for i in mine])))
         idf = block_idf[np.searchsorted(block.hashes, terms.hashes)]
-        model = share(spark, (terms, idf))
+        model = send(spark, (terms, idf))
         vectors = leading_vectors(items.where(F.col("space") == number), model, len(terms.hashes), len(mine), rank)
         latent = np.stack([w @ vectors[t] for t, w in _weights([rows[i]["text"] for i in mine], terms, idf)])
         latent /= np.maximum(1e-12, np.sqrt((latent**2).sum(1)))[:, None]
@@ -401,7 +401,7 @@ def contamination(
         block = _prepare(docs, text_col, part, rank)
         if block is None:
             continue
-        run = _scan(given.index(text_col), share(spark, block), cosine, share)
+        run = _scan(given.index(text_col), send(spark, block), cosine, share)
         name = f"__hits_{number}"
         out = out.mapInArrow(run, f"{schema}, __hits array<{HIT}>").withColumnRenamed("__hits", name)
         schema += f", `{name}` array<{HIT}>"
