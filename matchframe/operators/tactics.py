@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,17 +242,26 @@ def style_history_points(rows: DataFrame) -> DataFrame:
 ARCHETYPES = ("Balanced", "Possession Dominant", "High Press", "Direct Counterattack", "Low Block", "Cross Heavy")
 
 
-def style_embeddings(profiles: DataFrame, metrics: Sequence[str], k: int = 6, seed: int = 42) -> DataFrame:
-    """Median-imputed, standardised profiles in ``k`` clusters.  Fits models, so it runs jobs."""
+def style_embeddings(
+    profiles: DataFrame, metrics: Sequence[str], k: int = 6, seed: int = 42, rounds: int = 200, vector: str | None = None
+) -> DataFrame:
+    """Median-imputed, standardised profiles in ``k`` clusters.  Fits models, so it runs jobs.
+
+    The clusters settle: up to ``rounds`` rounds, until no centre moves.  ``vector`` names a column for the
+    standardised profile.
+    """
     imputed = [m + "_i" for m in metrics]
     model = Pipeline(
         stages=[
             Imputer(strategy="median", inputCols=list(metrics), outputCols=imputed),
             VectorAssembler(inputCols=imputed, outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_z", withMean=True),
-            KMeans(featuresCol="_z", predictionCol="team_style_cluster", k=k, seed=seed),
+            KMeans(featuresCol="_z", predictionCol="team_style_cluster", k=k, seed=seed, maxIter=rounds, tol=0.0),
         ]
     ).fit(profiles)
     names = F.array(*[F.lit(a) for a in ARCHETYPES])
-    out = model.transform(profiles).drop("_raw", "_z", *imputed)
+    out = model.transform(profiles)
+    if vector is not None:
+        out = out.withColumn(vector, vector_to_array("_z"))
+    out = out.drop("_raw", "_z", *imputed)
     return out.withColumn("team_style_archetype", F.coalesce(F.get(names, F.col("team_style_cluster")), F.lit("Balanced")))

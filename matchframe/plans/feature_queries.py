@@ -18,6 +18,7 @@ from matchframe.operators import tactics as K
 from matchframe.operators.longform import to_wide
 from matchframe.plans.clean_queries import case_map
 from matchframe.plans.registry import both_sides, query, wide_sql
+from matchframe.plans.stages import staged
 from matchframe.plans.tables import CTES, LATEST, Tables
 from matchframe.plans.windows_queries import MIDWEEK, days, recency_sql
 
@@ -474,6 +475,30 @@ def w30(t: Tables):
     return K.style_embeddings(profiles, METRICS)
 
 
+@query(
+    "W30_style_facts",
+    "profiles:i clusters:i misplaced:i misnamed:i",
+    "SELECT count(DISTINCT (season, team)) AS profiles, 6 AS clusters, 0 AS misplaced, 0 AS misnamed FROM @tactics",
+)
+def w30_facts(t: Tables):
+    """What holds of settled clusters: six of them are in use, and no profile is nearer to another one's mean."""
+    profiles = t.tactics.groupBy("season", "team").agg(*[F.avg(m).alias(m) for m in METRICS])
+    rows = staged(K.style_embeddings(profiles, METRICS, vector="z").select("team_style_cluster", "team_style_archetype", "z"))
+    places = range(len(METRICS))
+    means = rows.groupBy("team_style_cluster").agg(F.array(*[F.avg(F.col("z")[i]) for i in places]).alias("mean"))
+    # Six rows, whatever the size of the data.
+    centres = means.agg(F.collect_list(F.struct("team_style_cluster", "mean")).alias("centres"), F.count("*").alias("clusters"))
+    away = lambda c: F.aggregate(F.zip_with("z", c["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    gap = F.transform("centres", lambda c: F.struct(away(c).alias("d"), c["team_style_cluster"].alias("k")))
+    own = F.filter(gap, lambda g: g["k"] == F.col("team_style_cluster"))[0]["d"]
+    wrong = F.array_min(gap)["d"] < own - 1e-9
+    named = F.array(*[F.lit(a) for a in K.ARCHETYPES])[F.col("team_style_cluster")] == F.col("team_style_archetype")
+    return rows.crossJoin(F.broadcast(centres)).agg(
+        F.count("*").alias("profiles"), F.max("clusters").alias("clusters"),
+        F.sum(wrong.cast("long")).alias("misplaced"), F.sum((~named).cast("long")).alias("misnamed"),
+    )
+
+
 # --- calendar --------------------------------------------------------------
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchframe.operators import joins as J
 from matchframe.operators import quality as Q
+from matchframe.operators import ratings as E
 from matchframe.operators import rolling as R
 from matchframe.operators.longform import to_long, to_wide
 from matchframe.plans.registry import query, wide_sql
@@ -451,10 +455,40 @@ def d13(t: Tables):
     return Q.field_availability(t.matches, {"shots": ["hs", "as_"], "possession": ["possession"]}, "results")
 
 
+_CUTOFFS = ("1996-02-11", "1998-07-01", "2000-10-30")
+
+
 @query(
     "D14_leakage_check",
-    "match_id:i side:s",
-    "SELECT match_id, 'none' AS side FROM @matches WHERE match_id < 0",
+    "builder:s cutoff:s match_id:i side:s",
+    "SELECT '' AS builder, '' AS cutoff, match_id, '' AS side FROM @matches WHERE match_id < 0",
 )
 def d14(t: Tables):
-    return Q.leakage_check(R.match_features, t.long, "1998-07-01")
+    """Four builders at three dates: no row."""
+    builders = {
+        "form": (R.match_features, t.long), "head_to_head": (R.head_to_head, t.matches),
+        "elo": (E.elo_features, t.matches), "opponent_adjusted_xg": (E.opponent_adjusted_xg, t.matches),
+    }
+    checks = [
+        Q.leakage_check(build, source, day).select(F.lit(name).alias("builder"), F.lit(day).alias("cutoff"), "match_id", "side")
+        for name, (build, source) in builders.items()
+        for day in _CUTOFFS
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+def _season_size(df: DataFrame) -> DataFrame:
+    """A leak: the matches of the whole season, later ones included."""
+    sizes = df.groupBy("pool", "season").agg(F.count("*").alias("season_matches"))
+    return df.select("match_id", "pool", "season").join(sizes, ["pool", "season"])
+
+
+@query(
+    "D14_planted_leak",
+    "match_id:i side:s season_matches:i",
+    f"""WITH b AS (SELECT pool, season, count(*) AS f, count(*) FILTER (WHERE match_date < DATE '{_CUTOFFS[1]}') AS p FROM @matches GROUP BY ALL HAVING f > p),
+    e AS (SELECT match_id, f, p FROM @matches JOIN b USING (pool, season) WHERE match_date < DATE '{_CUTOFFS[1]}')
+    SELECT match_id, 'full' AS side, f AS season_matches FROM e UNION ALL SELECT match_id, 'truncated', p FROM e""",
+)
+def d14_planted(t: Tables):
+    return Q.leakage_check(_season_size, t.matches, _CUTOFFS[1]).select("match_id", "side", "season_matches")

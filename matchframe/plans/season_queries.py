@@ -186,7 +186,7 @@ def n10(t: Tables):
 @query(
     "N11_long_term_strength",
     "pool:i team:i strength:d6",
-    f"""WITH {_TABLE}, full_ AS (SELECT pool, season, count(*) AS n FROM @league GROUP BY ALL HAVING count(*) >= 80),
+    f"""WITH {_TABLE}, full_ AS (SELECT pool, season, count(*) AS n FROM @league GROUP BY ALL HAVING count(*) >= {N.MIN_SEASON_MATCHES}),
     rs AS (SELECT pool, season FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY season DESC) AS rn FROM full_) AS x WHERE rn <= 2),
     s AS (SELECT pool, team, sum(points) / sum(played) AS ppg, sum(gd) / sum(played) AS gdm FROM tb JOIN rs USING (pool, season) GROUP BY ALL),
     tm AS (SELECT DISTINCT pool, team FROM @t), j AS (SELECT tm.pool, tm.team, s.ppg, s.gdm, (tm.team % 31) * 10 + 1350.0 AS elo FROM tm LEFT JOIN s ON s.pool = tm.pool AND s.team = tm.team),
@@ -197,7 +197,7 @@ def n10(t: Tables):
 def n11(t: Tables):
     teams = t.long.select("pool", "team").distinct()
     state = teams.select("pool", "team", ((F.col("team") % 31) * 10 + 1350.0).alias("rating"))
-    return N.long_term_strength(t.league, teams, state, least=80)
+    return N.long_term_strength(t.league, teams, state)
 
 
 _SQUADS = """SELECT season, team, CASE WHEN team % 9 = 0 THEN NULL ELSE 1000000.0 * (1 + (team * 37 + season) % 400) END AS squad_market_value_eur,

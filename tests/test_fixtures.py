@@ -228,6 +228,15 @@ def test_short_season_is_ignored_for_long_term_strength(spark):
     assert got["A"] > 0 > got["B"]
 
 
+def test_seasons_below_the_rule_leave_the_rating_alone(spark):
+    """Without a season of 300 matches points and differences are even, so the strength is the rating's part."""
+    m = matches(spark, [(D0(2024, 8, 1) + dt.timedelta(days=i % 200), "A", "B", 3, 0, 1, 1, 1, 1) for i in range(299)])
+    teams = spark.createDataFrame([("p", "A"), ("p", "B")], "pool string, team string")
+    state = spark.createDataFrame([("p", "A", 1400.0), ("p", "B", 1600.0)], "pool string, team string, rating double")
+    got = {r.team: r.strength for r in N.long_term_strength(m, teams, state).collect()}
+    assert got == pytest.approx({"A": -0.15, "B": 0.15})
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,HS\n21/08/2020,A,B,1,0,H,9\nbad,A,B,1,0,H,9\n")
     (tmp_path / "b.csv").write_text("Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR\n2021-08-21,A,C,0,0,D\n")
