@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchframe.functions import clean as C
 from matchframe.functions.probs import FLOOR, P, Triple, argmax3, brier, log_loss, normalize_probs, pick, triple
+from matchframe.shipping import ship
 
 CLASSES = ("home_win", "draw", "away_win")
 
@@ -272,12 +277,67 @@ def metric_deltas(results: DataFrame, baseline: str, metrics: Sequence[str], spl
     return rows.groupBy(model).agg(*aggs, F.count_distinct(split).alias("splits_tested"))
 
 
+_MOMENTS = ("n", "sx", "sy", "mxx", "myy", "mxy", "cxx", "cyy", "cxy")
+
+
+def _pair_moments(width: int) -> Callable:
+    """Per task and column: vectors of the moments with every column, from products of whole batches.
+
+    Values are taken about the task's first batch means, so products stay small; what a task gives are its
+    own centred products (c) and the raw ones of its means (m), which add up over tasks.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        n, a, square, cross = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            if pivot is None:
+                pivot = np.where(there, x, 0.0).sum(0) / np.maximum(there.sum(0), 1)
+            x, mask = np.where(there, x - pivot, 0.0), there.astype(float)
+            n += mask.T @ mask
+            a += x.T @ mask
+            square += (x * x).T @ mask
+            cross += x.T @ x
+        if pivot is None:
+            return
+        safe = np.maximum(n, 1)
+        mx = np.where(n > 0, pivot[:, None] + a / safe, 0.0)
+        cxx = square - a * a / safe
+        parts = (n, n * mx, n * mx.T, n * mx * mx, n * mx.T * mx.T, n * mx * mx.T, cxx, cxx.T, cross - a * a.T / safe)
+        flat = np.stack(parts, 1).reshape(width, -1)
+        places = pa.array(np.arange(width + 1, dtype=np.int32) * flat.shape[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(width, dtype=np.int32)), pa.ListArray.from_arrays(places, pa.array(flat.ravel()))], ["i", "v"]
+        )
+
+    return run
+
+
 def correlation(df: DataFrame, columns: Sequence[str], others: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlations as (a, b, corr), from one pass of partial moments."""
-    pairs = [(a, b) for a in columns for b in (others or columns) if a != b]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(cells)).withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+    """Pearson correlations as (a, b, corr) over the rows that hold both; null without spread.
+
+    One pass: tasks multiply batches of rows with themselves, and a vector for each column is added up over
+    the tasks, so the plan does not grow with the pairs.  NaN counts as missing; no rows give no pairs.
+    """
+    ship(df.sparkSession)
+    names = list(dict.fromkeys([*columns, *(others or ())]))
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(names)])
+    parts = rows.mapInArrow(_pair_moments(len(names)), "i int, v array<double>")
+    sums = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).where("i IS NOT NULL")
+    wanted = {c: k for k, c in enumerate(names)}
+    ends = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(wanted[b]).alias("j")) for b in (others or columns)])
+    pairs = sums.where(F.col("i").isin([wanted[c] for c in columns])).select("i", "v", F.inline(ends)).where("i <> j")
+    m = {c: F.get("v", F.lit(k * len(names)) + F.col("j")) for k, c in enumerate(_MOMENTS)}
+    spread = lambda c, raw, x, y: m[c] + m[raw] - m[x] * m[y] / F.greatest(m["n"], F.lit(1.0))
+    xx, yy, xy = spread("cxx", "mxx", "sx", "sx"), spread("cyy", "myy", "sy", "sy"), spread("cxy", "mxy", "sx", "sy")
+    # What rounding leaves of a constant's spread is none.
+    some = (m["n"] > 0) & (xx > 1e-14 * m["mxx"]) & (yy > 1e-14 * m["myy"])
+    first = F.get(F.array(*[F.lit(c) for c in names]), F.col("i"))
+    return pairs.select(first.alias("a"), "b", F.when(some, xy / F.sqrt(xx * yy)).alias("corr"))
 
 
 def correlation_groups(pairs: DataFrame, groups: dict[str, Sequence[str]], high: float = 0.80) -> DataFrame:

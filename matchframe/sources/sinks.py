@@ -26,17 +26,51 @@ def forecast_snapshot(probs: DataFrame, at: Column, model_version: str, method:
     )
 
 
-def append_snapshot(snapshot: DataFrame, log_path: str, latest_path: str) -> None:
-    """Append to the log and replace the latest snapshot.  Writes."""
-    snapshot.write.mode("append").parquet(log_path)
+RUN = "run_id"
+
+
+def write_run(df: DataFrame, path: str, run: str) -> None:
+    """Write ``df`` as the run ``run`` of a log, in place of an earlier try of the same run.  Writes.
+
+    A run is one partition of the log and only that partition is replaced, when all of its files are there: a
+    write that was killed, or a retry of one that was not, leaves one copy.
+    """
+    rows = df.withColumn(RUN, F.lit(run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path)
+
+
+def latest_run(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the run of a log whose name is the greatest; names are times, or numbers of equal length.
+
+    Reads one partition: the newest run is found from the partition values.
+    """
+    log = spark.read.parquet(path).withColumn(RUN, F.col(RUN).cast("string"))
+    newest = log.agg(F.max(RUN)).first()[0]
+    return log.where(F.col(RUN) == F.lit(newest))
+
+
+def append_snapshot(snapshot: DataFrame, log_path: str, latest_path: str, run: str | None = None) -> None:
+    """Append to the log and replace the latest snapshot.  Writes.
+
+    With ``run``, the log holds one partition for each run and a repeated call replaces its own
+    (``write_run``); ``latest_run`` reads the newest without a second copy.
+    """
+    if run is not None:
+        write_run(snapshot, log_path, run)
+    else:
+        snapshot.write.mode("append").parquet(log_path)
     snapshot.write.mode("overwrite").parquet(latest_path)
 
 
-def append_experiment(spark: SparkSession, record: Mapping[str, object], path: str) -> None:
-    """Append one flattened record; nested values become JSON text.  Writes."""
+def append_experiment(spark: SparkSession, record: Mapping[str, object], path: str, run: str | None = None) -> None:
+    """Append one flattened record; nested values become JSON text.  Writes; with ``run`` a repeated call replaces its own."""
     flat = {k: v if isinstance(v, (int, float, str, bool)) or v is None else json.dumps(v, sort_keys=True) for k, v in record.items()}
     pairs = [(str(k), None if v is None else str(v)) for k, v in sorted(flat.items())]
-    spark.createDataFrame([(pairs,)], "record array<struct<field:string,value:string>>").write.mode("append").parquet(path)
+    row = spark.createDataFrame([(pairs,)], "record array<struct<field:string,value:string>>")
+    if run is not None:
+        write_run(row, path, run)
+    else:
+        row.write.mode("append").parquet(path)
 
 
 def experiment_records(results: DataFrame, name: Column, at: Column) -> DataFrame:
