@@ -183,29 +183,55 @@ def test_url_rules(spark):
     assert url_filter.url_filter(pages.limit(0)).count() == 0
 
 
-def test_url_model_is_a_markov_mixture():
-    rows = ["ab/1", "ab/2", "b"]
-    strings, contexts, row = url_filter.string_cells(rows)
-    counts = np.zeros((2, url_filter.CELLS))
-    for kind, cells in enumerate((strings, contexts)):
-        for one in cells:
-            counts[kind] += np.bincount(one, minlength=url_filter.CELLS)
-    got = url_filter.log_p(strings, contexts, counts)
-    padded = ["\x01" * url_filter.ORDER + r + "\x01" for r in rows]
+def plain_url_scores(accepted, rejected, probes):
+    """Mean log-likelihood difference of each probe, from dictionaries of all strings."""
+    order, weight = url_filter.ORDER, url_filter.WEIGHT
+    pad = lambda r: "\x01" * order + r + "\x01"
     seen = collections.Counter()
-    for p in padded:
-        for i in range(url_filter.ORDER, len(p)):
-            for k in range(url_filter.ORDER + 1):
-                seen["s", p[i - k : i + 1]] += 1
-                seen["c", k, p[i - k : i]] += 1
-    want = []
-    for p in padded:
-        for i in range(url_filter.ORDER, len(p)):
-            q = 1 / url_filter.SYMBOLS
-            for k in range(url_filter.ORDER + 1):
-                q = (seen["s", p[i - k : i + 1]] + url_filter.WEIGHT * q) / (seen["c", k, p[i - k : i]] + url_filter.WEIGHT)
-            want.append(math.log(q))
-    assert np.allclose(got, want) and row.tolist() == [0] * 5 + [1] * 5 + [2] * 2
+    for label, rows in (("allow", accepted), ("block", rejected)):
+        for p in map(pad, rows):
+            for i in range(order, len(p)):
+                for k in range(order + 1):
+                    seen[label, "s", p[i - k : i + 1]] += 1
+                    seen[label, "c", k, p[i - k : i]] += 1
+    out = []
+    for p in map(pad, probes):
+        total = 0.0
+        for i in range(order, len(p)):
+            for label, sign in (("allow", 1), ("block", -1)):
+                q = 1 / url_filter.SYMBOLS
+                for k in range(order + 1):
+                    q = (seen[label, "s", p[i - k : i + 1]] + weight * q) / (seen[label, "c", k, p[i - k : i]] + weight)
+                total += sign * math.log(q)
+        out.append(total / (len(p) - order))
+    return out
+
+
+@pytest.mark.parametrize("in_place", [url_filter.IN_PLACE, 60, 0])
+def test_url_model_is_a_markov_mixture(spark, in_place):
+    """Exact counts of many different strings, by travelling arrays, by a shuffle, and by both."""
+    rng = random.Random(7)
+    made = lambda n: ["".join(rng.choice("abcdef./0~") for _ in range(rng.randrange(30))) for _ in range(n)]
+    accepted, rejected, probes = [*made(60), "ab/0", "ab/0"], made(50), [*made(40), "", "ab/0", "ab/0", "zz"]
+    rows = [(r, 1, "allow") for r in accepted] + [(r, 1, "block") for r in rejected] + [(r, 1, None) for r in probes]
+    counted = url_filter.count_grams(spark.createDataFrame(rows, "chars string, fold int, label string"))
+    ratios = url_filter.log_ratios(counted)
+    given = spark.createDataFrame(list(enumerate(probes)), "row long, chars string")
+    got = {r["row"]: r["score"] for r in url_filter.with_scores(given, ratios, "final", in_place).collect()}
+    want = plain_url_scores(accepted, rejected, probes)
+    assert np.allclose([got[i] for i in range(len(probes))], want, atol=1e-12)
+
+
+def test_url_counts_grow_with_the_strings(spark):
+    """Every distinct string keeps a count of its own, also beyond the size of any fixed table."""
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("chars"), F.lit(1).alias("fold"), F.lit("allow").alias("label"))
+    counted = url_filter.count_grams(rows)
+    want = collections.Counter()
+    for r in rows.collect():
+        p = "\x01" * url_filter.ORDER + r["chars"] + "\x01"
+        want.update(p[i - url_filter.ORDER : i + 1] for i in range(url_filter.ORDER, len(p)))
+    got = {bytes(r["gram"] >> (8 * k) & 255 for k in reversed(range(url_filter.ORDER + 1))).decode(): r["fa"] for r in counted.collect()}
+    assert len(want) > 1 << 18 and got == want
 
 
 def test_url_held_out_accuracy(spark):
