@@ -1,20 +1,26 @@
 """Outcome models on Spark ML: fitting, validation, calibration, uncertainty, explanation.
 
-Functions that fit models run jobs; each says so.  Only coefficients, tree
+Functions that fit models run jobs; each says so.  Only coefficients, trees, their
 importances and row counts come back to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import random
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchframe.functions.probs import P, blend, hash_uniform, log_loss, named, normalize_probs, softmax3, triple
@@ -23,11 +29,25 @@ from matchframe.operators.metrics import calibration_table, ece, replicate_inter
 from matchframe.operators.ratings import EloConfig, elo_grid
 from matchframe.operators.tuning import MARKET, meta_features, time_split
 from matchframe.operators.windows import uniform_rank
-from matchframe.plans.stages import staged
+from matchframe.plans.stages import checkpoint_dir, staged
+from matchframe.shipping import ship
 
 SEED = 42
 # Size of the boosted model.
 ROUNDS, DEPTH, RATE, STEPS = 150, 3, 0.05, 1000
+CLASSES = ("home_win", "draw", "away_win")
+#: Fits that run at the same time: the small jobs of one fill the gaps between those of another.
+FITS = 6
+#: Rows whose walks through all trees are held at once.
+WALK_ROWS = 2_000
+
+
+def side_by_side(spark: SparkSession, fits: Sequence[Callable], width: int = FITS) -> list:
+    """Results of independent fits in their order, ``width`` of them at a time."""
+    if len(fits) < 2:
+        return [f() for f in fits]
+    with ThreadPool(min(width, len(fits))) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(spark)(f) for f in fits], chunksize=1)
 
 
 @dataclass(frozen=True)
@@ -73,8 +93,7 @@ def fit_outcome_model(
         lr = LogisticRegression(family="multinomial", regParam=reg, maxIter=STEPS, tol=1e-6, standardization=False, **out)
         return OutcomeModel(cols, kind, (Pipeline(stages=[*_front(cols, True), lr]).fit(rows),))
     if kind == "boosted":
-        models = []
-        for i in range(3):
+        def booster(i: int):
             gbt = GBTClassifier(
                 featuresCol="_x", labelCol="_y", predictionCol="_pred", maxIter=rounds, maxDepth=depth, stepSize=RATE, seed=seed
             )
@@ -83,7 +102,9 @@ def fit_outcome_model(
             gbt.set(gbt.rawPredictionCol, "_rawp")
             gbt.set(gbt.probabilityCol, "_prob")
             one = rows.withColumn("_y", (F.col("target") == i).cast("double"))
-            models.append(Pipeline(stages=[*_front(cols, False), gbt]).fit(one))
+            return Pipeline(stages=[*_front(cols, False), gbt]).fit(one)
+
+        models = side_by_side(df.sparkSession, [lambda i=i: booster(i) for i in range(3)])
         return OutcomeModel(cols, kind, tuple(models))
     raise ValueError(f"unknown model kind: {kind}")
 
@@ -111,10 +132,8 @@ def compare_feature_sets(df: DataFrame, sets: dict[str, Sequence[str]], *, frac:
     """Fit and score every column set on one split: one row of metrics per set.  Runs jobs."""
     split = staged(time_split(df, frac))
     train, test = split.where("is_test = 0"), split.where("is_test = 1")
-    parts = []
-    for name, cols in sets.items():
-        fitted = fit_outcome_model(train, cols, **model)
-        parts.append(_scored(fitted, test, name).select("model_version", "match_id", "target", *P))
+    fitted = side_by_side(df.sparkSession, [lambda c=c: fit_outcome_model(train, c, **model) for c in sets.values()])
+    parts = [_scored(m, test, name).select("model_version", "match_id", "target", *P) for name, m in zip(sets, fitted, strict=True)]
     return metrics_of(union_by_name(*parts))
 
 
@@ -122,9 +141,9 @@ def blended_fit(
     train: DataFrame, test: DataFrame, first: Sequence[str], second: Sequence[str], *, weight: float = 0.5, **model
 ) -> DataFrame:
     """Test rows scored by the blend of two models on different column sets.  Runs two fits."""
-    scored = fit_outcome_model(train, first, **model).transform(test.na.fill(0.0, list(first)))
-    scored = scored.withColumnsRenamed({c: "_a_" + c for c in P})
-    both = fit_outcome_model(train, second, **model).transform(scored.na.fill(0.0, list(second)))
+    one, two = side_by_side(train.sparkSession, [lambda c=c: fit_outcome_model(train, c, **model) for c in (first, second)])
+    scored = one.transform(test.na.fill(0.0, list(first))).withColumnsRenamed({c: "_a_" + c for c in P})
+    both = two.transform(scored.na.fill(0.0, list(second)))
     mixed = blend(triple(tuple("_a_" + c for c in P)), triple(), F.lit(weight))
     return both.withColumns(named(mixed)).drop(*["_a_" + c for c in P])
 
@@ -134,13 +153,11 @@ def walk_forward(
 ) -> DataFrame:
     """Train on earlier seasons, test on each season that has one: scored rows of all.  Runs one fit per season."""
     rows = staged(df)
-    parts = []
     if seasons is None:
         seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())[1:]
-    for s in seasons:
-        fitted = fit_outcome_model(rows.where(F.col("season") < s), columns, **model)
-        parts.append(_scored(fitted, rows.where(F.col("season") == s), name))
-    return union_by_name(*parts)
+    fits = [lambda s=s: fit_outcome_model(rows.where(F.col("season") < s), columns, **model) for s in seasons]
+    fitted = side_by_side(df.sparkSession, fits)
+    return union_by_name(*[_scored(m, rows.where(F.col("season") == s), name) for s, m in zip(seasons, fitted, strict=True)])
 
 
 def add_one_group(df: DataFrame, base: Sequence[str], groups: dict[str, Sequence[str]], **model) -> DataFrame:
@@ -178,11 +195,13 @@ def parameter_search(matches: DataFrame, configs: Sequence[EloConfig] = ELO_GRID
     # Every configuration rates the same matches, so one cutoff serves all.
     split = time_split(matches.select("match_id", "match_date", "target")).drop("match_date")
     rated = staged(elo_grid(matches, configs).join(split, "match_id"))
-    parts = []
-    for n, cfg in enumerate(configs):
-        one = rated.where(F.col("config") == n)
-        fitted = fit_outcome_model(one.where("is_test = 0"), ELO_COLUMNS, **model)
-        parts.append(_scored(fitted, one.where("is_test = 1"), cfg.name).select("model_version", "target", *P))
+    train, test = rated.where("is_test = 0"), rated.where("is_test = 1")
+    fits = [lambda n=n: fit_outcome_model(train.where(F.col("config") == n), ELO_COLUMNS, **model) for n in range(len(configs))]
+    fitted = side_by_side(matches.sparkSession, fits)
+    parts = [
+        _scored(m, test.where(F.col("config") == n), cfg.name).select("model_version", "target", *P)
+        for n, (cfg, m) in enumerate(zip(configs, fitted, strict=True))
+    ]
     return metrics_of(union_by_name(*parts))
 
 
@@ -269,10 +288,10 @@ def poisson_weight(u: Column, top: int = 20) -> Column:
 
 def _replicates(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int, weight, **model) -> DataFrame:
     rows, parts = staged(train), []
-    for r in range(n):
-        fitted = fit_outcome_model(rows.withColumn("_w", weight(r)).where("_w > 0"), columns, weight="_w", **model)
+    fits = [lambda r=r: fit_outcome_model(rows.withColumn("_w", weight(r)).where("_w > 0"), columns, weight="_w", **model) for r in range(n)]
+    for r, fitted in enumerate(side_by_side(train.sparkSession, fits)):
         scored = fitted.transform(test.na.fill(0.0, list(columns))).select("match_id", *P)
-        cells = F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).alias("p")) for k, c in zip(("home_win", "draw", "away_win"), P, strict=True)])
+        cells = F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).alias("p")) for k, c in zip(CLASSES, P, strict=True)])
         parts.append(scored.select(F.col("match_id").alias("row_id"), F.lit(r).alias("replicate"), F.inline(cells)))
     return union_by_name(*parts)
 
@@ -299,36 +318,152 @@ def gain_importance(model: OutcomeModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def shifts(n: int, reps: int, seed: int = SEED) -> list[int]:
+    """How far each repetition moves the values round the ``n`` places: different and not 0 while ``n`` > ``reps``."""
+    if n < 2:
+        return [0] * reps
+    some = random.Random(seed).sample(range(1, n), min(reps, n - 1))
+    return [some[r % len(some)] for r in range(reps)]
+
+
+def shuffled_partners(df: DataFrame, ids: Sequence[str], values: str, reps: int, seed: int = SEED) -> DataFrame:
+    """``df`` once for each repetition with ``_from``, the ``values`` of another row; each row gives to one row.
+
+    Rows get dense places in a random order once; a repetition turns that order by a number of places of its own, so a
+    partner's place is plain arithmetic.  Runs jobs that rank and stage the rows.
+    """
+    key = hash_uniform(F.lit(seed), *[F.col(c) for c in ids])
+    placed = staged(uniform_rank(df.withColumn("_u", key), [], "_u", name="_place", ties=list(ids)).drop("_u"))
+    n = placed.count()
+    moves = [F.struct(F.lit(r).alias("rep"), F.lit(s).alias("_by")) for r, s in enumerate(shifts(n, reps, seed))]
+    # What follows makes many rows of each, so the parts are as many as the session says, however few bytes they have.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    giving = placed.select(F.col("_place").alias("_at"), F.col(values).alias("_from"), F.inline(F.array(*moves)))
+    giving = giving.select((F.pmod(F.col("_at") - 1 - F.col("_by"), F.lit(max(n, 1))) + 1).alias("_place"), "rep", "_from")
+    return placed.repartition(parts, "_place").join(giving.repartition(parts, "_place"), "_place").drop("_place")
+
+
 def permutation_importance(model: OutcomeModel, df: DataFrame, reps: int = 5, seed: int = SEED, features: Sequence[str] | None = None) -> DataFrame:
     """Rise of the log loss when one column is shuffled over all rows, mean and deviation over repetitions.
 
-    Every (feature, repetition) pairs rows by two random orders; only (row, value)
-    is moved, and each feature is scored on the staged rows.  The ranks are
-    computed in slices, so no order passes through one task.
+    Rows meet their partner of each repetition once, for all features; which feature is the partner's is settled in place,
+    so nothing is shuffled for each feature.  No rows give no importance.  Runs the jobs of ``shuffled_partners``.
     """
     names = list(features or model.columns)
-    base = staged(df.na.fill(0.0, list(model.columns)).select("match_id", "target", *model.columns))
-    cells = [F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), F.col(f).cast("double").alias("_v")) for f in names for r in range(reps)]
-    long = base.select("match_id", F.inline(F.array(*cells)))
-    draw = lambda tag: hash_uniform(F.lit(seed), F.lit(tag), F.col("feature"), F.col("rep"), F.col("match_id"))
-    keys = ["feature", "rep"]
-    giving = uniform_rank(long.withColumn("_u", draw("a")), keys, "_u", name="_r", ties=["match_id"]).select(*keys, "_r", "_v")
-    taking = uniform_rank(long.withColumn("_u", draw("b")), keys, "_u", name="_r", ties=["match_id"]).select(*keys, "_r", "match_id")
-    moved = staged(taking.join(giving, [*keys, "_r"]).select(*keys, "match_id", "_v"))
+    cells = F.array(*[F.col(c).cast("double") for c in model.columns])
+    base = df.na.fill(0.0, list(model.columns)).select("match_id", "target", cells.alias("_x"))
+    pairs = shuffled_partners(base, ["match_id"], "_x", reps, seed)
+    each = pairs.select("*", F.explode(F.array(*[F.lit(model.columns.index(f)) for f in names])).alias("_f"))
+    own = [F.when(F.col("_f") == j, F.get("_from", F.lit(j))).otherwise(F.get("_x", F.lit(j))).alias(c) for j, c in enumerate(model.columns)]
     loss = F.avg(log_loss(triple(), F.col("target")))
-    parts = []
-    for f in names:
-        one = moved.where(F.col("feature") == f).join(base.drop(f), "match_id").withColumnRenamed("_v", f)
-        parts.append(model.transform(one).groupBy(*keys).agg(loss.alias("l")))
-    before = model.transform(base).agg(loss.alias("_b")).withColumn("_1", F.lit(1))
-    rise = union_by_name(*parts).withColumn("_1", F.lit(1)).join(F.broadcast(before), "_1").withColumn("d", F.col("l") - F.col("_b"))
-    return rise.groupBy("feature").agg(F.avg("d").alias("importance"), F.stddev_pop("d").alias("std"))
+    after = model.transform(each.select("target", "rep", "_f", *own)).groupBy("_f", "rep").agg(loss.alias("l"))
+    plain = base.select("target", *[F.get("_x", F.lit(j)).alias(c) for j, c in enumerate(model.columns)])
+    before = model.transform(plain).agg(loss.alias("_b")).withColumn("_1", F.lit(1))
+    rise = after.withColumn("_1", F.lit(1)).join(F.broadcast(before), "_1").withColumn("d", F.col("l") - F.col("_b"))
+    feature = F.get(F.array(*[F.lit(c) for c in model.columns]), F.col("_f"))
+    return rise.groupBy(feature.alias("feature")).agg(F.avg("d").alias("importance"), F.stddev_pop("d").alias("std"))
+
+
+@dataclass(frozen=True)
+class Trees:
+    """One class's trees, a row each: split column, threshold and children of every node, and what the node alone predicts."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    depth: int
+
+    @property
+    def base(self) -> float:
+        return float(self.value[:, 0].sum())
+
+    def contributions(self, x: np.ndarray) -> np.ndarray:
+        """Rows by columns: the changes of value at the splits on each column along every tree's path."""
+        n, width = x.shape
+        out = np.zeros(n * width)
+        tree, row = np.arange(len(self.feature)), np.arange(n)[:, None]
+        node = np.zeros((n, len(tree)), np.int64)
+        for _ in range(self.depth):
+            column = self.feature[tree, node]
+            to = np.where(x[row, column] <= self.threshold[tree, node], self.left[tree, node], self.right[tree, node])
+            change = self.value[tree, to] - self.value[tree, node]
+            out += np.bincount((row * width + column).ravel(), change.ravel(), n * width)
+            node = to
+        return out.reshape(n, width)
+
+
+def class_trees(model: OutcomeModel, spark: SparkSession) -> list[Trees]:
+    """The trees of each class.  Saves the model to the checkpoint folder and collects its nodes: trees * 2^(depth + 1) rows at most."""
+    if model.kind not in ("boosted", "forest"):
+        raise ValueError("only boosted models and forests have trees")
+    out = []
+    for stage in model.stages:
+        fitted = stage.stages[-1]
+        place = f"{checkpoint_dir(spark)}/trees-{uuid.uuid4().hex}"
+        fitted.save(place)
+        nodes = spark.read.parquet(f"{place}/data").select("treeID", "nodeData.*").collect()
+        weights = fitted.treeWeights
+        shape = (len(weights), 1 + max(r["id"] for r in nodes))
+        feature, threshold = np.zeros(shape, np.int64), np.full(shape, np.inf)
+        left = np.tile(np.arange(shape[1]), (shape[0], 1))
+        right = left.copy()
+        value = np.zeros((1 if model.kind == "boosted" else len(P), *shape))
+        for r in nodes:
+            at = (r["treeID"], r["id"])
+            if model.kind == "boosted":
+                value[(0, *at)] = weights[at[0]] * r["prediction"]
+            else:
+                value[(slice(None), *at)] = np.array(r["impurityStats"]) / sum(r["impurityStats"]) / len(weights)
+            if r["leftChild"] >= 0:
+                feature[at], threshold[at] = r["split"]["featureIndex"], r["split"]["leftCategoriesOrThreshold"][0]
+                left[at], right[at] = r["leftChild"], r["rightChild"]
+        depth = fitted.getOrDefault("maxDepth")
+        out += [Trees(feature, threshold, left, right, v, depth) for v in value]
+    return out
+
+
+def _walk(trees: list[Trees], ids: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, WALK_ROWS):
+                batch = whole.slice(lo, WALK_ROWS)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[ids:]])
+                for name, one in zip(CLASSES, trees, strict=True):
+                    cells = one.contributions(x)
+                    given = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, x.shape[1], np.int32), cells.ravel())
+                    columns = [pa.array([name] * len(x)), pa.array(np.full(len(x), one.base)), given]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:ids], *columns], [*batch.schema.names[:ids], "class", "base", "contributions"])
+
+    return run
+
+
+def path_contributions(model: OutcomeModel, df: DataFrame, ids: Sequence[str] = ("match_id",)) -> DataFrame:
+    """Per row and class of a boosted model or forest: ``base`` and an array of ``contributions`` in the order of the model's columns.
+
+    A tree's prediction is its root's value and the changes of value along the row's path; each change belongs to the column
+    that was split on.  ``base`` and the contributions add up to the booster's raw score, or to the forest's probability.
+    A missing value counts as 0, as in the fit; no rows give no rows.  Runs the job that reads the trees.
+    """
+    ship(df.sparkSession)
+    trees = class_trees(model, df.sparkSession)
+    rows = df.na.fill(0.0, list(model.columns)).select(*ids, *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(model.columns)])
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(ids)])
+    return rows.mapInArrow(_walk(trees, len(ids)), f"{given}, class string, base double, contributions array<double>")
+
+
+def mean_path_contributions(model: OutcomeModel, df: DataFrame) -> DataFrame:
+    """Mean |contribution| per feature and class of a boosted model or forest."""
+    cells = path_contributions(model, df).select("class", F.posexplode("contributions").alias("_j", "_v"))
+    feature = F.get(F.array(*[F.lit(c) for c in model.columns]), F.col("_j"))
+    return cells.groupBy("_j", "class").agg(F.avg(F.abs("_v")).alias("mean_abs_contribution")).select(feature.alias("feature"), "class", "mean_abs_contribution")
 
 
 def additive_contributions(model: OutcomeModel, df: DataFrame) -> DataFrame:
-    """Mean |coefficient x standardised value| per feature and class of a logistic model."""
+    """Mean |contribution| per feature and class: coefficient x standardised value of a logistic model, path changes of trees."""
     if model.kind != "logistic":
-        raise ValueError("contributions need a logistic model")
+        return mean_path_contributions(model, df)
     stages = model.stages[0].stages
     mean, std = stages[1].mean.toArray(), stages[1].std.toArray()
     coef = stages[2].coefficientMatrix.toArray()
@@ -338,7 +473,7 @@ def additive_contributions(model: OutcomeModel, df: DataFrame) -> DataFrame:
     for j, f in enumerate(model.columns):
         z = F.abs((F.col(f).cast("double") - float(mean[j])) / float(std[j])) if std[j] > 0 else F.lit(0.0)
         aggs.append(F.avg(z).alias(f"_z{j}"))
-        for k, name in enumerate(("home_win", "draw", "away_win")):
+        for k, name in enumerate(CLASSES):
             cells.append(
                 F.struct(F.lit(f).alias("feature"), F.lit(name).alias("class"), (F.col(f"_z{j}") * abs(float(coef[k][j]))).alias("mean_abs_contribution"))
             )

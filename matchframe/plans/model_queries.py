@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchframe.functions.probs import P, log_loss, triple
+from matchframe.functions.probs import P, log_loss, normalize_probs, triple
 from matchframe.operators import metrics as A
 from matchframe.operators import ml as M
 from matchframe.operators import ratings as E
@@ -156,8 +156,10 @@ def m4(t: Tables):
 
 @query("M4_blended_model", _METRICS)
 def m4_blend(t: Tables):
-    train, test = halves(t)
-    scored = M.blended_fit(train, test, FORM + XG, FORM + REST, kind="logistic")
+    """The production columns and the same without ratings, half and half."""
+    train, test = production(t)
+    plain = [c for c in PRODUCTION if "elo" not in c]
+    scored = M.blended_fit(train, test, PRODUCTION, plain, kind="boosted")
     return M.metrics_of(scored.withColumn("model_version", F.lit("blend")))
 
 
@@ -212,17 +214,60 @@ def m9(t: Tables):
 
 @query("M10_permutation_importance", "feature:s importance:d6 std:d6")
 def m10(t: Tables):
-    train, test = halves(t)
-    model = M.fit_outcome_model(train, ALL, kind="logistic")
+    train, test = production(t)
+    model = M.fit_outcome_model(train, PRODUCTION, kind="boosted")
     return M.permutation_importance(model, test)
 
 
+@query(
+    "M10_partners",
+    "rep:i rows:i givers:i fixed:i given:i",
+    "SELECT rep, count(*) AS rows, count(*) AS givers, 0 AS fixed, sum(match_id) AS given FROM @matches, (SELECT unnest(range(5)) AS rep) AS r GROUP BY rep",
+)
+def m10_partners(t: Tables):
+    """The shuffling half: in every repetition each row gives to exactly one other."""
+    pairs = M.shuffled_partners(t.matches.select("match_id", F.col("match_id").alias("_x")), ["match_id"], "_x", 5)
+    itself = (F.col("match_id") == F.col("_from")).cast("int")
+    return pairs.groupBy("rep").agg(
+        F.count("*").alias("rows"), F.count_distinct("_from").alias("givers"), F.sum(itself).alias("fixed"), F.sum("_from").alias("given")
+    )
+
+
 @query("M11_additive_contributions", "feature:s class:s mean_abs_contribution:d6")
 def m11(t: Tables):
     train, test = halves(t)
     return M.additive_contributions(M.fit_outcome_model(train, ALL, kind="logistic"), test)
 
 
+@query("M11_path_contributions", "feature:s class:s mean_abs_contribution:d6")
+def m11_paths(t: Tables):
+    train, test = production(t)
+    return M.additive_contributions(M.fit_outcome_model(train, PRODUCTION, kind="boosted"), test)
+
+
+@query(
+    "M11_path_facts",
+    "kind:s class:s rows:i exact:i",
+    f"""WITH {_CUT_SQL}, n AS (SELECT count(*) AS n FROM @matches, k WHERE match_date >= cutoff)
+    SELECT kind, class, n AS rows, n AS exact FROM n, (VALUES ('boosted'), ('forest')) AS v(kind), (VALUES ('home_win'), ('draw'), ('away_win')) AS w(class)""",
+)
+def m11_facts(t: Tables):
+    """Every test row's contributions and base give the chances that the fitted production model gives."""
+    train, test = production(t)
+    out = []
+    for kind in ("boosted", "forest"):
+        model = M.fit_outcome_model(train, PRODUCTION, kind=kind)
+        total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, x: s + x)
+        value = 1.0 / (1.0 + F.exp(-2.0 * total)) if kind == "boosted" else total
+        sums = M.path_contributions(model, test).groupBy("match_id").pivot("class", list(M.CLASSES)).agg(F.first(value))
+        sums = sums.withColumns(dict(zip([f"_{p}" for p in P], normalize_probs(triple(M.CLASSES)), strict=True)))
+        both = model.transform(test.na.fill(0.0, PRODUCTION)).select("match_id", *P).join(sums, "match_id")
+        cells = [F.struct(F.lit(c).alias("class"), (F.abs(F.col(p) - F.col(f"_{p}")) < 1e-9).cast("int").alias("same")) for c, p in zip(M.CLASSES, P, strict=True)]
+        one = both.select(F.inline(F.array(*cells))).groupBy("class").agg(F.count("*").alias("rows"), F.sum("same").alias("exact"))
+        out.append(one.withColumn("kind", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
 @query(
     "M12_selection_gate",
     "model_version:s log_loss:d6 log_loss_delta:d6 brier_score_delta:d6 ece_delta:d6 adopt:i",
@@ -244,7 +289,8 @@ def p12(t: Tables):
 @query("P22_compare_calibrations", "method:s matches:i accuracy:d6 log_loss:d6 brier_score:d6 ece:d6 selected:i")
 def p22(t: Tables):
     """Fit on the first part of the training days, calibrate on the rest, score the test days."""
-    train, test = halves(t)
-    inner = T.time_split(train.drop("is_test"))
-    model = M.fit_outcome_model(inner.where("is_test = 0"), ALL, kind="logistic")
-    return M.compare_calibrations(model.transform(inner.where("is_test = 1")), model.transform(test), ALL)
+    train, test = production(t)
+    inner = T.time_split(train.drop("is_test").na.fill(0.0, PRODUCTION))
+    model = M.fit_outcome_model(inner.where("is_test = 0"), PRODUCTION, kind="boosted")
+    scored = staged(model.transform(test.na.fill(0.0, PRODUCTION)).select("target", *P))
+    return M.compare_calibrations(model.transform(inner.where("is_test = 1")), scored, PRODUCTION)
