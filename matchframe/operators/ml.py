@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from matchframe.functions.probs import P, blend, hash_uniform, log_loss, named, normalize_probs, softmax3, triple
 from matchframe.operators.joins import union_by_name
-from matchframe.operators.metrics import calibration_table, ece, replicate_intervals, score_probs
+from matchframe.operators.manyfits import array_intervals, fit_many
+from matchframe.operators.metrics import CLASSES, calibration_table, ece, replicate_intervals, score_probs
 from matchframe.operators.ratings import EloConfig, elo_grid
 from matchframe.operators.tuning import MARKET, meta_features, time_split
 from matchframe.operators.windows import uniform_rank
@@ -35,7 +36,6 @@ from matchframe.shipping import ship
 SEED = 42
 # Size of the boosted model.
 ROUNDS, DEPTH, RATE, STEPS = 150, 3, 0.05, 1000
-CLASSES = ("home_win", "draw", "away_win")
 #: Fits that run at the same time: the small jobs of one fill the gaps between those of another.
 FITS = 6
 #: Rows whose walks through all trees are held at once.
@@ -128,10 +128,24 @@ def metrics_of(scored: DataFrame, keys: Sequence[str] = ("model_version",)) -> D
     return score_probs(scored, keys).join(ece(table, keys), list(keys))
 
 
+def _at_once(model: dict) -> bool:
+    """Plain logistic models are fitted together, in one pass a step."""
+    return model == {"kind": "logistic"}
+
+
+def _pick_fit(scored: DataFrame, fit: Column) -> DataFrame:
+    return scored.withColumns({p: F.get(p, fit) for p in P})
+
+
 def compare_feature_sets(df: DataFrame, sets: dict[str, Sequence[str]], *, frac: float = 0.8, **model) -> DataFrame:
     """Fit and score every column set on one split: one row of metrics per set.  Runs jobs."""
     split = staged(time_split(df, frac))
     train, test = split.where("is_test = 0"), split.where("is_test = 1")
+    if _at_once(model):
+        every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+        scored = fit_many(train, every, [F.lit(1.0)] * len(sets), list(sets.values())).transform(test.select("match_id", "target", *every))
+        cells = F.array(*[F.struct(F.lit(name).alias("model_version"), *[F.get(p, F.lit(r)).alias("_" + p) for p in P]) for r, name in enumerate(sets)])
+        return metrics_of(scored.select("target", F.inline(cells)).withColumnsRenamed({"_" + p: p for p in P}))
     fitted = side_by_side(df.sparkSession, [lambda c=c: fit_outcome_model(train, c, **model) for c in sets.values()])
     parts = [_scored(m, test, name).select("model_version", "match_id", "target", *P) for name, m in zip(sets, fitted, strict=True)]
     return metrics_of(union_by_name(*parts))
@@ -155,6 +169,11 @@ def walk_forward(
     rows = staged(df)
     if seasons is None:
         seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())[1:]
+    if _at_once(model) and seasons:
+        many = fit_many(rows, columns, [(F.col("season") < s).cast("double") for s in seasons])
+        scored = many.transform(rows.where(F.col("season").isin(list(seasons))))
+        which = F.array_position(F.array(*[F.lit(s) for s in seasons]), F.col("season")) - 1
+        return _pick_fit(scored, which.cast("int")).withColumn("model_version", F.lit(name))
     fits = [lambda s=s: fit_outcome_model(rows.where(F.col("season") < s), columns, **model) for s in seasons]
     fitted = side_by_side(df.sparkSession, fits)
     return union_by_name(*[_scored(m, rows.where(F.col("season") == s), name) for s, m in zip(seasons, fitted, strict=True)])
@@ -191,11 +210,16 @@ CARRYOVER_GRID = tuple(EloConfig(k=30.0, home_advantage=75.0, carryover=c) for c
 
 
 def parameter_search(matches: DataFrame, configs: Sequence[EloConfig] = ELO_GRID + CARRYOVER_GRID[1:], **model) -> DataFrame:
-    """Held-out scores of a rating-only model per configuration.  One rating job, one fit per configuration."""
+    """Held-out scores of a rating-only model per configuration.  One rating job, and the fits."""
     # Every configuration rates the same matches, so one cutoff serves all.
     split = time_split(matches.select("match_id", "match_date", "target")).drop("match_date")
     rated = staged(elo_grid(matches, configs).join(split, "match_id"))
     train, test = rated.where("is_test = 0"), rated.where("is_test = 1")
+    if _at_once(model):
+        many = fit_many(train, ELO_COLUMNS, [(F.col("config") == n).cast("double") for n in range(len(configs))])
+        scored = _pick_fit(many.transform(test.select("config", "target", *ELO_COLUMNS)), F.col("config").cast("int"))
+        names = F.get(F.array(*[F.lit(c.name) for c in configs]), F.col("config").cast("int"))
+        return metrics_of(scored.select(names.alias("model_version"), "target", *P))
     fits = [lambda n=n: fit_outcome_model(train.where(F.col("config") == n), ELO_COLUMNS, **model) for n in range(len(configs))]
     fitted = side_by_side(matches.sparkSession, fits)
     parts = [
@@ -296,16 +320,24 @@ def _replicates(train: DataFrame, test: DataFrame, columns: Sequence[str], n: in
     return union_by_name(*parts)
 
 
+def _intervals(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int, weight, **model) -> DataFrame:
+    if not _at_once(model):
+        return replicate_intervals(_replicates(train, test, columns, n, weight, **model))
+    scored = fit_many(train, columns, [weight(r) for r in range(n)]).transform(test.select(F.col("match_id").alias("row_id"), *columns))
+    cells = F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).alias("_p")) for k, c in zip(CLASSES, P, strict=True)])
+    return scored.select("row_id", F.inline(cells)).select("row_id", "class", *[v.alias(k) for k, v in array_intervals(F.col("_p"), n).items()])
+
+
 def bootstrap_models(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int = 40, seed: int = SEED, **model) -> DataFrame:
-    """Mean, deviation and 95 % range of ``n`` bootstrap models per row and class.  Runs ``n`` fits."""
+    """Mean, deviation and 95 % range of ``n`` bootstrap models per row and class.  Runs ``n`` fits, logistic ones at once."""
     weight = lambda r: poisson_weight(hash_uniform(F.lit(seed + r), F.lit("b"), F.col("match_id")))
-    return replicate_intervals(_replicates(train, test, columns, n, weight, **model))
+    return _intervals(train, test, columns, n, weight, **model)
 
 
 def subset_ensemble(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int = 30, share: float = 0.85, seed: int = SEED, **model) -> DataFrame:
-    """Mean and deviation over models fitted on random subsets.  Runs ``n`` fits."""
+    """Mean and deviation over models fitted on random subsets.  Runs ``n`` fits, logistic ones at once."""
     weight = lambda r: (hash_uniform(F.lit(seed + r), F.lit("s"), F.col("match_id")) < share).cast("double")
-    return replicate_intervals(_replicates(train, test, columns, n, weight, **model)).select("row_id", "class", "mean", "std")
+    return _intervals(train, test, columns, n, weight, **model).select("row_id", "class", "mean", "std")
 
 
 # --- explanation -----------------------------------------------------------

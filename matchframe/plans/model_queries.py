@@ -24,15 +24,23 @@ TRIPLE = "match_id:i p_home:d6 p_draw:d6 p_away:d6"
 
 
 # The feature set of the production model.
+REST_NAMES = ("days_rest", "matches_last_14_days", "had_midweek_match", "days_since_last_match")
 PRODUCTION = [
     *[f"{side}_{c}" for c in ("points_last_5", "goals_scored_avg") for side in ("home", "away")],
     "home_advantage",
     *[f"{side}_{c}" for c in ("xg_avg", "xga_avg", "xg_diff") for side in ("home", "away")],
-    *[f"{side}_{c}" for c in ("days_rest", "matches_last_14_days", "had_midweek_match", "days_since_last_match") for side in ("home", "away")],
+    *[f"{side}_{c}" for c in REST_NAMES for side in ("home", "away")],
     *M.ELO_COLUMNS, "elo_recent_change", "rolling_elo_form",
     *[f"{side}_{c}_avg_{w}" for w in ("last5", "last10", "season") for c in ("shots", "shots_on_target") for side in ("home", "away")],
 ]
 
+RATING = [*M.ELO_COLUMNS, "elo_recent_change", "rolling_elo_form"]
+SHOTS = [c for c in PRODUCTION if "shots" in c]
+PRODUCTION_GROUPS = {
+    "form": FORM, "xg": [c for c in PRODUCTION if "xg" in c], "rest": [c for c in PRODUCTION if c.split("_", 1)[1] in REST_NAMES],
+    "rating": RATING, "shots": SHOTS,
+}
+
 
 def data(t: Tables):
     """Features of all matches, staged: every fit reads them several times."""
@@ -45,12 +53,17 @@ def halves(t: Tables):
     return split.where("is_test = 0"), split.where("is_test = 1")
 
 
-def production(t: Tables):
-    """Train and test rows with form, xG, rest, ratings and shots."""
+def production_rows(t: Tables):
+    """All matches with form, xG, rest, ratings and shots, staged."""
     ids = t.matches.select("match_id", "match_date")
     rows = R.match_features(t.long).join(ids, "match_id").join(R.shot_volume_features(t.long), "match_id")
     rated = E.elo_features(t.matches, E.EloConfig(k=30.0, home_advantage=75.0)).drop("pool")
-    split = T.time_split(staged(rows.join(rated, "match_id")))
+    return staged(rows.join(rated, "match_id"))
+
+
+def production(t: Tables):
+    """Train and test rows of the production columns."""
+    split = T.time_split(production_rows(t))
     return split.where("is_test = 0"), split.where("is_test = 1")
 
 
@@ -132,18 +145,22 @@ def m2_facts(t: Tables):
     return out
 
 
+def seasons_of(t: Tables):
+    return production_rows(t).join(t.matches.select("match_id", "season"), "match_id")
+
+
 @query(
     "M3_walk_forward_seasons",
     "season:i matches:i",
     "SELECT season, count(*) AS matches FROM @matches WHERE season > (SELECT min(season) FROM @matches) GROUP BY season",
 )
 def m3_seasons(t: Tables):
-    return M.walk_forward(data(t), ALL, kind="logistic").groupBy("season").agg(F.count("*").alias("matches"))
+    return M.walk_forward(seasons_of(t), PRODUCTION, kind="logistic").groupBy("season").agg(F.count("*").alias("matches"))
 
 
 @query("M3_walk_forward", "season:i matches:i accuracy:d6 log_loss:d6 brier_score:d6")
 def m3(t: Tables):
-    return A.score_probs(M.walk_forward(data(t), ALL, kind="logistic"), ["season"])
+    return A.score_probs(M.walk_forward(seasons_of(t), PRODUCTION, kind="logistic"), ["season"])
 
 
 _METRICS = "model_version:s matches:i accuracy:d6 log_loss:d6 brier_score:d6 ece:d6"
@@ -151,7 +168,7 @@ _METRICS = "model_version:s matches:i accuracy:d6 log_loss:d6 brier_score:d6 ece
 
 @query("M4_compare_feature_sets", _METRICS)
 def m4(t: Tables):
-    return M.compare_feature_sets(data(t), {"form": FORM, "form_xg": FORM + XG, "all": ALL}, kind="logistic")
+    return M.compare_feature_sets(production_rows(t), {"form": FORM, "form_xg": FORM + XG, "all": PRODUCTION}, kind="logistic")
 
 
 @query("M4_blended_model", _METRICS)
@@ -168,12 +185,12 @@ _DELTAS = _METRICS + " log_loss_delta:d6 brier_score_delta:d6 ece_delta:d6"
 
 @query("M5_add_one_group", _DELTAS)
 def m5_add(t: Tables):
-    return M.add_one_group(data(t), FORM, {"xg": XG, "rest": REST}, kind="logistic")
+    return M.add_one_group(production_rows(t), FORM, {g: c for g, c in PRODUCTION_GROUPS.items() if g != "form"}, kind="logistic")
 
 
 @query("M5_remove_one_group", _DELTAS)
 def m5_remove(t: Tables):
-    return M.remove_one_group(data(t), GROUPS, kind="logistic")
+    return M.remove_one_group(production_rows(t), PRODUCTION_GROUPS, kind="logistic")
 
 
 @query(
@@ -196,14 +213,14 @@ def m6(t: Tables):
 
 @query("M7_bootstrap_models", "row_id:i class:s mean:d6 std:d6 lower_95:d6 upper_95:d6")
 def m7(t: Tables):
-    train, test = halves(t)
-    return M.bootstrap_models(train, test, ALL, kind="logistic")
+    train, test = production(t)
+    return M.bootstrap_models(train, test, PRODUCTION, kind="logistic")
 
 
 @query("M8_subset_ensemble", "row_id:i class:s mean:d6 std:d6")
 def m8(t: Tables):
-    train, test = halves(t)
-    return M.subset_ensemble(train, test, ALL, kind="logistic")
+    train, test = production(t)
+    return M.subset_ensemble(train, test, PRODUCTION, kind="logistic")
 
 
 @query("M9_gain_importance", "feature:s importance:d6")
