@@ -143,7 +143,7 @@ def compare_feature_sets(df: DataFrame, sets: dict[str, Sequence[str]], *, frac:
     train, test = split.where("is_test = 0"), split.where("is_test = 1")
     if _at_once(model):
         every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
-        scored = fit_many(train, every, [F.lit(1.0)] * len(sets), list(sets.values())).transform(test.select("match_id", "target", *every))
+        scored = fit_many(train, every, F.array_repeat(F.lit(1.0), len(sets)), len(sets), list(sets.values())).transform(test.select("match_id", "target", *every))
         cells = F.array(*[F.struct(F.lit(name).alias("model_version"), *[F.get(p, F.lit(r)).alias("_" + p) for p in P]) for r, name in enumerate(sets)])
         return metrics_of(scored.select("target", F.inline(cells)).withColumnsRenamed({"_" + p: p for p in P}))
     fitted = side_by_side(df.sparkSession, [lambda c=c: fit_outcome_model(train, c, **model) for c in sets.values()])
@@ -162,6 +162,11 @@ def blended_fit(
     return both.withColumns(named(mixed)).drop(*["_a_" + c for c in P])
 
 
+def earlier_seasons(seasons: Sequence) -> Column:
+    """Weights of a row in the fits that test each season: 1 if its own season is earlier."""
+    return F.array(*[(F.col("season") < s).cast("double") for s in seasons])
+
+
 def walk_forward(
     df: DataFrame, columns: Sequence[str], seasons: Sequence | None = None, *, name: str = "model", **model
 ) -> DataFrame:
@@ -170,7 +175,7 @@ def walk_forward(
     if seasons is None:
         seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())[1:]
     if _at_once(model) and seasons:
-        many = fit_many(rows, columns, [(F.col("season") < s).cast("double") for s in seasons])
+        many = fit_many(rows, columns, earlier_seasons(seasons), len(seasons))
         scored = many.transform(rows.where(F.col("season").isin(list(seasons))))
         which = F.array_position(F.array(*[F.lit(s) for s in seasons]), F.col("season")) - 1
         return _pick_fit(scored, which.cast("int")).withColumn("model_version", F.lit(name))
@@ -216,7 +221,9 @@ def parameter_search(matches: DataFrame, configs: Sequence[EloConfig] = ELO_GRID
     rated = staged(elo_grid(matches, configs).join(split, "match_id"))
     train, test = rated.where("is_test = 0"), rated.where("is_test = 1")
     if _at_once(model):
-        many = fit_many(train, ELO_COLUMNS, [(F.col("config") == n).cast("double") for n in range(len(configs))])
+        many = fit_many(
+            train, ELO_COLUMNS, F.transform(F.sequence(F.lit(0), F.lit(len(configs) - 1)), lambda n: (F.col("config") == n).cast("double")), len(configs)
+        )
         scored = _pick_fit(many.transform(test.select("config", "target", *ELO_COLUMNS)), F.col("config").cast("int"))
         names = F.get(F.array(*[F.lit(c.name) for c in configs]), F.col("config").cast("int"))
         return metrics_of(scored.select(names.alias("model_version"), "target", *P))
@@ -294,25 +301,27 @@ def logistic_stack(train: DataFrame, test: DataFrame, *, c: float = 0.2, market:
 # --- uncertainty -----------------------------------------------------------
 
 
+def poisson_limits(top: int = 20) -> list[float]:
+    """The chances of at most 0, 1, ... ``top`` - 1 events."""
+    mass, total, out = 0.36787944117144233, 0.0, []
+    for k in range(top):
+        total += mass
+        out.append(total)
+        mass /= k + 1
+    return out
+
+
 def poisson_weight(u: Column, top: int = 20) -> Column:
     """Poisson(1) draw from a uniform number: bootstrap weights without copying rows.
 
     The mass beyond ``top`` is below 1e-19, less than a step of a uniform double.
     """
-    mass, total, out = 0.36787944117144233, 0.0, F.lit(float(top))
-    steps = []
-    for k in range(top):
-        total += mass
-        steps.append((total, float(k)))
-        mass /= k + 1
-    for limit, k in reversed(steps):
-        out = F.when(u < limit, k).otherwise(out)
-    return out
+    return sum(((u >= limit).cast("double") for limit in poisson_limits(top)), F.lit(0.0))
 
 
-def _replicates(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int, weight, **model) -> DataFrame:
+def _replicates(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int, draw, weight, **model) -> DataFrame:
     rows, parts = staged(train), []
-    fits = [lambda r=r: fit_outcome_model(rows.withColumn("_w", weight(r)).where("_w > 0"), columns, weight="_w", **model) for r in range(n)]
+    fits = [lambda r=r: fit_outcome_model(rows.withColumn("_w", weight(draw(F.lit(r)))).where("_w > 0"), columns, weight="_w", **model) for r in range(n)]
     for r, fitted in enumerate(side_by_side(train.sparkSession, fits)):
         scored = fitted.transform(test.na.fill(0.0, list(columns))).select("match_id", *P)
         cells = F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).alias("p")) for k, c in zip(CLASSES, P, strict=True)])
@@ -320,24 +329,32 @@ def _replicates(train: DataFrame, test: DataFrame, columns: Sequence[str], n: in
     return union_by_name(*parts)
 
 
-def _intervals(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int, weight, **model) -> DataFrame:
+def replicate_weights(n: int, draw: Callable[[Column], Column], weight: Callable[[Column], Column]) -> Column:
+    """A row's weights in ``n`` replicates, as an array: ``weight`` of what ``draw`` gives for the replicate's number."""
+    return F.transform(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw), lambda u: weight(u))
+
+
+def bootstrap_draw(seed: int, tag: str) -> Callable[[Column], Column]:
+    return lambda r: hash_uniform(F.lit(seed) + r, F.lit(tag), F.col("match_id"))
+
+
+def _intervals(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int, draw, weight, **model) -> DataFrame:
     if not _at_once(model):
-        return replicate_intervals(_replicates(train, test, columns, n, weight, **model))
-    scored = fit_many(train, columns, [weight(r) for r in range(n)]).transform(test.select(F.col("match_id").alias("row_id"), *columns))
+        return replicate_intervals(_replicates(train, test, columns, n, draw, weight, **model))
+    scored = fit_many(train, columns, replicate_weights(n, draw, weight), n).transform(test.select(F.col("match_id").alias("row_id"), *columns))
     cells = F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).alias("_p")) for k, c in zip(CLASSES, P, strict=True)])
     return scored.select("row_id", F.inline(cells)).select("row_id", "class", *[v.alias(k) for k, v in array_intervals(F.col("_p"), n).items()])
 
 
 def bootstrap_models(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int = 40, seed: int = SEED, **model) -> DataFrame:
     """Mean, deviation and 95 % range of ``n`` bootstrap models per row and class.  Runs ``n`` fits, logistic ones at once."""
-    weight = lambda r: poisson_weight(hash_uniform(F.lit(seed + r), F.lit("b"), F.col("match_id")))
-    return _intervals(train, test, columns, n, weight, **model)
+    return _intervals(train, test, columns, n, bootstrap_draw(seed, "b"), poisson_weight, **model)
 
 
 def subset_ensemble(train: DataFrame, test: DataFrame, columns: Sequence[str], n: int = 30, share: float = 0.85, seed: int = SEED, **model) -> DataFrame:
     """Mean and deviation over models fitted on random subsets.  Runs ``n`` fits, logistic ones at once."""
-    weight = lambda r: (hash_uniform(F.lit(seed + r), F.lit("s"), F.col("match_id")) < share).cast("double")
-    return _intervals(train, test, columns, n, weight, **model).select("row_id", "class", "mean", "std")
+    weight = lambda u: (u < share).cast("double")
+    return _intervals(train, test, columns, n, bootstrap_draw(seed, "s"), weight, **model).select("row_id", "class", "mean", "std")
 
 
 # --- explanation -----------------------------------------------------------

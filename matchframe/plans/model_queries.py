@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchframe.functions.probs import P, log_loss, normalize_probs, triple
+from matchframe.operators import manyfits as N
 from matchframe.operators import metrics as A
 from matchframe.operators import ml as M
 from matchframe.operators import ratings as E
@@ -128,19 +129,26 @@ _CUT_SQL = """d AS (SELECT match_date, count(*) AS n FROM @matches GROUP BY ALL)
 )
 def m2_facts(t: Tables):
     """What holds for any sound fit: it scores every test row, with chances that sum to 1, and beats the class shares on its training rows."""
-    train, test = halves(t)
+    return _fit_facts(*halves(t), ALL, ("forest", "logistic"))
+
+
+def _fit_facts(train, test, columns, kinds, gains=False):
+    train, test = staged(train.na.fill(0.0, columns)), test.na.fill(0.0, columns)
     out = None
     share = train.groupBy("target").agg(F.count("*").alias("n"))
     whole = share.agg(F.sum("n").alias("t"))
     prior = share.join(F.broadcast(whole)).agg(F.sum(-F.col("n") / F.col("t") * F.log(F.col("n") / F.col("t"))).alias("prior"))
-    for kind in ("forest", "logistic"):
-        model = M.fit_outcome_model(train, ALL, kind=kind)
+    for kind in kinds:
+        model = M.fit_outcome_model(train, columns, kind=kind)
         total = sum((F.col(p) for p in P), F.lit(0.0))
         inside = F.least(*P) >= 0
         facts = model.transform(test).agg(F.count("*").alias("rows"), F.sum(total).alias("mass"), F.sum(inside.cast("int")).alias("valid"))
         loss = model.transform(train).agg(F.avg(log_loss(triple(), F.col("target"))).alias("loss"))
         one = facts.join(F.broadcast(loss)).join(F.broadcast(prior)).withColumn("better_than_prior", (F.col("loss") < F.col("prior")).cast("int"))
-        one = one.withColumn("kind", F.lit(kind)).select("kind", "rows", "mass", "valid", "better_than_prior")
+        if gains:
+            gain = M.gain_importance(model, train).where("importance >= 0").agg(F.count("*").alias("features"), F.sum("importance").alias("gain"))
+            one = one.join(F.broadcast(gain))
+        one = one.withColumn("kind", F.lit(kind)).drop("loss", "prior")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -149,6 +157,17 @@ def seasons_of(t: Tables):
     return production_rows(t).join(t.matches.select("match_id", "season"), "match_id")
 
 
+@query(
+    "M2_production_facts",
+    "kind:s rows:i mass:d6 valid:i better_than_prior:i features:i gain:d6",
+    f"""WITH {_CUT_SQL}, n AS (SELECT count(*) AS n FROM @matches, k WHERE match_date >= cutoff)
+    SELECT kind, n AS rows, n AS mass, n AS valid, 1 AS better_than_prior, {len(PRODUCTION)} AS features, 1.0 AS gain FROM n, (VALUES ('forest'), ('boosted')) AS v(kind)""",
+)
+def m2_production_facts(t: Tables):
+    """As ``M2_fit_facts`` for the production fits, and their gains: a share for every column, together 1."""
+    return _fit_facts(*production(t), PRODUCTION, ("forest", "boosted"), gains=True)
+
+
 @query(
     "M3_walk_forward_seasons",
     "season:i matches:i",
@@ -163,6 +182,25 @@ def m3(t: Tables):
     return A.score_probs(M.walk_forward(seasons_of(t), PRODUCTION, kind="logistic"), ["season"])
 
 
+_MASS = "home:d3 draw:d3 away:d3"
+_COUNTS = ", ".join(f"sum(w * CASE WHEN result = '{r}' THEN 1 ELSE 0 END) AS {n}" for r, n in (("H", "home"), ("D", "draw"), ("A", "away")))
+
+
+@query(
+    "M3_walk_forward_balance",
+    f"season:i {_MASS}",
+    f"""WITH s AS (SELECT DISTINCT season AS test FROM @matches WHERE season > (SELECT min(season) FROM @matches))
+    SELECT test AS season, {_COUNTS} FROM (SELECT test, result, 1.0 AS w FROM s JOIN @matches ON season < test) AS m GROUP BY test""",
+)
+def m3_balance(t: Tables):
+    """The fits themselves: an unpenalised fit gives its training rows as many wins, draws and losses as they have."""
+    rows = staged(seasons_of(t))
+    seasons = sorted(r["season"] for r in rows.select("season").distinct().collect())[1:]
+    weights = M.earlier_seasons(seasons)
+    scored = N.fit_many(rows, PRODUCTION, weights, len(seasons)).transform(rows)
+    return N.fitted_mass(scored, weights).withColumn("season", F.get(F.array(*[F.lit(s) for s in seasons]), F.col("fit")))
+
+
 _METRICS = "model_version:s matches:i accuracy:d6 log_loss:d6 brier_score:d6 ece:d6"
 
 
@@ -223,6 +261,30 @@ def m8(t: Tables):
     return M.subset_ensemble(train, test, PRODUCTION, kind="logistic")
 
 
+def _mass_sql(n: int, tag: str, weight: str) -> str:
+    draw = f"CAST(('0x' || substr(md5(concat_ws('-', CAST(42 + r AS VARCHAR), '{tag}', CAST(match_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+    return f"""WITH {_CUT_SQL}, u AS (SELECT r, result, {draw} AS u FROM @matches, k, (SELECT unnest(range({n})) AS r) AS n WHERE match_date < cutoff)
+    SELECT r AS fit, {_COUNTS} FROM (SELECT r, result, {weight} AS w FROM u) AS m GROUP BY r"""
+
+
+def _mass(t: Tables, n: int, tag: str, weight):
+    train, _ = production(t)
+    weights = M.replicate_weights(n, M.bootstrap_draw(M.SEED, tag), weight)
+    return N.fitted_mass(N.fit_many(train, PRODUCTION, weights, n).transform(train), weights)
+
+
+@query("M7_bootstrap_balance", f"fit:i {_MASS}", _mass_sql(40, "b", " + ".join(f"CAST(u >= {x!r}::DOUBLE AS INTEGER)" for x in M.poisson_limits())))
+def m7_balance(t: Tables):
+    """As ``M3_walk_forward_balance``: the 40 replicates' chances add up to their weighted outcomes."""
+    return _mass(t, 40, "b", M.poisson_weight)
+
+
+@query("M8_subset_balance", f"fit:i {_MASS}", _mass_sql(30, "s", "CASE WHEN u < 0.85 THEN 1 ELSE 0 END"))
+def m8_balance(t: Tables):
+    """As ``M7_bootstrap_balance`` for the random subsets."""
+    return _mass(t, 30, "s", lambda u: (u < 0.85).cast("double"))
+
+
 @query("M9_gain_importance", "feature:s importance:d6")
 def m9(t: Tables):
     train, _ = production(t)
