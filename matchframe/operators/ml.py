@@ -35,7 +35,7 @@ from matchframe.shipping import ship
 
 SEED = 42
 # Size of the boosted model.
-ROUNDS, DEPTH, RATE, STEPS = 150, 3, 0.05, 1000
+ROUNDS, DEPTH, RATE, SHARE, STEPS = 150, 3, 0.05, 0.9, 1000
 #: Fits that run at the same time: the small jobs of one fill the gaps between those of another.
 FITS = 6
 #: Rows whose walks through all trees are held at once.
@@ -95,7 +95,7 @@ def fit_outcome_model(
     if kind == "boosted":
         def booster(i: int):
             gbt = GBTClassifier(
-                featuresCol="_x", labelCol="_y", predictionCol="_pred", maxIter=rounds, maxDepth=depth, stepSize=RATE, seed=seed
+                featuresCol="_x", labelCol="_y", predictionCol="_pred", maxIter=rounds, maxDepth=depth, stepSize=RATE, subsamplingRate=SHARE, seed=seed
             )
             if weight:
                 gbt.setWeightCol(weight)
