@@ -62,7 +62,7 @@ def test_phrases_are_greedy_longest_matches():
     sample = "the cat sat on the mat and the dog ran"
     known = language_id.fit({"en": [sample], "xx": ["zq qz zzq"]}, 1000)
     for probe in ("the dog sat", "cat and mat", "zzz qq", "a"):
-        table = known.symbol_table()
+        table = known.symbol_tables()[0]
         symbols = table[np.array([ord(c) for c in probe])]
         got = language_id.phrases(symbols, np.array([0, len(symbols)]), known)[0]
         for name, text, n in (("en", sample, got[0]), ("xx", "zq qz zzq", got[1])):
@@ -106,6 +106,35 @@ def test_prediction_ignores_labels_of_held_out_rows(spark):
     assert pick(a) == pick(b)
 
 
+def test_scripts_of_thousands_of_letters(spark):
+    rng = random.Random(5)
+    words = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2)) for _ in range(900)]
+    han = lambda: "".join(rng.choice(words) for _ in range(300))
+    noise = lambda: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(600))
+    latin = ["river", "stone", "green", "light", "walk", "over", "under", "house", "and", "the"]
+    english = lambda: " ".join(rng.choice(latin) for _ in range(150))
+    rows = [(i, han() if i % 2 else english(), "zh" if i % 2 else "en") for i in range(160)]
+    rows += [(1000, noise(), None), (1001, words[0][0], None), (1002, "".join(rng.choice("qxzjkvw") for _ in range(400)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, F.col("doc_id") < 100).collect()}
+    assert all(got[i]["lang_pred"] == lang and not got[i]["strange"] for i, _, lang in rows[100:160])
+    assert got[1000]["strange"] and got[1002]["strange"]
+    assert not got[1001]["strange"] and got[1001]["lang_pred"] == "zh"
+
+
+def test_letters_have_codes_of_their_own_and_symbols_are_shared_evenly():
+    for n in (0, 1, language_id.LETTERS, language_id.LETTERS + 1, 3000):
+        codes = set(zip(*(c.tolist() for c in language_id._codes(n)), strict=True))
+        assert len(codes) == n and all(a > 1 for a, _ in codes)
+    assert language_id._even([5, 100, 100], 105) == 50
+    assert language_id._even([5, 6], 100) == 6 and language_id._even([], 9) == 0
+    long, short = "abc " * 5000, "xyz"
+    known = language_id.fit({"en": [long, long.upper(), short]}, 1000)
+    assert set(map(chr, known.letters.tolist())) == set("abcxyz")
+    symbols = language_id._sample_symbols(short, known.symbol_tables())
+    assert language_id.phrases(symbols, np.array([0, 3]), known)[0, 0] == 1
+
+
 # --- token counts ---
 
 
