@@ -55,6 +55,42 @@ def test_pipeline(spark, tmp_path):
     assert len(left[3]) > 0.7 * len(everything)
 
 
+def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    twice = docs.union(docs).withColumn("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("doc_id"))).withColumn("row_id", F.lit("x"))
+    counts = []
+    for name, given in (("once", docs), ("twice", twice)):
+        given.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            place = str(tmp_path / f"{name}{k}")
+            stage(spark, kept, SF).write.parquet(place)
+            kept = spark.read.parquet(place)
+            assert kept.columns == given.columns
+        counts.append(kept.count())
+        assert kept.groupBy("text").count().where("count > 1").count() == 0
+        ids = kept.where("doc_id IS NOT NULL")
+        assert ids.count() == ids.distinct().count()
+    # The same texts stay, though another member may stand for its group.
+    assert abs(counts[0] - counts[1]) <= 2
+
+
+def test_same_id_with_other_texts_and_rows_without_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (1, b), (1, b), (2, a + " x"), (None, b), (None, "c " * 30), (None, "c " * 30), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert len(got) == 5 and (2, a + " x") in got and (3, None) in got and (4, "") in got and (None, "c " * 30) in got
+    assert sum(t == b for _, t in got) == 1 and (1, a) not in got
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_empty_tables(spark, number):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, row_id string")
+    assert corpus_pipeline.STAGES[number][1](spark, docs, SF).count() == 0
+
+
 def test_run_equals_its_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontamination", "sentencepiece"]
