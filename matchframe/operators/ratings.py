@@ -495,6 +495,8 @@ def _xg_match(h: _XgTeam, a: _XgTeam, season, hx: float, ax: float, sums: Sequen
     """Ratings and expected goals before the match; both teams then hold it.  ``sums``: home xG, away xG and matches so far."""
     n = sums[2]
     league, lh, la = ((sums[0] + sums[1]) / (2 * n), sums[0] / n, sums[1] / n) if n else cfg.league
+    # A mean of 0 measures nothing: until the league's first chance the start value stands.
+    league = league or cfg.league[0]
     hb, ab = h.block(season, league), a.block(season, league)
     (h_att, h_def), (a_att, a_def) = hb[0], ab[0]
     eh = lh * h_att * a_def * cfg.home_factor

@@ -172,3 +172,15 @@ def test_linked_groups(spark):
     days = spark.range(100).selectExpr("0L AS pool", "date_add(date'2020-01-01', cast(id / 4 AS int)) AS match_date", "id")
     sizes = [r["count"] for r in with_step(days, 20).groupBy("_step").count().collect()]
     assert sizes == [20] * 5
+
+
+@pytest.mark.parametrize("step_rows", [E.STEP_ROWS, 1])
+def test_a_league_without_chances_so_far_keeps_its_start_value(spark, step_rows):
+    m = spark.createDataFrame(
+        [(1, 0, 1, "2020-01-01", 1, 2, 0.0, 0.0), (2, 0, 1, "2020-01-02", 3, 4, 1.0, 0.5), (3, 0, 1, "2020-01-03", 1, 3, 1.0, 1.0)],
+        "match_id long, pool long, season int, d string, home long, away long, hxg double, axg double",
+    )
+    got = {r.match_id: r for r in E.opponent_adjusted_xg(m.withColumn("match_date", F.col("d").cast("date")), step_rows=step_rows).collect()}
+    assert got[2].home_xg_attack_rating == got[2].away_xg_defense_rating == 1.0
+    assert got[2].expected_home_goals_model == E.XgConfig().low
+    assert got[3].home_xg_attack_rating == 0.0 and got[3].away_xg_attack_rating == pytest.approx(1.0 / (1.5 / 4))
