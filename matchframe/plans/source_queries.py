@@ -147,10 +147,11 @@ def s8(t: Tables):
     raw = t.result_text
     plain = R.clean_fixtures(
         raw.select((F.col("rid") % 38 + 1).alias("matchweek"), F.col("Date").alias("date"), F.col("HomeTeam").alias("home_team"),
-                   F.col("AwayTeam").alias("away_team"), F.col("rid"))
+                   F.col("AwayTeam").alias("away_team"), F.col("rid")), ["rid"]
     )
-    done = R.completed_only(raw.where("season_text IS NOT NULL"), F.col("season_text")).select("match_date", "home", "away").distinct()
-    return plain.join(done.withColumn("c", F.lit(1)), ["match_date", "home", "away"], "left").withColumn(
+    # By row: teams may meet twice on a day, and only one of the two matches may have a score.
+    done = R.completed_only(raw.where("season_text IS NOT NULL"), F.col("season_text"), ["rid"]).select("rid").distinct()
+    return plain.join(done.withColumn("c", F.lit(1)), ["rid"], "left").withColumn(
         "completed", F.coalesce("c", F.lit(0))
     )
 

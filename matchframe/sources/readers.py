@@ -21,8 +21,8 @@ PROVIDER_XG = {"HxG": "provider_hxg", "AxG": "provider_axg"}
 MATCH_KEY = ["season", "match_date", "home", "away"]
 
 
-def clean_results(raw: DataFrame, season: Column) -> DataFrame:
-    """Base columns plus any shot and xG columns present; incomplete rows drop."""
+def clean_results(raw: DataFrame, season: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Base columns plus any shot and xG columns present; incomplete rows drop.  ``keep`` names columns to hand on."""
     missing = [c for c in RESULT_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"missing result columns: {missing}")
@@ -37,7 +37,7 @@ def clean_results(raw: DataFrame, season: Column) -> DataFrame:
             if src in RESULT_COLUMNS:
                 c = c.cast("int")
         cols.append(c.alias(name))
-    return raw.select(*cols).dropna(subset=list(RESULT_COLUMNS.values()))
+    return raw.select(*cols, *keep).dropna(subset=list(RESULT_COLUMNS.values()))
 
 
 def read_matches(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
@@ -153,15 +153,15 @@ def read_opening_odds(spark: SparkSession, path: str) -> DataFrame:
     return clean_opening_odds(spark.read.csv(path, header=True))
 
 
-def clean_fixtures(raw: DataFrame) -> DataFrame:
-    """Official or plain fixture list in model column names."""
+def clean_fixtures(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Official or plain fixture list in model column names.  ``keep`` names columns to hand on."""
     home = C.first_alias(raw, ["home_team", "HomeTeam"])
     away = C.first_alias(raw, ["away_team", "AwayTeam"])
     return raw.select(
         C.first_alias(raw, ["matchweek", "week"]).try_cast("int").alias("matchweek"),
         C.parse_mixed_date(C.first_alias(raw, ["date"])).alias("match_date"),
         C.map_entity(home).alias("home"),
-        C.map_entity(away).alias("away"),
+        C.map_entity(away).alias("away"), *keep,
     ).dropna(subset=["match_date", "home", "away"])
 
 
@@ -169,9 +169,9 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     return clean_fixtures(spark.read.csv(path, header=True))
 
 
-def completed_only(raw: DataFrame, season: Column) -> DataFrame:
+def completed_only(raw: DataFrame, season: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of the running season that already have a score."""
-    return clean_results(raw, season)
+    return clean_results(raw, season, keep)
 
 
 def read_completed(spark: SparkSession, path: str, season: str) -> DataFrame:

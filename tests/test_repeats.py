@@ -7,6 +7,15 @@ from matchframe.sources import lineups as L
 QUERIES = entry.queries()
 
 
+def test_a_score_belongs_to_its_own_fixture(spark, tmp_path):
+    # Both orders are the same two teams on the same day; 35438 has no readable score.
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet").where("o_orderkey IN (35438, 115276)")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["S8_read_fixtures"](spark, str(tmp_path)).collect()
+    assert len({(r.match_date, r.home, r.away) for r in got}) == 1
+    assert {r.matchweek: r.completed for r in got} == {35438 % 38 + 1: 0, 115276 % 38 + 1: 1}
+
+
 def test_strength_of_the_last_seasons_reaches_the_query(spark):
     sf = "/root/testdata/sf0.01"
     sizes = Tables(spark, sf).league.groupBy("pool", "season").count()
