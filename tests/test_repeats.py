@@ -16,6 +16,18 @@ def test_a_score_belongs_to_its_own_fixture(spark, tmp_path):
     assert {r.matchweek: r.completed for r in got} == {35438 % 38 + 1: 0, 115276 % 38 + 1: 1}
 
 
+def test_tied_lineup_rows_give_one_row_in_any_order(spark):
+    rows = [(1, "m", f"2020-01-{d:02d}", "T", f"P{d}", f"4-{d}", f"C{d % 7}") for d in range(1, 29)]
+    seen = set()
+    for order in (rows, rows[::-1], rows[9:] + rows[:9]):
+        raw = spark.createDataFrame(order, "rank_id long, match_id string, date string, team string, player string, formation string, captain string").coalesce(1)
+        got = L.normalize_lineups(raw, "export", "rank_id")
+        one, other = got["lineups"].first(), got["formations"].first()
+        assert (one.date, one.formation) == (other.date, other.formation)
+        seen.add((one.date, one.formation, one.captain))
+    assert len(seen) == 1
+
+
 def test_strength_of_the_last_seasons_reaches_the_query(spark):
     sf = "/root/testdata/sf0.01"
     sizes = Tables(spark, sf).league.groupBy("pool", "season").count()
