@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchframe.functions import clean as C
 
@@ -285,17 +286,33 @@ def field_availability(df: DataFrame, fields: dict[str, Sequence[str]], source:
     return row.select(F.inline(F.array(*parts)))
 
 
+def _late_keys_apart(source: DataFrame, ids: DataFrame, day: Column, key: str) -> DataFrame:
+    """``source`` with new keys, beyond all others, for rows from ``day`` on that share a key of ``ids``."""
+    kind = source.schema[key].dataType
+    if isinstance(kind, T.StringType):
+        ends = source.agg(F.max(key).alias("_high"))
+        new = F.concat("_high", F.lit("/"), key)
+    else:
+        ends = source.agg((F.max(key) - F.min(key) + 1).alias("_high"))
+        new = (F.col(key) + F.col("_high")).cast(kind)
+    shared = ids.withColumn("_early", F.lit(True))
+    marked = source.join(shared, key, "left").join(F.broadcast(ends))
+    late = F.col("_early") & ~F.coalesce(F.col("match_date") < day, F.lit(False))
+    return marked.withColumn(key, F.when(late, new).otherwise(F.col(key))).select(*source.columns)
+
+
 def leakage_check(build, source: DataFrame, cutoff: str, key: str = "match_id") -> DataFrame:
     """Rows whose features before ``cutoff`` change when later source rows are dropped.
 
     ``build(df) -> features`` is run on all and on the truncated rows; a leak-free
-    builder gives an empty result.
+    builder gives an empty result.  A later row whose key an earlier row has too is
+    built under a key of its own, as the features do not tell the two apart.
     """
     day = F.lit(cutoff).cast("date")
     early = source.where(F.col("match_date") < day)
     ids = early.select(key).distinct()
     part = build(early)
-    full = build(source).join(ids, key, "left_semi").select(*part.columns)
+    full = build(_late_keys_apart(source, ids, day, key)).join(ids, key, "left_semi").select(*part.columns)
     return full.exceptAll(part).withColumn("side", F.lit("full")).unionByName(
         part.exceptAll(full).withColumn("side", F.lit("truncated"))
     )

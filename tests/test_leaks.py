@@ -47,3 +47,11 @@ def test_the_check_finds_a_leak(t):
         return df.select("match_id", "team").join(df.groupBy("team").agg(F.sum("gf").alias("all_goals")), "team")
 
     assert Q.leakage_check(leaky, t.long, CUT).count() > 0
+
+
+def test_a_later_row_with_the_key_of_an_earlier_one_is_no_leak(spark):
+    rows = spark.createDataFrame([(1, "1998-01-01", "a"), (1, "1999-01-01", "b"), (2, "1998-02-01", "a"), (9, "2000-01-01", "b")], "match_id long, d string, pool string")
+    rows = rows.selectExpr("match_id", "CAST(d AS DATE) AS match_date", "pool")
+    assert Q.leakage_check(lambda df: df.select("match_id", "pool", "match_date"), rows, CUT).count() == 0
+    named = rows.selectExpr("CAST(match_id AS STRING) AS match_id", "match_date", "pool")
+    assert Q.leakage_check(lambda df: df.select("match_id", "pool"), named, CUT).count() == 0
