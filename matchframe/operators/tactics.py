@@ -243,20 +243,21 @@ ARCHETYPES = ("Balanced", "Possession Dominant", "High Press", "Direct Counterat
 
 
 def style_embeddings(
-    profiles: DataFrame, metrics: Sequence[str], k: int = 6, seed: int = 42, rounds: int = 200, vector: str | None = None
+    profiles: DataFrame, metrics: Sequence[str], k: int = 6, seed: int = 42, rounds: int = 100_000, vector: str | None = None
 ) -> DataFrame:
-    """Median-imputed, standardised profiles in ``k`` clusters.  Fits models, so it runs jobs.
+    """Median-imputed, standardised profiles in ``k`` clusters.  Stages the profiles and fits models, so it runs jobs.
 
-    The clusters settle: up to ``rounds`` rounds, until no centre moves.  ``vector`` names a column for the
-    standardised profile.
+    The clusters settle: rounds go on until no centre moves by more than rounding, which is far less than one profile
+    moves it; ``rounds`` only ends a search that never would.  ``vector`` names a column for the standardised profile.
     """
+    profiles = staged(profiles)
     imputed = [m + "_i" for m in metrics]
     model = Pipeline(
         stages=[
             Imputer(strategy="median", inputCols=list(metrics), outputCols=imputed),
             VectorAssembler(inputCols=imputed, outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_z", withMean=True),
-            KMeans(featuresCol="_z", predictionCol="team_style_cluster", k=k, seed=seed, maxIter=rounds, tol=0.0),
+            KMeans(featuresCol="_z", predictionCol="team_style_cluster", k=k, seed=seed, maxIter=rounds, tol=1e-10),
         ]
     ).fit(profiles)
     names = F.array(*[F.lit(a) for a in ARCHETYPES])

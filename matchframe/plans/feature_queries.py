@@ -469,10 +469,15 @@ def w29(t: Tables):
     return K.style_history_points(rows.select("match_id", "match_date", "team", "opponent_cluster", "points"))
 
 
+def _profiles(t: Tables):
+    """Mean measures per season and team; rows meet before their measures are computed, so few columns are shuffled."""
+    rows = t.sql(CTES["tactics"], t=t.long.repartition("season", "team"))
+    return rows.groupBy("season", "team").agg(*[F.avg(m).alias(m) for m in METRICS])
+
+
 @query("W30_style_embeddings", "season:i team:i team_style_cluster:i team_style_archetype:s")
 def w30(t: Tables):
-    profiles = t.tactics.groupBy("season", "team").agg(*[F.avg(m).alias(m) for m in METRICS])
-    return K.style_embeddings(profiles, METRICS)
+    return K.style_embeddings(_profiles(t), METRICS)
 
 
 @query(
@@ -482,8 +487,7 @@ def w30(t: Tables):
 )
 def w30_facts(t: Tables):
     """What holds of settled clusters: six of them are in use, and no profile is nearer to another one's mean."""
-    profiles = t.tactics.groupBy("season", "team").agg(*[F.avg(m).alias(m) for m in METRICS])
-    rows = staged(K.style_embeddings(profiles, METRICS, vector="z").select("team_style_cluster", "team_style_archetype", "z"))
+    rows = staged(K.style_embeddings(_profiles(t), METRICS, vector="z").select("team_style_cluster", "team_style_archetype", "z"))
     places = range(len(METRICS))
     means = rows.groupBy("team_style_cluster").agg(F.array(*[F.avg(F.col("z")[i]) for i in places]).alias("mean"))
     # Six rows, whatever the size of the data.

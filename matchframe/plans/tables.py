@@ -177,8 +177,8 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        """Run shared SQL: ``@x`` is an entry of ``CTES``, other names are driver tables."""
+    def sql(self, text: str, **given: DataFrame) -> DataFrame:
+        """Run shared SQL: ``@x`` is an entry of ``CTES`` or of ``given``, other names are driver tables."""
         text = text.replace(_DAYS["duck"], _DAYS["spark"])
         text = text.replace("{", "{{").replace("}", "}}")
         text = re.sub(r' AS "(\w+)"', r" AS `\1`", text)
@@ -186,7 +186,7 @@ class Tables:
         for name in sorted(CTES, key=len, reverse=True):
             if f"@{name}" in text:
                 text = text.replace(f"@{name}", "{" + "cte_" + name + "}")
-                views["cte_" + name] = self.view(name)
+                views["cte_" + name] = given.get(name, self.view(name))
         for name in DRIVER_TABLES:
             for word in (f"FROM {name}", f"JOIN {name}"):
                 if word in text:

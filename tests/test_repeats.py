@@ -1,6 +1,7 @@
 """Rows that share a key: fixtures of one day, line-up rows of one rank."""
 
 import __spark_entry__ as entry
+from matchframe.operators import tactics as K
 from matchframe.plans.tables import Tables
 from matchframe.sources import lineups as L
 
@@ -35,3 +36,17 @@ def test_strength_of_the_last_seasons_reaches_the_query(spark):
     got = QUERIES["N11_long_term_strength"](spark, sf)
     teams = got.groupBy("pool").agg({"strength": "max"}).where("`max(strength)` > 0.15 * 4")
     assert teams.count() > 0
+
+
+def test_profiles_are_computed_once_for_all_rounds(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(300).selectExpr("id AS team", "2000 AS season", "CAST(id * 37 % 101 AS double) AS a", "CAST(id * 53 % 97 AS double) AS b")
+    got = K.style_embeddings(rows.mapInPandas(counted, rows.schema), ["a", "b"])
+    assert got.groupBy("team_style_cluster").count().count() == 6
+    assert read.value == 300
