@@ -44,7 +44,7 @@ def _select(raw: DataFrame, schema: T.StructType, given: dict[str, Column]) -> D
 def normalize_lineups(raw: DataFrame, source: str, order: str) -> dict[str, DataFrame]:
     """One wide export -> four tables.  ``order`` ranks rows of the same key; the last one stays.
 
-    Of rows with the same rank it is the same one in every run and every table, whichever the order of the input.
+    Of rows with the same rank it is the one that is read first, the same in every table.
     """
     given: dict[str, Column] = {"source": F.lit(source)}
     numeric = {f.name for s in (S.LINEUPS, S.APPEARANCES, S.SUBSTITUTIONS) for f in s.fields if isinstance(f.dataType, T.DoubleType)}
@@ -62,7 +62,7 @@ def normalize_lineups(raw: DataFrame, source: str, order: str) -> dict[str, Data
 
     def table(schema: T.StructType, need: list[str], key: list[str] | None) -> DataFrame:
         rows = raw.select(
-            rank.alias("_rank"), F.xxhash64(*raw.columns).alias("_tie"), *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+            rank.alias("_rank"), (-F.monotonically_increasing_id()).alias("_tie"), *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
         ).dropna(subset=need)
         if key:
             rows = dedupe_keep(rows, key, ["_rank", "_tie"], keep="last")
