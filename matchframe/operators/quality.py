@@ -313,6 +313,9 @@ def leakage_check(build, source: DataFrame, cutoff: str, key: str = "match_id")
     ids = early.select(key).distinct()
     part = build(early)
     full = build(_late_keys_apart(source, ids, day, key)).join(ids, key, "left_semi").select(*part.columns)
-    return full.exceptAll(part).withColumn("side", F.lit("full")).unionByName(
-        part.exceptAll(full).withColumn("side", F.lit("truncated"))
-    )
+    # Rows are counted once, up for the one side and down for the other.
+    cells = part.columns
+    both = full.withColumn("_n", F.lit(1)).unionByName(part.withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*cells).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "full").otherwise("truncated").alias("side")
+    return more.select(*cells, side, F.explode(F.array_repeat(F.lit(1), F.abs("_n").cast("int"))).alias("_n")).drop("_n")
