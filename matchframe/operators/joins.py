@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchframe.operators.windows import History, tied_rank
+from matchframe.operators.windows import History, fits_whole, tied_rank
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -175,7 +175,9 @@ def spell_totals(
         came = {c: (F.col(f"_n{c}") > 0).cast("long") - (F.col(f"_n{c}") - F.col(c) > 0).cast("long") for c in there}
         daily = counted.withColumns(came).groupBy(*keys, "_at").agg(*[F.sum(c).alias(c) for c in changes])
     rows = asks.withColumns({"_at": F.col(day), "_q": F.lit(1)}).unionByName(daily.withColumn("_q", F.lit(0)), allowMissingColumns=True)
-    h = History(rows, keys, day="_at", ties=("_q", *ties), totals={c: F.col(c) for c in changes})
+    # A fact has two changes, so half as many facts fit.
+    one = fits_whole(keys, asks, facts, facts)
+    h = History(rows, keys, day="_at", ties=("_q", *ties), totals={c: F.col(c) for c in changes}, whole=one)
     total = {c: F.sum(c).over(h.running()) for c in changes}
     out = h.real(h.frame.withColumns(total)).where("_q = 1")
     read = [F.round(F.coalesce(F.col(c), F.lit(0.0)), 9).alias(n) for c, n in zip(amount, sums, strict=True)]
@@ -192,6 +194,7 @@ def asof_last(
     ties: Sequence[str] = ("match_id",),
     value: Sequence[str],
     known: str | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Latest right row dated strictly before each left row.
 
@@ -200,7 +203,7 @@ def asof_last(
     after the later of the two.  Adds ``asof_day`` and the ``value`` columns.
 
     A running maximum of (day, value) over time slices: each slice starts from
-    the carried maximum of the slices before it.
+    the carried maximum of the slices before it.  With ``whole`` (``windows.fits_whole`` of both sides) a key is one slice.
     """
     seen = F.col(day) if known is None else F.greatest(F.col(day), F.coalesce(F.col(known), F.col(day)))
     facts = right.select(
@@ -208,12 +211,15 @@ def asof_last(
     )
     asks = left.withColumns({"_at": F.col(day), "_q": F.lit(1)})
     rows = asks.unionByName(facts, allowMissingColumns=True)
-    h = History(rows, keys, day="_at", ties=("_q", *ties))
+    h = History(rows, keys, day="_at", ties=("_q", *ties), whole=whole)
+    inside = F.max(F.col("_val")).over(h.running())
+    if whole:
+        out = h.real(h.frame.withColumn("_last", inside)).where("_q = 1")
+        return out.select(*left.columns, F.col("_last.day").alias("asof_day"), *[F.col(f"_last.{c}").alias(c) for c in value])
     per = rows.withColumn("_chunk", h.slice_of(F.col("_at"))).groupBy(*keys, "_chunk").agg(F.max("_val").alias("_m"))
     prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per.select(*keys, "_chunk", F.max("_m").over(prior).alias("_carry"))
     frame = h.frame.join(carried, [*keys, "_chunk"], "left")
-    inside = F.max(F.col("_val")).over(h.running())
     out = h.real(frame.withColumn("_last", F.greatest(inside, F.col("_carry")))).where("_q = 1")
     return out.select(
         *left.columns, F.col("_last.day").alias("asof_day"), *[F.col(f"_last.{c}").alias(c) for c in value]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from matchframe.operators.joins import asof_last, lineup_pairs
 from matchframe.operators.longform import to_wide
 from matchframe.operators.rolling import zero
-from matchframe.operators.windows import History, real_row
+from matchframe.operators.windows import History, fits_whole, real_row
 from matchframe.plans.stages import staged
 
 GROUPS = {"same_back_four": "defender", "same_midfield": "midfielder", "same_attack": "attacker"}
@@ -34,23 +34,35 @@ def lineup_sets(appearances: DataFrame) -> DataFrame:
     )
 
 
-def _expected(appearances: DataFrame) -> DataFrame:
-    kind = F.lower(F.coalesce(F.col("lineup_type"), F.lit(""))).isin("expected", "projected")
-    early = F.col("source_collected_at").isNull() | (F.col("source_collected_at") < F.col("match_date"))
-    return lineup_sets(appearances.where(kind & early & (F.col("started") >= 1))).drop("collected")
+_SETS = ["xi", *["xi_" + g for g in GROUPS.values()]]
 
 
-_SETS = ["xi", *["xi_" + g for g in GROUPS.values()]]
+def known_lineups(appearances: DataFrame) -> DataFrame:
+    """``lineup_sets``, and beside each the sets of the starters that were expected before the day (``e_``; null without any).
+
+    One reading and grouping of the appearances for all that follows.  Runs a job.
+    """
+    kind = F.lower(F.coalesce(F.col("lineup_type"), F.lit(""))).isin("expected", "projected")
+    early = F.col("source_collected_at").isNull() | (F.col("source_collected_at") < F.col("match_date"))
+    started = F.col("started") >= 1
+    expected = F.coalesce(kind & early & started, F.lit(False))
+    some = {"xi": F.lit(True), **{"xi_" + g: F.col("position_group") == g for g in GROUPS.values()}}
+    sets = [F.sort_array(F.collect_set(F.when(started & of, F.col("player")))).alias(c) for c, of in some.items()]
+    sets += [F.when(F.max(expected), F.sort_array(F.collect_set(F.when(expected & of, F.col("player"))))).alias("e_" + c) for c, of in some.items()]
+    return staged(appearances.groupBy("team", "match_date").agg(F.max("source_collected_at").alias("collected"), *sets))
 
 
-def current_and_previous(asks: DataFrame, appearances: DataFrame) -> DataFrame:
+def current_and_previous(asks: DataFrame, appearances: DataFrame, lineups: DataFrame | None = None) -> DataFrame:
     """The line-up in sight for each ask (expected for the day, else latest known) and the one before it.
 
-    Runs two jobs: the line-up sets and the chosen line-ups are read several times.
+    ``lineups`` are the ``known_lineups`` of the appearances, if they are at hand.  Runs jobs: the line-ups and the chosen
+    ones are staged, as they are read several times.
     """
-    facts = staged(lineup_sets(appearances))
-    latest = asof_last(asks, facts, ties=("match_id", "is_home"), value=_SETS, known="collected")
-    expected = _expected(appearances).select("team", "match_date", *[F.col(c).alias("e_" + c) for c in _SETS])
+    lineups = known_lineups(appearances) if lineups is None else lineups
+    facts = lineups.drop(*["e_" + c for c in _SETS])
+    whole = fits_whole(["team"], asks, facts)
+    latest = asof_last(asks, facts, ties=("match_id", "is_home"), value=_SETS, known="collected", whole=whole)
+    expected = lineups.where(F.col("e_xi").isNotNull()).select("team", "match_date", *["e_" + c for c in _SETS])
     both = latest.join(expected, ["team", "match_date"], "left")
     has = F.col("e_xi").isNotNull()
     chosen = both.withColumns(
@@ -62,7 +74,7 @@ def current_and_previous(asks: DataFrame, appearances: DataFrame) -> DataFrame:
     chosen = staged(chosen)
     known = chosen.where("lineup_day IS NOT NULL")
     moved = known.select("match_id", "is_home", "team", F.col("lineup_day").alias("match_date"))
-    prev = asof_last(moved, facts, ties=("match_id", "is_home"), value=_SETS, known="collected")
+    prev = asof_last(moved, facts, ties=("match_id", "is_home"), value=_SETS, known="collected", whole=whole)
     prev = prev.select("match_id", "is_home", *[F.col(c).alias("p_" + c) for c in _SETS])
     return chosen.join(prev, ["match_id", "is_home"], "left")
 
@@ -77,13 +89,15 @@ CONTINUITY = (
 )
 
 
-def continuity_rows(long: DataFrame, appearances: DataFrame) -> DataFrame:
+def continuity_rows(long: DataFrame, appearances: DataFrame, lineups: DataFrame | None = None) -> DataFrame:
     """Repeat counts against the previous line-up and the last winning one, per team-match."""
-    h = History(long.select("match_id", "is_home", "team", "match_date", "points"), ["team"], rows=1, rows_where=F.col("points") == 3)
+    thin = long.select("match_id", "is_home", "team", "match_date", "points")
+    h = History(thin, ["team"], rows=1, rows_where=F.col("points") == 3, whole=fits_whole(["team"], long))
     won = F.max(real_row(F.when(F.col("points") == 3, F.col("match_date")))).over(h.running())
     asks = h.real(h.frame.withColumn("win_day", won)).drop("points")
-    rows = current_and_previous(asks, appearances)
-    win = lineup_sets(appearances).select("team", F.col("match_date").alias("win_day"), F.col("xi").alias("w_xi"))
+    lineups = known_lineups(appearances) if lineups is None else lineups
+    rows = current_and_previous(asks, appearances, lineups)
+    win = lineups.select("team", F.col("match_date").alias("win_day"), F.col("xi").alias("w_xi"))
     rows = rows.join(win, ["team", "win_day"], "left")
     repeat, shared = _overlap("c_xi", "p_xi"), _overlap("c_xi", "w_xi")
     cols = {
@@ -105,6 +119,11 @@ def lineup_continuity(long: DataFrame, appearances: DataFrame) -> DataFrame:
 
 def pair_history(appearances: DataFrame) -> DataFrame:
     """Joint starts and minutes of each pair up to and including each day it becomes known.  Runs a job."""
+    return _pair_history(appearances)[0]
+
+
+def _pair_history(appearances: DataFrame) -> tuple[DataFrame, bool]:
+    """``pair_history``, and whether a team's rows of it fit into one slice."""
     s = appearances.where("started >= 1").groupBy("team", "match_date", "player").agg(
         F.max("minutes").alias("minutes"), F.max("source_collected_at").alias("c")
     )
@@ -114,11 +133,12 @@ def pair_history(appearances: DataFrame) -> DataFrame:
         F.least("minutes_a", "minutes_b").cast("double").alias("m"),
     )
     daily = staged(pairs.groupBy("team", "a", "b", "match_date").agg(F.count("*").alias("n"), F.sum("m").alias("m")))
-    h = History(daily, ["team", "a", "b"], ties=(), totals={"_n": F.col("n"), "_m": F.col("m")})
+    # All pairs of a team together, as that takes no grouping by pair.
+    whole = fits_whole(["team"], daily)
+    h = History(daily, ["team", "a", "b"], ties=(), totals={"_n": F.col("n"), "_m": F.col("m")}, whole=whole)
     upto = h.running_inclusive()
-    return h.real(
-        h.frame.withColumns({"starts": F.sum("_n").over(upto), "minutes": F.sum("_m").over(upto)})
-    ).select("team", "a", "b", "match_date", "starts", "minutes")
+    out = h.real(h.frame.withColumns({"starts": F.sum("_n").over(upto), "minutes": F.sum("_m").over(upto)}))
+    return out.select("team", "a", "b", "match_date", "starts", "minutes"), whole
 
 
 FAMILIARITY = ("shared_starts_score", "shared_minutes_score", "lineup_familiarity_score")
@@ -141,8 +161,11 @@ def familiarity_rows(asks: DataFrame, appearances: DataFrame) -> DataFrame:
     )
     known = asks.where(F.col("lineup_day").isNotNull() & (F.size("c_xi") >= 2))
     listed = known.select("match_id", "is_home", "team", "match_date", F.inline(pairs))
+    history, whole = _pair_history(appearances)
+    # A match asks for a pair once at most.
+    whole = whole and fits_whole(["team"], known)
     seen = asof_last(
-        listed, pair_history(appearances), keys=("team", "a", "b"), ties=("match_id", "is_home"), value=["starts", "minutes"]
+        listed, history, keys=("team", "a", "b"), ties=("match_id", "is_home"), value=["starts", "minutes"], whole=whole
     )
     sums = seen.groupBy("match_id", "is_home").agg(
         F.coalesce(F.sum("starts"), F.lit(0)).cast("double").alias("shared_starts_score"),
@@ -159,16 +182,18 @@ def lineup_familiarity(long: DataFrame, appearances: DataFrame) -> DataFrame:
     return to_wide(familiarity_rows(asks, appearances), FAMILIARITY)
 
 
-def rotation_facts(appearances: DataFrame) -> DataFrame:
-    """Mean of the last 10 changes between consecutive line-ups, at each line-up.  Runs two jobs."""
-    sets = staged(lineup_sets(appearances)).where(F.size("xi") > 0).select("team", "match_date", "collected", "xi")
-    step = History(sets, ["team"], ties=(), rows=1)
+def rotation_facts(appearances: DataFrame, lineups: DataFrame | None = None) -> DataFrame:
+    """Mean of the last 10 changes between consecutive line-ups, at each line-up.  Runs jobs."""
+    lineups = known_lineups(appearances) if lineups is None else lineups
+    sets = lineups.where(F.size("xi") > 0).select("team", "match_date", "collected", "xi")
+    whole = fits_whole(["team"], sets)
+    step = History(sets, ["team"], ties=(), rows=1, whole=whole)
     before = F.lag(real_row(F.col("xi"))).over(step.ordered())
     change = F.greatest(F.lit(0), SIZE - F.size(F.array_intersect("xi", "_b"))).cast("double")
     moved = step.real(step.frame.withColumn("_b", before)).withColumn(
         "change", F.when(F.col("_b").isNotNull(), change)
     ).drop("_b", "xi")
-    h = History(staged(moved), ["team"], ties=(), rows=10)
+    h = History(moved if whole else staged(moved), ["team"], ties=(), rows=10, whole=whole)
     mean = F.avg(real_row(F.col("change"))).over(h.ordered().rowsBetween(-9, 0))
     return h.real(h.frame.withColumn("rotation", mean)).drop("change")
 
@@ -176,10 +201,13 @@ def rotation_facts(appearances: DataFrame) -> DataFrame:
 ROTATION = ("lineup_rotation_rate", "squad_consistency_score")
 
 
-def rotation_rows(rows: DataFrame, appearances: DataFrame) -> DataFrame:
+def rotation_rows(rows: DataFrame, appearances: DataFrame, lineups: DataFrame | None = None) -> DataFrame:
     """Adds the rotation rate and the consistency score to continuity rows."""
     asks = rows.select("match_id", "is_home", "team", "match_date")
-    rate = asof_last(asks, rotation_facts(appearances), ties=("match_id", "is_home"), value=["rotation"], known="collected")
+    lineups = known_lineups(appearances) if lineups is None else lineups
+    facts = rotation_facts(appearances, lineups)
+    whole = fits_whole(["team"], asks, lineups)
+    rate = asof_last(asks, facts, ties=("match_id", "is_home"), value=["rotation"], known="collected", whole=whole)
     out = rows.join(rate.select("match_id", "is_home", "rotation"), ["match_id", "is_home"])
     has = F.col("lineup_day").isNotNull()
     rot = F.when(has, zero(F.col("rotation"))).otherwise(0.0)
@@ -188,4 +216,6 @@ def rotation_rows(rows: DataFrame, appearances: DataFrame) -> DataFrame:
 
 
 def lineup_rotation(long: DataFrame, appearances: DataFrame) -> DataFrame:
-    return to_wide(rotation_rows(continuity_rows(long, appearances), appearances), ROTATION)
+    lineups = known_lineups(appearances)
+    rows = continuity_rows(long, appearances, lineups).select("match_id", "is_home", "team", "match_date", "lineup_day", "starting_xi_repeat_pct")
+    return to_wide(rotation_rows(staged(rows), appearances, lineups), ROTATION)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from matchframe.plans.stages import staged
-from matchframe.settings import chunk_days
+from matchframe.settings import CHUNK_DAYS_KEY, chunk_days
 
 REAL, RECENT, DAILY, TOTAL = 0, 1, 2, 3
 _INTERNAL = ("_chunk", "_ctx", "_front")
@@ -38,6 +38,7 @@ class History:
     ``day_sums``    name -> per-row value, summed by calendar frames
     ``totals``      name -> per-row value, summed by running frames
     ``totals_by``   further keys of the running frames (for example season)
+    ``whole``       each key's history is one slice and nothing is copied: for tables that ``fits_whole`` has measured
     """
 
     def __init__(
@@ -55,16 +56,21 @@ class History:
         totals: dict[str, Column] | None = None,
         totals_by: Sequence[str] = (),
         width: int | None = None,
+        whole: bool = False,
     ) -> None:
         self.keys = list(keys)
         self.order = [day, *ties]
         self.day = day
+        self.whole = whole
         self.width = width or chunk_days(df.sparkSession)
         self.width = max(self.width, days + 1, ahead + 1)
         base = df.withColumn("_chunk", self.slice_of(F.col(day)))
         real = base.withColumns(
             {**(day_sums or {}), **(totals or {}), "_ctx": F.lit(REAL), "_front": F.lit(1)}
         )
+        if whole:
+            self.frame = real
+            return
         parts = [real]
         if rows:
             parts.append(self._recent_rows(base, rows, rows_where))
@@ -80,7 +86,7 @@ class History:
         self.frame = out
 
     def slice_of(self, day: Column) -> Column:
-        return F.floor(F.unix_date(day) / self.width).cast("long")
+        return F.lit(0).cast("long") if self.whole else F.floor(F.unix_date(day) / self.width).cast("long")
 
     def _recent_rows(self, base: DataFrame, n: int, where: Column | None) -> DataFrame:
         """Last ``n`` earlier rows of the key, one copy per slice that follows."""
@@ -169,6 +175,25 @@ def real_row(value: Column) -> Column:
     return F.when(F.col("_ctx").isin(REAL, RECENT), value)
 
 
+#: Rows of a key up to which its history is windowed as it is.
+WHOLE_ROWS = 100_000
+
+
+def fits_whole(keys: Sequence[str], *tables: DataFrame) -> bool:
+    """Whether no key has more than ``WHOLE_ROWS`` rows in all tables together.  Counts the rows of each key.
+
+    Such histories need no slices: where teams have a hundred matches, half-year slices copy more context than they hold
+    rows.  A slice width that the session sets is kept.
+    """
+    if tables[0].sparkSession.conf.get(CHUNK_DAYS_KEY, None) is not None:
+        return False
+    most = 0
+    for t in tables:
+        busiest = t.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        most += busiest or 0
+    return most <= WHOLE_ROWS
+
+
 def suggest_chunk_days(df: DataFrame, keys: Sequence[str], *, day: str = "match_date", target_rows: int = 2_000_000) -> int:
     """Slice width that keeps the busiest key near ``target_rows`` per slice.
 

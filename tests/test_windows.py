@@ -152,3 +152,38 @@ def test_open_intervals_give_their_true_pairs_only(spark):
         blocks.sort()
         assert blocks[0][0] == a and blocks[-1][1] == b and len(blocks) < 90
         assert all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))
+
+
+def test_few_rows_a_key_are_one_slice(skewed):
+    h = W.History(skewed, ["team"], rows=5, days=14, day_sums={"n": F.lit(1)}, whole=W.fits_whole(["team"], skewed))
+    assert h.whole and h.frame.count() == 900
+    plain = Window.partitionBy("team").orderBy("match_date", "match_id").rowsBetween(-5, -1)
+    got = h.real(h.frame.withColumn("v", F.sum("points").over(h.last(5)))).select("match_id", "v")
+    assert result(got) == result(skewed.withColumn("v", F.sum("points").over(plain)).select("match_id", "v"))
+
+
+def test_busy_keys_and_set_widths_are_sliced(skewed, spark, monkeypatch):
+    monkeypatch.setattr(W, "WHOLE_ROWS", 299)
+    assert not W.fits_whole(["team"], skewed) and W.fits_whole(["team"], skewed.where("team > 0"))
+    assert not W.fits_whole(["team"], *[skewed.where("team > 0")] * 20)
+    monkeypatch.undo()
+    spark.conf.set("spark.matchframe.chunkDays", "45")
+    try:
+        assert not W.fits_whole(["team"], skewed)
+    finally:
+        spark.conf.unset("spark.matchframe.chunkDays")
+    assert W.fits_whole(["team"], skewed.limit(0))
+
+
+@pytest.mark.parametrize("name", ["W1_form_features", "W4_shot_volume_features", "W17_absence_features", "W19_lineup_continuity", "W20_lineup_familiarity", "W21_lineup_rotation"])
+def test_slices_and_whole_keys_agree(spark, name):
+    from matchframe.plans.catalog import REGISTRY
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(str, REGISTRY[name].run(spark, sf).collect()))
+    whole = rows()
+    spark.conf.set("spark.matchframe.chunkDays", "45")
+    try:
+        assert rows() == whole and whole
+    finally:
+        spark.conf.unset("spark.matchframe.chunkDays")
