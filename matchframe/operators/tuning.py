@@ -402,19 +402,31 @@ PRICE_MODES = {
 }
 
 
-def select_odds(df: DataFrame, mode: str) -> DataFrame:
-    """First source whose three prices all exceed 1: adds home_odds, draw_odds, away_odds, odds_source (its label)."""
+def _chosen(columns: Sequence[str], mode: str) -> Column:
+    """The first source of ``mode`` among ``columns`` whose three prices all exceed 1, as a struct (h, d, a, s); null if none."""
     if mode not in PRICE_MODES:
         raise ValueError(f"unknown market mode: {mode}")
     options = []
     for prefix, label in PRICE_MODES[mode]:
         cols = [prefix + outcome for outcome in "HDA"]
-        if not set(cols) <= set(df.columns):
+        if not set(cols) <= set(columns):
             continue
         h, d, a = (F.col(f"`{c}`").try_cast("double") for c in cols)
         ok = (h > 1) & (d > 1) & (a > 1)
         options.append(F.when(ok, F.struct(h.alias("h"), d.alias("d"), a.alias("a"), F.lit(label).alias("s"))))
-    best = F.coalesce(*options) if options else F.lit(None).cast("struct<h:double,d:double,a:double,s:string>")
-    return df.withColumn("_o", best).withColumns(
-        {"home_odds": F.col("_o.h"), "draw_odds": F.col("_o.d"), "away_odds": F.col("_o.a"), "odds_source": F.col("_o.s")}
-    ).drop("_o")
+    return F.coalesce(*options) if options else F.lit(None).cast("struct<h:double,d:double,a:double,s:string>")
+
+
+def _odds_of(chosen: str) -> dict[str, Column]:
+    return {n: F.col(f"{chosen}.{f}") for n, f in (("home_odds", "h"), ("draw_odds", "d"), ("away_odds", "a"), ("odds_source", "s"))}
+
+
+def select_odds(df: DataFrame, mode: str) -> DataFrame:
+    """First source whose three prices all exceed 1: adds home_odds, draw_odds, away_odds, odds_source (its label)."""
+    return df.withColumn("_o", _chosen(df.columns, mode)).withColumns(_odds_of("_o")).drop("_o")
+
+
+def select_odds_by_mode(df: DataFrame, modes: Sequence[str], keys: Sequence[str] = ("match_id",)) -> DataFrame:
+    """``select_odds`` for several modes, a row of (keys, mode, odds) for each; ``df`` is read once."""
+    each = [F.struct(F.lit(m).alias("mode"), _chosen(df.columns, m).alias("_o")) for m in modes]
+    return df.select(*keys, F.inline(F.array(*each))).select(*keys, "mode", *[c.alias(n) for n, c in _odds_of("_o").items()])

@@ -59,12 +59,7 @@ _BOOK_PRICES = """SELECT match_id, CASE WHEN match_id % 3 = 0 THEN odds_h END AS
     UNION ALL SELECT match_id, 'preclosing', AvgH, 'average pre-closing odds' FROM b UNION ALL SELECT match_id, 'none', NULL, NULL FROM b""",
 )
 def p2(t: Tables):
-    raw = t.sql(_BOOK_PRICES)
-    out = None
-    for mode in ("benchmark", "research", "preclosing", "none"):
-        one = T.select_odds(raw, mode).select("match_id", F.lit(mode).alias("mode"), "home_odds", "odds_source")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return T.select_odds_by_mode(t.sql(_BOOK_PRICES), ("benchmark", "research", "preclosing", "none"))
 
 
 @query("P3_fair_odds", "match_id:i h:d8 d:d8 a:d8", "SELECT match_id, 1 / p_home AS h, 1 / p_draw AS d, 1 / p_away AS a FROM @probs")

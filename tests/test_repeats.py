@@ -49,3 +49,13 @@ def test_profiles_are_computed_once_for_all_rounds(spark):
     got = K.style_embeddings(rows.mapInPandas(counted, rows.schema), ["a", "b"])
     assert got.groupBy("team_style_cluster").count().count() == 6
     assert read.value == 300
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prices_are_joined_once_for_all_modes(spark):
+    got = QUERIES["P2_select_odds"](spark, "/root/testdata/sf0.001")
+    assert _plan(got).count("Join ") == 1
+    assert got.count() == 4 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
