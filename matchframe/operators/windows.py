@@ -194,6 +194,21 @@ def fits_whole(keys: Sequence[str], *tables: DataFrame) -> bool:
     return most <= WHOLE_ROWS
 
 
+#: Rows of a part where one task groups and joins all rows of its keys.
+PART_ROWS = 500_000
+
+
+def parts_for(df: DataFrame) -> int:
+    """As many parts as the session's shuffles have, more where these would hold over ``PART_ROWS`` rows, fewer for small tables.
+
+    A ``repartition`` into that many parts is not merged by the engine, so what a task holds does not grow with the table.
+    Counts the rows.
+    """
+    rows = df.count()
+    usual = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + 20 * rows // PART_ROWS)
+    return max(usual, -(-rows // PART_ROWS))
+
+
 def suggest_chunk_days(df: DataFrame, keys: Sequence[str], *, day: str = "match_date", target_rows: int = 2_000_000) -> int:
     """Slice width that keeps the busiest key near ``target_rows`` per slice.
 

@@ -12,6 +12,7 @@ from matchframe.operators import quality as Q
 from matchframe.operators import ratings as E
 from matchframe.operators import rolling as R
 from matchframe.operators.longform import to_long, to_wide
+from matchframe.operators.windows import parts_for
 from matchframe.plans.registry import query, wide_sql
 from matchframe.plans.tables import CTES, LATEST, Tables
 
@@ -323,7 +324,11 @@ def d4(t: Tables):
       ('duplicate_team_lineups', dl, dl = 0), ('missing_dates', 0, true), ('starter_count', good, good > 0.95), ('two_team_lineups_per_match', two, two > 0.95)) AS v("check", value, ok)""",
 )
 def d5(t: Tables):
-    return Q.validate_lineups(t.long.select("match_id", "team"), t.appearances)
+    """Both tables are parted by match before anything is grouped: joins and counts need no further shuffle, and parts stay small."""
+    n = parts_for(t.lineitem)
+    matches = t.matches.repartition(n, "match_id")
+    appearances = t.sql(CTES["appearances"], lineitem=t.lineitem.repartition(n, "l_orderkey"), matches=matches)
+    return Q.validate_lineups(to_long(matches).select("match_id", "team"), appearances)
 
 
 @query(

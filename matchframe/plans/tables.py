@@ -178,7 +178,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str, **given: DataFrame) -> DataFrame:
-        """Run shared SQL: ``@x`` is an entry of ``CTES`` or of ``given``, other names are driver tables."""
+        """Run shared SQL: ``@x`` is an entry of ``CTES`` or of ``given``, other names are driver tables or of ``given``."""
         text = text.replace(_DAYS["duck"], _DAYS["spark"])
         text = text.replace("{", "{{").replace("}", "}}")
         text = re.sub(r' AS "(\w+)"', r" AS `\1`", text)
@@ -191,7 +191,7 @@ class Tables:
             for word in (f"FROM {name}", f"JOIN {name}"):
                 if word in text:
                     text = text.replace(word, word.split()[0] + " {" + name + "}")
-                    views[name] = self.table(name)
+                    views[name] = given.get(name, self.table(name))
         return self.spark.sql(text, **views)
 
     def view(self, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matchframe.operators import tactics as K
+from matchframe.operators import windows as W
 from matchframe.plans.tables import Tables
 from matchframe.sources import lineups as L
 
@@ -59,3 +60,13 @@ def test_prices_are_joined_once_for_all_modes(spark):
     got = QUERIES["P2_select_odds"](spark, "/root/testdata/sf0.001")
     assert _plan(got).count("Join ") == 1
     assert got.count() == 4 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_lineup_checks_part_the_rows_by_match_in_small_parts(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(W, "PART_ROWS", 1_000)
+    parts = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1_000)
+    got = QUERIES["D5_validate_lineups"](spark, sf)
+    assert "RepartitionByExpression [l_orderkey" in _plan(got) and f", {parts}\n" in _plan(got)
+    monkeypatch.undo()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, QUERIES["D5_validate_lineups"](spark, sf).collect()))
