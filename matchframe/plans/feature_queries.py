@@ -422,7 +422,7 @@ _PROFILE_SQL = f"""o AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY
 
 @query("W26_tactical_profiles", "match_id:i is_home:i " + " ".join(c + ":d6" for c in _PROFILE_COLS), f"WITH {_PROFILE_SQL} SELECT * FROM p")
 def w26(t: Tables):
-    return K.tactical_profiles(t.long, t.tactics, METRICS)
+    return K.tactical_profiles(t.long, t.measures, METRICS)
 
 
 _PAIRS = K.MATCHUPS

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from matchframe.operators import tactics as K
 from matchframe.operators import windows as W
+from matchframe.plans.registry import rounded
 from matchframe.plans.tables import Tables
 from matchframe.sources import lineups as L
 
@@ -70,3 +71,27 @@ def test_lineup_checks_part_the_rows_by_match_in_small_parts(spark, monkeypatch)
     assert "RepartitionByExpression [l_orderkey" in _plan(got) and f", {parts}\n" in _plan(got)
     monkeypatch.undo()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, QUERIES["D5_validate_lineups"](spark, sf).collect()))
+
+
+def test_short_histories_are_profiled_whole(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    names = K.TACTICAL_MEASURES[:3]
+    whole = K.tactical_profiles(t.long, t.measures, names)
+    assert _plan(whole).count("RepartitionByExpression") == 1 and "Window" not in _plan(whole)
+    spark.conf.set("spark.matchframe.chunkDays", 60)
+    try:
+        sliced = K.tactical_profiles(t.long, t.tactics, names)
+        last = K.tactical_profiles(t.long, t.tactics, names, ["last10"])
+        want = sorted(map(tuple, sliced.collect()))
+    finally:
+        spark.conf.unset("spark.matchframe.chunkDays")
+    assert _plan(sliced).count("Window") > 0
+    assert sorted(map(tuple, whole.collect())) == want
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, sliced.select(last.columns).collect()))
+
+
+def test_rounding_by_arithmetic_equals_decimal_rounding(spark):
+    x = F.expr("CASE id % 5 WHEN 0 THEN (rand(1) - 0.5) * 100 WHEN 1 THEN (id - 5000) / 2e6D WHEN 2 THEN (id - 5000) / 2e6D + 1e-16 WHEN 3 THEN (rand(2) - 0.5) * pow(10D, id % 40 - 20) ELSE element_at(array(double('NaN'), double('Infinity'), NULL, -1e-9D), CAST(id % 4 AS int) + 1) END")
+    rows = spark.range(10_000).select(x.alias("x"))
+    for places in (1, 6):
+        assert rows.where(~F.round("x", places).eqNullSafe(rounded(F.col("x"), places))).count() == 0
