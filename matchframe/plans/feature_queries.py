@@ -436,8 +436,12 @@ _LAST10 = " ".join(f"{m}_last10" for m in METRICS)
     {", ".join(f"coalesce({a}_{x}_last10, 0) - coalesce({b}_{y}_last10, 0) AS {n}" for n, (a, x, b, y) in _PAIRS.items())} FROM w""",
 )
 def w27(t: Tables):
-    wide = to_wide(K.tactical_profiles(t.long, t.tactics, METRICS), _LAST10.split())
-    return K.tactical_matchups(wide, METRICS, _PAIRS)
+    """A side's measures meet the other side's as one array."""
+    names = _LAST10.split()
+    p = K.tactical_profiles(t.long, t.measures, METRICS, ["last10"])
+    wide = to_wide(p.select("match_id", "is_home", F.array(*names).alias("style")), ["style"])
+    cells = [F.get(f"{side}_style", F.lit(k)).alias(f"{side}_{c}") for side in ("home", "away") for k, c in enumerate(names)]
+    return K.tactical_matchups(wide.select("match_id", *cells), METRICS, _PAIRS)
 
 
 _STYLE = K.STYLE_MEASURES
