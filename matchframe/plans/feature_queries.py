@@ -458,7 +458,7 @@ def _style_sql(prefix: str = "") -> str:
 
 @query("W28_style_cluster_rule", "match_id:i is_home:i style:i", f"WITH {_PROFILE_SQL} SELECT match_id, is_home, {_style_sql()} AS style FROM p")
 def w28(t: Tables):
-    p = K.tactical_profiles(t.long, t.tactics, METRICS)
+    p = K.tactical_profiles(t.long, t.measures, _STYLE, ["last10"])
     return p.select("match_id", "is_home", K.style_cluster_rule("", _STYLE).alias("style"))
 
 

@@ -90,6 +90,14 @@ def test_short_histories_are_profiled_whole(spark):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, sliced.select(last.columns).collect()))
 
 
+def test_only_asked_frames_and_measures_are_computed(spark, monkeypatch):
+    made, plain = [], K._profiles
+    monkeypatch.setattr(K, "_profiles", lambda width, names, *rest: made.append(names) or plain(width, names, *rest))
+    for name, measures in (("W27_tactical_matchups", K.TACTICAL_MEASURES), ("W28_style_cluster_rule", K.STYLE_MEASURES)):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert made.pop() == [f"{m}_last10" for m in measures]
+
+
 def test_rounding_by_arithmetic_equals_decimal_rounding(spark):
     x = F.expr("CASE id % 5 WHEN 0 THEN (rand(1) - 0.5) * 100 WHEN 1 THEN (id - 5000) / 2e6D WHEN 2 THEN (id - 5000) / 2e6D + 1e-16 WHEN 3 THEN (rand(2) - 0.5) * pow(10D, id % 40 - 20) ELSE element_at(array(double('NaN'), double('Infinity'), NULL, -1e-9D), CAST(id % 4 AS int) + 1) END")
     rows = spark.range(10_000).select(x.alias("x"))
