@@ -1,8 +1,12 @@
 """Rows that share a key: fixtures of one day, line-up rows of one rank."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from matchframe.operators import manyfits as N
+from matchframe.operators import rolling as R
 from matchframe.operators import tactics as K
 from matchframe.operators import windows as W
 from matchframe.plans.registry import rounded
@@ -103,3 +107,29 @@ def test_rounding_by_arithmetic_equals_decimal_rounding(spark):
     rows = spark.range(10_000).select(x.alias("x"))
     for places in (1, 6):
         assert rows.where(~F.round("x", places).eqNullSafe(rounded(F.col("x"), places))).count() == 0
+
+
+def test_form_and_shots_are_one_pass_where_histories_are_short(spark):
+    long = Tables(spark, "/root/testdata/sf0.001").long
+    both = R.match_and_shot_features(long)
+    want = R.match_features(long).join(R.shot_volume_features(long), "match_id")
+    assert both.columns == [c for c in both.columns if c in want.columns] and set(both.columns) == set(want.columns)
+    assert _plan(both).count("Join ") == 0
+    want = sorted(map(tuple, want.select(both.columns).collect()))
+    assert sorted(map(tuple, both.collect())) == want
+    spark.conf.set("spark.matchframe.chunkDays", 90)
+    try:
+        assert len(want) == R.match_and_shot_features(long).count()
+    finally:
+        spark.conf.unset("spark.matchframe.chunkDays")
+
+
+def test_a_fit_multiplies_its_own_columns_only():
+    rng = np.random.default_rng(1)
+    x = rng.random((50, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x)), pa.array(rng.integers(0, 3, 50)), pa.array([[1.0, 1.0]] * 50)], ["x", "y", "w"])
+    free = np.array([[True, True, True, True], [False, True, False, True]])
+    (out,) = N._sums(np.zeros((2, 4, 2)), [0, 1], [0, 1], np.zeros(3), np.ones(3), False, free)([batch])
+    whole, part = (np.array(v) for v in out.column(1).to_pylist())
+    there = np.concatenate([[True] * 2, np.tile(free[1], 2), np.tile(np.outer(free[1], free[1]).ravel(), 3)])
+    assert np.allclose(part[there], whole[there]) and (part[~there] == 0).all() and (whole != 0).all()
