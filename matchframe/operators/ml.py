@@ -192,7 +192,8 @@ def remove_one_group(df: DataFrame, groups: dict[str, Sequence[str]], **model) -
 
 
 def with_deltas(results: DataFrame, base: str) -> DataFrame:
-    """The change of each model's metrics to those of ``base``."""
+    """The change of each model's metrics to those of ``base``.  Stages the results, a row a model, so that they are computed once."""
+    results = staged(results)
     cols = ("log_loss", "brier_score", "ece")
     b = results.where(F.col("model_version") == base).select(F.lit(1).alias("_1"), *[F.col(c).alias("_" + c) for c in cols])
     out = results.withColumn("_1", F.lit(1)).join(F.broadcast(b), "_1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matchframe.operators import manyfits as N
+from matchframe.operators import ml as M
 from matchframe.operators import rolling as R
 from matchframe.operators import tactics as K
 from matchframe.operators import windows as W
@@ -124,6 +125,20 @@ def test_form_and_shots_are_one_pass_where_histories_are_short(spark):
         spark.conf.unset("spark.matchframe.chunkDays")
 
 
+def test_results_are_computed_once_for_their_deltas(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(n, x, x, x) for n, x in (("base", 1.0), ("a", 2.0))], "model_version string, log_loss double, brier_score double, ece double")
+    got = M.with_deltas(rows.mapInPandas(counted, rows.schema), "base").collect()
+    assert {r.model_version: r.log_loss_delta for r in got} == {"base": 0.0, "a": 1.0}
+    assert read.value == 2
+
+
 def test_a_fit_multiplies_its_own_columns_only():
     rng = np.random.default_rng(1)
     x = rng.random((50, 3))
