@@ -411,11 +411,13 @@ def head_to_head(matches: DataFrame) -> DataFrame:
             "_d": (F.col("result") == "D").cast("int"),
         }
     ).select("match_id", "match_date", "_a", "_b", "_at_low", "_gd", "_xd", "_w", "_l", "_d", "result", gd.alias("_g0"), xd.alias("_x0"))
+    whole = fits_whole(["_a", "_b"], rows)
     h = History(
         rows.drop("result", "_g0", "_x0"),
         ["_a", "_b"],
         rows=5,
         totals={"n": F.lit(1), "nw": F.col("_w"), "nl": F.col("_l"), "nd": F.col("_d")},
+        whole=whole,
     )
     # Totals per venue are separate running sums of the same pair.
     run = h.running()
@@ -427,6 +429,7 @@ def head_to_head(matches: DataFrame) -> DataFrame:
             "vg": F.col("_g0"),
             "vx": F.col("_x0"),
         },
+        whole=whole,
     )
     vrun = venue.running()
     venue_cols = venue.real(

@@ -475,9 +475,9 @@ def d14(t: Tables):
         "elo": (E.elo_features, t.matches), "opponent_adjusted_xg": (E.opponent_adjusted_xg, t.matches),
     }
     checks = [
-        Q.leakage_check(build, source, day).select(F.lit(name).alias("builder"), F.lit(day).alias("cutoff"), "match_id", "side")
+        found.select(F.lit(name).alias("builder"), F.lit(day).alias("cutoff"), "match_id", "side")
         for name, (build, source) in builders.items()
-        for day in _CUTOFFS
+        for day, found in zip(_CUTOFFS, Q.leakage_checks(build, source, _CUTOFFS), strict=True)
     ]
     return reduce(DataFrame.unionByName, checks)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 DIR_KEY = "spark.checkpoint.dir"
+FREE_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,3 +36,17 @@ def staged(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs of tables that are planned in here delete their shuffle files when they end, not when the driver collects garbage."""
+    before = spark.conf.get(FREE_KEY, None)
+    spark.conf.set(FREE_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_KEY)
+        else:
+            spark.conf.set(FREE_KEY, before)
