@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matchframe.functions.probs import P
 from matchframe.operators import ml
+from matchframe.operators import boosting as B
 from matchframe.operators.boosting import fit_boosters
 
 COLUMNS = ["a", "b", "c"]
@@ -71,3 +72,62 @@ def test_moved_columns_equal_a_plain_loop(rows):
     for f in COLUMNS:
         after = [loss(rows.join(moved.where(f"rep = {r}"), "match_id").withColumn(f, F.col(f"_from.{f}"))) for r in range(2)]
         assert math.isclose(got[f], np.mean(after) - before, abs_tol=1e-9)
+
+
+def _few_values(spark, n=4000):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (n, 4)).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.integers(0, 5, n)) // 7
+    return spark.createDataFrame([(*map(float, r), int(min(t, 2))) for r, t in zip(x, y, strict=True)], "a double, b double, c double, d double, target int")
+
+
+def test_sums_of_one_child_of_every_node_give_the_same_trees(spark, monkeypatch):
+    rows = _few_values(spark)
+    whole = fit_boosters(rows, ["a", "b", "c", "d"], rounds=9)
+    monkeypatch.setattr(B, "HALVED_ROWS", 1)
+    half = fit_boosters(rows, ["a", "b", "c", "d"], rounds=9)
+    for one, other in zip(whole, half, strict=True):
+        assert (one.feature == other.feature).all() and (one.threshold == other.threshold).all()
+        assert np.allclose(one.value, other.value, atol=1e-12) and np.allclose(one.gains, other.gains)
+
+
+def test_a_fit_leaves_at_most_its_last_blocks(spark, monkeypatch):
+    from pathlib import Path
+
+    from matchframe.plans.stages import checkpoint_dir
+
+    monkeypatch.setattr(B, "HALVED_ROWS", 1)
+    place = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(place.glob("rdd-*"))
+    fit_boosters(_few_values(spark), ["a", "b"], rounds=9)
+    assert len(set(place.glob("rdd-*")) - before) <= 1
+
+
+def test_quantiles_of_sorted_chunks_keep_their_ranks(spark, monkeypatch):
+    monkeypatch.setattr(B, "HALVED_ROWS", 1)
+    monkeypatch.setattr(B, "CHUNK_ROWS", 3000)
+    rows = spark.range(40_000).selectExpr("CAST(pow(id * 7919 % 40000, 2) AS double) AS a", "CAST(id % 3 AS double) AS b", "CAST(-id AS double) AS c")
+    a, b, c = B._cuts(rows, ["a", "b", "c"], 40_000)
+    assert len(a) == len(c) == B.BINS - 1 and b.tolist() == [0.0, 1.0, 2.0]
+    even = np.linspace(0, B.LOOKS, B.BINS + 1)[1:-1].astype(int) / B.LOOKS
+    assert np.abs(np.sqrt(a) / 40_000 - even).max() < 2 * B.RANK_ERROR
+    assert np.abs(1 + c / 40_000 - even).max() < 2 * B.RANK_ERROR
+
+
+def test_moved_margins_equal_plain_margins_of_moved_columns():
+    rng = np.random.default_rng(3)
+    cut = rng.normal(size=(20, 15))
+    cut[::4, 2] = np.inf
+    booster = B.Booster(("a", "b", "c"), rng.integers(0, 3, (20, 15)), cut, rng.normal(size=(20, 15)), np.zeros(3), 3)
+    own, given = rng.normal(size=(2, 3, 500))
+    found = B.moved_margins([booster], own, given, [0, 1, 2])
+    for j in range(3):
+        mixed = own.copy()
+        mixed[j] = given[j]
+        plain = np.zeros(500)
+        for t in range(20):
+            node = np.zeros(500, int)
+            for _ in range(3):
+                node = 2 * node + 1 + (mixed[booster.feature[t, node], np.arange(500)] > cut[t, node])
+            plain += booster.value[t, node]
+        assert np.allclose(found[0, j], plain)
