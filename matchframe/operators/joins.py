@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchframe.operators.windows import History, fits_whole, tied_rank
+from matchframe.operators.windows import History, fits_whole, parts_for, tied_rank
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -155,6 +155,12 @@ def spell_totals(
     """
     present = present or {}
     begin = F.greatest(F.col(known), F.col(start)) if known != start else F.col(start)
+    # A fact has two changes, so half as many facts fit.
+    one = fits_whole(keys, asks, facts, facts)
+    if one:
+        # Facts and asks go to their key's place once, before the facts become changes; what follows is done there.
+        parts = max(parts_for(facts), parts_for(asks))
+        facts, asks = (x.repartition(parts, *keys) for x in (facts, asks))
     whole = facts.withColumns({"_from": begin, "_until": F.col(end)}).where(
         F.col("_from").isNotNull() & (F.col("_until").isNull() | (F.col("_until") >= F.col("_from")))
     )
@@ -175,8 +181,6 @@ def spell_totals(
         came = {c: (F.col(f"_n{c}") > 0).cast("long") - (F.col(f"_n{c}") - F.col(c) > 0).cast("long") for c in there}
         daily = counted.withColumns(came).groupBy(*keys, "_at").agg(*[F.sum(c).alias(c) for c in changes])
     rows = asks.withColumns({"_at": F.col(day), "_q": F.lit(1)}).unionByName(daily.withColumn("_q", F.lit(0)), allowMissingColumns=True)
-    # A fact has two changes, so half as many facts fit.
-    one = fits_whole(keys, asks, facts, facts)
     h = History(rows, keys, day="_at", ties=("_q", *ties), totals={c: F.col(c) for c in changes}, whole=one)
     total = {c: F.sum(c).over(h.running()) for c in changes}
     out = h.real(h.frame.withColumns(total)).where("_q = 1")

@@ -9,19 +9,23 @@ from matchframe.functions.clean import tenure_bucket
 from matchframe.operators.joins import active_interval_join, asof_last
 from matchframe.operators.longform import to_wide
 from matchframe.operators.rolling import zero
-from matchframe.operators.windows import History, real_row
+from matchframe.operators.windows import History, fits_whole, real_row
 from matchframe.plans.stages import staged
+from matchframe.settings import chunk_days
 
 
-def mark_runs(rows: DataFrame, value: str = "manager") -> DataFrame:
-    """Number the runs of equal consecutive ``value`` per team: adds ``run`` and ``is_change``."""
-    h = History(rows, ["team"], rows=1)
+def mark_runs(rows: DataFrame, value: str = "manager", whole: bool = False) -> DataFrame:
+    """Number the runs of equal consecutive ``value`` per team: adds ``run`` and ``is_change``.
+
+    With ``whole`` (``windows.fits_whole`` of the rows) a team is one slice.
+    """
+    h = History(rows, ["team"], rows=1, whole=whole)
     w = h.ordered()
     before = F.lag(real_row(F.coalesce(F.col(value), F.lit("")))).over(w)
     first = F.lag(real_row(F.lit(1))).over(w).isNull()
     change = (first | (before != F.coalesce(F.col(value), F.lit("")))).cast("int")
     flagged = h.real(h.frame.withColumn("is_change", change))
-    runs = History(flagged, ["team"], totals={"_c": F.col("is_change")})
+    runs = History(flagged, ["team"], totals={"_c": F.col("is_change")}, whole=whole)
     return runs.real(runs.frame.withColumn("run", F.sum("_c").over(runs.running_inclusive()))).drop("_c")
 
 
@@ -64,35 +68,69 @@ GAPS = {
 }
 
 
+_STATE = ("manager", "run", "n", "p", "x", "e", "form")
+
+
+def _states(marked: DataFrame, value: dict[str, Column], whole: bool) -> DataFrame:
+    """Matches, results and form of the run up to and with each match; of whole teams also its first day."""
+    h = History(marked, ["team", "run"], rows=5, totals={"_n": F.lit(1), **{"_t" + k: F.col("_v" + k) for k in value}}, whole=whole)
+    upto = h.running_inclusive()
+    cols = {
+        "n": F.sum("_n").over(upto),
+        "form": F.avg(real_row(F.col("_vp"))).over(h.ordered().rowsBetween(-4, 0)),
+        **{k: F.sum("_t" + k).over(upto) for k in value},
+    }
+    if whole:
+        cols["run_start"] = F.first("match_date").over(upto)
+    return h.real(h.frame.withColumns(cols))
+
+
+def _last_state_whole(rows: DataFrame, value: dict[str, Column]) -> DataFrame:
+    """Rows with ``_now`` and the state ``_p_...`` and ``run_start`` of the team's last match before the day, if any, of ``asof_day``.
+
+    A team's rows are shuffled once and stay in one place for all windows.
+    """
+    keep = [*_STATE, "run_start"]
+    state = _states(mark_runs(rows, whole=True), value, True)
+    # No team has no runs, and a match without id no say.
+    state = state.withColumn("run_start", F.when(F.col("team").isNotNull(), F.col("run_start")))
+    last = F.struct(F.col("match_date").alias("asof_day"), "match_id", F.when(F.col("match_id").isNotNull(), F.struct(*keep)).alias("s"))
+    earlier = Window.partitionBy("team").orderBy(F.unix_date("match_date")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = state.select("match_id", "is_home", "team", "match_date", F.col("manager").alias("_now"), F.max(last).over(earlier).alias("_last"))
+    # Rows without a team see no further back than the slice of days that they are in, as in ``_last_state``.
+    width = chunk_days(rows.sparkSession)
+    near = F.floor((F.unix_date("_last.asof_day") + 1) / width) == F.floor(F.unix_date("match_date") / width)
+    seen = seen.withColumn("_last", F.when(F.col("team").isNotNull() | near, F.col("_last")))
+    picked = [F.col(f"_last.s.{c}").alias(c if c == "run_start" else "_p_" + c) for c in keep]
+    return seen.select("match_id", "is_home", "team", "match_date", "_now", F.col("_last.asof_day").alias("asof_day"), *picked)
+
+
+def _last_state(rows: DataFrame, value: dict[str, Column]) -> DataFrame:
+    """``_last_state_whole`` for teams of any size, in slices.  Runs two jobs."""
+    marked = staged(mark_runs(rows))
+    state = _states(marked, value, False)
+    starts = marked.where("is_change = 1").select("team", "run", F.col("match_date").alias("run_start"))
+    per_day = state.groupBy("team", "match_date").agg(F.max_by(F.struct(*_STATE), "match_id").alias("s")).select("team", "match_date", "s.*")
+    per_day = staged(per_day)
+    asks = rows.select("match_id", "is_home", "team", "match_date", F.col("manager").alias("_now"))
+    facts = per_day.select("team", "match_date", *[F.col(c).alias("_p_" + c) for c in _STATE])
+    seen = asof_last(asks, facts, ties=("match_id", "is_home"), value=["_p_" + c for c in _STATE])
+    return seen.join(starts.select("team", F.col("run").alias("_p_run"), "run_start"), ["team", "_p_run"], "left")
+
+
 def manager_features(rows: DataFrame) -> DataFrame:
     """Tenure and results of the current coach's unbroken run before each match day.
 
     ``rows``: long rows with ``manager`` and ``elo_trend``.  The run is that of
     the team's last match before the day, if its coach is still in charge; the
-    Elo figure sums the trends of the run's matches.  Runs two jobs: the marked
-    rows and the state per day are read several times.
+    Elo figure sums the trends of the run's matches.  Counts the rows of each team;
+    if some team has many, runs two more jobs: the marked rows and the state per day
+    are read several times.
     """
     value = {"p": F.col("points").cast("double"), "x": F.col("xgf") - F.col("xga"), "e": zero(F.col("elo_trend"))}
-    marked = staged(mark_runs(rows.withColumns({"_v" + k: c for k, c in value.items()})))
-    h = History(marked, ["team", "run"], rows=5, totals={"_n": F.lit(1), **{"_t" + k: F.col("_v" + k) for k in value}})
-    upto = h.running_inclusive()
-    state = h.real(
-        h.frame.withColumns(
-            {
-                "n": F.sum("_n").over(upto),
-                "form": F.avg(real_row(F.col("_vp"))).over(h.ordered().rowsBetween(-4, 0)),
-                **{k: F.sum("_t" + k).over(upto) for k in value},
-            }
-        )
-    )
-    starts = marked.where("is_change = 1").select("team", "run", F.col("match_date").alias("run_start"))
-    keep = ["manager", "run", "n", "p", "x", "e", "form"]
-    per_day = state.groupBy("team", "match_date").agg(F.max_by(F.struct(*keep), "match_id").alias("s")).select("team", "match_date", "s.*")
-    per_day = staged(per_day)
-    asks = rows.select("match_id", "is_home", "team", "match_date", F.col("manager").alias("_now"))
-    facts = per_day.select("team", "match_date", *[F.col(c).alias("_p_" + c) for c in keep])
-    seen = asof_last(asks, facts, ties=("match_id", "is_home"), value=["_p_" + c for c in keep])
-    seen = seen.join(starts.select("team", F.col("run").alias("_p_run"), "run_start"), ["team", "_p_run"], "left")
+    thin = rows.select("match_id", "is_home", "team", "match_date", "manager", *[c.alias("_v" + k) for k, c in value.items()])
+    # Every match is asked for and tells the later ones.
+    seen = _last_state_whole(thin, value) if fits_whole(["team"], rows, rows) else _last_state(thin, value)
     now = F.coalesce(F.col("_now"), F.lit(""))
     same = (F.coalesce(F.col("_p_manager"), F.lit("")) == now) & F.col("asof_day").isNotNull()
     changed = F.col("asof_day").isNotNull() & ~same

@@ -5,7 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from matchframe.operators import managers as MG
+from matchframe.operators import windows as W
 from matchframe.operators.joins import FIRST_DAY, active_interval_join, interval_blocks, spell_totals
+from matchframe.settings import CHUNK_DAYS_KEY
 
 DAY0 = dt.date(2020, 1, 1)
 SPELL = "fact long, team long, who long, report_date date, unavailable_from date, expected_return_date date, x double, flag boolean"
@@ -86,3 +90,37 @@ def test_nothing(spark):
     one = spell_totals(asks, facts, who="who", sums={"x": F.col("x")}, present={"n": F.lit(True)}).collect()
     assert [(r.x, r.n) for r in one] == [(0.0, 0)]
     assert spell_totals(asks.limit(0), facts, sums={"x": F.col("x")}).count() == 0
+
+
+def _exchanges(df) -> int:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+
+def test_absences_and_asks_travel_once_before_they_become_changes(spark, monkeypatch):
+    monkeypatch.setattr(W, "PART_ROWS", 1_000)
+    got = entry.queries()["W17_absence_features"](spark, "/root/testdata/sf0.001")
+    # Facts and asks by team, then the sides of a match.
+    assert _exchanges(got) == 3
+
+
+def test_coach_features_shuffle_a_team_once(spark):
+    got = entry.queries()["W24_manager_features"](spark, "/root/testdata/sf0.001")
+    assert _exchanges(got) == 2
+
+
+def test_coach_features_of_whole_teams_equal_sliced_ones(spark):
+    rows = spark.range(400).selectExpr(
+        "id AS match_id", "IF(id % 7 = 3, NULL, date_add(DATE '2000-01-01', CAST(id * 5 - id % 3 * 5 AS int))) AS match_date", "IF(id % 11 = 2, NULL, id % 4) AS team",
+        "1 AS is_home", "IF(id % 13 = 1, NULL, concat('m', CAST(id / 40 AS int) % 3)) AS manager", "id % 4 AS points", "CAST(id % 5 AS double) AS xgf", "CAST(id % 3 AS double) AS xga",
+        "IF(id % 17 = 0, NULL, CAST(id % 9 AS double)) AS elo_trend",
+    )
+    rows = rows.unionByName(rows.where("match_id % 50 = 7"))
+    whole = MG.manager_features(rows)
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*whole.columns).na.fill(-1).collect())
+    one = plain(whole)
+    spark.conf.set(CHUNK_DAYS_KEY, "182")
+    try:
+        assert one == plain(MG.manager_features(rows))
+    finally:
+        spark.conf.unset(CHUNK_DAYS_KEY)
